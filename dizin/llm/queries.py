@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import secrets, simhash
+from dizin.llm import decontaminate, mixing, secrets, simhash
 from dizin.llm.common import table
 
 
@@ -14,7 +14,15 @@ def op3_simhash_components(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_simhash_components)}
+def op5_positional_index(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pareto_mix(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_simhash_components, op5_positional_index, op8_pareto_mix)}
 
 
 def _secrets_sql() -> str:
@@ -44,4 +52,46 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id"""
 
 
-SQL = {"op2_secret_ledger": _secrets_sql()}
+#: The same mix with plain windows over whole sources.
+MIX_SQL = r"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS u FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][CAST((source_no - 1) % 3 + 1 AS INT)] AS w FROM
+  (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_no FROM sizes)),
+fill AS (SELECT *, sum(source_size) OVER () * 3 AS total,
+  coalesce(sum(source_size) OVER (ORDER BY source_size * (10 // w), source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 AS before,
+  sum(w) OVER (ORDER BY source_size * (10 // w), source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest FROM weighed),
+marked AS (SELECT *, (total - 2 * before) * w >= source_size * w_rest * 4 AS is_full FROM fill),
+goal AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(source_size * 2 AS DOUBLE)
+  ELSE CAST((total - 2 * sum(CASE WHEN is_full THEN source_size * 2 ELSE 0 END) OVER ()) * w AS DOUBLE)
+    / CAST(2 * sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target FROM marked),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END AS certain FROM goal),
+placed AS (SELECT d.*, source_size, target, certain, target - certain * source_size AS rest,
+  CASE WHEN source_size > 0 THEN target / source_size - certain ELSE 0 END AS part
+  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto FROM placed),
+got AS (SELECT *, part > 0 AND upto <= rest AS more FROM run),
+gaps AS (SELECT *, rest - coalesce(max(CASE WHEN more THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM got),
+near AS (SELECT source, arg_min(u, {'off': abs(size - gap), 'u': u}) AS u FROM gaps WHERE part > 0 AND NOT more AND abs(size - gap) < gap GROUP BY source)
+SELECT g.doc_id, g.size, g.source_size, g.target,
+  CAST(g.size * (g.certain + CAST(g.more OR n.u IS NOT NULL AS INT)) AS BIGINT) AS taken
+FROM gaps g LEFT JOIN near n ON g.source IS NOT DISTINCT FROM n.source AND g.u = n.u AND g.part > 0"""
+
+#: The same by joining all runs of words.
+DECONTAMINATE_SQL = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, coalesce(w, []) AS w FROM low),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wide AS (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM wide)),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM
+  (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM win))),
+met AS (SELECT doc_id, item_id, i, g.n FROM grams g JOIN win USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM met GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
+
+SQL = {"op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}
