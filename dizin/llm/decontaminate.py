@@ -166,6 +166,8 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     ``items`` are the distinct ids (as strings, sorted) of items with an occurring window. Null texts
     and texts without words have zeros. Null ids give -1. No items, no hits.
     """
+    if width > GAP:
+        raise ValueError(f"a window has {GAP} words at most")
     found = written(windows(items, item_id, item_text, width), "windows")
     index = build_index(docs, written(found.select(F.explode("words").alias("term")).distinct(), "terms"), doc_id, text)
     phrases = found.select("window_id", "words").distinct()

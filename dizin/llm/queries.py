@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from dizin.llm import decontaminate, mixing, secrets, simhash
+from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash
 from dizin.llm.common import table
 
 
+def op1_packed_ids(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_ledger(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,16 @@ def op8_pareto_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_simhash_components, op5_positional_index, op8_pareto_mix)}
+def op10_ppm_language(spark, sf_dir):
+    return ppm.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op8_pareto_mix, op10_ppm_language,
+    )
+}
 
 
 def _secrets_sql() -> str:
