@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash
+from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash, topk
 from dizin.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_positional_index(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_bit_sliced_topk(spark, sf_dir):
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pareto_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_ppm_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op8_pareto_mix, op10_ppm_language,
+        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op7_bit_sliced_topk, op8_pareto_mix, op10_ppm_language,
     )
 }
 
@@ -107,4 +111,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
 
-SQL = {"op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}
+#: The same by scoring all rows for each query.
+TOPK_SQL = """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(CAST(x AS DOUBLE)) >= 262144)) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+SQL = {"op7_bit_sliced_topk": TOPK_SQL, "op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}
