@@ -66,6 +66,18 @@ def forget(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+#: Written tables of up to so many bytes on disk, and rows, may be broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 1_000_000
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """A table made by ``written``, with the join hint that its measured size allows."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.hint("broadcast" if size <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else "merge")
+
+
 def text_key(text: Column) -> Column:
     """A name for a text's content: SHA-256 of its bytes; a null text counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash, topk
+from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash, substrings, topk
 from dizin.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_positional_index(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_prefix_doubling(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bit_sliced_topk(spark, sf_dir):
     return topk.digest(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +41,7 @@ def op10_ppm_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op7_bit_sliced_topk, op8_pareto_mix, op10_ppm_language,
+        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op10_ppm_language,
     )
 }
 
