@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import decontaminate, mixing, packing, ppm, secrets, simhash, substrings, topk
+from dizin.llm import decontaminate, licenses, mixing, packing, ppm, secrets, simhash, substrings, topk, toxicity
 from dizin.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash_components(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_levenshtein_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_positional_index(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,10 @@ def op8_pareto_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_license_rules(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_ppm_language(spark, sf_dir):
     return ppm.digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,8 @@ def op10_ppm_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op5_positional_index, op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op10_ppm_language,
+        op1_packed_ids, op2_secret_ledger, op3_simhash_components, op4_levenshtein_toxicity, op5_positional_index,
+        op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language,
     )
 }
 
