@@ -19,11 +19,12 @@ these windows together. All windows that two texts share around one anchor cover
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dizin.llm.common import hinted, written
@@ -31,7 +32,9 @@ from dizin.llm.common import hinted, written
 #: Bytes of a repeated string, and of an anchor's own string; their difference and one is a power of two.
 LEAST, GRAM = 400, 145
 #: Contexts that one task compares with one another at once; larger groups are divided first.
-TOGETHER = 64
+TOGETHER = 256
+#: Contexts that a task compares in one step.
+ROWS = 4096
 #: Bytes that are hashed in one step.
 STEP = 1 << 20
 _SEED = np.random.default_rng(20240607)
@@ -251,31 +254,33 @@ def cut_contexts(keyed: DataFrame, wanted: DataFrame, least: int = LEAST, gram:
     return joined.mapInPandas(run, "gram long, context long, n long, left int, body binary")
 
 
-def shared_windows(body: list[bytes], left: np.ndarray, n: np.ndarray, lo: int, hi: int, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and most offset, of ``lo..hi``, at which its window is another's too (1, 0: none).
+def shared_windows(hashes: Hashes, body: list[bytes], left: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the least and most offset, of its ``lo..hi``, at which its window is another's too (1, 0: none).
 
-    The offset is how far before the anchor a window starts. Contexts agree in the anchor's k bytes.
+    The offset is how far before the anchor a window starts. Windows are equal if their hashes are;
+    windows around different anchors' bytes differ at every offset, so many groups are compared at once.
     """
     rows, reach = len(body), least - gram
-    space = np.empty((rows, reach + least), np.int32)
-    space[:] = 1000 + np.arange(rows)[:, None]  # beyond a text nothing is equal
+    space = np.zeros((rows, reach + least), np.uint8)
+    right = np.array([len(b) for b in body]) - left
     for i, (b, at) in enumerate(zip(body, left, strict=True)):
         space[i, reach - at : reach - at + len(b)] = np.frombuffer(b, np.uint8)
-    before, after = space[:, :reach][:, ::-1], space[:, reach:]
+    sums = np.zeros((rows, reach + least + 1), np.uint64)
+    np.cumsum(_VALUES[0][space] * hashes.up[0][: reach + least], axis=1, out=sums[:, 1:])
     lows, highs = np.ones(rows, np.int64), np.zeros(rows, np.int64)
-    for i in range(rows):
-        differ = before != before[i]
-        to_left = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
-        differ = after != after[i]
-        to_right = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
-        if n[i] > 1:
-            to_left[i], to_right[i] = left[i], len(body[i]) - left[i]
-        else:
-            to_left[i] = to_right[i] = 0
-        first, last = np.maximum(lo, least - to_right), np.minimum(hi, to_left)
-        some = first <= last
-        if some.any():
-            lows[i], highs[i] = first[some].min(), last[some].max()
+    for o in range(int(lo.min()), int(hi.max()) + 1):
+        use = np.flatnonzero((o >= lo) & (o <= hi) & (o <= left) & (least - o <= right))
+        if not len(use):
+            continue
+        h = sums[use, reach - o + least] - sums[use, reach - o]
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        again = np.zeros(len(use), bool)
+        again[order[1:]] = same
+        again[order[:-1]] |= same
+        met = use[again | (n[use] > 1)]
+        lows[met] = np.where(lows[met] > highs[met], o, lows[met])
+        highs[met] = o
     return lows, highs
 
 
@@ -294,15 +299,28 @@ def compare_contexts(contexts: DataFrame, least: int = LEAST, gram: int = GRAM)
     groups = written(contexts.select(F.array("gram").alias("group"), F.lit(0).alias("lo"), F.lit(least - gram).alias("hi"), "gram", "context", "n", "left", "body"), "groups")
     found = None
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = shared_windows(list(rows["body"]), rows["left"].to_numpy(), rows["n"].to_numpy(), int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0]), least, gram)
-        keep = low <= high
-        return pd.DataFrame({"gram": rows["gram"][keep], "context": rows["context"][keep], "low": low[keep], "high": high[keep]})
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, held = Hashes(2 * least), None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                if len(held) < ROWS:
+                    continue
+            if held is None or not len(held):
+                continue
+            # The last group may go on in the next batch.
+            cut = len(held) if batch is None else int(np.argmax(held["name"].to_numpy() == held["name"].iloc[-1]))
+            rows, held = held.iloc[:cut], held.iloc[cut:]
+            if len(rows):
+                low, high = shared_windows(hashes, list(rows["body"]), *(rows[c].to_numpy() for c in ("left", "n", "lo", "hi")), least, gram)
+                keep = low <= high
+                yield pd.DataFrame({"gram": rows["gram"][keep], "context": rows["context"][keep], "low": low[keep], "high": high[keep]})
 
     while True:
         sizes = written(groups.groupBy("group").agg(F.count("*").alias("size"), F.max("n").alias("most")), "sizes")
         sized = groups.join(hinted(sizes.filter("size > 1 or most > 1").transform(lambda d: _same_path(d, sizes))), "group")
-        part = sized.filter(F.col("size") <= TOGETHER).groupBy("group").applyInPandas(compare, FOUND)
+        small = sized.filter(F.col("size") <= TOGETHER).select(F.xxhash64("group").alias("name"), "gram", "context", "n", "left", "lo", "hi", "body")
+        part = small.repartition("name").sortWithinPartitions("name").mapInPandas(compare, FOUND)
         found = part if found is None else found.unionByName(part)
         large = sizes.agg(F.max("size")).first()[0] or 0
         if large <= TOGETHER:
@@ -365,21 +383,21 @@ def repeated_ranges(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
     contexts = cut_contexts(keyed.dropDuplicates(["k1", "k2"]) if several.count() else keyed, around, least, gram)
     found = compare_contexts(contexts, least, gram).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     found = written(found, "found")
-    by_context = near.join(hinted(found), ["gram", "context"]).select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("end"))
-    whole = held.filter("settled").filter(F.col("need") - F.col("pos") >= least).select("k1", "k2", F.col("pos").alias("start"), F.col("need").alias("end"))
-    each_range = by_context.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    by_context = near.join(hinted(found), ["gram", "context"]).select("k1", "k2", (F.col("pos") - F.col("high")).cast("int").alias("start"), (F.col("pos") - F.col("low") + least).cast("int").alias("end"))
+    whole = held.filter("settled").filter(F.col("need") - F.col("pos") >= least).select("k1", "k2", F.col("pos").cast("int").alias("start"), F.col("need").cast("int").alias("end"))
+    each_range = by_context.unionByName(whole).groupBy("k1", "k2").agg(united(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     return written(each_range, "ranges")
 
 
-def united(ranges) -> list[tuple[int, int]]:
-    """Ranges in order, those that touch made one."""
-    out: list[list[int]] = []
-    for start, end in sorted((r["start"], r["end"]) for r in ranges):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def united(ranges: Column) -> Column:
+    """Ranges in order, those that touch or overlap made one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
 def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -400,7 +418,7 @@ def digest(documents: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             out = []
             for text, ranges in zip(batch["text"], batch["ranges"], strict=True):
-                body, runs = text.encode("utf-8", "surrogatepass"), united(ranges)
+                body, runs = text.encode("utf-8", "surrogatepass"), [(r["start"], r["end"]) for r in ranges]
                 kept = hashlib.sha256()
                 at = 0
                 for start, end in runs:
