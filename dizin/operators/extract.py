@@ -156,7 +156,9 @@ def occurrences(text: Column, title: Column) -> Column:
     low, key = folded(text), folded(title)
     parts = F.split(low, F.concat(F.lit(r"(?=\Q"), key, F.lit(r"\E)")))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(key), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
+    # All parts but the first begin at an occurrence.
+    here = lambda s: (s["at"] > 1) | low.startswith(key)
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(here(s), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
     return F.when(F.length(key) > 0, F.aggregate(parts, start, step, lambda s: s["out"]))
 
 
