@@ -99,7 +99,7 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         self.langs, self.order = sorted(counts["lang"].unique()), order
-        number = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy()
+        number = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy().astype(np.int64)
         n, gram, seen = (counts[c].to_numpy() for c in ("n", "gram", "seen"))
         wide = len(self.langs)
         # What each context saw: N bytes of D kinds. Seen s times: s / (N + D); escape: D / (N + D).
