@@ -59,11 +59,6 @@ def find(text: str, rules: list[tuple[str, re.Pattern, int, int]]) -> list[tuple
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
-def rule_table(spark, rules=RULES) -> DataFrame:
-    rows = [(r.kind, r.version) for r in rules]
-    return spark.createDataFrame(rows, "kind string, rule_version int")
-
-
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> DataFrame:
     """New ledger entries: ``(blob_id, kind, rule_version, findings)`` for pairs that ``ledger`` lacks.
 
