@@ -27,7 +27,7 @@ TABLE_ENDS, TABLE_LEAST = ("TOPLAM", "ÖĞRENME BİRİMİ"), 50
 #: Header rows of the unit table.
 TABLE_HEADERS = (r"(?s)ÖĞRENME.*?\(\s*%\s*\)", r"(?s)KAZANIM.*?ORAN\s*\(\s*%\s*\)", r"(?s)OGRENME.*?\(\s*%\s*\)")
 NUMBER = r"\d+(?:[,.]\d+)?"
-#: Shapes of a table row by priority: groups of the pattern that hold count, hours, second part of hours, percentage.
+#: Shapes of a table row by priority, and the of each that hold count, hours, second part of hours, percentage.
 SHAPES = (
     (rf"([^0-9]+?)\s+(\d+)\s+(\d+)\s*/\s*(\d+)\s+({NUMBER})", 2, 3, 4, 5),
     (rf"([^0-9]+?)\s+(\d+)\s+(\d+)\s+({NUMBER})", 2, 3, 0, 4),
@@ -40,6 +40,8 @@ AREA_HEADS = ("ÖĞRENME BİRİMİ", "KONULAR", "ÖĞRENME BİRİMİ KAZANIMLARI
 AREA_STOPS = ("UYGULAMA", "FAALİYET", "TEMRİN", "DERSİN", "DERSĠN")
 #: Characters in which a title's numbers must stand, and how the fallback looks around a 1.
 VALID_WITHIN, BACK, TITLE_LEAST, AHEAD = 4000, 100, 10, 500
+#: What ends a topic area: a long line of capitals, a numbered heading, or a stop word.
+AREA_BREAKS = r"\n[A-ZÜĞIŞÖÇ][A-ZÜĞIŞÖÇ\s]{10,}|\n\d+\.\s*[A-ZÜĞIŞÖÇ]|DERSİN|DERSĠN|UYGULAMA|FAALİYET|TEMRİN"
 NOT_FOUND = "[Konu bulunamadı]"
 
 
@@ -181,8 +183,7 @@ def work_areas(matches: DataFrame, keep: list[str], text: str, title: str) -> Da
     found = matches.filter("first_valid is not null").withColumn("until", F.lead("first_valid").over(order))
     begin = F.col("first_valid") + F.length(title)
     found = found.withColumn("rest", cut(F.col(text), begin, F.col("until")))
-    stops = r"\n[A-ZÜĞIŞÖÇ][A-ZÜĞIŞÖÇ\s]{10,}|\n\d+\.\s*[A-ZÜĞIŞÖÇ]|DERSİN|DERSĠN|UYGULAMA|FAALİYET|TEMRİN"
-    return found.withColumn("work_area", F.get(F.split("rest", stops, 2), F.lit(0))).drop("rest", "until")
+    return found.withColumn("work_area", F.get(F.split("rest", AREA_BREAKS, 2), F.lit(0))).drop("rest", "until")
 
 
 def topics(area: Column, n: Column) -> Column:

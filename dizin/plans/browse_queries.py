@@ -103,10 +103,10 @@ def p09_browsing_rows(t):
     return flat(t).withColumn("branch_link", link)
 
 
-@query("SELECT page_id, string_split(url, '/')[-1] AS file FROM pages WHERE contains(lower(string_split(url, '/')[-1]), 'page=1')")
+@query("SELECT page_id, string_split(url, '/')[-1] AS file FROM pages WHERE contains(lower(string_split(url, '/')[-1]), 'html')")
 def p10_by_file_name(t):
     file = F.substring_index("url", "/", -1)
-    return t.pages.filter(F.lower(file).contains("page=1")).select("page_id", file.alias("file"))
+    return t.pages.filter(F.lower(file).contains("html")).select("page_id", file.alias("file"))
 
 
 @query(f"{WITH} SELECT DISTINCT area_id, c.course_id, course, grade FROM course c JOIN bridge b ON c.course_id = b.course_id JOIN branch n ON b.branch_id = n.branch_id")
