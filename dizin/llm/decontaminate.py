@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import words_of, written
+from dizin.llm.common import forget, words_of, written
 
 WINDOW = 10
 #: Words after which a segment is closed. Bounds a task's memory; a longer document is a segment of its own.
@@ -56,28 +55,35 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     one another and documents stand ``GAP`` apart. The row of the empty term has the documents' ids,
     first positions and numbers of words. No row moves between tasks. Texts are read whole; null has
     no words. Terms are sent to the tasks ``TERMS_AT_ONCE`` at a time, so their number is not limited.
+    All passes share their segments: these are named by the partition of the input, and several passes
+    read one written copy of it, so that each sees the same documents in the same order.
     """
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     count = terms.count()
     passes = max(1, -(-count // TERMS_AT_ONCE))
+    held = copy = written(held, "texts") if passes > 1 else held
+    # Not the task's own number: in a union the tasks of later passes count on from those of earlier ones.
+    held = held.withColumn("task", F.spark_partition_id())
     out = None
     for part in range(passes):
         mine = terms if passes == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == part)
         listed = spark.sparkContext.broadcast(sorted(bytes(r["term"]) for r in mine.toLocalIterator()))
-        rows = held.mapInPandas(_indexer(listed, part), SEGMENTS)
+        rows = held.mapInPandas(_indexer(listed), SEGMENTS)
         if part:
             rows = rows.filter(F.length("term") > 0)
         out = rows if out is None else out.unionByName(rows)
-    return written(out, "index")
+    out = written(out, "index")
+    if passes > 1:
+        forget(copy)
+    return out
 
 
-def _indexer(listed, part: int):
+def _indexer(listed):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = listed.value
         number = {t: i for i, t in enumerate(terms)}
-        task = TaskContext.get().partitionId()
-        ids, firsts, sizes, found, places, at, closed = [], [], [], [], [], 0, 0
+        ids, firsts, sizes, found, places, at, closed, task = [], [], [], [], [], 0, 0, None
 
         def close() -> pd.DataFrame:
             docs = np.array([ids, firsts, sizes], np.int64).tobytes()
@@ -92,6 +98,8 @@ def _indexer(listed, part: int):
             return pd.DataFrame(rows, columns=["segment", "term", "n", "docs", "places"])
 
         for batch in batches:
+            if task is None and len(batch):
+                task = int(batch["task"].iloc[0])
             for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(body)
                 if at and at + len(words) > SEGMENT_WORDS:
