@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a pattern over the words of a text, a label, a priority and a confidence. It runs only on
-texts that hold its keyword. A detection that lies inside one of higher priority (or of a rule listed
+texts that hold its keywords, which are taken from the pattern. A detection that lies inside one of higher priority (or of a rule listed
 before, at equal priority) is dropped, so "mit license" inside "gnu general public license" style
 notices, or a bare name inside a full notice, does not count twice.
 """
@@ -9,6 +9,8 @@ notices, or a bare name inside a full notice, does not count twice.
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as parser
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,58 +20,58 @@ from pyspark.sql import functions as F
 
 from dizin.llm.common import words_of
 
-#: Label, keyword that must occur, pattern of the license's name in lower-case words.
+#: Label, pattern of the license's name in lower-case words.
 NAMES = (
-    ("mit", "mit", "(?:mit|expat)(?: license)?"),
-    ("mit-0", "attribution", "mit no attribution"),
-    ("x11", "x11", "x11(?: license)?"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? (?:v2|2)(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-1.0", "apache", "apache(?: software)?(?: license)?(?: version)? 1 0"),
-    ("gpl-1.0", "g", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?1(?: 0)?"),
-    ("gpl-2.0", "g", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?: 0)?"),
-    ("gpl-3.0", "g", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?: 0)?"),
-    ("lgpl-2.0", "l", "(?:gnu )?(?:library|lesser) general public license(?: version| v)? ?v?2(?: 0)?(?! 1)"),
-    ("lgpl-2.1", "l", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2 1"),
-    ("lgpl-3.0", "l", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?: 0)?"),
-    ("agpl-3.0", "a", "(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?: 0)?"),
-    ("gfdl-1.3", "documentation", "(?:gnu )?free documentation license(?: version)? 1 [123]"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: license)?"),
-    ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?"),
-    ("0bsd", "bsd", "(?:0bsd|zero clause bsd)(?: license)?"),
-    ("isc", "isc", "isc(?: license)?"),
-    ("mpl-1.1", "m", "(?:mozilla public license|mpl)(?: version| v)? 1 1"),
-    ("mpl-2.0", "m", "(?:mozilla public license|mpl)(?: version| v)? 2 0"),
-    ("epl-1.0", "e", "(?:eclipse public license|epl)(?: version| v)? 1 0"),
-    ("epl-2.0", "e", "(?:eclipse public license|epl)(?: version| v)? 2 0"),
-    ("cddl-1.0", "cddl", "(?:common development and distribution license )?cddl(?: version| v)?(?: 1 0)?"),
-    ("cc0-1.0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-4.0", "c", "(?:cc by|creative commons attribution) 4 0"),
-    ("cc-by-3.0", "c", "(?:cc by|creative commons attribution) 3 0"),
-    ("cc-by-sa-4.0", "c", "(?:cc by sa|creative commons attribution sharealike) 4 0"),
-    ("cc-by-sa-3.0", "c", "(?:cc by sa|creative commons attribution sharealike) 3 0"),
-    ("cc-by-nc-4.0", "c", "(?:cc by nc|creative commons attribution noncommercial) 4 0"),
-    ("cc-by-nc-3.0", "c", "(?:cc by nc|creative commons attribution noncommercial) 3 0"),
-    ("cc-by-nd-4.0", "c", "(?:cc by nd|creative commons attribution noderivatives) 4 0"),
-    ("cc-by-nc-sa-4.0", "c", "(?:cc by nc sa|creative commons attribution noncommercial sharealike) 4 0"),
-    ("cc-by-nc-nd-4.0", "c", "(?:cc by nc nd|creative commons attribution noncommercial noderivatives) 4 0"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl(?: license)?"),
-    ("zlib", "zlib", "zlib(?: libpng)?(?: license)?"),
-    ("boost-1.0", "boost", "boost software license(?: version)?(?: 1 0)?"),
-    ("artistic-2.0", "artistic", "artistic license(?: version)? 2(?: 0)?"),
-    ("artistic-1.0", "artistic", "artistic license(?: version)? 1(?: 0)?"),
-    ("python-2.0", "python", "python software foundation license(?: version)?(?: 2)?"),
-    ("postgresql", "postgresql", "postgresql license"),
-    ("openssl", "openssl", "openssl license"),
-    ("eupl-1.2", "european", "european union public license(?: version)?(?: 1 [12])?"),
-    ("ofl-1.1", "open font", "(?:sil )?open font license(?: version)?(?: 1 1)?"),
-    ("odbl-1.0", "open database", "open database license(?: version)?(?: 1 0)?"),
-    ("bsl-1.1", "business source", "business source license(?: version)?(?: 1 1)?"),
-    ("sspl-1.0", "server side", "server side public license(?: version)?(?: 1)?"),
-    ("proprietary", "rights reserved", "all rights reserved"),
-    ("public-domain", "public domain", "public domain"),
+    ("mit", "(?:mit|expat)(?: license)?"),
+    ("mit-0", "mit no attribution"),
+    ("x11", "x11(?: license)?"),
+    ("apache-2.0", "apache(?: software)?(?: license)?(?: version)? (?:v2|2)(?: 0)?"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? 1 1"),
+    ("apache-1.0", "apache(?: software)?(?: license)?(?: version)? 1 0"),
+    ("gpl-1.0", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?1(?: 0)?"),
+    ("gpl-2.0", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?: 0)?"),
+    ("gpl-3.0", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl-2.0", "(?:gnu )?(?:library|lesser) general public license(?: version| v)? ?v?2(?: 0)?(?! 1)"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2 1"),
+    ("lgpl-3.0", "(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("agpl-3.0", "(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("gfdl-1.3", "(?:gnu )?free documentation license(?: version)? 1 [123]"),
+    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: license)?"),
+    ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?"),
+    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?"),
+    ("0bsd", "(?:0bsd|zero clause bsd)(?: license)?"),
+    ("isc", "isc(?: license)?"),
+    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version| v)? 1 1"),
+    ("mpl-2.0", "(?:mozilla public license|mpl)(?: version| v)? 2 0"),
+    ("epl-1.0", "(?:eclipse public license|epl)(?: version| v)? 1 0"),
+    ("epl-2.0", "(?:eclipse public license|epl)(?: version| v)? 2 0"),
+    ("cddl-1.0", "(?:common development and distribution license )?cddl(?: version| v)?(?: 1 0)?"),
+    ("cc0-1.0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
+    ("cc-by-4.0", "(?:cc by|creative commons attribution) 4 0"),
+    ("cc-by-3.0", "(?:cc by|creative commons attribution) 3 0"),
+    ("cc-by-sa-4.0", "(?:cc by sa|creative commons attribution sharealike) 4 0"),
+    ("cc-by-sa-3.0", "(?:cc by sa|creative commons attribution sharealike) 3 0"),
+    ("cc-by-nc-4.0", "(?:cc by nc|creative commons attribution noncommercial) 4 0"),
+    ("cc-by-nc-3.0", "(?:cc by nc|creative commons attribution noncommercial) 3 0"),
+    ("cc-by-nd-4.0", "(?:cc by nd|creative commons attribution noderivatives) 4 0"),
+    ("cc-by-nc-sa-4.0", "(?:cc by nc sa|creative commons attribution noncommercial sharealike) 4 0"),
+    ("cc-by-nc-nd-4.0", "(?:cc by nc nd|creative commons attribution noncommercial noderivatives) 4 0"),
+    ("unlicense", "unlicense"),
+    ("wtfpl", "wtfpl(?: license)?"),
+    ("zlib", "zlib(?: libpng)?(?: license)?"),
+    ("boost-1.0", "boost software license(?: version)?(?: 1 0)?"),
+    ("artistic-2.0", "artistic license(?: version)? 2(?: 0)?"),
+    ("artistic-1.0", "artistic license(?: version)? 1(?: 0)?"),
+    ("python-2.0", "python software foundation license(?: version)?(?: 2)?"),
+    ("postgresql", "postgresql license"),
+    ("openssl", "openssl license"),
+    ("eupl-1.2", "european union public license(?: version)?(?: 1 [12])?"),
+    ("ofl-1.1", "(?:sil )?open font license(?: version)?(?: 1 1)?"),
+    ("odbl-1.0", "open database license(?: version)?(?: 1 0)?"),
+    ("bsl-1.1", "business source license(?: version)?(?: 1 1)?"),
+    ("sspl-1.0", "server side public license(?: version)?(?: 1)?"),
+    ("proprietary", "all rights reserved"),
+    ("public-domain", "public domain"),
 )
 #: Kind of notice, its pattern around a name, priority, confidence.
 NOTICES = (
@@ -84,39 +86,85 @@ BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general publi
 BASE_CONFIDENCE = 0.5
 
 
+#: "mit" is a common word of German, so this name without a notice or "license" counts only beside other words of licensing.
+BARE = ("mit", "mit|expat", 0, 0.5)
+LICENSING = re.compile("licen[cs]|spdx|copyright|rights reserved|public domain|gpl|cc by|cc0|wtfpl|bsd|released under|distributed under")
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    needs: tuple[frozenset[str], ...]
     pattern: re.Pattern
     priority: int
     confidence: float
+    bare: bool = False
+
+
+def needs(parsed) -> list[frozenset[str]]:
+    """Sets of strings, of each of which any match of the pattern holds one; no sets where nothing is certain."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg)
+            continue
+        if run.strip():
+            found.append(frozenset([run]))
+        run = ""
+        if op is sre.SUBPATTERN:
+            found += needs(arg[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0]:
+            found += needs(arg[2])
+        elif op is sre.BRANCH:
+            each = [max(needs(b), key=_shortest, default=None) for b in arg[1]]
+            if None not in each:
+                found.append(frozenset().union(*each))
+    return found
+
+
+def _shortest(words: frozenset[str]) -> int:
+    return min(map(len, words))
+
+
+def rule(label: str, form: str, priority: int, confidence: float, bare: bool = False) -> Rule:
+    """The rule of a pattern over whole words. Its longest keywords are asked first, those of one letter not at all."""
+    keywords = sorted({k for k in needs(parser.parse(form)) if _shortest(k) > 1}, key=lambda k: (-_shortest(k), sorted(k)))
+    return Rule(label, tuple(keywords), re.compile(rf"(?<= )(?:{form})(?= )"), priority, confidence, bare)
 
 
 def rules(names=NAMES, notices=NOTICES) -> list[Rule]:
     """One rule per notice and name, by priority, then as listed."""
-    made = [Rule(label, keyword, re.compile(rf"(?<= ){form.format(f'(?:{name})')}(?= )"), priority, confidence) for _, form, priority, confidence in notices for label, keyword, name in names]
+    made = []
+    for kind, form, priority, confidence in notices:
+        for label, name in names:
+            if (kind, label) == ("mention", BARE[0]):
+                made += [rule(label, f"(?:{BARE[1]}) license", priority, confidence), rule(*BARE, bare=True)]
+            else:
+                made.append(rule(label, form.format(f"(?:{name})"), priority, confidence))
     return sorted(made, key=lambda r: -r.priority)
 
 
-#: Every notice has one of these; texts without any are left alone by the rules.
-GATE = re.compile("licen[cs]|spdx|copyright|rights reserved|public domain|gpl|cc by|cc0|wtfpl|bsd|released under|distributed under")
+def detect(norm: str, ordered: list[Rule], gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """Detections left after suppression, in the order of the rules. ``norm``: lower-case words between single spaces.
 
-
-def detect(norm: str, ordered: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """Detections left after suppression, in the order of the rules. ``norm``: lower-case words between single spaces."""
+    Not ``gated``, all patterns run, with the same detections.
+    """
     kept: list[tuple[int, int, Rule]] = []
-    if not GATE.search(norm):
-        return kept
-    present: dict[str, bool] = {}
-    for rule in ordered:
-        if rule.keyword not in present:
-            present[rule.keyword] = rule.keyword in norm
-        if not present[rule.keyword]:
+    present: dict[frozenset[str], bool] = {}
+
+    def holds(words: frozenset[str]) -> bool:
+        if words not in present:
+            present[words] = any(w in norm for w in words)
+        return present[words]
+
+    for r in ordered:
+        if gated and not all(map(holds, r.needs)):
+            continue
+        if r.bare and not kept and not LICENSING.search(norm):
             continue
-        for m in rule.pattern.finditer(norm):
+        for m in r.pattern.finditer(norm):
             if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
-                kept.append((m.start(), m.end(), rule))
+                kept.append((m.start(), m.end(), r))
     return kept
 
 

@@ -1,8 +1,13 @@
 """Findings of round 1: each test fails on the code that the finding is about."""
 
+import itertools
 import random
+import re._constants as sre
+import re._parser as parser
 
-from dizin.llm import decontaminate
+import pytest
+
+from dizin.llm import decontaminate, licenses
 
 rng = random.Random(11)
 
@@ -33,3 +38,42 @@ def test_index_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 200)
     got = decontaminate.hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(got) == len(texts) and {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
+
+
+def samples(parsed):
+    """A phrase for every alternative and option of a pattern; wildcards stand for nothing."""
+    parts = []
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            parts.append([chr(arg)])
+        elif op is sre.IN:
+            parts.append([chr(c) for kind, c in arg if kind is sre.LITERAL])
+        elif op is sre.SUBPATTERN:
+            parts.append(samples(arg[3]))
+        elif op is sre.BRANCH:
+            parts.append([x for b in arg[1] for x in samples(b)])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[2][0][0] is not sre.ANY:
+            parts.append(["", *samples(arg[2])] if not arg[0] else samples(arg[2]))
+    return ["".join(x) for x in itertools.islice(itertools.product(*parts), 2000)]
+
+
+def test_license_keywords_lose_nothing():
+    ordered, tried = licenses.rules(), 0
+    for rule in ordered:
+        phrases = samples(parser.parse(rule.pattern.pattern))
+        for phrase in phrases if len(phrases) <= 12 else {*phrases[:4], *rng.sample(phrases, 8)}:
+            norm = f" {phrase.strip()} "
+            if rule.bare:
+                norm += "copyright "
+            want = licenses.detect(norm, ordered, gated=False)
+            assert licenses.detect(norm, ordered) == want and want, norm
+            tried += 1
+    assert tried > len(ordered)
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("MPL 2.0", "mpl-2.0"), ("EPL 2.0", "epl-2.0"), ("published under MIT", "mit"), ("available under Apache 2.0", "apache-2.0"), ("MIT/Apache 2.0", "apache-2.0,mit"),
+    ("Creative Commons Attribution 4.0", "cc-by-4.0"), ("provided under zlib", "zlib"), ("released under the Expat License", "mit"), ("mit dem Bus", ""),
+])
+def test_licenses_without_other_words_of_licensing(text, labels):
+    assert licenses.scan_text(text, licenses.rules())[5] == labels
