@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dizin.llm import license_texts
 from dizin.llm.common import words_of
 
 #: Label, pattern of the license's name in lower-case words.
@@ -133,8 +134,8 @@ def rule(label: str, form: str, priority: int, confidence: float, bare: bool = F
 
 
 def rules(names=NAMES, notices=NOTICES) -> list[Rule]:
-    """One rule per notice and name, by priority, then as listed."""
-    made = []
+    """The signatures of license texts, then one rule per notice and name, by priority, then as listed."""
+    made = [rule(label, license_texts.pattern(text), priority, license_texts.CONFIDENCE) for label, text, priority in license_texts.SIGNATURES]
     for kind, form, priority, confidence in notices:
         for label, name in names:
             if (kind, label) == ("mention", BARE[0]):
@@ -184,7 +185,10 @@ def scan_text(text: str | None, ordered: list[Rule]) -> tuple:
     found = detect(norm.decode("utf-8", "surrogatepass"), ordered)
     labels = base | {rule.label for *_, rule in found}
     miss = 1 - BASE_CONFIDENCE if base else 1.0
-    for confidence in {rule.label: rule.confidence for *_, rule in reversed(found)}.values():
+    best: dict[str, float] = {}
+    for *_, r in found:
+        best[r.label] = max(best.get(r.label, 0.0), r.confidence)
+    for confidence in best.values():
         miss *= 1 - confidence
     first, last = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), round(1 - miss, 6)

@@ -77,3 +77,32 @@ def test_license_keywords_lose_nothing():
 ])
 def test_licenses_without_other_words_of_licensing(text, labels):
     assert licenses.scan_text(text, licenses.rules())[5] == labels
+
+
+GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+KEPT = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+FORMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.
+"""
+ADVERTS = " * 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the group."
+NEITHER = " * Neither the name of the group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (f"{GRANT}, subject to the following conditions: {KEPT} {AS_IS}", "mit"), (f"{GRANT}. {AS_IS}", "mit-0"),
+    (f"{GRANT}: {KEPT} Except as contained in this notice, the name of the group shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software", "x11"),
+    (FORMS, "bsd-2-clause"), (FORMS + NEITHER, "bsd-3-clause"), (FORMS + ADVERTS + NEITHER, "bsd-4-clause"),
+    (f"{FEE}, provided that the above copyright notice and this permission notice appear in all copies.", "isc"), (f"{FEE}. THE SOFTWARE IS PROVIDED 'AS IS'", "0bsd"),
+    ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+    ("# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an AS IS BASIS", "apache-2.0"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or later", "gpl,gpl-2.0"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "gpl,lgpl-2.1"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("http://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4.0"),
+])
+def test_license_texts_need_no_name(text, labels):
+    got = licenses.scan_text(text, licenses.rules())
+    assert got[5] == labels and got[6] >= 0.99
