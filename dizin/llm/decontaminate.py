@@ -213,10 +213,11 @@ def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents in which any test window occurs; columns as they were.
+    """``docs`` without the rows in whose text any test window occurs; columns as they were.
 
-    Rows are dropped by id, so all rows of an id go together; rows without an id are kept.
+    Each row is judged by its own text, whatever its id: rows are told apart by a 64-bit hash of the text.
     """
-    found = hits(docs.filter(F.col(doc_id).isNotNull()), items, doc_id, text)
-    dirty = written(found.filter("n_hit > 0").select(F.col("doc_id").alias(doc_id)).distinct(), "dirty")
-    return docs.join(dirty.hint("merge"), doc_id, "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col(text))
+    found = hits(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items)
+    dirty = written(found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "dirty")
+    return docs.withColumn("__key", key).join(dirty.hint("merge"), "__key", "left_anti").select(*docs.columns)

@@ -119,16 +119,25 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that with the smallest id. All columns are kept as they are.
+    """One row of each near-duplicate group: that with the smallest id (null before all). All columns are kept as they are.
 
-    Rows of one id are one document, of which one row stays. Rows without an id, and texts that are
-    null or have no word, take no part and are all kept: two empty texts say nothing about each other.
+    Each row is judged by its own text, whatever its id. Of rows with the same id in a group, the one with the smallest
+    hash of its columns (but maps, which have none) stays, so the result is the same at each run. Texts that are null or
+    have no word take no part and are all kept: two empty texts say nothing about each other.
     """
-    worded = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col(doc_id).isNotNull()
-    held = docs.filter(worded).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hashed = written(with_fingerprint(held, keep=["doc_id"]), "hashed")
-    found = classes(hashed)
-    firsts = hashed.hint("merge").join(found, "fp").filter("doc_id = component_id")
-    firsts = written(firsts.select(F.col("doc_id").alias(doc_id)).distinct(), "firsts")
-    kept = docs.filter(worded).join(firsts.hint("merge"), doc_id).dropDuplicates([doc_id])
+    worded = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    marked = docs.filter(worded).withColumns({"__id": F.col(doc_id), "__row": row})
+    hashed = written(with_fingerprint(marked, text, keep=["__id", "__row"], out="__fp"), "hashed")
+    fps = hashed.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct("__id", "__row")).alias("first"))
+    fps = written(fps.withColumn("at", F.monotonically_increasing_id()), "fps")
+    # Ids may be null or repeat, so fingerprints are numbered, without gaps between partitions: components adds numbers up.
+    part = F.shiftright("at", 33)
+    parts = (fps.agg(F.max(part)).first()[0] or 0) + 1
+    fps = fps.select("fp", "first", (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) * parts + part).alias("number"))
+    found = written(components(links(fps.select("fp", F.col("number").alias("node")))), "components")
+    grouped = fps.hint("merge").join(found, F.col("number") == F.col("node"), "left")
+    firsts = grouped.groupBy(F.coalesce("component", "number").alias("group")).agg(F.min("first").alias("first"))
+    firsts = written(firsts.select(F.col("first.__id").alias("__first"), F.col("first.__row").alias("__row")), "firsts")
+    kept = marked.join(firsts.hint("merge"), "__row").filter(F.col("__id").eqNullSafe(F.col("__first"))).dropDuplicates(["__id", "__row"])
     return kept.select(*docs.columns).unionByName(docs.filter(~worded))

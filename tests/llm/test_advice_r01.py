@@ -7,7 +7,7 @@ import re._parser as parser
 
 import pytest
 
-from dizin.llm import decontaminate, licenses
+from dizin.llm import decontaminate, licenses, simhash
 
 rng = random.Random(11)
 
@@ -106,3 +106,19 @@ FEE = "Permission to use, copy, modify, and/or distribute this software for any
 def test_license_texts_need_no_name(text, labels):
     got = licenses.scan_text(text, licenses.rules())
     assert got[5] == labels and got[6] >= 0.99
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(90)]
+    one, two, leak = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(3))
+    rows = [(None, one, "a"), (None, one, "b"), (None, leak, "a"), (1, one, "a"), (2, two, "a"), (2, two, "b"), (2, leak, "a"), (3, leak, "a"), (4, None, "a"), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 3):
+        left = simhash.deduplicate(docs.repartition(parts)).collect()
+        got = sorted((r["doc_id"] or 0, r["text"] or "") for r in left)
+        assert got == sorted([(0, one), (0, leak), (2, two), (4, ""), (0, "")])
+        first = set(map(tuple, left)) if parts == 1 else first
+        assert set(map(tuple, left)) == first
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r for r in rows if r[1] != leak), key=repr)
