@@ -1,46 +1,41 @@
-"""Repeated substrings across a corpus: prefix doubling over sampled positions, then exact windows.
-
-A string of ``least`` bytes is repeated if it starts at two places. Sorting all suffixes of a corpus
-is out of reach, so positions are sampled by their content (winnowing): in each window of ``least``
-bytes the position whose k bytes have the smallest hash is an anchor. Equal windows have equal
-anchors, so
-
-1. anchors whose k bytes occur once rule out all windows that contain them;
-2. prefix doubling ranks what follows each anchor: pairs of ranks at growing offsets are sorted and
-   ranked again, until a rank is unique or what it covers is past the threshold. A repeated rank that
-   covers all windows from an anchor up to the next one settles them at once;
-3. anchors near the ends of repeats are compared by the bytes around them: how far two agree to the
-   left and to the right gives the windows that they share. Equal surroundings count once.
-
-An anchor lies in windows that start up to 255 bytes before it; its surroundings ("context") are
-these windows together. All windows that two texts share around one anchor cover one run of bytes.
+"""Repeated substrings across a corpus: prefix doubling from sampled positions.
+
+A string of ``least`` bytes is repeated if it starts at two places. Ranking the suffixes at all bytes of a corpus by doubling
+takes a sort of all bytes a round, so ranks start at positions sampled by content (winnowing): in each window of ``least``
+bytes the position whose ``gram`` bytes have the smallest hash is the window's anchor. Equal windows have equal anchors, at
+the same offset, so no repeat is missed, and windows of one anchor are decided together:
+
+1. anchors are ranked by their own ``gram`` bytes; an anchor whose rank is unique ends, and with it all windows that chose it;
+2. anchors whose windows are the same byte for byte count as one, and are repeated at once;
+3. the others are doubled. A row is a rank and an interval of offsets: the rank names the bytes that all windows of the
+   interval share, ``gram`` at first, when the interval is all offsets. A round halves the interval; the windows of a half share
+   128, 64, ... 1 bytes more, to the right of what is ranked or to its left. Spark sorts the pairs of rank and added bytes and
+   ranks them anew. Rows whose new rank is unique end, and so do those past the threshold: in the last round what is
+   ranked has ``least`` bytes, and whatever is not unique is repeated. Rows of a rank that are equal in all their windows
+   are repeated at once and go on as one.
+
+Ranks are made from bytes, so strings of one rank are equal. Hashes only propose: anchors by 64 bits, and 128 bits of
+BLAKE2b name the windows of an anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import hinted, written
+from dizin.llm.common import forget, written
 
-#: Bytes of a repeated string, and of an anchor's own string; their difference and one is a power of two.
+#: Bytes of a repeated string, and of an anchor's own string. Their difference and one, the offsets of an anchor, is a power of two.
 LEAST, GRAM = 400, 145
-#: Contexts that one task compares with one another at once; larger groups are divided first.
-TOGETHER = 256
-#: Contexts that a task compares in one step.
-ROWS = 4096
-#: Bytes that are hashed in one step.
-STEP = 1 << 20
-_SEED = np.random.default_rng(20240607)
-_VALUES = _SEED.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_SPAN = STEP + 4 * LEAST
+#: Bytes that are hashed in one step: a task's working arrays are some ten times as large.
+STEP = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -50,41 +45,21 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes (modulo 2**64) of substrings of byte arrays; equal strings have equal hashes anywhere."""
+    """Polynomial hashes (modulo 2**64) of all substrings of one length; equal strings have equal hashes anywhere."""
 
-    def __init__(self, span: int = _SPAN):
-        self.span = span
-        self.up = [_powers(b, span + 1) for b in _BASES]
-        self.down = [_powers(pow(b, -1, 1 << 64), span + 1) for b in _BASES]
+    def __init__(self, span: int = STEP + 2 * LEAST):
+        self.up, self.down = _powers(_BASE, span), _powers(pow(_BASE, -1, 1 << 64), span)
 
-    def sums(self, body: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(_VALUES[which][body] * self.up[which][: len(body)], out=out[1:])
-        return out
-
-    def windows(self, body: np.ndarray, size: int, which: int) -> np.ndarray:
-        sums = self.sums(body, which)
-        h = (sums[size:] - sums[:-size]) * self.down[which][: len(sums) - size]
+    def windows(self, body: np.ndarray, size: int) -> np.ndarray:
+        sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(_VALUES[body] * self.up[: len(body)], out=sums[1:])
+        h = sums[size:] - sums[:-size]
+        h *= self.down[: len(h)]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         return h
 
-    def strings(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Two hashes, as signed numbers, of each body[start:end]; starts ascend and strings are short."""
-        out = np.zeros((2, len(starts)), np.uint64)
-        at = 0
-        while at < len(starts):
-            lo = int(starts[at])
-            to = int(np.searchsorted(starts, lo + STEP))
-            part = body[lo : int(ends[at:to].max())]
-            for which in (0, 1):
-                sums = self.sums(part, which)
-                a, b = starts[at:to] - lo, ends[at:to] - lo
-                out[which, at:to] = (sums[b] - sums[a]) * self.down[which][a] + (b - a).astype(np.uint64)
-            at = to
-        return out.view(np.int64)
-
 
 def _least_in(keys: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` keys."""
@@ -97,346 +72,245 @@ def _least_in(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(hashes: Hashes, body: np.ndarray, docends: np.ndarray, least: int, gram: int) -> np.ndarray:
-    """Rows of: anchor positions, ascending; the hashes of their k bytes; the first and the last window of each.
+def anchors(hashes: Hashes, body: np.ndarray, ends: np.ndarray, least: int, gram: int) -> Iterator[np.ndarray]:
+    """Rows of: anchor positions, ascending; the hashes of their bytes; the first and the last window of each.
 
-    A window is named by its start and belongs to the anchor that it chose; equal windows choose equal
-    anchors. ``docends[i]`` is where the document of byte i ends.
+    A window is named by its start and belongs to the anchor that it chose; of positions with the same hash it chooses the
+    first. ``body`` holds documents that end at ``ends``; windows lie within a document.
     """
     width, mask = least - gram + 1, np.uint64((1 << 21) - 1)
-    found = [np.zeros((4, 0), np.int64)]
+    held = None
     for at in range(0, len(body) - least + 1, STEP):
-        part = body[at : at + STEP + least - 1]
-        h = hashes.windows(part, gram, 0)
+        h = hashes.windows(body[at : at + STEP + least - 1], gram)
         keys = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
         best = (_least_in(keys, width) & mask).astype(np.int64)
         start = np.arange(at, at + len(best))
-        inside = start + least <= docends[at : at + len(best)]
+        inside = start + least <= ends[np.searchsorted(ends, start, "right")]
         best, start = best[inside], start[inside]
         if not len(best):
             continue
         new = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
         rows = np.array([best[new] + at, h[best[new]].view(np.int64), start[new], start[np.r_[new[1:], len(best)] - 1]])
-        if found[-1].shape[1] and found[-1][0, -1] == rows[0, 0]:
-            found[-1][3, -1] = rows[3, 0]
-            rows = rows[:, 1:]
-        found.append(rows)
-    return np.concatenate(found, axis=1)
+        if held is not None:
+            if held[0, -1] == rows[0, 0]:
+                held[3, -1] = rows[3, 0]
+                rows = rows[:, 1:]
+            yield held
+        held = rows if rows.shape[1] else None
+    if held is not None:
+        yield held
 
 
-SAMPLED = "k1 long, k2 long, n_bytes int, pos array<int>, gram array<long>, phrase array<long>, context array<long>, from_idx array<int>, to_idx array<int>"
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, one after another, and where each begins and the last ends."""
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, cuts, values = column.buffers()
+    cuts = np.frombuffer(cuts, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    body = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return body[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
-def _documents(batch: pd.DataFrame, least: int) -> Iterator[list]:
-    """Documents of at least ``least`` bytes, about ``STEP`` bytes at a time."""
-    group, held = [], 0
-    for k1, k2, text, *rest in batch.itertuples(index=False):
-        body = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        if len(body) >= least:
-            group.append((k1, k2, body, *rest))
-            held += len(body)
-            if held >= STEP:
-                yield group
-                group, held = [], 0
-    if group:
-        yield group
+SAMPLED = "k1 long, k2 long, pos int, gram long, c1 long, c2 long, low short, high short"
+_SAMPLED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("low", pa.int16()), ("high", pa.int16())])
 
 
 def sample(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """One row per text of ``keyed(k1, k2, text)`` of at least ``least`` bytes: its anchors.
+    """One row per anchor of the texts of ``keyed(k1, k2, text)`` that have at least ``least`` bytes.
 
-    ``pos`` are byte positions; a text's start is added as a first, false anchor (null ``gram``) where
-    it is none. ``phrase`` names what lies from an anchor to the end of the next anchor's k bytes (the
-    last: to the end of the text), ``context`` the bytes of all windows that hold the anchor. The
-    windows that chose an anchor start between the anchors ``from_idx`` and the one after ``to_idx``.
+    ``pos`` is the anchor's byte position, ``gram`` the hash of its bytes. The windows that chose it start ``low`` to ``high``
+    bytes before it; ``(c1, c2)`` names all their bytes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            for group in _documents(batch, least):
-                yield of(hashes, group)
-
-    def of(hashes: Hashes, group: list) -> pd.DataFrame:
-        body = np.concatenate([b for *_, b in group])
-        firsts = np.cumsum([0] + [len(b) for *_, b in group])
-        docends = np.repeat(firsts[1:], np.diff(firsts))
-        pos, grams, first, final = anchors(hashes, body, docends, least, gram)
-        cuts = np.searchsorted(pos, firsts)
-        rows, starts, ends = [], [], []
-        for n, (k1, k2, own) in enumerate(group):
-            p, g = pos[cuts[n] : cuts[n + 1]] - firsts[n], list(grams[cuts[n] : cuts[n + 1]])
-            between = [x[cuts[n] : cuts[n + 1]] - firsts[n] for x in (first, final)]
-            if p[0] > 0:
-                p, g = np.r_[0, p], [None, *g]
-                between = [np.r_[0, x] for x in between]
-            rows.append((k1, k2, len(own), p, g, *(np.searchsorted(p, x, "right") - 1 for x in between)))
-            starts.append(p + firsts[n])
-            ends.append(np.r_[p[1:] + gram, len(own)] + firsts[n])
-        sizes = np.cumsum([0] + [len(r[3]) for r in rows])
-        starts, ends = np.concatenate(starts), np.concatenate(ends)
-        docstart = np.repeat(firsts[:-1], np.diff(sizes))
-        left = np.maximum(starts - (least - gram), docstart)
-        right = np.minimum(starts + least, np.repeat(firsts[1:], np.diff(sizes)))
-        phrase = hashes.strings(body, starts, ends)[0]
-        context = hashes.strings(body, left, right)[1] ^ ((starts - left) * 0x632BE59BD9B4E019 % (1 << 62))
-        return pd.DataFrame(
-            [(*r[:5], phrase[sizes[n] : sizes[n + 1]], context[sizes[n] : sizes[n + 1]], *r[5:]) for n, r in enumerate(rows)],
-            columns=["k1", "k2", "n_bytes", "pos", "gram", "phrase", "context", "from_idx", "to_idx"],
-        )
-
-    return keyed.mapInPandas(run, SAMPLED)
-
-
-def ranked(pairs: DataFrame, copies: str = "copies") -> DataFrame:
-    """``(a, b, rank)`` of the pairs ``(a, b)`` that occur more than once, in sort order.
+            if not batch.num_rows:
+                continue
+            body, cuts = _bytes_of(batch.column("text"))
+            keys = [batch.column(c).to_numpy() for c in ("k1", "k2")]
+            raw = memoryview(body)
+            for pos, grams, first, last in anchors(hashes, body, cuts[1:], least, gram):
+                names = b"".join([hashlib.blake2b(raw[a : b + least], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                c1, c2 = np.frombuffer(names, "<i8").reshape(-1, 2).T
+                doc = np.searchsorted(cuts, pos, "right") - 1
+                columns = [*(k[doc] for k in keys), pos - cuts[doc], grams, c1, c2, pos - last, pos - first]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(columns, _SAMPLED, strict=True)], schema=_SAMPLED)
 
-    Only distinct pairs are sorted, so a pair that a third of all rows share weighs no more than others.
-    """
-    several = pairs.groupBy("a", "b").agg(F.sum(copies).alias("n")).filter("n > 1").select("a", "b")
-    return written(several.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, SAMPLED)
 
 
-def settle(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """Prefix doubling. ``rows`` are the anchors whose k bytes repeat, and the false ones.
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """``(k1, k2, text)``: each text once. Copies meet in the tasks that read them first, so a text that a third of all rows have moves no more than others."""
+    return keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
-    Returns them with ``need``, where the last window before the next anchor ends, and ``settled``. A round pairs each rank
-    with the one that lies as many anchors on as the rank spans; a text's last anchors have no
-    successor and pair with -1. Ranks that occur once, and those past the threshold, end. What four
-    rounds (up to eight phrases) leave open, the comparison of contexts decides.
-    """
-    first = ranked(rows.select(F.coalesce("gram", F.lit(0).cast("long")).alias("a"), F.col("phrase").alias("b"), "copies"))
-    held = rows.join(hinted(first), (F.coalesce("gram", F.lit(0).cast("long")) == first["a"]) & (F.col("phrase") == first["b"]), "left")
-    cover = F.when(F.col("idx") == F.col("last"), F.col("n_bytes")).otherwise(F.col("next") + GRAM)
-    need = F.least(F.col("next") - 1 + least, "n_bytes")
-    held = held.select("k1", "k2", "idx", "last", "pos", "gram", "context", "from_idx", "to_idx", "copies", "rank", cover.alias("cover"), need.alias("need"))
-    held = held.withColumn("settled", F.col("rank").isNotNull() & (F.col("cover") >= F.col("need")))
-    order = Window.partitionBy("k1", "k2").orderBy("idx")
-    span = 1
-    for _ in range(3):
-        follows = F.lead("idx", span).over(order) == F.col("idx") + span
-        ended = F.col("idx") + span > F.col("last")
-        held = written(
-            held.withColumn("b", F.when(ended, F.lit(-1).cast("long")).when(follows, F.lead("rank", span).over(order)))
-            .withColumn("upto", F.when(ended, F.col("cover")).when(follows, F.lead("cover", span).over(order)))
-            .withColumnRenamed("rank", "a"),
-            "pairs",
-        )
-        new = ranked(held.filter("a is not null and b is not null").select("a", "b", "copies"))
-        named = new.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "rank")
-        named.scratch_path = new.scratch_path
-        held = held.join(hinted(named), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left").withColumn("cover", F.col("upto"))
-        held = held.withColumn("settled", F.col("settled") | (F.col("rank").isNotNull() & (F.col("cover") >= F.col("need"))))
-        held = held.drop("a", "b", "a2", "b2", "upto")
-        span *= 2
-    return written(held.drop("rank", "cover", "last"), "settled")
-
-
-def cut_contexts(keyed: DataFrame, wanted: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """``(gram, context, n, left, body)``: the bytes of the contexts ``wanted(k1, k2, pos, gram, context, n)``."""
-    asked = written(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", "context", "n")).alias("asked")), "asked")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+PIECES = "gram long, c1 long, c2 long, n int, low int, high int, own binary, left binary, right binary"
+
+
+def cut_pieces(keyed: DataFrame, wanted: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """``wanted(k1, k2, pos, gram, c1, c2, n, low, high)`` with the bytes of each anchor, and of its windows to the left and to the right of it."""
+    asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", "c1", "c2", "n", "low", "high")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 3
         for batch in batches:
-            out, held = [], 0
-            for text, asks in zip(batch["text"], batch["asked"], strict=True):
-                body = text.encode("utf-8", "surrogatepass")
+            if not batch.num_rows:
+                continue
+            body, cuts = _bytes_of(batch.column("text"))
+            raw = body.tobytes()
+            rows = []
+            for at, asks in zip(cuts.tolist(), batch.column("asked").to_pylist(), strict=False):
                 for x in asks:
-                    at = x["pos"]
-                    left = min(at, least - gram)
-                    out.append((x["gram"], x["context"], x["n"], left, body[at - left : at + least]))
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["gram", "context", "n", "left", "body"])
-                    out = []
-            yield pd.DataFrame(out, columns=["gram", "context", "n", "left", "body"])
+                    a = at + x["pos"]
+                    rows.append((x["gram"], x["c1"], x["c2"], x["n"], x["low"], x["high"], raw[a : a + gram], raw[a - x["high"] : a], raw[a + gram : a + least - x["low"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    joined = keyed.join(hinted(asked), ["k1", "k2"]).select("text", "asked")
-    return joined.mapInPandas(run, "gram long, context long, n long, left int, body binary")
+    joined = distinct_texts(keyed).hint("merge").join(asked, ["k1", "k2"]).select("text", "asked")
+    return joined.mapInArrow(run, PIECES)
 
 
-def shared_windows(hashes: Hashes, body: list[bytes], left: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and most offset, of its ``lo..hi``, at which its window is another's too (1, 0: none).
+def ranked(pairs: DataFrame) -> DataFrame:
+    """``(rank, piece, new_rank)`` of the pairs whose rows must go on: not unique, and not all of them known to be repeated. In sort order.
 
-    The offset is how far before the anchor a window starts. Windows are equal if their hashes are;
-    windows around different anchors' bytes differ at every offset, so many groups are compared at once.
+    Only distinct pairs are sorted, so a pair that a third of all rows share weighs no more than others.
     """
-    rows, reach = len(body), least - gram
-    space = np.zeros((rows, reach + least), np.uint8)
-    right = np.array([len(b) for b in body]) - left
-    for i, (b, at) in enumerate(zip(body, left, strict=True)):
-        space[i, reach - at : reach - at + len(b)] = np.frombuffer(b, np.uint8)
-    sums = np.zeros((rows, reach + least + 1), np.uint64)
-    np.cumsum(_VALUES[0][space] * hashes.up[0][: reach + least], axis=1, out=sums[:, 1:])
-    lows, highs = np.ones(rows, np.int64), np.zeros(rows, np.int64)
-    for o in range(int(lo.min()), int(hi.max()) + 1):
-        use = np.flatnonzero((o >= lo) & (o <= hi) & (o <= left) & (least - o <= right))
-        if not len(use):
-            continue
-        h = sums[use, reach - o + least] - sums[use, reach - o]
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        again = np.zeros(len(use), bool)
-        again[order[1:]] = same
-        again[order[:-1]] |= same
-        met = use[again | (n[use] > 1)]
-        lows[met] = np.where(lows[met] > highs[met], o, lows[met])
-        highs[met] = o
-    return lows, highs
+    several = pairs.groupBy("rank", "piece").agg(F.count("*").alias("rows"), F.min("n").alias("least")).filter("rows > 1 and least = 1").select("rank", "piece")
+    return written(several.repartitionByRange("rank", "piece").sortWithinPartitions("rank", "piece").withColumn("new_rank", F.monotonically_increasing_id()), "ranks")
 
 
-FOUND = "gram long, context long, low int, high int"
+def _part(column: str, start: Column | int, size: Column | int) -> Column:
+    """``size`` bytes of a binary column from ``start``, counted from 0."""
+    wrap = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.substring(F.col(column), wrap(start) + 1, wrap(size))
 
 
-def compare_contexts(contexts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """``(gram, context, low, high)``: offsets of the repeated windows of each context, farthest ones.
+def halved(rows: DataFrame, half: int, first: bool) -> DataFrame:
+    """The two halves of each row's interval of offsets, where the row has windows in them.
 
-    Groups of contexts around equal k bytes are compared in one task if small. A larger group is
-    divided: windows at the lower half of the offsets share a longer string around the anchor, and so
-    do those at the upper half; contexts that agree in that string make a new group for that half. In
-    it, contexts that are equal all over their windows count as one, and those alone drop out. After
-    eight divisions a group's contexts are one window each.
+    A row has windows at offsets ``low`` to ``high`` of its interval, which begins at ``at`` and has ``2 * half`` offsets.
+    ``left`` and ``right`` are the bytes of these windows that are not ranked yet. Windows at the lower offsets start
+    nearer to the anchor and share ``half`` more bytes to the right of what is ranked, those at the upper ones to its left:
+    these are the ``piece``. Its first byte tells the sides apart; in the first round the anchor's own bytes follow it.
     """
-    groups = written(contexts.select(F.array("gram").alias("group"), F.lit(0).alias("lo"), F.lit(least - gram).alias("hi"), "gram", "context", "n", "left", "body"), "groups")
-    found = None
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held = Hashes(2 * least), None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                if len(held) < ROWS:
-                    continue
-            if held is None or not len(held):
-                continue
-            # The last group may go on in the next batch.
-            cut = len(held) if batch is None else int(np.argmax(held["name"].to_numpy() == held["name"].iloc[-1]))
-            rows, held = held.iloc[:cut], held.iloc[cut:]
-            if len(rows):
-                low, high = shared_windows(hashes, list(rows["body"]), *(rows[c].to_numpy() for c in ("left", "n", "lo", "hi")), least, gram)
-                keep = low <= high
-                yield pd.DataFrame({"gram": rows["gram"][keep], "context": rows["context"][keep], "low": low[keep], "high": high[keep]})
+    own = F.col("own") if first else F.lit(b"")
+    at, middle, length = F.col("at"), F.col("at") + half, F.length("left")
+    high, low = F.least(F.col("high"), middle - 1), F.greatest(F.col("low"), middle)
+    lower = F.struct(
+        F.concat(F.lit(b"R"), own, _part("right", 0, half)).alias("piece"), at.alias("at"), F.col("low").alias("low"), high.alias("high"),
+        _part("left", length - (high - at), high - at).alias("left"), _part("right", half, F.length("right")).alias("right"),
+    )
+    upper = F.struct(
+        F.concat(F.lit(b"L"), own, _part("left", length - half, half)).alias("piece"), middle.alias("at"), low.alias("low"), F.col("high").alias("high"),
+        _part("left", 0, length - half).alias("left"), _part("right", 0, at + 2 * half - 1 - low).alias("right"),
+    )
+    both = F.array_compact(F.array(F.when(F.col("low") < middle, lower), F.when(F.col("high") >= middle, upper)))
+    return rows.select("rank", "gram", "c1", "c2", "n", F.explode(both).alias("x")).select("rank", "gram", "c1", "c2", "n", "x.*")
+
+
+FOUND = ("c1", "c2", "low", "high")
 
+
+def double(pieces: DataFrame, least: int = LEAST, gram: int = GRAM) -> list[DataFrame]:
+    """Tables ``(c1, c2, low, high)`` of repeated windows of ``pieces``, by offset: what each round of doubling finds.
+
+    ``n`` over 1 says that a row's windows are known to be repeated; such rows only serve to find others'.
+    """
+    half, found = (least - gram + 1) // 2, []
+    children = written(halved(pieces.withColumn("rank", F.col("gram")).withColumn("at", F.lit(0)), half, True), "halves")
+    same = ["rank", "piece", "at", "low", "high", "left", "right"]
     while True:
-        sizes = written(groups.groupBy("group").agg(F.count("*").alias("size"), F.max("n").alias("most")), "sizes")
-        sized = groups.join(hinted(sizes.filter("size > 1 or most > 1").transform(lambda d: _same_path(d, sizes))), "group")
-        small = sized.filter(F.col("size") <= TOGETHER).select(F.xxhash64("group").alias("name"), "gram", "context", "n", "left", "lo", "hi", "body")
-        part = small.repartition("name").sortWithinPartitions("name").mapInPandas(compare, FOUND)
-        found = part if found is None else found.unionByName(part)
-        large = sizes.agg(F.max("size")).first()[0] or 0
-        if large <= TOGETHER:
+        classes = children.groupBy(*same).agg(F.sum("n").alias("n"), F.count("*").alias("members"), F.min(F.struct("gram", "c1", "c2")).alias("one"))
+        classes = written(classes.withColumn("n", F.least("n", F.lit(2)).cast("int")), "classes")
+        again = classes.filter("members > 1").select(*[F.col(c).alias(f"_{c}") for c in same])
+        equal = children.filter("n = 1").hint("merge").join(again, [F.col(c) == F.col(f"_{c}") for c in same], "left_semi")
+        found.append(written(equal.select(*FOUND), "found"))
+        forget(children)
+        half //= 2
+        if not half:
+            return found
+        ranks = ranked(classes)
+        rows = classes.hint("merge").join(ranks, ["rank", "piece"]).select(F.col("new_rank").alias("rank"), "one.*", "n", "at", "low", "high", "left", "right")
+        children = written(halved(rows, half, False), "halves")
+        forget(classes), forget(ranks)
+        if children.isEmpty():
             return found
-        middle = ((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
-        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), (middle - 1).alias("hi")), F.struct(middle.alias("lo"), F.col("hi").alias("hi"))))
-        split = sized.filter(F.col("size") > TOGETHER).filter("hi > lo").withColumn("half", halves).withColumn("lo", F.col("half.lo")).withColumn("hi", F.col("half.hi"))
-        # Windows at offsets lo..hi all hold core and lie in hull; body starts ``left`` bytes before the anchor.
-        core = F.substring("body", F.col("left") - F.col("lo") + 1, F.lit(least) + F.col("lo") - F.col("hi"))
-        start = F.greatest(F.lit(0), F.col("left") - F.col("hi"))
-        hull = F.substring("body", start + 1, F.col("left") + least - F.col("lo") - start)
-        fits = (F.col("left") >= F.col("lo")) & (F.length("body") - F.col("left") >= least - F.col("hi"))
-        split = split.filter(fits).withColumn("core", F.xxhash64(core)).withColumn("hull", F.xxhash64(hull, F.col("left") - start))
-        split = written(split.select(F.concat("group", F.array(F.col("lo").cast("long"), "core")).alias("group"), "lo", "hi", "hull", "gram", "context", "n", "left", "body"), "split")
-        merged = split.groupBy("group", "hull").agg(F.sum("n").alias("all"), F.min(F.struct("gram", "context")).alias("one"), F.count("*").alias("members"))
-        merged = written(merged, "merged")
-        joined = split.join(hinted(merged), ["group", "hull"])
-        first = F.greatest(F.col("lo"), least - (F.length("body") - F.col("left")))
-        last = F.least("hi", "left")
-        same = joined.filter((F.col("all") > 1) & (first <= last)).select("gram", "context", first.cast("int").alias("low"), last.cast("int").alias("high"))
-        found = found.unionByName(same)
-        alone = joined.filter(F.struct("gram", "context") == F.col("one"))
-        groups = written(alone.select("group", "lo", "hi", "gram", "context", F.col("all").alias("n"), "left", "body"), "groups")
-
-
-def _same_path(df: DataFrame, of: DataFrame) -> DataFrame:
-    df.scratch_path = of.scratch_path
-    return df
 
 
 def repeated_ranges(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """``(k1, k2, ranges)`` of ``keyed(k1, k2, text)``: byte ranges that repeated strings cover, as ``[start, end)``.
+    """``(k1, k2, ranges)`` of ``keyed(k1, k2, text)``: byte ranges ``[start, end)`` that repeated strings cover, in any order.
 
-    Equal rows count as texts of their own. Ranges of a text may overlap.
+    The keys name texts; a text in several rows is repeated. Ranges may overlap.
     """
-    sampled = written(sample(keyed, least, gram), "sampled")
-    several = written(sampled.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1"), "several")
-    if several.count():
-        sampled = sampled.dropDuplicates(["k1", "k2"]).join(several.hint("merge"), ["k1", "k2"], "left")
-        sampled = written(sampled.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))), "sampled")
-    else:
-        sampled = sampled.withColumn("copies", F.lit(1).cast("long"))
-    last = F.size("pos") - 1
-    each = sampled.select("k1", "k2", "n_bytes", "copies", last.alias("last"), F.posexplode(F.arrays_zip("pos", F.concat(F.expr("slice(pos, 2, size(pos))"), F.array(F.col("n_bytes"))).alias("next"), "gram", "phrase", "context", "from_idx", "to_idx")).alias("idx", "x"))
-    each = each.select("k1", "k2", "n_bytes", "copies", "last", "idx", "x.pos", "x.next", "x.gram", "x.phrase", "x.context", "x.from_idx", "x.to_idx")
-    grams = sampled.select("copies", F.explode("gram").alias("g")).filter("g is not null").groupBy("g").agg(F.sum("copies").alias("n")).filter("n > 1").select("g")
-    grams = written(grams, "grams")
-    rows = each.join(hinted(grams), each["gram"] == grams["g"], "left").filter("g is not null or gram is null").drop("g")
-    held = settle(written(rows, "rows"), least)
-    # Anchors of windows that are not all settled; equal windows have anchors of equal k bytes.
-    done = F.collect_list(F.when(F.col("settled"), F.col("idx")))
-    asks = F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("gram", "from_idx", "to_idx")))
-    by_text = held.groupBy("k1", "k2").agg(done.alias("done"), asks.alias("asks"))
-    unsettled = F.filter("asks", lambda x: F.size(F.array_except(F.sequence(x["from_idx"], x["to_idx"]), F.col("done"))) > 0)
-    edge = by_text.select(F.explode(F.array_distinct(unsettled["gram"])).alias("g")).distinct()
-    edge = written(edge, "edge")
-    near = held.filter("gram is not null").join(hinted(edge), F.col("gram") == F.col("g")).drop("g")
-    around = near.groupBy("gram", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"))
-    around = written(around.select("gram", "context", "n", "one.*"), "around")
-    contexts = cut_contexts(keyed.dropDuplicates(["k1", "k2"]) if several.count() else keyed, around, least, gram)
-    found = compare_contexts(contexts, least, gram).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    found = written(found, "found")
-    by_context = near.join(hinted(found), ["gram", "context"]).select("k1", "k2", (F.col("pos") - F.col("high")).cast("int").alias("start"), (F.col("pos") - F.col("low") + least).cast("int").alias("end"))
-    whole = held.filter("settled").filter(F.col("need") - F.col("pos") >= least).select("k1", "k2", F.col("pos").cast("int").alias("start"), F.col("need").cast("int").alias("end"))
-    each_range = by_context.unionByName(whole).groupBy("k1", "k2").agg(united(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    return written(each_range, "ranges")
-
-
-def united(ranges: Column) -> Column:
+    sampled = written(sample(keyed, least, gram), "anchors")
+    contexts = sampled.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "low", "high")).alias("one"))
+    grams = contexts.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("contexts")).filter(F.col("all") > 1)
+    contexts = contexts.hint("merge").join(grams, "gram").select("gram", "c1", "c2", F.least("n", F.lit(2)).cast("int").alias("n"), "contexts", "one.*")
+    contexts = written(contexts, "contexts")
+    pieces = written(cut_pieces(keyed, contexts.filter("contexts > 1"), least, gram), "pieces")
+    found = contexts.filter("n > 1").select(*FOUND)
+    for more in double(pieces, least, gram):
+        found = found.unionByName(more)
+    # All windows of an anchor hold it, so they cover one run of bytes, from the farthest on.
+    found = written(found.groupBy("c1", "c2").agg(F.min("low").alias("least"), F.max("high").alias("most")), "found")
+    covered = sampled.hint("merge").join(found, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + least).alias("end")).alias("r"))
+    # A set: copies of a text bring the same ranges.
+    return written(covered.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), "ranges")
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges in order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,end:int>>"), add)
+def with_key(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """``keep``, two numbers (120 bits of SHA-256) that name the text, and the text (null: empty)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    part = lambda at: F.conv(F.substring(F.sha2(body, 256), at, 15), 16, 10).cast("long")
+    return docs.select(*keep, part(1).alias("k1"), part(16).alias("k2"), body.alias("text"))
 
 
-def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Two numbers that name a row by id and text, and the text (null: empty)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(body).alias("k2"), body.alias("text"), F.col(doc_id).alias("doc_id"))
+KEPT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def digest(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row: its bytes, how many of them repeated strings cover, in how many runs, and the hash of the rest.
 
-    Null texts are empty; texts of fewer than ``least`` bytes keep all. Equal rows are copies of one another.
+    Null texts are empty; texts of fewer than ``least`` bytes keep all. Rows with equal texts are copies of one another,
+    whatever their ids, and have the same result; null and repeated ids are returned as they are. An empty table gives none.
     """
-    keyed = with_key(documents, "doc_id", "text")
-    ranges = repeated_ranges(keyed.select("k1", "k2", "text"), least)
+    keyed = with_key(documents, "text", F.col("doc_id").cast("long").alias("doc_id"))
+    ranges = repeated_ranges(keyed, least)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            body, cuts = _bytes_of(batch.column("text"))
+            raw = memoryview(body)
             out = []
-            for text, ranges in zip(batch["text"], batch["ranges"], strict=True):
-                body, runs = text.encode("utf-8", "surrogatepass"), [(r["start"], r["end"]) for r in ranges]
-                kept = hashlib.sha256()
-                at = 0
+            for n, given in enumerate(batch.column("ranges").to_pylist()):
+                own, at, kept = raw[cuts[n] : cuts[n + 1]], 0, hashlib.sha256()
+                runs = united([(r["start"], r["end"]) for r in given])
                 for start, end in runs:
-                    kept.update(body[at:start])
+                    kept.update(own[at:start])
                     at = end
-                kept.update(body[at:])
-                out.append((len(body), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    joined = keyed.join(hinted(ranges), ["k1", "k2"], "left")
-    touched = joined.filter("ranges is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges").mapInPandas(run, schema)
+                kept.update(own[at:])
+                out.append((len(own), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *made], names=[c.split()[0] for c in KEPT.split(", ")])
+
+    joined = distinct_texts(keyed).hint("merge").join(ranges, ["k1", "k2"], "left")
     zero = F.lit(0).cast("long")
-    whole = joined.filter("ranges is null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
-    )
-    return touched.unionByName(whole)
+    whole = joined.filter("ranges is null").select("k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    told = written(joined.filter("ranges is not null").mapInArrow(run, KEPT).unionByName(whole), "told")
+    return keyed.select("doc_id", "k1", "k2").hint("merge").join(told, ["k1", "k2"]).drop("k1", "k2")
 
 
 def brute(texts: list[str | None], least: int = LEAST) -> list[tuple[int, int, int, str]]:

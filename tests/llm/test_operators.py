@@ -152,14 +152,21 @@ def test_proximity(spark):
     assert sum(len(r["places"]) // 8 for r in near) == 1
 
 
-@pytest.mark.parametrize("together", [256, 2])
-def test_substrings(spark, monkeypatch, together):
-    monkeypatch.setattr(substrings, "TOGETHER", together)
-    texts = [*TEXTS[:8], *TEXTS[9:], PASSAGE[:450] + "!" + prose(90), PASSAGE[30:431], "ab" * 700]
+def test_substrings(spark, monkeypatch):
+    base = [*prose(900)]
+    texts = [*TEXTS[:8], *TEXTS[9:], PASSAGE[:450] + "!" + prose(90), PASSAGE[30:431], PASSAGE[30:430], PASSAGE[31:430], "ab" * 700, "foo " * 300 + PASSAGE]
+    texts += [prose(rng.randint(0, 40)) + PASSAGE[a : a + 420 + 5 * a] + prose(30) for a in range(12)]
+    for n in range(6):
+        edited = base.copy()
+        for at in rng.sample(range(len(base)), n):
+            edited[at] = "#"
+        texts.append("".join(edited))
     d = docs(spark, texts)
     rows = d.select("doc_id", "text").collect()
     want = sorted(((r["doc_id"], *b) for r, b in zip(rows, substrings.brute([r["text"] for r in rows]), strict=True)), key=repr)
-    assert rows_of(substrings.digest(d)) == want
+    assert rows_of(substrings.digest(d.withColumn("k1", F.lit("x")).withColumn("ranges", F.lit(0)))) == want
+    monkeypatch.setattr(substrings, "double", lambda *_: [])
+    assert rows_of(substrings.digest(d)) != want
 
 
 def test_topk(spark):
