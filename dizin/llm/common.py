@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII letters to lower case; everything but 0-9, a-z and bytes over 0x7F to a space.
 WORD_BYTES = bytes(
@@ -83,6 +87,34 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+#: Rows whose texts are Python strings at once.
+_SLICE = 512
+
+
+def with_judgement(docs: DataFrame, text: str, keep: list[str] | None, added: str, prepare: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the columns ``added`` that a function makes from each whole text.
+
+    ``prepare`` runs once a task and returns that function. The other columns go through Python as they are, in one Arrow
+    struct: no value changes (ids beside nulls neither), and no name of theirs can clash. Columns named as those added are replaced.
+    """
+    new = StructType.fromDDL(added)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([held.schema["row"], *new.fields])
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = prepare()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                told = zip(*[judge(x) for x in part.column("text").to_pylist()], strict=True)
+                made = [pa.array(values, f.type) for values, f in zip(told, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *made], names=["row", *new.names])
+
+    return held.mapInArrow(run, schema).select("row.*", *[F.col(f"`{c}`") for c in new.names])
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds (null id: of the empty string)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -52,14 +52,16 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     """The index of ``docs`` for ``terms(term)``: rows ``(segment, term, n, docs, places)``, written.
 
     A term's ``places`` are its positions in the segment, ascending (int64); a document's words follow
-    one another and documents stand ``GAP`` apart. The row of the empty term has the documents' ids,
-    first positions and numbers of words. No row moves between tasks. Texts are read whole; null has
+    one another and documents stand ``GAP`` apart. The row of the empty term has the documents' ids
+    (0 and a mark for null), first positions and numbers of words. No row moves between tasks. Texts are read whole; null has
     no words. Terms are sent to the tasks ``TERMS_AT_ONCE`` at a time, so their number is not limited.
     All passes share their segments: these are named by the partition of the input, and several passes
     read one written copy of it, so that each sees the same documents in the same order.
     """
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # A column of numbers with nulls would come to Python as floats.
+    held = held.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     count = terms.count()
     passes = max(1, -(-count // TERMS_AT_ONCE))
     held = copy = written(held, "texts") if passes > 1 else held
@@ -83,10 +85,10 @@ def _indexer(listed):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = listed.value
         number = {t: i for i, t in enumerate(terms)}
-        ids, firsts, sizes, found, places, at, closed, task = [], [], [], [], [], 0, 0, None
+        ids, nulls, firsts, sizes, found, places, at, closed, task = [], [], [], [], [], [], 0, 0, None
 
         def close() -> pd.DataFrame:
-            docs = np.array([ids, firsts, sizes], np.int64).tobytes()
+            docs = np.array([ids, nulls, firsts, sizes], np.int64).tobytes()
             rows = [(f"{task}-{closed}", DOCS, len(ids), docs, None)]
             if found:
                 term, place = np.concatenate(found), np.concatenate(places)
@@ -100,18 +102,18 @@ def _indexer(listed):
         for batch in batches:
             if task is None and len(batch):
                 task = int(batch["task"].iloc[0])
-            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, no_id, body in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
                 words = words_of(body)
                 if at and at + len(words) > SEGMENT_WORDS:
                     yield close()
                     closed += 1
-                    ids, firsts, sizes, found, places, at = [], [], [], [], [], 0
+                    ids, nulls, firsts, sizes, found, places, at = [], [], [], [], [], [], 0
                 got = np.fromiter((number.get(w, -1) for w in words), np.int32, len(words))
                 here = np.flatnonzero(got >= 0)
                 if len(here):
                     found.append(got[here])
                     places.append(here + at)
-                ids.append(-1 if doc is None or doc != doc else int(doc))
+                ids.append(doc), nulls.append(no_id)
                 firsts.append(at)
                 sizes.append(len(words))
                 at += len(words) + GAP
@@ -172,7 +174,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """``(doc_id, n_words, n_hit, items)`` per row of ``docs``: words inside any occurrence of a test window.
 
     ``items`` are the distinct ids (as strings, sorted) of items with an occurring window. Null texts
-    and texts without words have zeros. Null ids give -1. No items, no hits.
+    and texts without words have zeros; null ids stay null, and repeated rows are judged each. No items, no hits.
     """
     if width > GAP:
         raise ValueError(f"a window has {GAP} words at most")
@@ -185,7 +187,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     listed = index.filter(F.length("term") == 0).select("segment", "docs")
 
     def cover(key, docs: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
-        ids, firsts, sizes = np.frombuffer(b"".join(docs["docs"][:1]), np.int64).reshape(3, -1)
+        ids, nulls, firsts, sizes = np.frombuffer(b"".join(docs["docs"][:1]), np.int64).reshape(4, -1)
         n_hit, items = np.zeros(len(ids), np.int64), [set() for _ in ids]
         starts, ends = [], []
         for width, names, places in zip(matches["width"], matches["items"], matches["places"], strict=True):
@@ -199,12 +201,19 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
             start, end = start[order], np.maximum.accumulate(end[order])
             covered = end - np.maximum(start, np.r_[start[0], end[:-1]])  # words that no earlier match has
             np.add.at(n_hit, np.searchsorted(firsts, start, "right") - 1, np.maximum(covered, 0))
+        ids = pd.array(ids, dtype="Int64")
+        ids[nulls == 1] = pd.NA
         return pd.DataFrame({"doc_id": ids, "n_words": sizes, "n_hit": n_hit, "items": [sorted(x) for x in items]})
 
     return listed.groupBy("segment").cogroup(matched.groupBy("segment")).applyInPandas(cover, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of documents, repeated ones each: the words that windows of ``benchmark`` cover, and the hash of the items' ids.
+
+    Null and wordless texts have zeros; null ids stay null. An item with a null id counts as one whose windows cover words, but is not
+    listed. An empty benchmark covers nothing.
+    """
     found = hits(documents, benchmark)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -217,7 +226,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     Each row is judged by its own text, whatever its id: rows are told apart by a 64-bit hash of the text.
     """
-    key = F.xxhash64(F.col(text))
-    found = hits(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items)
-    dirty = written(found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "dirty")
-    return docs.withColumn("__key", key).join(dirty.hint("merge"), "__key", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col(f"`{text}`")).alias("key")
+    found = hits(docs.select(key, F.col(f"`{text}`").alias("text")), items, "key")
+    dirty = written(found.filter("n_hit > 0").select(F.col("doc_id").alias("dirty")).distinct(), "dirty")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key)
+    return marked.join(dirty.hint("merge"), F.col("key") == F.col("dirty"), "left_anti").select("doc.*")

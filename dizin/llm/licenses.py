@@ -11,15 +11,12 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as parser
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dizin.llm import license_texts
-from dizin.llm.common import words_of
+from dizin.llm.common import with_judgement, words_of
 
 #: Label, pattern of the license's name in lower-case words.
 NAMES = (
@@ -201,18 +198,12 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     0, null without any); ``labels`` has those and the rules', ``score`` how sure they are together.
     Null and wordless texts have no license. Columns of these names are replaced.
     """
-    added = [c.split()[0] for c in COLUMNS.split(", ")]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    held = docs.select(*kept, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema), COLUMNS])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         ordered = rules()
-        for batch in batches:
-            got = pd.DataFrame([scan_text(t, ordered) for t in batch["__text"]], columns=added, index=batch.index)
-            yield pd.concat([batch.drop(columns="__text"), got.astype({"first_word": "Int64", "last_word": "Int64"})], axis=1)
+        return lambda body: scan_text(body, ordered)
 
-    return held.mapInPandas(run, schema)
+    return with_judgement(docs, text, keep, COLUMNS, prepare)
 
 
 def digest(documents: DataFrame) -> DataFrame:

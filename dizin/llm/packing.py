@@ -11,11 +11,13 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Tokens of a row; tokens that are packed together at once (bounds a task's memory: 64 MB of ids).
 LENGTH, GROUP = 2048, 1 << 24
@@ -111,8 +113,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     is unique in a result. The vocabulary file must lie at the same place on all executors.
     """
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    arrow = to_arrow_schema(StructType.fromDDL(PACKED))
 
-    def flush(name: str, ids: list, tokens: list[np.ndarray]) -> pd.DataFrame:
+    def flush(name: str, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
         pieces = [(doc, at, min(at + length, len(t)), t) for doc, t in zip(ids, tokens, strict=True) for at in range(0, len(t), length)]
         out = []
         for n, row in enumerate(best_fit([b - a for _, a, b, _ in pieces], length)):
@@ -127,15 +130,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
                 f"{name}-{n}", used, length - used, matrix.tobytes(), cuts.tolist(), position.tobytes(),
                 [pieces[i][0] for i in row], [pieces[i][1] for i in row], [pieces[i][2] == len(pieces[i][3]) for i in row],
             ))
-        return pd.DataFrame(out, columns=["pack_id", "n_tokens", "n_pad", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts", "ends"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], names=arrow.names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokeniser, task = load(vocabulary), TaskContext.get().partitionId()
         ids, tokens, held, groups = [], [], 0, 0
         for batch in batches:
-            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
-                got = np.append(encode(tokeniser, body or ""), np.int32(end))
-                ids.append(None if doc is None or doc != doc else int(doc))
+            for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                got = np.append(encode(tokeniser, body.as_py() or ""), np.int32(end))
+                ids.append(doc)
                 tokens.append(got)
                 held += len(got)
                 if held >= group:
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
         if ids:
             yield flush(f"{task}-{groups}", ids, tokens)
 
-    return held.mapInPandas(run, PACKED)
+    return held.mapInArrow(run, PACKED)
 
 
 def unpack(packed: DataFrame) -> DataFrame:

@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import crc_fold, written
+from dizin.llm.common import crc_fold, with_judgement, written
 
 ORDER = 3
 #: Documents per language that training reads, whole, chosen by hash; statistics of more are of little use.
 TRAIN_DOCS = 1500
-#: Most contexts-with-byte that the model keeps per language (those seen most often): bounds what every task is sent.
-MODEL_ROWS = 400_000
 UNKNOWN = "und"
+#: Bits a byte of the uniform code: a language whose code of a text, of at least so many bytes, is no shorter is not the text's.
+UNIFORM, TOLD = 8.0, 32
 #: Bytes that are coded in one step.
 STEP = 1 << 20
 
@@ -150,17 +150,32 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        bits = self.lengths(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+        bits = self.lengths(_bytes(text))
         best = int(bits.argmin())
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
 
-def train(rows: DataFrame, docs_per_lang: int = TRAIN_DOCS, model_rows: int = MODEL_ROWS) -> Model:
+    def knows(self, text: str | None) -> bool:
+        """Whether some language codes the text in fewer bits than the uniform code does. Texts without a letter have no language.
+
+        A text of fewer than ``TOLD`` bytes, and any text under a model without languages, needs a letter only.
+        """
+        if not text or not any(map(str.isalpha, text)):
+            return False
+        body = _bytes(text)
+        return not self.langs or len(body) < TOLD or bool(self.lengths(body).min() < UNIFORM * len(body))
+
+
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def train(rows: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
     """A model of the labelled ``rows(doc_id, lang, text)``; null languages are left out.
 
     About ``docs_per_lang`` documents of each language, all if fewer, are read, chosen by a hash of
-    their id and text; at most ``model_rows`` counts of each language are kept, the most frequent.
-    These bounds make the model small enough to send to every task. Without rows it knows no language.
+    their id. All their contexts are counted. That number of documents bounds the model, which is sent to every task.
+    Without rows it knows no language. Repeated rows count as often as they occur.
     """
     rows = rows.filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"))
@@ -171,15 +186,8 @@ def train(rows: DataFrame, docs_per_lang: int = TRAIN_DOCS, model_rows: int = MO
     if not fewer:
         return Model(pd.DataFrame({"lang": [], "n": np.array([], int), "gram": np.array([], int), "seen": np.array([], int)}))
     limit = F.create_map(*[x for k, v in fewer.items() for x in (F.lit(k), F.lit(v))])
-    counts = written(count_grams(rows.filter(chance < limit[F.col("lang")])), "grams")
-    kinds = counts.groupBy("lang", "seen").agg(F.count("*").alias("rows")).toPandas()
-    least = {}
-    for lang, own in kinds.sort_values("seen", ascending=False).groupby("lang"):
-        inside = own[own["rows"].cumsum() <= model_rows]
-        least[lang] = int(inside["seen"].min()) if len(inside) else int(own["seen"].max())
-    floor = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
-    kept = counts.filter((F.col("seen") >= floor[F.col("lang")]) | (F.col("n") == 0))
-    return Model(kept.toPandas())
+    counts = count_grams(rows.filter(chance < limit[F.col("lang")]))
+    return Model(counts.toPandas())
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -189,17 +197,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     the language's share if all were equally likely before; ties go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (lang_out, score_out)]
-    held = docs.select(*kept, F.col(text).alias("__text"))
-    schema = held.drop("__text").withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [shared.value.predict(t) for t in batch["__text"]]
-            lang, score = zip(*got, strict=True) if got else ((), ())
-            yield batch.drop(columns="__text").assign(**{lang_out: list(lang), score_out: list(score)})
-
-    return held.mapInPandas(run, schema)
+    return with_judgement(docs, text, keep, f"`{lang_out}` string, `{score_out}` double", lambda: shared.value.predict)
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -210,6 +208,8 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without those whose language is unknown; columns as they were."""
-    out = predicted(docs, model, text, None, "__lang", "__score")
-    return out.filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    """``docs`` without those that are in none of the model's languages (``Model.knows``); columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = with_judgement(whole.withColumn("text", F.col(f"doc.`{text}`")), "text", ["doc"], "known boolean", lambda: lambda body: (shared.value.knows(body),))
+    return out.filter("known").select("doc.*")

@@ -82,10 +82,11 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id"""
 
 
-#: The same mix with plain windows over whole sources.
+#: The same mix with plain windows over whole sources, in the order of the rank.
 MIX_SQL = r"""
-WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS u FROM documents),
+docs AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM sized),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][CAST((source_no - 1) % 3 + 1 AS INT)] AS w FROM
   (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_no FROM sizes)),
@@ -96,17 +97,27 @@ marked AS (SELECT *, (total - 2 * before) * w >= source_size * w_rest * 4 AS is_
 goal AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(source_size * 2 AS DOUBLE)
   ELSE CAST((total - 2 * sum(CASE WHEN is_full THEN source_size * 2 ELSE 0 END) OVER ()) * w AS DOUBLE)
     / CAST(2 * sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target FROM marked),
-parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END AS certain FROM goal),
-placed AS (SELECT d.*, source_size, target, certain, target - certain * source_size AS rest,
-  CASE WHEN source_size > 0 THEN target / source_size - certain ELSE 0 END AS part
-  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
-run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto FROM placed),
-got AS (SELECT *, part > 0 AND upto <= rest AS more FROM run),
+classes AS (SELECT source, bits, CAST(sum(size) AS BIGINT) AS words FROM docs GROUP BY source, bits),
+downward AS (SELECT c.*, target, source_size,
+  (target - 2 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * bits
+    >= CAST(2 * sum(bits * words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS is_full
+  FROM classes c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source),
+likely AS (SELECT *, CASE WHEN bits = 0 THEN 1.0::DOUBLE WHEN is_full THEN 2.0::DOUBLE ELSE greatest(0.0::DOUBLE,
+  (target - sum(CASE WHEN is_full THEN words * 2 ELSE 0 END) OVER (PARTITION BY source)) * bits
+    / CAST(sum(CASE WHEN is_full THEN 0 ELSE bits * words END) OVER (PARTITION BY source) AS DOUBLE)) END AS expected FROM downward),
+parts AS (SELECT *, floor(expected) AS certain, expected - floor(expected) AS part FROM likely),
+rests AS (SELECT *, target - sum(certain * words) OVER (PARTITION BY source) AS rest FROM parts),
+placed AS (SELECT d.*, source_size, target, certain, part, rest,
+  CASE WHEN part > 0 THEN (CAST(u AS DOUBLE) / CAST(281474976710656 - u AS DOUBLE)) / (part / (1 - part)) END AS rank
+  FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source AND d.bits = r.bits),
+run AS (SELECT *, sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u) AS upto FROM placed),
+got AS (SELECT *, rank IS NOT NULL AND upto <= rest AS more FROM run),
 gaps AS (SELECT *, rest - coalesce(max(CASE WHEN more THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM got),
-near AS (SELECT source, arg_min(u, {'off': abs(size - gap), 'u': u}) AS u FROM gaps WHERE part > 0 AND NOT more AND abs(size - gap) < gap GROUP BY source)
+near AS (SELECT source, arg_min({'rank': rank, 'u': u}, {'off': abs(size - gap), 'rank': rank, 'u': u}) AS x FROM gaps
+  WHERE rank IS NOT NULL AND NOT more AND abs(size - gap) < gap GROUP BY source)
 SELECT g.doc_id, g.size, g.source_size, g.target,
-  CAST(g.size * (g.certain + CAST(g.more OR n.u IS NOT NULL AS INT)) AS BIGINT) AS taken
-FROM gaps g LEFT JOIN near n ON g.source IS NOT DISTINCT FROM n.source AND g.u = n.u AND g.part > 0"""
+  CAST(g.size * (g.certain + CAST(g.more OR n.x IS NOT NULL AS INT)) AS BIGINT) AS taken
+FROM gaps g LEFT JOIN near n ON g.source IS NOT DISTINCT FROM n.source AND g.rank = n.x.rank AND g.u = n.x.u"""
 
 #: The same by joining all runs of words.
 DECONTAMINATE_SQL = r"""
@@ -126,11 +137,11 @@ FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id
 
 #: The same by scoring all rows for each query.
 TOPK_SQL = """
-WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(CAST(x AS DOUBLE)) >= 262144)) = 0),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+WITH q AS (SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.row_no AS query_no, a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS score
+  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.row_no <> b.row_no AND len(a.q) = len(b.q)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20"""
 
 SQL = {"op7_bit_sliced_topk": TOPK_SQL, "op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}

@@ -7,16 +7,14 @@ its six pairs of blocks (32 bits each) and only rows of one file can link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import spaced_words_of, written
+from dizin.llm.common import spaced_words_of, with_judgement, written
 from dizin.llm.components import components
 
 BITS, BLOCK, SEED = 64, 16, 42
@@ -52,16 +50,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 3, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the signed 64-bit fingerprint of ``text``."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    held = docs.select(*kept, F.col(text).alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch["__text"]], np.uint64).view(np.int64)
-            yield batch.drop(columns="__text").assign(**{out: fps})
+    def signed(body: str | None) -> tuple[int]:
+        fp = fingerprint(body, width)
+        return (fp - (1 << BITS) if fp >> (BITS - 1) else fp,)
 
-    schema = held.drop("__text").withColumn(out, F.lit(0).cast("long")).schema
-    return held.mapInPandas(run, schema)
+    return with_judgement(docs, text, keep, f"`{out}` long", lambda: signed)
 
 
 def links(fps: DataFrame, most: int = 2) -> DataFrame:
@@ -125,11 +119,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     hash of its columns (but maps, which have none) stays, so the result is the same at each run. Texts that are null or
     have no word take no part and are all kept: two empty texts say nothing about each other.
     """
-    worded = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    worded = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    marked = docs.filter(worded).withColumns({"__id": F.col(doc_id), "__row": row})
-    hashed = written(with_fingerprint(marked, text, keep=["__id", "__row"], out="__fp"), "hashed")
-    fps = hashed.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct("__id", "__row")).alias("first"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    marked = docs.filter(worded).select(doc, F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("id"), row.alias("row"))
+    hashed = written(with_fingerprint(marked, keep=["id", "row"]), "hashed")
+    fps = hashed.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("first"))
     fps = written(fps.withColumn("at", F.monotonically_increasing_id()), "fps")
     # Ids may be null or repeat, so fingerprints are numbered, without gaps between partitions: components adds numbers up.
     part = F.shiftright("at", 33)
@@ -138,6 +133,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = written(components(links(fps.select("fp", F.col("number").alias("node")))), "components")
     grouped = fps.hint("merge").join(found, F.col("number") == F.col("node"), "left")
     firsts = grouped.groupBy(F.coalesce("component", "number").alias("group")).agg(F.min("first").alias("first"))
-    firsts = written(firsts.select(F.col("first.__id").alias("__first"), F.col("first.__row").alias("__row")), "firsts")
-    kept = marked.join(firsts.hint("merge"), "__row").filter(F.col("__id").eqNullSafe(F.col("__first"))).dropDuplicates(["__id", "__row"])
-    return kept.select(*docs.columns).unionByName(docs.filter(~worded))
+    firsts = written(firsts.select(F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "firsts")
+    kept = marked.join(firsts.hint("merge"), F.col("row") == F.col("first_row")).filter(F.col("id").eqNullSafe(F.col("first_id")))
+    kept = kept.dropDuplicates(["first_id", "first_row"])
+    return kept.select("doc.*").unionByName(docs.filter(~worded))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import crc_fold, written
+from dizin.llm.common import crc_fold, with_judgement, written
 
 #: Words as letters and digits; a term has at least this many letters to stand misspelt, a stem to stand alone.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -324,17 +324,17 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     Null and empty texts are scored as texts without a hit. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    held = docs.select(*kept, F.col(text).alias("__text"))
-    schema = held.drop("__text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            got = np.array([scorer.score(t) for t in batch["__text"]], float)
-            yield batch.drop(columns="__text").assign(score=got, predicted=(got >= 0.5).astype(np.int32))
 
-    return held.mapInPandas(run, schema)
+        def judge(body: str | None) -> tuple[float, int]:
+            score = scorer.score(body)
+            return score, int(score >= 0.5)
+
+        return judge
+
+    return with_judgement(docs, text, keep, "score double, predicted int", prepare)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

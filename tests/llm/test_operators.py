@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -172,14 +173,16 @@ def test_substrings(spark, monkeypatch):
 def test_topk(spark):
     gen = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in gen.normal(0, 0.2, 8)]) for i in range(300)]
-    vecs += [(20, vecs[7][1]), (301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (320, [0.5, -0.5]), (321, [1.0, 2.0]), (340, []), (400, [3.0e5] * 8)] + [(350 + i, vecs[3][1]) for i in range(30)]
+    vecs += [(20, vecs[7][1]), (301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (320, [0.5, -0.5]), (321, [1.0, 2.0]), (340, []), (None, vecs[3][1])]
+    vecs += [(350 + i, vecs[3][1]) for i in range(30)] + [(400, [3.0e5] * 8), (401, [-4.0e9] * 8), (40, [1.0e9, -3.0e5] * 4), (402, [1.0e30] * 8), (420, [-1.0e300] * 8), (403, [2.0**52 + 0.5] * 8), (60, vecs[60][1]), (60, vecs[60][1])]
     got = rows_of(topk.digest(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")))
-    sound = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vecs if v is not None and all(x is not None and np.isfinite(x) and abs(x) < topk.LIMIT / 64 for x in v)]
+    exact = lambda x: int(Fraction(x) * 64 // 1)
+    whole = [(n, i, [exact(x) for x in v]) for n, (i, v) in enumerate(vecs) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for i, q in sound:
+    for n, i, q in whole:
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in sound if j != i and len(v) == len(q))[:20]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, j, v in whole if m != n and len(v) == len(q))[:20]
+            want += [(i, at + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for at, (s, j) in enumerate(scored)]
     assert got == sorted(want, key=repr)
 
 
@@ -191,8 +194,23 @@ def test_mixing(spark):
     by = got.merge(d.select("doc_id", F.coalesce("source", F.lit("~")).alias("source")).toPandas(), on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
     assert ((by["taken"] - by["target"]).abs() <= 3).all() and (by["target"] <= 2 * by["size"] + 1e-6).all()
     assert abs(by["target"].sum() - 1.5 * by["size"].sum()) < 1e-6
-    mixed = mixing.mix(d.withColumn("copies", F.lit(1)))
-    assert mixed.columns == [*d.columns, "copies"] and abs(mixed.count() - sum(got["taken"] // got["size"].clip(lower=1))) <= sum(got["size"] == 0) * 2
+    clash = d.withColumns({c: F.lit(1) for c in ("copies", "size", "u", "bits", "doc", "rank")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and mixed.count() == sum(got["taken"] // got["size"].clip(lower=1)) + sum(got["size"] == 0)
+
+
+def test_pareto_inclusion(spark):
+    sizes = [1, 3, 9, 30, 100, 300]
+    rows = [(i, " ".join(["x"] * sizes[i % 6]), "en", "abc"[i % 3 if i % 7 else 2], 1) for i in range(12_001)]
+    d = spark.createDataFrame(rows, DOCS)
+    sized = mixing.written(mixing.measured(d, "doc_id", "text", "source", F.col("doc_id")), "sized")
+    expected, ends = mixing.plan(sized)
+    told = mixing.with_copies(sized, (expected, ends)).groupBy("source", "bits").agg(F.count("*").alias("n"), F.avg("copies").alias("mean"), F.first("certain").alias("certain"), F.first("part").alias("part")).toPandas()
+    assert told.groupby("source")["part"].nunique().max() >= 4
+    assert ((told["mean"] - told["certain"] - told["part"]).abs() <= 5 * (told["part"] * (1 - told["part"]) / told["n"]) ** 0.5 + 2 / told["n"]).all()
+    # By random numbers alone the same number of words would be other documents.
+    by_rank = mixing.with_copies(sized, (expected, ends)).filter("copies > certain").select("doc_id", "rank", "u", "part").toPandas()
+    assert by_rank.groupby("part")["u"].max().nunique() > 1 and (by_rank.nsmallest(len(by_rank) // 2, "rank")["doc_id"].tolist() != by_rank.nsmallest(len(by_rank) // 2, "u")["doc_id"].tolist())
 
 
 def test_packing_round_trip(spark):
