@@ -9,7 +9,7 @@ from dizin.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told. The model learns from the documents' own labels."""
+    """Drops documents in none of the languages that a model of the documents' own labels knows, or without a letter."""
     return ppm.identified(docs, ppm.train(docs))
 
 
