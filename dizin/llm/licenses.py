@@ -1,9 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A rule is a pattern over the words of a text, a label, a priority and a confidence. It runs only on
-texts that hold its keywords, which are taken from the pattern. A detection that lies inside one of higher priority (or of a rule listed
-before, at equal priority) is dropped, so "mit license" inside "gnu general public license" style
-notices, or a bare name inside a full notice, does not count twice.
+A rule is a pattern over the words of a text, a label, a priority and a confidence. It runs only on texts that hold its keywords,
+which are taken from the pattern. Rules run by priority, then as listed; a detection that lies inside one of a rule before it is
+dropped, so a name inside a full notice does not count twice.
 """
 
 from __future__ import annotations
@@ -11,7 +10,9 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as parser
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -84,9 +85,16 @@ BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general publi
 BASE_CONFIDENCE = 0.5
 
 
-#: "mit" is a common word of German, so this name without a notice or "license" counts only beside other words of licensing.
-BARE = ("mit", "mit|expat", 0, 0.5)
-LICENSING = re.compile("licen[cs]|spdx|copyright|rights reserved|public domain|gpl|cc by|cc0|wtfpl|bsd|released under|distributed under")
+#: Names that are words of their own, or name software too. Without a notice they count only as written here.
+MENTIONS = {
+    "mit": "(?:mit|expat) (?:style )?licen[cs]ed?|(?:mit|expat) (?:or|and) (?:the )?(?:apache|bsd|gpl|lgpl|isc|unlicense|zlib)|(?:mit|expat) apache (?:2|license)"
+    "|(?:apache(?: license)?(?: version)?(?: v?2)?(?: 0)?|bsd|gpl v?[23](?: 0)?|isc|unlicense|zlib) (?:or|and) (?:the )?(?:mit|expat)",
+    "x11": "x11 (?:style )?licen[cs]ed?",
+    "isc": "isc (?:style )?licen[cs]ed?",
+    "zlib": "zlib(?: libpng)? (?:style )?licen[cs]ed?",
+    "bsd-2-clause": "simplified bsd(?: license)?|bsd 2 clause(?: license)?|2 clause bsd(?: license)?|freebsd license",
+    "wtfpl": "wtfpl(?: license)?",
+}
 
 
 @dataclass(frozen=True)
@@ -96,7 +104,6 @@ class Rule:
     pattern: re.Pattern
     priority: int
     confidence: float
-    bare: bool = False
 
 
 def needs(parsed) -> list[frozenset[str]]:
@@ -124,10 +131,10 @@ def _shortest(words: frozenset[str]) -> int:
     return min(map(len, words))
 
 
-def rule(label: str, form: str, priority: int, confidence: float, bare: bool = False) -> Rule:
+def rule(label: str, form: str, priority: int, confidence: float) -> Rule:
     """The rule of a pattern over whole words. Its longest keywords are asked first, those of one letter not at all."""
     keywords = sorted({k for k in needs(parser.parse(form)) if _shortest(k) > 1}, key=lambda k: (-_shortest(k), sorted(k)))
-    return Rule(label, tuple(keywords), re.compile(rf"(?<= )(?:{form})(?= )"), priority, confidence, bare)
+    return Rule(label, tuple(keywords), re.compile(rf"(?<= )(?:{form})(?= )"), priority, confidence)
 
 
 def rules(names=NAMES, notices=NOTICES) -> list[Rule]:
@@ -135,10 +142,7 @@ def rules(names=NAMES, notices=NOTICES) -> list[Rule]:
     made = [rule(label, license_texts.pattern(text), priority, license_texts.CONFIDENCE) for label, text, priority in license_texts.SIGNATURES]
     for kind, form, priority, confidence in notices:
         for label, name in names:
-            if (kind, label) == ("mention", BARE[0]):
-                made += [rule(label, f"(?:{BARE[1]}) license", priority, confidence), rule(*BARE, bare=True)]
-            else:
-                made.append(rule(label, form.format(f"(?:{name})"), priority, confidence))
+            made.append(rule(label, form.format(f"(?:{MENTIONS.get(label, name) if kind == 'mention' else name})"), priority, confidence))
     return sorted(made, key=lambda r: -r.priority)
 
 
@@ -155,14 +159,18 @@ def detect(norm: str, ordered: list[Rule], gated: bool = True) -> list[tuple[int
             present[words] = any(w in norm for w in words)
         return present[words]
 
+    starts, ends = [], []  # of what is kept, by start, and the farthest end up to each
     for r in ordered:
         if gated and not all(map(holds, r.needs)):
             continue
-        if r.bare and not kept and not LICENSING.search(norm):
-            continue
+        before = len(kept)
         for m in r.pattern.finditer(norm):
-            if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
+            at = bisect_right(starts, m.start())
+            if not at or ends[at - 1] < m.end():  # matches of one rule never hold one another
                 kept.append((m.start(), m.end(), r))
+        if len(kept) > before:
+            spans = sorted((a, b) for a, b, _ in kept)
+            starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
     return kept
 
 
@@ -174,11 +182,11 @@ def scan_text(text: str | None, ordered: list[Rule]) -> tuple:
     norm = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for phrase, label in BASE:
-        at = norm.find(b" " + phrase + b" ")
-        while at >= 0:
-            places.append(norm.count(b" ", 0, at))
+        seen = at = 0  # words before, counted on from the last place
+        while (to := norm.find(b" " + phrase + b" ", at)) >= 0:
+            seen, at = seen + norm.count(b" ", at, to + 1), to + 1
+            places.append(seen - 1)
             base.add(label)
-            at = norm.find(b" " + phrase + b" ", at + 1)
     found = detect(norm.decode("utf-8", "surrogatepass"), ordered)
     labels = base | {rule.label for *_, rule in found}
     miss = 1 - BASE_CONFIDENCE if base else 1.0
@@ -207,4 +215,5 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def digest(documents: DataFrame) -> DataFrame:
+    """``scan`` by doc_id alone. Null ids stay null, and repeated rows are scanned and returned each."""
     return scan(documents, keep=["doc_id"])
