@@ -63,7 +63,7 @@ def _secrets_sql() -> str:
         quoted = "'" + pattern.replace("'", "''") + "'"
         parts.append(
             f"SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, regexp_extract_all(t, {quoted}) AS m, "
-            f"regexp_extract_all(t, {quoted}, {r.group}) AS g, string_split_regex(t, {quoted}) AS gaps, {r.least} AS least FROM docs"
+            f"regexp_extract_all(t, {quoted}, {r.group}) AS g, string_split_regex(t, {quoted}) AS gaps, {r.least} AS least, {'true' if r.inner else 'false'} AS inside FROM docs"
         )
         joined.append(f"'{r.kind}'")
     base = ", ".join(f"'{k}'" for k in secrets.BASE)
@@ -71,10 +71,11 @@ def _secrets_sql() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({' UNION ALL '.join(parts)}),
-each AS (SELECT doc_id, rank, kind, least, gaps, m, g, unnest(range(1, len(m) + 1)) AS i FROM found),
+each AS (SELECT doc_id, rank, kind, least, inside, gaps, m, g, unnest(range(1, len(m) + 1)) AS i FROM found),
 spans AS (SELECT doc_id, rank, kind, len(g[i]) AS size,
-  CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s,
-  len(m[i]) AS n, least FROM each),
+  CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)
+    + CASE WHEN inside THEN len(m[i]) - len(g[i]) ELSE 0 END AS BIGINT) AS s,
+  CASE WHEN inside THEN len(g[i]) ELSE len(m[i]) END AS n, least FROM each),
 kept AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || (s + n) AS span FROM spans WHERE size >= least),
 told AS (SELECT doc_id, {counts},
   coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (kind IN ({base})), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY doc_id)

@@ -1,6 +1,7 @@
 """The numbered operators against brute force on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import random
+import time
 import zlib
 from fractions import Fraction
 
@@ -44,27 +45,57 @@ def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], DOCS)).collect() == []
 
 
+LONG = (1 << 53) + 1
+CLASHES = ("__text", "__lang", "__score", "row", "text_", "score", "predicted", "labels", "fp", "k1", "ranges", "found", "u", "size", "doc", "key", "id", "lang_pred", "known")
+
+
+@pytest.mark.parametrize("run", [
+    packing.pack, secrets.digest, simhash.digest, lambda d: toxicity.digest(d, d.select("doc_id", F.lit(1).alias("toxic"))), lambda d: decontaminate.digest(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    substrings.digest, mixing.digest, licenses.digest, ppm.digest,
+])
+def test_ids_and_clashing_columns(spark, run):
+    rows = [(LONG, prose(30), "en", "s", 1), (None, prose(30), "de", None, None), (LONG + 2, prose(30), "en", "s", 1), (LONG + 2, None, None, "s", 1)]
+    d = spark.createDataFrame(rows, DOCS).coalesce(1).withColumns({c: F.lit(7) for c in CLASHES})
+    got = run(d).collect()
+    ids = [i for r in got for i in (r["doc_ids"] if "doc_ids" in r else [r["doc_id"]])]
+    assert sorted(ids, key=str) == sorted([LONG, LONG + 2, LONG + 2, None], key=str)
+
+
+@pytest.mark.parametrize("run", [
+    simhash.deduplicate, mixing.mix, lambda d: ppm.identified(d, ppm.train(d)), lambda d: decontaminate.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), F.lit("no such words").alias("text"))),
+    licenses.scan, lambda d: toxicity.scored(d, toxicity.Model(())), lambda d: ppm.predicted(d, ppm.train(d)), lambda d: secrets.findings_by_path(d, d.sparkSession.createDataFrame([], secrets.ENTRIES)),
+])
+def test_columns_of_others_stay(spark, run):
+    rows = [(LONG, prose(30), "en", "s", 1), (None, prose(30), "en", "s", 1), (3, prose(30), "en", "s", 1)]
+    d = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in CLASHES if c not in ("score", "predicted", "labels", "lang_pred")})
+    got = run(d)
+    assert set(d.columns) <= set(got.columns) and all(r["__text"] == r["row"] == r["key"] == 7 for r in got.collect()) and got.count() >= 3
+
+
 def test_empty_vectors(spark):
     assert topk.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
 def test_secrets(spark):
-    texts = ['password = "abcdef" token:xy', "AKIA" + "A" * 16 + " " + "0a" * 12, "PASSWD: ſecret12 K " + "f" * 23, None, "", "secret=" + "a" * 100_000 + " é api-key: zzzzzz", 'password = "abcdef" token:xy']
+    texts = ['password = "abcdef" token:xy', "AKIA" + "A" * 16 + " " + "0a" * 12, "PASSWD: ſecret12 K " + "f" * 23, None, "", "secret=" + "a" * 100_000 + " é api-key: zzzzzz", "eyJ" * 40_000, "(eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMe) xeyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMe eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMe", 'password = "abcdef" token:xy']
     d = docs(spark, texts, False)
     got = {r["doc_id"]: tuple(r[c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in secrets.digest(d).collect()}
     assert got == {i: secrets.brute(t) for i, t in enumerate(texts)}
     assert got[0][0] == 1 and got[1][1:3] == (1, 1)
 
 
-def test_secret_ledger_scans_only_the_unseen(spark):
+def test_secret_ledger_scans_only_the_unseen(spark, tmp_path):
     first = spark.createDataFrame([("a", "password=abcdef"), ("b", "clean"), ("b", "password=abcdef")], "path string, text string")
     more = first.unionByName(spark.createDataFrame([("c", "token: qwerty1"), ("c", "clean")], "path string, text string"))
-    ledger = secrets.advance(first)
+    ledger = secrets.advance(first, str(tmp_path / "ledger"))
     kinds = len(secrets.RULES)
     assert secrets.scan(more, ledger).count() == kinds and secrets.scan(first, ledger).count() == 0
     newer = [secrets.Rule(r.kind, r.pattern, r.group, r.least, r.any_case, 2 if r.kind == "hex" else 1) for r in secrets.RULES]
     assert secrets.scan(first, ledger, newer).count() == 2
-    found = secrets.findings_by_path(more, secrets.advance(more, ledger)).filter(F.size("findings") > 0)
+    assert ledger.count() == 2 * kinds
+    after = secrets.advance(more, str(tmp_path / "ledger"))
+    assert after.count() == 3 * kinds == after.select("blob_id", "kind").distinct().count()
+    found = secrets.findings_by_path(more.withColumns({"found": F.lit(1), "blob_text": F.lit(2)}), after).filter(F.size("findings") > 0)
     assert sorted(r["path"] for r in found.collect()) == ["a", "b", "c"]
 
 
@@ -263,6 +294,39 @@ def test_licenses():
     assert [(r.label, r.priority) for *_, r in kept] == [("apache-2.0", 4)]
 
 
+def slow_scan(text, ordered):
+    """Base places word by word; all rules everywhere, and each detection held against all before it."""
+    w = [x.decode() for x in licenses.words_of(text)]
+    places = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.decode().split()]
+    norm, kept = " " + " ".join(w) + " ", []
+    for r in ordered:
+        for m in r.pattern.finditer(norm):
+            if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
+                kept.append((*m.span(), r))
+    base = {label for _, label in places}
+    at = [i for i, _ in places]
+    miss = 0.5 if base else 1.0
+    for label in {r.label for *_, r in kept}:
+        miss *= 1 - max(r.confidence for *_, r in kept if r.label == label)
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {r.label for *_, r in kept})), round(1 - miss, 6)
+
+
+def test_licenses_are_those_of_the_plain_way(spark):
+    parts = ["MIT License", "the apache license, version 2.0", "GNU General Public License v3", "licensed under", "released under the terms of the", "all rights reserved", "SPDX-License-Identifier:", "mpl 2.0", "(c) copyright", "cc by-sa 4.0",
+             "mit license mit license", "license", "BSD 3-clause license", "public domain", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.6 else prose(2) for _ in range(rng.randint(0, 25))) for _ in range(150)] + TEXTS
+    d = docs(spark, texts)
+    ordered = licenses.rules()
+    want = sorted(((r["doc_id"], *slow_scan(r["text"], ordered)) for r in d.collect()), key=repr)
+    assert rows_of(licenses.digest(d)) == want
+
+
+def test_licenses_in_linear_time():
+    ordered, began = licenses.rules(), time.process_time()
+    got = licenses.scan_text("mit license " * 90_000, ordered)
+    assert got[:4] == (180_000, 90_000, 0, 179_998) and time.process_time() - began < 5
+
+
 def test_license_columns(spark):
     out = licenses.scan(docs(spark).withColumn("labels", F.lit("x")))
     assert out.count() == len(TEXTS) + 4 and "labels" in out.columns and out.columns.count("labels") == 1
