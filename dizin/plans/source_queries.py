@@ -11,20 +11,30 @@ from dizin.plans.registry import query
 from dizin.sources import files as S
 from dizin.sources import html as H
 
+#: Links of the pages as they are written there: always in double quotes and small letters.
 LINKS = """l AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, coalesce(list_filter(regexp_extract_all(html, '\\d{2}\\.\\d{2}\\.(\\d{4})', 1), lambda y: y BETWEEN '2000' AND '2030')[1],
   list_filter(regexp_extract_all(html, '(\\d{4})-\\d{2}-\\d{2}', 1), lambda y: y BETWEEN '2000' AND '2030')[1], list_filter(regexp_extract_all(html, '(\\d{4})', 1), lambda y: y BETWEEN '2000' AND '2030')[1]) AS year,
-  regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1) AS x FROM pages),
-each AS (SELECT page_id, host, year, h[i] AS href, x[i] AS text, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l))"""
+  string_split(html, '<a href="')[2:] AS pieces FROM pages),
+each AS (SELECT page_id, host, year, string_split(p, '">')[1] AS href,
+  replace(replace(string_split(string_split(p, '">')[2], '</a>')[1], '&quot;', '"'), '&amp;', '&') AS text, i - 1 AS pos FROM (SELECT *, pieces[i] AS p FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM l)))"""
+
+
+def mixed_links(t):
+    """The pages with their links written in four ways, by page: other quotes, none, capitals, more attributes; and one in a comment."""
+    kind = F.col("page_id") % 4
+    bare = F.regexp_replace("html", '<a href="([^"\\s\']+)">', "<a class=x href=$1>")
+    html = F.when(kind == 0, F.regexp_replace("html", '<a href="([^"\']*)">', "<a title='x > y' href = '$1'>")).when(kind == 1, bare).when(kind == 2, F.regexp_replace("html", '<a href="([^"]*)">(.*?)</a>', '<A TARGET="_blank" HREF="$1">$2</A>')).otherwise(F.col("html"))
+    return t.pages.withColumn("html", F.concat(html, F.lit('<!-- <a href="/hidden/on">on</a> --><a name="on">on</a>')))
 
 
 @query(f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href, text, host || href AS absolute, year FROM each WHERE href LIKE '%n' AND contains(href, 'on')")
 def s01_links(t):
-    return H.links(t.pages, "n", "on")
+    return H.links(mixed_links(t), "n", "on")
 
 
 @query(f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href AS value, text AS label FROM each WHERE text NOT IN ('', 'Seçiniz')")
 def s02_options(t):
-    return H.options(t.pages, "html", ["page_id"], r'<a href="([^"]*)">(.*?)</a>')
+    return H.options(mixed_links(t), "html", ["page_id"], "a", "href")
 
 
 @query("""SELECT o_orderkey, CAST(0 AS INT) AS card, '/pdf/' || o_orderkey || '.pdf' AS url, o_orderpriority AS title, CAST(9 + o_orderkey % 4 AS INT) AS grade, strftime(o_orderdate, '%d.%m.%Y') || ' 00:00:00' AS date, 'Alan ' || o_orderstatus AS area,
@@ -34,13 +44,13 @@ def s03_cards(t):
         F.lit("<ul><li>"), F.concat((9 + F.col("o_orderkey") % 4).cast("string"), F.lit(".Sınıf")), F.lit("</li><li> Alan "), "o_orderstatus", F.lit("</li>\n<li>Başka</li><li>"),
         F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" 00:00:00</li></ul>"),
     )
-    html = F.concat(F.lit('<p>x</p><div class="card"><a class="k" href="/pdf/'), F.col("o_orderkey").cast("string"), F.lit('.pdf"><b>'), "o_orderpriority", F.lit("</b></a>"), items, F.lit("</div>"))
+    html = F.concat(F.lit("<p>x</p><DIV id=c class='card wide'><a class=\"k\" href='/pdf/"), F.col("o_orderkey").cast("string"), F.lit(".pdf'><b>"), "o_orderpriority", F.lit("</b></a>"), items, F.lit("</DIV>"))
     return H.cards(t.orders.select("o_orderkey", html.alias("html")), "html", ["o_orderkey"])
 
 
 @query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, strftime(l_shipdate, '%d.%m.%Y')) AS INT) AS row, l_returnflag AS name, '/m/' || l_partkey || '.rar' AS link, strftime(l_shipdate, '%d.%m.%Y') AS date FROM lineitem""")
 def s04_grid(t):
-    row = F.concat(F.lit("<tr><td> "), "l_returnflag", F.lit('</td>\n<td><a href="/m/'), F.col("l_partkey").cast("string"), F.lit('.rar">indir</a></td><td>'), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td> "), "l_returnflag", F.lit("</td>\n<td><A HREF=/m/"), F.col("l_partkey").cast("string"), F.lit(".rar>indir</A></td><td>"), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit("</td></tr>"))
     rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r"))))["r"], "\n").alias("rows"))
     return H.grid(rows.select("l_orderkey", F.concat(F.lit("<table><tr><th>Ad</th><th>Dosya</th></tr>"), "rows", F.lit("</table>")).alias("html")), "html", ["l_orderkey"])
 

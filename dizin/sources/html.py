@@ -1,24 +1,69 @@
-"""Records from HTML texts: links, options, cards and grids, by regular expressions over the text column."""
+"""Records from HTML texts: links, options, cards and grids, by expressions over the text column.
+
+Elements are found in any case, attributes in double, single or no quotes; comments, scripts and styles hold no elements;
+texts and values are returned with their entities decoded.
+"""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dizin.functions import text as T
 
-ANCHOR = r'(?s)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+#: The attributes of an element: quoted values may hold ``>``.
+ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)"""
+#: Names of entities that stand without a semicolon too.
+BARE = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg")
+
+
+def visible(html: Column) -> Column:
+    """HTML without comments, scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numbered entities replaced by their characters; unknown ones stay."""
+    known = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (f"{name};", chr(code))], *[F.lit(x) for name in BARE for x in (name, chr(name2codepoint[name]))])
+    unicode = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)", 1)
+        digits = F.rtrim(F.substr(name, F.lit(2)), F.lit(";"))
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).when(name.startswith("#"), digits).cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(code.isNotNull(), F.when(valid, unicode(code)).otherwise("�")).otherwise(F.try_element_at(known, name))
+        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 1)), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))).otherwise(text)
 
 
 def plain(html: Column) -> Column:
-    """Text of a piece of HTML: tags away, spaces collapsed."""
-    return T.spaces(F.regexp_replace(html, "(?s)<[^>]*>", " "))
+    """Text of a piece of HTML: tags away, entities decoded, spaces collapsed."""
+    return T.spaces(unescaped(F.regexp_replace(html, "(?s)<[^>]*>", " ")))
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """The value of an attribute; null without it."""
+    pattern = rf"""(?is)^(?:[^"']|"[^"]*"|'[^']*')*?(?<![^\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(attributes, pattern, i) for i in (1, 2, 3)])
+    return F.when(attributes.rlike(pattern), unescaped(value))
 
 
-def pairs(html: Column, pattern: str) -> Column:
-    """All matches of a pattern with two groups, as ``array<struct<a,b>>``."""
-    found = [F.regexp_extract_all(html, F.lit(pattern), i) for i in (1, 2)]
-    return F.transform(found[0], lambda a, i: F.struct(a.alias("a"), F.get(found[1], i).alias("b")))
+def elements(html: Column, tag: str) -> Column:
+    """``array<struct<attributes, inner>>`` of the elements of a name, in order; they do not nest."""
+    pattern = rf"(?is)<{tag}(?![\w-]){ATTRIBUTES}>(.*?)</{tag}\s*>"
+    found = [F.regexp_extract_all(html, F.lit(pattern), F.lit(i)) for i in (1, 2)]
+    return F.zip_with(*found, lambda a, b: F.struct(a.alias("attributes"), b.alias("inner")))
+
+
+def first_link(html: Column) -> Column:
+    """The target of the first link that has one."""
+    targets = F.transform(elements(html, "a"), lambda x: attribute(x["attributes"], "href"))
+    return F.nullif(F.get(F.filter(targets, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
 def links(pages: DataFrame, suffix: str, tag: str) -> DataFrame:
@@ -26,35 +71,36 @@ def links(pages: DataFrame, suffix: str, tag: str) -> DataFrame:
 
     The year is the page's, so all its links share it.
     """
-    each = pages.select("page_id", "url", T.year_all(F.col("html")).alias("year"), F.posexplode(pairs(F.col("html"), ANCHOR)).alias("pos", "x"))
-    href = F.trim("x.a")
-    kept = each.filter(href.endswith(suffix) & href.contains(tag))
-    return kept.select("page_id", "pos", href.alias("href"), plain(F.col("x.b")).alias("text"), T.absolute_url(href, F.col("url")).alias("absolute"), "year")
+    each = pages.select("page_id", "url", T.year_all(F.col("html")).alias("year"), F.posexplode(elements(visible(F.col("html")), "a")).alias("pos", "x"))
+    each = each.withColumn("href", F.trim(attribute(F.col("x.attributes"), "href")))
+    kept = each.filter(F.col("href").endswith(suffix) & F.col("href").contains(tag))
+    return kept.select("page_id", "pos", "href", plain(F.col("x.inner")).alias("text"), T.absolute_url(F.col("href"), F.col("url")).alias("absolute"), "year")
 
 
 #: Option values and titles that stand for no choice.
 NO_VALUE, NO_TITLE = ("", "00", "0"), ("Alan Seçiniz", "Seçiniz")
 
 
-def options(df: DataFrame, html: str, keep: list[str], pattern: str = r'(?s)<option\b[^>]*?value="([^"]*)"[^>]*>(.*?)</option>') -> DataFrame:
+def options(df: DataFrame, html: str, keep: list[str], tag: str = "option", value: str = "value") -> DataFrame:
     """S2. ``(keep, pos, value, label)`` of a list's choices; empty values and placeholder titles are left out."""
-    each = df.select(*keep, F.posexplode(pairs(F.col(html), pattern)).alias("pos", "x"))
-    out = each.select(*keep, "pos", F.trim("x.a").alias("value"), plain(F.col("x.b")).alias("label"))
+    each = df.select(*keep, F.posexplode(elements(visible(F.col(html)), tag)).alias("pos", "x"))
+    out = each.select(*keep, "pos", F.trim(attribute(F.col("x.attributes"), value)).alias("value"), plain(F.col("x.inner")).alias("label"))
     return out.filter(~F.col("value").isin(*NO_VALUE) & (F.col("label") != "") & ~F.col("label").isin(*NO_TITLE))
 
 
-def cards(df: DataFrame, html: str, keep: list[str], block: str = r'(?s)<div class="card">(.*?)</div>') -> DataFrame:
-    """S3. One row per card: its link, bold title, and its list items told apart by content.
+def cards(df: DataFrame, html: str, keep: list[str], tag: str = "div", kind: str = "card") -> DataFrame:
+    """S3. One row per element of the class ``kind``: its link, bold title, and its list items told apart by content.
 
     An item with a dotted date is the date, one with ``Sınıf`` the grade, the first other one the area.
     """
-    each = df.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(block), 1)).alias("card", "body"))
-    items = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1), plain)
+    of_kind = lambda x: F.array_contains(F.split(attribute(x["attributes"], "class"), r"\s+"), kind)
+    each = df.select(*keep, F.posexplode(F.filter(elements(visible(F.col(html)), tag), of_kind)["inner"]).alias("card", "body"))
     is_date = lambda x: x.rlike(r"\d{2}\.\d{2}\.\d{4}")
     is_grade = lambda x: x.rlike("[Ss]ınıf")
     pick = lambda test: F.get(F.filter("items", test), F.lit(0))
-    out = each.withColumn("items", items).select(
-        *keep, "card", F.nullif(F.regexp_extract("body", ANCHOR, 1), F.lit("")).alias("url"), plain(F.regexp_extract("body", "(?s)<b>(.*?)</b>", 1)).alias("title"),
+    bold = F.get(F.filter(F.transform(elements(F.col("body"), "b"), lambda x: plain(x["inner"])), lambda x: x != ""), F.lit(0))
+    out = each.withColumn("items", F.transform(elements(F.col("body"), "li"), lambda x: plain(x["inner"]))).select(
+        *keep, "card", first_link(F.col("body")).alias("url"), F.coalesce(bold, F.lit("")).alias("title"),
         T.grade(pick(is_grade)).alias("grade"), pick(is_date).alias("date"), pick(lambda x: ~is_date(x) & ~is_grade(x)).alias("area"),
     )
     return out.withColumn("year", T.year_single(F.regexp_extract("date", r"(\d{4})", 1)))
@@ -62,8 +108,6 @@ def cards(df: DataFrame, html: str, keep: list[str], block: str = r'(?s)<div cla
 
 def grid(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """S4. Rows of a table below its header, of two cells or more: name, link of the second cell, date of the third."""
-    rows = df.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "body")).filter("row > 0")
-    cells = rows.withColumn("cells", F.regexp_extract_all("body", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), 1)).filter(F.size("cells") >= 2)
-    return cells.select(
-        *keep, "row", plain(F.col("cells")[0]).alias("name"), F.nullif(F.regexp_extract(F.col("cells")[1], ANCHOR, 1), F.lit("")).alias("link"), plain(F.get("cells", F.lit(2))).alias("date")
-    )
+    rows = df.select(*keep, F.posexplode(elements(visible(F.col(html)), "tr")).alias("row", "x")).filter("row > 0")
+    cells = rows.withColumn("cells", elements(F.col("x.inner"), "t[dh]")["inner"]).filter(F.size("cells") >= 2)
+    return cells.select(*keep, "row", plain(F.col("cells")[0]).alias("name"), first_link(F.col("cells")[1]).alias("link"), plain(F.get("cells", F.lit(2))).alias("date"))

@@ -52,6 +52,15 @@ def test_topics_placeholder(spark):
     assert [tuple(r) for r in got] == [(1, "Bir 3. Uc"), (2, X.NOT_FOUND), (3, "Uc")]
 
 
+def test_links_in_any_writing(spark):
+    html = """<a href="/x.rar">T &amp; M</a> <a href='/y.rar'>&#305;&#x131; &Uuml; &unknown; &amp</a> <A HREF=/z.rar class=k>Z</A><a title='a > b' href = "/q&amp;r.rar" >Q<b>R</b></a>
+      <!-- <a href="/no.rar">no</a> --><script>"<a href='/no.rar'>no</a>"</script><a name="n">N</a><abbr href="/no.rar">no</abbr><a data-href="/no.rar">no</a>"""
+    got = H.links(spark.createDataFrame([(1, "https://h.tr/p", html), (2, "https://h.tr", None)], "page_id int, url string, html string"), ".rar", "/").orderBy("pos").collect()
+    assert [(r["href"], r["text"], r["absolute"]) for r in got] == [("/x.rar", "T & M", "https://h.tr/x.rar"), ("/y.rar", "ıı Ü &unknown; &", "https://h.tr/y.rar"), ("/z.rar", "Z", "https://h.tr/z.rar"), ("/q&r.rar", "Q R", "https://h.tr/q&r.rar")]
+    chosen = spark.createDataFrame([(1, "<select><OPTION VALUE='00'>Seçiniz</OPTION><option selected value=5>Adalet &amp; Hukuk</option><option>x</option></select>")], "k int, html string")
+    assert [tuple(r) for r in H.options(chosen, "html", ["k"]).collect()] == [(1, 1, "5", "Adalet & Hukuk")]
+
+
 def test_card(spark):
     html = '<div class="card"><a href="/upload/BY2024KT0902.pdf"><b>Klavye Teknikleri</b></a><ul><li>Adalet</li><li>9.Sınıf</li><li>12.12.2024 00:00:00</li></ul></div>'
     row = H.cards(spark.createDataFrame([(1, html)], "k int, html string"), "html", ["k"]).first()
