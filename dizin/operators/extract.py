@@ -75,29 +75,46 @@ def cut(text: Column, start: Column, end: Column | None) -> Column:
     return F.substr(text, start, F.coalesce(end, F.length(text) + 1) - start)
 
 
+def _section(text: Column, low: Column, starts, ends) -> Column:
+    between = let(F.coalesce(*[find(k, low) + len(k) for k in starts]), lambda b: cut(text, b, first_of(ends, low, b)))
+    return T.spaces(F.regexp_replace(between, r"^[:\s]+", ""))
+
+
 def section(text: Column, starts, ends) -> Column:
     """X1. What stands between the longest starting heading that occurs and the next ending one; null without a start."""
-    between = lambda low: let(F.coalesce(*[find(k, low) + len(k) for k in starts]), lambda b: cut(text, b, first_of(ends, low, b)))
-    return T.spaces(F.regexp_replace(let(folded(text), between), r"^[:\s]+", ""))
+    return let(folded(text), lambda low: _section(text, low, starts, ends))
 
 
 def sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """X1. ``df`` with a column per field of ``FIELDS``."""
-    return df.withColumns({name: section(F.col(text), starts, ends) for name, starts, ends in FIELDS})
+    """X1. ``df`` with a column per field of ``FIELDS``; the text is folded once for all."""
+    fields = let(folded(F.col(text)), lambda low: F.struct(*[_section(F.col(text), low, starts, ends).alias(name) for name, starts, ends in FIELDS]))
+    kept = [c for c in df.columns if c not in {name for name, *_ in FIELDS}]
+    return df.select(*kept, fields.alias("fields of the form")).select(*kept, "`fields of the form`.*")
 
 
-def table_section(text: Column) -> Column:
-    """X2, X3. The unit table of a form without its header; null without a table."""
+def table_bounds(text: Column) -> Column:
+    """X2. The unit table of a form with its header; null without a table."""
 
     def body(low: Column) -> Column:
         after = lambda start: F.coalesce(*[F.when(find(h, low) == start, start + len(h)) for h in TABLE_HEADS])
         return let(let(first_of(TABLE_HEADS, low), after), lambda at: F.trim(cut(text, at, first_of(TABLE_ENDS, low, at + TABLE_LEAST))))
 
-    def headless(body: Column) -> Column:
+    return let(folded(text), body)
+
+
+def headless(table: Column) -> Column:
+    """X3. A table without its header: the first header pattern that shortens it counts."""
+
+    def shorter(body: Column) -> Column:
         tried = F.array(*[F.trim(F.regexp_replace(body, p, "")) for p in TABLE_HEADERS])
         return F.coalesce(F.get(F.filter(tried, lambda x: F.length(x) < F.length(body)), F.lit(0)), body)
 
-    return let(let(folded(text), body), headless)
+    return let(table, shorter)
+
+
+def table_section(text: Column) -> Column:
+    """X2, X3. The unit table of a form without its header; null without a table."""
+    return headless(table_bounds(text))
 
 
 def table_rows(table: Column) -> Column:
@@ -153,9 +170,7 @@ def unit_area(text: Column) -> Column:
     return let(folded(text), area)
 
 
-def occurrences(text: Column, title: Column) -> Column:
-    """X9. Positions (from 1) of all occurrences of the title, overlapping ones too; both folded."""
-    low, key = folded(text), folded(title)
+def _places(low: Column, key: Column) -> Column:
     parts = F.split(low, F.concat(F.lit(r"(?=\Q"), key, F.lit(r"\E)")))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
     # All parts but the first begin at an occurrence.
@@ -164,33 +179,80 @@ def occurrences(text: Column, title: Column) -> Column:
     return F.when(F.length(key) > 0, F.aggregate(parts, start, step, lambda s: s["out"]))
 
 
+def occurrences(text: Column, title: Column) -> Column:
+    """X9. Positions (from 1) of all occurrences of the title, overlapping ones too; both folded."""
+    return let(F.struct(folded(text).alias("low"), folded(title).alias("key")), lambda x: _places(x["low"], x["key"]))
+
+
 def numbers_present(text: Column, n: Column) -> Column:
     """X10. Whether each number from 1 to n stands in the text before a dot or a space."""
     one = lambda i: text.contains(F.concat(i.cast("string"), F.lit("."))) | text.contains(F.concat(i.cast("string"), F.lit(" ")))
     return (n < 1) | F.forall(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)
 
 
-def header_matches(df: DataFrame, keep: list[str], text: str, title: str, n: str) -> DataFrame:
-    """X11. Per row: how often the title occurs, how often with its numbers after it, and the first such place."""
-    places = occurrences(F.col(text), F.col(title))
-    valid = F.filter(places, lambda p: numbers_present(F.substr(F.col(text), p, F.lit(VALID_WITHIN)), F.col(n)))
-    return df.select(*keep, title, n, F.size(places).alias("matches"), F.size(valid).alias("valid"), F.get(valid, F.lit(0)).alias("first_valid"))
+#: What is known of a title of a form.
+MATCH = ("seq", "title", "n", "matches", "valid", "first_valid")
 
 
-def work_areas(matches: DataFrame, keep: list[str], text: str, title: str) -> DataFrame:
-    """X12. From each accepted title's end to the next accepted title of the text, or a numbered or stop heading."""
-    order = Window.partitionBy(*keep).orderBy("first_valid")
-    found = matches.filter("first_valid is not null").withColumn("until", F.lead("first_valid").over(order))
-    begin = F.col("first_valid") + F.length(title)
-    found = found.withColumn("rest", cut(F.col(text), begin, F.col("until")))
-    return found.withColumn("work_area", F.get(F.split("rest", AREA_BREAKS, 2), F.lit(0))).drop("rest", "until")
+def matched(text: Column, titles: Column) -> Column:
+    """X11. ``titles``, an array of ``struct<seq, title, n>``, with how often each occurs in the text, how often with its numbers after it, and the first such place.
+
+    The text is folded once for all titles of its row and is not copied.
+    """
 
+    def of(low: Column, x: Column) -> Column:
+        def told(places: Column) -> Column:
+            valid = F.filter(places, lambda p: numbers_present(F.substr(text, p, F.lit(VALID_WITHIN)), x["n"]))
+            return let(valid, lambda v: F.struct(*[x[c].alias(c) for c in MATCH[:3]], F.size(places).alias("matches"), F.size(v).alias("valid"), F.get(v, F.lit(0)).alias("first_valid")))
 
-def topics(area: Column, n: Column) -> Column:
-    """X13. ``array<struct<no, topic>>``: what follows each number from 1 to n, each sought behind the one before."""
+        return let(_places(low, folded(x["title"])), told)
+
+    return let(folded(text), lambda low: F.transform(titles, lambda x: of(low, x)))
+
+
+def with_areas(text: Column, found: Column) -> Column:
+    """X12. What ``matched`` gives, with the ``work_area`` of each accepted title; null for others.
+
+    An area goes from the title's end to the next accepted title of the text, or to a numbered or stop heading.
+    """
+    order = lambda x: F.struct(x["first_valid"].alias("at"), x["seq"].alias("seq"))
+    accepted = F.array_sort(F.transform(F.filter(found, lambda x: x["first_valid"].isNotNull()), order))
+
+    def area(x: Column, all_of: Column) -> Column:
+        until = F.get(F.filter(all_of, lambda y: y > order(x)), F.lit(0))["at"]
+        rest = cut(text, x["first_valid"] + F.length(x["title"]), until)
+        return F.struct(*[x[c].alias(c) for c in MATCH], F.when(x["first_valid"].isNotNull(), F.get(F.split(rest, AREA_BREAKS, 2), F.lit(0))).alias("work_area"))
+
+    return let(accepted, lambda all_of: F.transform(found, lambda x: area(x, all_of)))
+
+
+def header_matches(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
+    """X11. One row per title of each form: ``(keep, *MATCH)``."""
+    return df.select(*keep, F.explode(matched(F.col(text), F.col(titles))).alias("x")).select(*keep, "x.*")
+
+
+def work_areas(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
+    """X12. One row per accepted title of each form: ``(keep, *MATCH, work_area)``."""
+    areas = let(matched(F.col(text), F.col(titles)), lambda found: with_areas(F.col(text), found))
+    return df.select(*keep, F.explode(areas).alias("x")).select(*keep, "x.*").filter("work_area is not null")
+
+
+def topics(area: Column, n: Column, checked: bool = False) -> Column:
+    """X13. ``array<struct<no, topic>>``: what follows each number from 1 to n, each sought behind the one before.
+
+    ``checked``: only where the number numbers an item (F25), so centuries, years and amounts in the text end no topic.
+    """
 
     def marks(k: Column, start: Column) -> tuple[Column, Column, Column]:
-        return tuple(find(F.concat(k.cast("string"), F.lit(end)), area, start) for end in (". ", " ", "."))
+        if not checked:
+            return tuple(find(F.concat(k.cast("string"), F.lit(end)), area, start) for end in (". ", " ", "."))
+        return tuple(item(F.concat(k.cast("string"), F.lit(end)), start) for end in (". ", " ", "."))
+
+    def item(mark: Column, start: Column) -> Column:
+        """The first place of the mark from ``start`` on that numbers an item."""
+        size = F.length(mark)
+        number = lambda p: T.is_item_number(F.substr(area, F.lit(1), p - 1), F.substr(area, p + size, F.lit(VALID_WITHIN)))
+        return F.get(F.filter(_places(area, mark), lambda p: (p >= start) & number(p)), F.lit(0))
 
     def step(s: Column, k: Column) -> Column:
         def row(m: Column) -> Column:
@@ -260,16 +322,17 @@ def numbered_items(text: Column) -> Column:
     return F.transform(F.aggregate(lines, F.array().cast("array<string>"), step), lambda x: F.trim(x))
 
 
-def report(matches: DataFrame, found: DataFrame, keep: list[str], title: str, n: str) -> DataFrame:
-    """X18. One text per form: a line per title with its matches, then its topics; titles without a valid match say so.
+def report(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
+    """X18. ``(keep, report)``, one text per form: a line per title with its matches, then its topics; titles without a valid match say so."""
 
-    ``matches`` is of ``header_matches`` with ``seq``, ``found(keep, seq, topics)`` has the topics.
-    """
-    each = matches.join(found, [*keep, "seq"], "left")
-    head = F.concat(F.col(title), F.lit(" ("), F.col(n).cast("string"), F.lit(") -> "), F.when(F.col("first_valid").isNull(), F.lit("eşleşme yok")).otherwise(F.concat(F.col("valid").cast("string"), F.lit(" eşleşme"))))
-    lines = F.transform(F.coalesce("topics", F.array().cast("array<struct<no:int,topic:string>>")), lambda x: F.concat(x["no"].cast("string"), F.lit(". "), x["topic"]))
-    block = F.concat_ws("\n", head, F.array_join(lines, "\n"))
-    return each.groupBy(*keep).agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", block.alias("b"))))["b"], "\n").alias("report"))
+    def block(x: Column) -> Column:
+        told = F.when(x["first_valid"].isNull(), F.lit("eşleşme yok")).otherwise(F.concat(x["valid"].cast("string"), F.lit(" eşleşme")))
+        head = F.concat(x["title"], F.lit(" ("), x["n"].cast("string"), F.lit(") -> "), told)
+        lines = F.transform(F.coalesce(topics(x["work_area"], x["n"]), F.array().cast("array<struct<no:int,topic:string>>")), lambda y: F.concat(y["no"].cast("string"), F.lit(". "), y["topic"]))
+        return F.concat_ws("\n", head, F.array_join(F.when(x["first_valid"].isNotNull(), lines).otherwise(F.array().cast("array<string>")), "\n"))
+
+    areas = let(matched(F.col(text), F.col(titles)), lambda found: with_areas(F.col(text), F.array_sort(found)))
+    return df.select(*keep, F.array_join(F.transform(areas, block), "\n").alias("report"))
 
 
 def form_job(df: DataFrame, key: str, text: str = "text") -> DataFrame:

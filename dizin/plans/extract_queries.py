@@ -29,18 +29,20 @@ def forms(t):
     )
     listed = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(i.cast("string"), F.lit(". Konu "), i.cast("string"), F.lit("k metni"))), " ")
     topics = F.concat(F.upper(F.translate("title", "ışç", "IŞÇ")), F.lit(" "), listed)
-    rows = units(t).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row"), topics.alias("topics")))).alias("r"))
+    rows = units(t).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row"), topics.alias("topics"), "title", "n"))).alias("r"))
     name = F.translate(F.col("k").cast("string"), "0123456789", "ABCDEFGHIJ")
     body = F.concat(
-        F.lit("DERSİN ADI: Ders "), name, F.lit(" DERSİN SINIFI: "), (9 + F.col("k") % 4).cast("string"), F.lit(" DERSİN SÜRESİ: 2 saat DERSİN AMACI: Bilgi artırmak DERSİN KAZANIM TABLOSU ÖĞRENME BİRİMİ KAZANIM SAYISI DERS SAATİ ORAN (%) "),
+        F.lit("DERSİN ADI: Ders "), name, F.lit(" DERSİN SINIFI: "), (9 + F.col("k") % 4).cast("string"), F.lit(" DERSİN SÜRESİ: 2 saat DERSİN AMACI: Bilgi artırmak DERSİN KAZANIMLARI: Temel beceriler EĞİTİM ORTAMI VE DONANIMI: Atölye, tezgâh ÖLÇME VE DEĞERLENDİRME: Sınav, ödev DERSİN KAZANIM TABLOSU ÖĞRENME BİRİMİ KAZANIM SAYISI DERS SAATİ ORAN (%) "),
         F.array_join("r.row", " "), F.lit(" TOPLAM 1 1 100 KONULAR "), F.array_join("r.topics", " "), F.lit(" UYGULAMA FAALİYETLERİ Son"),
     )
-    return rows.select("k", body.alias("text"))
+    titles = F.transform("r", lambda x: F.struct(x["seq"].alias("seq"), x["title"].alias("title"), x["n"].alias("n")))
+    return rows.select("k", body.alias("text"), titles.alias("titles"))
 
 
-@query("""SELECT DISTINCT l_orderkey AS k, 'Ders ' || translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name, CAST(9 + l_orderkey % 4 AS VARCHAR) AS grade, '2 saat' AS duration, 'Bilgi artırmak' AS purpose FROM lineitem""")
+@query("""SELECT DISTINCT l_orderkey AS k, 'Ders ' || translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name, CAST(9 + l_orderkey % 4 AS VARCHAR) AS grade, '2 saat' AS duration, 'Bilgi artırmak' AS purpose,
+  'Temel beceriler' AS outcomes, 'Atölye, tezgâh' AS equipment, 'Sınav, ödev' AS assessment FROM lineitem""")
 def x01_sections(t):
-    return X.sections(forms(t)).select("k", "name", "grade", "duration", "purpose")
+    return X.sections(forms(t).select("k", "text")).drop("text")
 
 
 @query(f"""WITH {UNITS_SQL} SELECT k, len(string_agg(title || ' ' || n || CASE k % 4 WHEN 0 THEN ' ' || h || ' ' || p WHEN 1 THEN ' ' || h || '/' || (h * 2) || ' ' || p WHEN 2 THEN ' ' || h ELSE '' END, ' ' ORDER BY seq)) AS size FROM v GROUP BY 1""")
@@ -48,15 +50,26 @@ def x02_table_section(t):
     return forms(t).select("k", F.length(X.table_section(F.col("text"))).cast("long").alias("size"))
 
 
+@query("""SELECT DISTINCT l_orderkey AS k, 'KAZANIM SAYISI DERS SAATİ ORAN' AS words, true AS gone FROM lineitem""")
+def x03_headers(t):
+    """Headers alone: what the header removal takes away from each form's table."""
+    tables = forms(t).select("k", X.table_bounds(F.col("text")).alias("table"))
+    left = tables.withColumn("left", X.headless(F.col("table")))
+    taken = F.substr("table", F.lit(1), F.length("table") - F.length("left"))
+    header = F.regexp_extract(taken, r"(KAZANIM SAYISI DERS SAATİ ORAN) \(%\)\s*$", 1)
+    return left.select("k", header.alias("words"), (F.concat(taken, F.col("left")) == F.col("table")).alias("gone"))
+
+
 @query(f"""WITH {UNITS_SQL} SELECT k, seq, title, n AS count, CASE k % 4 WHEN 1 THEN h || '/' || (h * 2) WHEN 3 THEN '-' ELSE CAST(h AS VARCHAR) END AS duration, CASE WHEN k % 4 < 2 THEN CAST(p AS VARCHAR) ELSE '-' END AS percentage FROM v""")
 def x04_unit_rows(t):
     return X.units(forms(t), ["k"])
 
 
-@query(f"WITH {UNITS_SQL} SELECT k, CAST(count(*) AS INT) AS n_rows, CAST(sum(n) AS BIGINT) AS total FROM v WHERE k % 4 = 3 GROUP BY 1")
+@query(f"WITH {UNITS_SQL} SELECT k, k % 4 AS shape, CAST(count(*) AS INT) AS n_rows, CAST(count(*) * CAST(k % 4 = 3 AS INT) AS INT) AS count_only, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY 1, 2")
 def x05_count_only_rows(t):
-    rows = X.units(forms(t).filter("k % 4 = 3"), ["k"])
-    return rows.groupBy("k").agg(F.count("*").cast("int").alias("n_rows"), F.sum("count").alias("total"))
+    rows = X.units(forms(t), ["k"])
+    only = F.sum(((F.col("duration") == "-") & (F.col("percentage") == "-")).cast("int")).cast("int").alias("count_only")
+    return rows.groupBy("k", (F.col("k") % 4).alias("shape")).agg(F.count("*").cast("int").alias("n_rows"), only, F.sum("count").alias("total"))
 
 
 @query("SELECT l_orderkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS BIGINT) AS row, 'Vergi ve ' || l_returnflag || ' ' || l_partkey || ' 15 8' AS line FROM lineitem")
@@ -91,26 +104,25 @@ def x10_numbers_present(t):
     return t.documents.select("doc_id", X.numbers_present(F.col("text"), F.lit(1)).alias("one"), X.numbers_present(F.col("text"), F.lit(2)).alias("two"))
 
 
-def matches(t):
-    areas = forms(t).select("k", X.unit_area(F.col("text")).alias("area"))
-    each = units(t).select("k", "seq", "title", "n").join(areas, "k")
-    return X.header_matches(each, ["k", "seq", "area"], "area", "title", "n")
+def areas(t):
+    """Each form's unit area beside the titles of its units."""
+    return forms(t).select("k", X.unit_area(F.col("text")).alias("area"), "titles")
 
 
 @query(f"WITH {UNITS_SQL} SELECT k, seq, CAST(1 AS INT) AS matches, CAST(1 AS INT) AS valid FROM v")
 def x11_header_matches(t):
-    return matches(t).select("k", "seq", "matches", "valid")
+    return X.header_matches(areas(t), ["k"], "area", "titles").select("k", "seq", "matches", "valid")
 
 
 @query(f"WITH {UNITS_SQL} SELECT k, seq, ' ' || CASE n WHEN 1 THEN '1. Konu 1k metni' WHEN 2 THEN '1. Konu 1k metni 2. Konu 2k metni' ELSE '1. Konu 1k metni 2. Konu 2k metni 3. Konu 3k metni' END || ' ' AS work_area FROM v")
 def x12_work_areas(t):
-    return X.work_areas(matches(t), ["k"], "area", "title").select("k", "seq", "work_area")
+    return X.work_areas(areas(t), ["k"], "area", "titles").select("k", "seq", "work_area")
 
 
 @query(f"WITH {UNITS_SQL} SELECT k, seq, CAST(i AS INT) AS no, 'Konu ' || i || 'k metni' AS topic FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM v)")
 def x13_topics(t):
-    areas = X.work_areas(matches(t), ["k"], "area", "title")
-    return areas.select("k", "seq", F.explode(X.topics(F.col("work_area"), F.col("n"))).alias("x")).select("k", "seq", "x.no", "x.topic")
+    held = X.work_areas(areas(t), ["k"], "area", "titles")
+    return held.select("k", "seq", F.explode(X.topics(F.col("work_area"), F.col("n"))).alias("x")).select("k", "seq", "x.no", "x.topic")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Uzun bir baslik ' || o_orderstatus END AS title FROM orders")
@@ -135,15 +147,13 @@ def x16_numbered_items(t):
 
 @query(f"""WITH {UNITS_SQL} SELECT k, string_agg(title || ' (' || n || ') -> 1 eşleşme' || chr(10) || CASE n WHEN 1 THEN '1. Konu 1k metni' WHEN 2 THEN '1. Konu 1k metni' || chr(10) || '2. Konu 2k metni' ELSE '1. Konu 1k metni' || chr(10) || '2. Konu 2k metni' || chr(10) || '3. Konu 3k metni' END, chr(10) ORDER BY seq) AS report FROM v GROUP BY 1""")
 def x18_report(t):
-    held = matches(t)
-    found = X.work_areas(held, ["k"], "area", "title").select("k", "seq", X.topics(F.col("work_area"), F.col("n")).alias("topics"))
-    return X.report(held.drop("area"), found, ["k"], "title", "n")
+    return X.report(areas(t), ["k"], "area", "titles")
 
 
-@query("SELECT l_orderkey AS k, CAST(count(*) AS INT) AS n_units, 'success' AS status FROM lineitem GROUP BY 1 UNION ALL SELECT doc_id + 10000000, CAST(0 AS INT), 'error: no name' FROM documents WHERE NOT contains(upper(text), 'ADI') AND NOT contains(upper(text), 'TABLOSU')")
+@query("""SELECT l_orderkey AS k, CAST(count(*) AS INT) AS n_units, 'success' AS status FROM lineitem GROUP BY 1
+UNION ALL SELECT doc_id + 10000000, CAST(0 AS INT), CASE WHEN contains(upper(translate(text, 'çğıöşüÇĞİÖŞÜßĠ', 'cgiosuCGIOSUSI')), 'ADI') THEN 'error: no table' ELSE 'error: no name' END FROM documents""")
 def x19_form_job(t):
-    plain = t.documents.filter("not contains(upper(text), 'ADI') and not contains(upper(text), 'TABLOSU')").select((F.col("doc_id") + 10000000).alias("k"), "text")
-    return X.form_job(forms(t).unionByName(plain), "k").select("k", "n_units", "status")
+    return X.form_job(forms(t).select("k", "text").unionByName(t.documents.select((F.col("doc_id") + 10000000).alias("k"), "text")), "k").select("k", "n_units", "status")
 
 
 @query("SELECT 'f' || (p_size % 7) AS folder, p_partkey || '.pdf' AS file, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS course FROM part")

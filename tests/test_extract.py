@@ -31,6 +31,9 @@ def test_single_line_table(spark):
     plain = spark.createDataFrame([(1, rows.replace("18/36", "40"))], "k long, text string")
     got = plain.select(F.explode(X.table_rows(F.col("text"))).alias("x")).select("x.*").collect()
     assert [tuple(r) for r in got] == [("Defter ve Belgeler", 3, "20", "11"), ("Vergi Dairesi ve Belediye İşlemleri", 2, "15", "8"), ("Fatura", 3, "40", "22")]
+    # One row with two-part hours: its shape comes first, and no other row has it.
+    mixed = spark.createDataFrame([(rows,)], "text string").select(F.explode(X.table_rows(F.col("text"))).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in mixed] == [("Fatura", 3, "18/36", "22")]
     only = spark.createDataFrame([("Gastronomi ve Medya 3 Gastronomi 6 TOPLAM 9",)], "text string")
     assert [tuple(r) for r in only.select(F.explode(X.table_rows(F.col("text"))).alias("x")).select("x.*").collect()] == [("Gastronomi ve Medya", 3, "-", "-"), ("Gastronomi", 6, "-", "-")]
 
@@ -52,6 +55,24 @@ def test_topics_placeholder(spark):
     assert [tuple(r) for r in got] == [(1, "Bir 3. Uc"), (2, X.NOT_FOUND), (3, "Uc")]
 
 
+def test_checked_topics(spark):
+    df = spark.createDataFrame([("1. Anayasa 20. yuzyilda 2 kez degisti 2. Devlet", 2)], "t string, n int")
+    plain, checked = ([r["topic"] for r in df.select(F.explode(X.topics(F.col("t"), F.col("n"), c)).alias("x")).select("x.*").collect()] for c in (False, True))
+    assert checked == ["Anayasa 20. yuzyilda 2 kez degisti", "Devlet"] and plain[0] != checked[0]
+
+
+def test_titles_of_a_form(spark):
+    text = "İLK KONU 1. Bir 2. Iki ORTA 1. Uc İlk konu sonra 1. Dort 2. Bes SON 9 yok"
+    titles = [(1, "İlk Konu", 2), (2, "Orta", 1), (3, "Yok", 1), (4, "Son", 3), (5, "", 1)]
+    df = spark.createDataFrame([(1, text, titles), (2, None, titles), (3, text, []), (4, text, None)], "k int, t string, u array<struct<seq:int,title:string,n:int>>")
+    got = {(r["k"], r["seq"]): (r["matches"], r["valid"], r["first_valid"]) for r in X.header_matches(df, ["k"], "t", "u").collect()}
+    assert got[1, 1] == (2, 2, 1) and got[1, 2] == (1, 1, 24) and got[1, 4] == (2, 0, None)
+    areas = {r["seq"]: r["work_area"] for r in X.work_areas(df, ["k"], "t", "u").collect()}
+    assert areas[1] == " 1. Bir 2. Iki " and set(areas) >= {1, 2}
+    told = {r["k"]: r["report"] for r in X.report(df, ["k"], "t", "u").collect()}
+    assert told[1].startswith("İlk Konu (2) -> 2 eşleşme\n1. Bir\n2. Iki") and "Son (3) -> eşleşme yok" in told[1] and told[3] == ""
+
+
 def test_links_in_any_writing(spark):
     html = """<a href="/x.rar">T &amp; M</a> <a href='/y.rar'>&#305;&#x131; &Uuml; &unknown; &amp</a> <A HREF=/z.rar class=k>Z</A><a title='a > b' href = "/q&amp;r.rar" >Q<b>R</b></a>
       <!-- <a href="/no.rar">no</a> --><script>"<a href='/no.rar'>no</a>"</script><a name="n">N</a><abbr href="/no.rar">no</abbr><a data-href="/no.rar">no</a>"""
