@@ -50,50 +50,67 @@ def courses(cells: DataFrame) -> DataFrame:
     The first three rows are headers: an exact ``DERSLER`` (the last), else ``DERS`` (the first), is
     the course column; ``9. SINIF``, or ``9.`` with ``SINIF`` to the right or in the same column, a
     grade column. Courses stand between a first cell of vocational courses and one of a total or
-    electives. Names and hours (1 to 10) are sought beside their column too. Tables of fewer than
-    five rows have none. A table is folded within its own group, in which rows are few.
+    electives. Names and hours (1 to 10) are sought beside their column too, so hours beside two grade columns count for both.
+    Tables of fewer than five rows have none. The cells that matter meet once, on their table's row: a table is as small as a page.
     """
     key = ["doc", "table_no"]
-    cell = cells.select(*key, "row_no", "col_no", T.clean_cell(F.col("text")).alias("text")).withColumn("up", _upper(F.col("text")))
-    sizes = cells.groupBy(*key).agg((F.max("row_no") + 1).alias("n_rows")).filter("n_rows >= 5")
-    head = cell.filter("row_no < 3")
-    at = F.struct("row_no", "col_no")
-    main = head.groupBy(*key).agg(
-        F.coalesce(F.max_by("col_no", F.when(F.col("up") == "DERSLER", at)), F.min_by("col_no", F.when(F.col("up") == "DERS", at))).alias("course_col")
-    ).filter("course_col is not null")
-    right = head.filter(F.col("up").contains("SINIF")).select(*key, "row_no", (F.col("col_no") - 1).alias("col_no"), F.lit(True).alias("beside")).distinct()
-    column = head.filter(F.col("up").contains("SINIF")).select(*key, "col_no", F.lit(True).alias("same")).distinct()
-    number = F.regexp_extract("up", r"(\d+)\.", 1)
-    grades = head.filter(number != "").join(right, [*key, "row_no", "col_no"], "left").join(column, [*key, "col_no"], "left")
-    grades = grades.filter(F.col("up").rlike(r"\d+\.\s*SINIF") | F.col("beside") | F.col("same"))
-    grades = grades.groupBy(*key, F.col("col_no").alias("grade_col")).agg(F.max_by(number.cast("int"), "row_no").alias("grade"))
-    body = cell.filter("row_no >= 3")
-    first = body.filter("col_no = 0").select(*key, "row_no", "up")
-    starts = F.col("up").contains("MESLEK") & F.col("up").contains("DERS")
-    begin = first.filter(starts).groupBy(*key).agg(F.min("row_no").alias("begin"))
-    stops = first.filter(F.col("up").contains("TOPLAM") | F.col("up").contains("SEÇMELİ")).filter(~starts).join(begin, key).filter("row_no > begin").groupBy(*key).agg(F.min("row_no").alias("stop"))
-    inside = body.join(begin, key).join(stops, key, "left").filter("row_no > begin and (stop is null or row_no < stop)").join(sizes, key, "left_semi")
-    inside = inside.join(first.filter(starts).select(*key, "row_no"), [*key, "row_no"], "left_anti").filter("text <> ''").select(*key, "row_no", "col_no", "text", "up")
-    place = F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), F.col("col_no") - F.col("wanted"))
-    no_course = F.col("up").contains("TOPLAM") | (F.col("up").contains("REHBERLİK") & F.col("up").contains("YÖNLENDİRME"))
-    named = inside.join(main, key).withColumnRenamed("course_col", "wanted").filter((F.length("text") >= 4) & ~no_course).withColumn("place", place).filter("place > 0")
-    names = named.groupBy(*key, "row_no").agg(F.min_by("text", "place").alias("name"))
-    hours = inside.filter(F.col("text").rlike(r"^([1-9]|10)$")).join(grades, key).withColumnRenamed("grade_col", "wanted").withColumn("place", place).filter("place > 0")
-    hours = hours.groupBy(*key, "row_no", "grade").agg(F.min_by(F.col("text").cast("int"), "place").alias("hours"))
-    course = T.title_case_tr(T.spaces(T.without_footnotes(F.col("name"))))
-    return names.join(hours, [*key, "row_no"]).select(*key, "row_no", course.alias("course"), "grade", "hours")
+    text = T.clean_cell(F.col("text"))
+    # Of the body only cells with a text, and of the first column, are asked.
+    held = cells.select(*key, F.col("row_no").cast("int").alias("row"), F.col("col_no").cast("int").alias("col"), text.alias("text")).withColumn("up", _upper(F.col("text")))
+    tables = held.groupBy(*key).agg((F.max("row") + 1).alias("n_rows"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("row", "col", "text", "up")))).alias("cells")).filter("n_rows >= 5")
+    head, body = F.filter("cells", lambda c: c["row"] < 3), F.filter("cells", lambda c: c["row"] >= 3)
+    tables = tables.select(*key, head.alias("head"), body.alias("body"))
+
+    with_title = lambda title: F.filter("head", lambda c: c["up"] == title)
+    course_col = F.coalesce(F.try_element_at(with_title("DERSLER"), F.lit(-1))["col"], F.get(with_title("DERS"), F.lit(0))["col"])
+    number = lambda c: F.regexp_extract(c["up"], r"(\d+)\.", 1)
+    classes = F.filter("head", lambda c: c["up"].contains("SINIF"))
+    beside = lambda c: F.exists("classes", lambda s: (s["col"] == c["col"]) | (s["row"] == c["row"]) & (s["col"] == c["col"] + 1))
+    numbered = F.filter("head", lambda c: (number(c) != "") & (c["up"].rlike(r"\d+\.\s*SINIF") | beside(c)))
+    graded = F.transform(numbered, lambda c: F.struct(c["col"].alias("col"), c["row"].alias("row"), number(c).cast("int").alias("grade")))
+    # Of a column the lowest row counts.
+    grades = F.filter("graded", lambda g: ~F.exists("graded", lambda o: (o["col"] == g["col"]) & (o["row"] > g["row"])))
+    first = F.filter("body", lambda c: c["col"] == 0)
+    is_start = lambda c: c["up"].contains("MESLEK") & c["up"].contains("DERS")
+    is_stop = lambda c: (c["up"].contains("TOPLAM") | c["up"].contains("SEÇMELİ")) & ~is_start(c)
+    starts = F.transform(F.filter(first, is_start), lambda c: c["row"])
+    stop = F.get(F.filter(first, lambda c: is_stop(c) & (c["row"] > F.col("begin"))), F.lit(0))["row"]
+    tables = tables.withColumns({"course_col": course_col, "classes": classes, "starts": starts}).filter("course_col is not null and size(starts) > 0")
+    tables = tables.withColumn("graded", graded).withColumns({"grades": grades, "begin": F.col("starts")[0]}).withColumn("stop", stop)
+    inside = F.filter("body", lambda c: (c["row"] > F.col("begin")) & (F.col("stop").isNull() | (c["row"] < F.col("stop"))) & ~F.array_contains("starts", c["row"]))
+    # The rows of a table stay where it is.
+    each = tables.select(*key, "course_col", "grades", F.explode(inside).alias("c"))
+    rows = each.groupBy(*key, F.col("c.row").alias("row_no")).agg(F.first("course_col").alias("course_col"), F.first("grades").alias("grades"), F.collect_list("c").alias("row"))
+
+    place = lambda c, wanted: F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), c["col"] - wanted)
+    no_course = lambda c: c["up"].contains("TOPLAM") | (c["up"].contains("REHBERLİK") & c["up"].contains("YÖNLENDİRME"))
+    nearest = lambda found, value: F.array_min(F.transform(found, value))
+    named = F.filter("row", lambda c: (F.length(c["text"]) >= 4) & ~no_course(c) & (place(c, F.col("course_col")) > 0))
+    rows = rows.withColumn("name", nearest(named, lambda c: F.struct(place(c, F.col("course_col")).alias("place"), c["text"].alias("text")))["text"]).filter("name is not null")
+    rows = rows.select(*key, "row_no", "name", "row", F.explode("grades").alias("g"))
+    timed = F.filter("row", lambda c: c["text"].rlike(r"^([1-9]|10)$") & (place(c, F.col("g.col")) > 0))
+    hours = nearest(timed, lambda c: F.struct(place(c, F.col("g.col")).alias("place"), c["text"].cast("int").alias("hours")))
+    # Two columns of one grade: the nearest hours of both.
+    best = rows.withColumn("best", hours).filter("best is not null").groupBy(*key, "row_no", "name", F.col("g.grade").alias("grade")).agg(F.min("best")["hours"].alias("hours"))
+    return best.select(*key, "row_no", T.title_case_tr(T.spaces(T.without_footnotes(F.col("name")))).alias("course"), "grade", "hours")
 
 
 def with_branches(rows: DataFrame, branches: DataFrame) -> DataFrame:
     """X23, X24. ``rows(doc, table_no, course, grade, hours)`` under their table's branch, each once per branch, by name.
 
     Tables without a branch go to the first branch that the document has, or to ``Genel`` if it has none.
-    ``branches(doc, table_no, branch)``.
+    ``branches(doc, table_no, branch)``; its rows meet on their document once, and are joined by sorting.
     """
-    first = branches.filter("branch is not null").groupBy("doc").agg(F.min_by("branch", "table_no").alias("first_branch"))
-    joined = rows.join(branches, ["doc", "table_no"], "left").join(first, "doc", "left")
-    out = joined.select("doc", F.coalesce("branch", "first_branch", F.lit(GENERAL)).alias("branch"), "course", "grade", "hours")
-    return out.dropDuplicates()
+    named = branches.filter("branch is not null").groupBy("doc").agg(F.min_by("branch", "table_no").alias("first_branch"), F.collect_set(F.struct("table_no", "branch")).alias("named"))
+    joined = rows.hint("merge").join(named, "doc", "left")
+    own = F.transform(F.filter("named", lambda x: x["table_no"] == F.col("table_no")), lambda x: x["branch"])
+    targets = F.when(F.size(own) > 0, own).otherwise(F.array(F.coalesce("first_branch", F.lit(GENERAL))))
+    return distinct_courses(joined.select("doc", F.explode(targets).alias("branch"), "course", "grade", "hours"))
+
+
+def distinct_courses(rows: DataFrame) -> DataFrame:
+    """X24. Each course of a branch once, by its whole row."""
+    return rows.dropDuplicates()
 
 
 def distributed(general: DataFrame, branches: DataFrame, balanced: bool = False) -> DataFrame:
@@ -102,13 +119,16 @@ def distributed(general: DataFrame, branches: DataFrame, balanced: bool = False)
     Branch i takes the courses from i*q on, q or q+1 of them (i < r), as the rule stands, so a course can go to two
     branches and another to none; ``balanced`` deals each once.
     """
+    listed = branches.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("branch_no", "branch"))).alias("branches"))
     n = general.groupBy("doc").agg(F.count("*").alias("n"))
-    m = branches.groupBy("doc").agg(F.count("*").alias("m"))
-    b = branches.join(n, "doc").join(m, "doc").withColumn("q", F.floor(F.col("n") / F.col("m"))).withColumn("r", F.col("n") % F.col("m"))
-    start = F.col("branch_no") * F.col("q") + (F.least("branch_no", "r") if balanced else F.lit(0))
-    size = F.col("q") + (F.col("branch_no") < F.col("r")).cast("int")
-    wanted = b.filter(size > 0).select("doc", "branch", F.explode(F.sequence(start, start + size - 1)).alias("pos"))
-    return wanted.join(general, ["doc", "pos"]).select("doc", "branch", "pos", "course")
+    each = general.hint("merge").join(n, "doc").hint("merge").join(listed, "doc")
+    each = each.withColumns({"q": F.floor(F.col("n") / F.size("branches")), "r": F.col("n") % F.size("branches")})
+
+    def takes(b: Column) -> Column:
+        start = b["branch_no"] * F.col("q") + (F.least(b["branch_no"].cast("long"), F.col("r")) if balanced else F.lit(0))
+        return (F.col("pos") >= start) & (F.col("pos") < start + F.col("q") + (b["branch_no"] < F.col("r")).cast("int"))
+
+    return each.select("doc", F.explode(F.filter("branches", takes)["branch"]).alias("branch"), "pos", "course")
 
 
 def summary(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def x23_with_branches(t):
     return X.with_branches(rows, branches)
 
 
+@query("SELECT DISTINCT l_suppkey AS doc, l_returnflag AS branch, l_linestatus AS course, l_linenumber AS grade, l_quantity AS hours FROM lineitem")
+def x24_distinct_courses(t):
+    return X.distinct_courses(t.lineitem.select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("branch"), F.col("l_linestatus").alias("course"), F.col("l_linenumber").alias("grade"), F.col("l_quantity").alias("hours")))
+
+
 DEALT = """g AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, l_partkey AS course FROM lineitem), b AS (SELECT doc, n, 1 + doc % 3 AS m FROM (SELECT doc, count(*) AS n FROM g GROUP BY 1)),
 w AS (SELECT doc, i, n // m AS q, n % m AS r FROM b, unnest([0, 1, 2]) AS u(i) WHERE i < m)"""
 
