@@ -2,12 +2,14 @@
 
 No join here compares all names with all names. Containment is found over character grams: a name
 that holds another holds the other's rarest gram, so an equi-join on it brings together all pairs
-that can match. Shared words are found by joining on words.
+that can match. Names that must share several words are joined on their rarest ones only: of two
+that share c words, each has a shared one when its c - 1 most frequent are left out. Sizes of exploded tables
+are unknown to Spark, so all these joins are by sorting, in which hot keys can be split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,15 +23,16 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def holding_pairs(holders: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs ``(holder, held)`` of distinct names where one contains the other, from ``holders(name)``, ``held(name)``."""
+def holding_pairs(holders: DataFrame, held: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs ``(by, holder, held)`` of distinct names where one contains the other, from ``holders(by, name)``, ``held(by, name)``."""
+    by = list(by)
     inside = F.array_distinct(F.flatten(F.array(*[_grams(F.col("holder"), n) for n in range(1, GRAM + 1)])))
-    by_gram = holders.select(F.col("name").alias("holder")).filter("holder <> ''").distinct().select("holder", F.explode(inside).alias("gram"))
-    often = by_gram.groupBy("gram").agg(F.count("*").alias("n"))
+    by_gram = holders.select(*by, F.col("name").alias("holder")).filter("holder <> ''").distinct().select(*by, "holder", F.explode(inside).alias("gram"))
+    often = by_gram.groupBy(*by, "gram").agg(F.count("*").alias("n"))
     own = F.when(F.length("held") >= GRAM, _grams(F.col("held"), GRAM)).otherwise(F.array("held"))
-    grams = held.select(F.col("name").alias("held")).filter("held <> ''").distinct().select("held", F.explode(F.array_distinct(own)).alias("gram"))
-    rarest = grams.join(often, "gram", "left").groupBy("held").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return by_gram.join(rarest, "gram").filter(F.col("holder").contains(F.col("held"))).select("holder", "held")
+    grams = held.select(*by, F.col("name").alias("held")).filter("held <> ''").distinct().select(*by, "held", F.explode(F.array_distinct(own)).alias("gram"))
+    rarest = grams.hint("merge").join(often, [*by, "gram"], "left").groupBy(*by, "held").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return by_gram.hint("merge").join(rarest, [*by, "gram"]).filter(F.col("holder").contains(F.col("held"))).select(*by, "holder", "held")
 
 
 def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
@@ -55,7 +58,7 @@ def class_containment(left: DataFrame, right: DataFrame) -> DataFrame:
     two = holding_pairs(names(right), names(left)).select(F.col("held").alias("l"), F.col("holder").alias("r"))
     pairs = one.unionByName(two).distinct()
     r = right.select(F.col("name").alias("right_name"), "id", F.col("protocol").alias("right_protocol"), F.lower("name").alias("r"))
-    met = left.select("name", "protocol", F.lower("name").alias("l")).distinct().join(pairs, "l").join(r, "r")
+    met = left.select("name", "protocol", F.lower("name").alias("l")).distinct().hint("merge").join(pairs, "l").hint("merge").join(r, "r")
     tier = F.when(F.col("l") == F.col("r"), 0).when(F.col("protocol") == F.col("right_protocol"), 1).otherwise(2)
     return _first(met.withColumn("tier", tier), ["name", "protocol"], ["tier", "right_name", "id"], ["tier", "id"])
 
@@ -64,28 +67,57 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
 
 
-def shared_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(l, r, common, n_l, n_r)`` for distinct names that share a word, over the words."""
-    side = lambda d, c, n: d.select(F.col("name").alias(c)).distinct().withColumn("w", _words(F.col(c))).select(c, F.size("w").alias(n), F.explode("w").alias("word"))
-    met = side(left, "l", "n_l").join(side(right, "r", "n_r"), "word")
-    return met.groupBy("l", "r").agg(F.count("*").alias("common"), F.first("n_l").alias("n_l"), F.first("n_r").alias("n_r"))
+def shared_words(left: DataFrame, right: DataFrame, least_left: Callable[[Column], Column], least_right: Callable[[Column], Column]) -> DataFrame:
+    """Distinct ``(l, r, common, n_l, n_r)`` of names that share enough words to matter.
+
+    ``least_left(n)``, ``least_right(n)``: how many words a name of n words must share with a name of the other side, 1 at least. Each name is filed
+    under its rarest words, n - least + 1 of them, so pairs meet that share so many; others may be missing.
+    """
+    side = lambda d: d.select("name").distinct().select("name", F.explode(_words(F.col("name"))).alias("word"))
+    often = side(left).unionByName(side(right)).groupBy("word").agg(F.count("*").alias("n"))
+
+    def filed(d: DataFrame, c: str, least: Callable[[Column], Column]) -> DataFrame:
+        ranked = side(d).hint("merge").join(often, "word").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "word")))["word"].alias(f"w_{c}"))
+        rare = F.slice(f"w_{c}", F.lit(1), F.size(f"w_{c}") - least(F.size(f"w_{c}")) + 1)
+        return ranked.select(F.col("name").alias(c), f"w_{c}", F.explode(rare).alias("word"))
+
+    met = filed(left, "l", least_left).hint("merge").join(filed(right, "r", least_right), "word")
+    # Of the words under which two names meet the first brings them together.
+    met = met.filter(F.col("word") == F.get(F.array_intersect("w_l", "w_r"), F.lit(0)))
+    return met.select("l", "r", F.size(F.array_intersect("w_l", "w_r")).alias("common"), F.size("w_l").alias("n_l"), F.size("w_r").alias("n_r"))
+
+
+def _two(n: Column) -> Column:
+    return F.least(n, F.lit(2))
 
 
 def keyword_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """J8. ``(name, match, tier)``: equal (0), else the first by name with two common words or 70 % of the left ones (1)."""
-    met = shared_words(left, right).withColumn("tier", F.when(F.lower("l") == F.lower("r"), 0).otherwise(1))
-    good = met.filter((F.col("tier") == 0) | (F.col("common") >= 2) | (F.col("common") >= 0.7 * F.col("n_l")))
-    return _first(good, ["l"], ["tier", "r"], ["tier", "r"]).select(F.col("l").alias("name"), F.col("r").alias("match"), "tier")
+    """J8. ``(name, match, tier)``: equal (0), else the first by name with two common words or 70 % of the left ones (1).
+
+    70 % of one word is that word, of more words two at least; so a name of one word takes the first name of that word.
+    """
+    l, r = left.select("name").distinct(), right.select(F.col("name").alias("r")).distinct()
+    words = _words(F.col("name"))
+    equal = l.filter(F.size(words) > 0).withColumn("k", F.lower("name")).hint("merge").join(r.groupBy(F.lower("r").alias("k")).agg(F.min("r").alias("match")), "k").select("name", "match", F.lit(0).alias("tier"))
+    first = r.select("r", F.explode(_words(F.col("r"))).alias("word")).groupBy("word").agg(F.min("r").alias("match"))
+    one = l.filter(F.size(words) == 1).withColumn("word", words[0]).hint("merge").join(first, "word").select("name", "match", F.lit(1).alias("tier"))
+    met = shared_words(l.filter(F.size(words) > 1), right.filter(F.size(words) > 1), _two, _two).filter("common >= 2").select(F.col("l").alias("name"), F.col("r").alias("match"), F.lit(1).alias("tier"))
+    return _first(equal.unionByName(one).unionByName(met), ["name"], ["tier", "match"], ["match", "tier"])
 
 
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """J9. ``(name, match, score)``: equal 100, containment 90, else Dice of the words if over 70; the best, first by name."""
-    names = lambda d: d.select(F.lower("name").alias("name"))
+    """J9. ``(name, match, score)``: equal 100, containment 90, else Dice of the words if over 70; the best, first by name.
+
+    Names are in small letters and trimmed. A pair has the score of the first of these that holds.
+    """
+    names = lambda d: d.select(F.trim(F.lower("name")).alias("name"))
     held = holding_pairs(names(left), names(right)).select(F.col("holder").alias("l"), F.col("held").alias("r")).unionByName(
         holding_pairs(names(right), names(left)).select(F.col("held").alias("l"), F.col("holder").alias("r"))
     )
     whole = held.distinct().withColumn("score", F.when(F.col("l") == F.col("r"), 100.0).otherwise(90.0))
-    dice = shared_words(names(left), names(right)).withColumn("score", 200.0 * F.col("common") / (F.col("n_l") + F.col("n_r"))).filter("score > 70").select("l", "r", "score")
+    # 200 c / (n + m) > 70 with m >= c needs c > 7 n / 13.
+    least = lambda n: F.least(n, F.floor(n * 7 / 13).cast("int") + 1)
+    dice = shared_words(names(left), names(right), least, least).withColumn("score", 200.0 * F.col("common") / (F.col("n_l") + F.col("n_r"))).filter("score > 70 and not contains(l, r) and not contains(r, l)").select("l", "r", "score")
     best = whole.unionByName(dice).groupBy("l", "r").agg(F.max("score").alias("score")).withColumn("worse", -F.col("score"))
     return _first(best, ["l"], ["worse", "r"], ["score", "r"]).select(F.col("l").alias("name"), F.col("r").alias("match"), "score")
 
@@ -93,13 +125,13 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
 def partial_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """J10. ``(name, match)``: all names equal but for letters' form; without any, all with enough common words.
 
-    Enough are two, or 60 % of the words of a name that has two at least.
+    Enough are two, or 60 % of the words of a name that has two at least: two in either case.
     """
     key = lambda c: T.match_key(F.col(c))
     l = left.select("name").distinct().withColumn("key", key("name"))  # noqa: E741
-    same = l.join(right.select(F.col("name").alias("match")).distinct().withColumn("key", key("match")), "key").select("name", "match")
-    rest = l.join(same.select("name").distinct(), "name", "left_anti").select("name")
-    more = shared_words(rest, right).filter((F.col("n_l") >= 2) & (F.col("common") >= F.least(F.lit(2.0), 0.6 * F.col("n_l"))))
+    same = l.hint("merge").join(right.select(F.col("name").alias("match")).distinct().withColumn("key", key("match")), "key").select("name", "match")
+    rest = l.hint("merge").join(same.select("name").distinct(), "name", "left_anti").select("name")
+    more = shared_words(rest.filter(F.size(_words(F.col("name"))) >= 2), right.filter(F.size(_words(F.col("name"))) >= 2), _two, _two).filter("common >= 2")
     return same.unionByName(more.select(F.col("l").alias("name"), F.col("r").alias("match")))
 
 
@@ -145,9 +177,14 @@ def fill_by_pattern(units: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A unit takes the hours of the first (by name) incoming part that its name holds, cases aside.
     """
-    empty = units.filter("hours is null or hours = 0").join(incoming, "course_id").filter(F.lower("unit").contains(F.lower("part")))
-    found = _first(empty, ["unit_id"], ["part", "new_hours"], ["new_hours"])
-    return units.join(found, "unit_id", "left").withColumn("hours", F.coalesce("new_hours", "hours")).drop("new_hours")
+    open_ = units.filter("hours is null or hours = 0").select("unit_id", "course_id", F.lower("unit").alias("holder"))
+    parts = incoming.filter("part is not null").select("course_id", "part", "new_hours", F.lower("part").alias("held"))
+    pairs = holding_pairs(open_.select("course_id", F.col("holder").alias("name")), parts.select("course_id", F.col("held").alias("name")), ["course_id"])
+    met = open_.hint("merge").join(pairs, ["course_id", "holder"]).hint("merge").join(parts, ["course_id", "held"])
+    # An empty part is in every name.
+    blank = open_.hint("merge").join(parts.filter("held = ''").groupBy("course_id").agg(F.min(F.struct("part", "new_hours")).alias("m")), "course_id").select("unit_id", "m.*")
+    found = _first(met.select("unit_id", "part", "new_hours").unionByName(blank), ["unit_id"], ["part", "new_hours"], ["new_hours"])
+    return units.hint("merge").join(found, "unit_id", "left").withColumn("hours", F.coalesce("new_hours", "hours")).drop("new_hours")
 
 
 def bucket_fallback(names: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -155,6 +192,6 @@ def bucket_fallback(names: DataFrame, buckets: DataFrame) -> DataFrame:
     up = lambda d, c: d.select(F.upper(c).alias("name"))
     one = holding_pairs(up(names, "name"), up(buckets, "bucket")).select(F.col("holder").alias("n"), F.col("held").alias("b"))
     two = holding_pairs(up(buckets, "bucket"), up(names, "name")).select(F.col("held").alias("n"), F.col("holder").alias("b"))
-    met = names.select("name", F.upper("name").alias("n")).distinct().join(one.unionByName(two).distinct(), "n").join(buckets.withColumn("b", F.upper("bucket")), "b")
+    met = names.select("name", F.upper("name").alias("n")).distinct().hint("merge").join(one.unionByName(two).distinct(), "n").hint("merge").join(buckets.withColumn("b", F.upper("bucket")), "b")
     ranked = met.withColumn("tier", F.when(F.col("name") == F.col("bucket"), 0).otherwise(1))
-    return names.distinct().join(_first(ranked, ["name"], ["tier", "pos", "bucket"], ["bucket"]), "name", "left")
+    return names.distinct().hint("merge").join(_first(ranked, ["name"], ["tier", "pos", "bucket"], ["bucket"]), "name", "left")

@@ -56,6 +56,41 @@ def test_containment_is_that_of_all_pairs(spark):
     assert {tuple(r) for r in got.collect()} == {(a, b) for a in left for b in right if b in a}
 
 
+def test_shared_words_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    names = [rng.choice(["", " "]) + " ".join(rng.choice(["Temel", "temel", "Dal", "ağ", "iş", "Ses", "x"]) for _ in range(rng.randint(0, 5))) for _ in range(70)]
+    left, right = names[:35], names[30:]
+    frames = [spark.createDataFrame([(n,) for n in x], "name string") for x in (left, right)]
+    words = lambda n: set(n.lower().split())
+    want = {}
+    for a in left:
+        good = [(0 if a.lower() == b.lower() else 1, b) for b in right if words(a) & words(b) and (a.lower() == b.lower() or len(words(a) & words(b)) >= min(2, 0.7 * len(words(a))))]
+        if good:
+            want[a] = min(good)
+    assert {r["name"]: (r["tier"], r["match"]) for r in M.keyword_overlap(*frames).collect()} == want
+    key = lambda n: " ".join(n.split()).translate(str.maketrans("çğıöşüÇĞİÖŞÜ", "cgiosuCGIOSU")).upper()
+    pairs = set()
+    for a in left:
+        same = {(a, b) for b in right if key(a) == key(b)}
+        pairs |= same or {(a, b) for b in right if len(words(a)) >= 2 and len(words(a) & words(b)) >= min(2, 0.6 * len(words(a)))}
+    assert {tuple(r) for r in M.partial_matches(*frames).collect()} == pairs
+    best = {}
+    for a in {n.lower().strip() for n in left}:
+        for b in {n.lower().strip() for n in right}:
+            dice = 200 * len(words(a) & words(b)) / ((len(words(a)) + len(words(b))) or 1)
+            score = 100 if a == b and a else 90 if a and b and (a in b or b in a) else dice if dice > 70 else 0
+            if score and (a not in best or (-score, b) < best[a]):
+                best[a] = (-score, b)
+    assert {r["name"]: (-r["score"], r["match"]) for r in M.similarity(*frames).collect()} == best
+
+
+def test_fill_by_pattern_is_that_of_all_pairs(spark):
+    units = [(1, 7, "Temel Ağlar", 0), (2, 7, "temel", None), (3, 7, "Ses", 5), (4, 8, "Temel", 0), (5, None, "Temel", 0), (6, 9, "x", 0), (7, 9, None, 0)]
+    incoming = [(7, "TEMEL", 3), (7, "ağ", 4), (7, "Ağ", 9), (8, "temel ağlar", 2), (9, "", 6), (9, "y", 1), (None, "Temel", 8), (8, None, 9)]
+    got = M.fill_by_pattern(spark.createDataFrame(units, "unit_id int, course_id int, unit string, hours int"), spark.createDataFrame(incoming, "course_id int, part string, new_hours int"))
+    assert {r["unit_id"]: r["hours"] for r in got.collect()} == {1: 3, 2: 3, 3: 5, 4: 0, 5: 0, 6: 6, 7: 0}
+
+
 def test_streamed_ingest_equals_batch(spark, tmp_path):
     rows = [(i, i % 7, f"v{i}") for i in range(100)]
     source = str(tmp_path / "in")
