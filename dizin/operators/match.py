@@ -177,7 +177,7 @@ def fill_by_pattern(units: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A unit takes the hours of the first (by name) incoming part that its name holds, cases aside.
     """
-    open_ = units.filter("hours is null or hours = 0").select("unit_id", "course_id", F.lower("unit").alias("holder"))
+    open_ = units.filter("unit is not null and (hours is null or hours = 0)").select("unit_id", "course_id", F.lower("unit").alias("holder"))
     parts = incoming.filter("part is not null").select("course_id", "part", "new_hours", F.lower("part").alias("held"))
     pairs = holding_pairs(open_.select("course_id", F.col("holder").alias("name")), parts.select("course_id", F.col("held").alias("name")), ["course_id"])
     met = open_.hint("merge").join(pairs, ["course_id", "holder"]).hint("merge").join(parts, ["course_id", "held"])

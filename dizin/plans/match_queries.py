@@ -62,7 +62,7 @@ def j08_keyword_overlap(t):
 
 @query(f"""WITH l AS (SELECT DISTINCT lower(name) AS name FROM {LEFT}), r AS (SELECT DISTINCT lower(name) AS name FROM {RIGHT}), {TOKENS},
 s AS (SELECT l.name AS l, r.name AS r, CASE WHEN l.name = r.name THEN 100.0 ELSE 90.0 END AS score FROM l, r WHERE contains(l.name, r.name) OR contains(r.name, l.name)
-  UNION ALL SELECT l, r, 200.0 * common / (n_l + n_r) FROM met WHERE 200.0 * common / (n_l + n_r) > 70), b AS (SELECT l, r, CAST(max(score) AS DOUBLE) AS score FROM s GROUP BY ALL)
+  UNION ALL SELECT l, r, 200.0 * common / (n_l + n_r) FROM met WHERE 200.0 * common / (n_l + n_r) > 70 AND NOT contains(l, r) AND NOT contains(r, l)), b AS (SELECT l, r, CAST(max(score) AS DOUBLE) AS score FROM s GROUP BY ALL)
 SELECT l AS name, r AS match, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY l ORDER BY b.score DESC, r) = 1""")
 def j09_similarity(t):
     return M.similarity(names(t), right(t)).withColumn("score", F.round("score", 6))
