@@ -58,6 +58,21 @@ def present(*columns: Column) -> Column:
     return ok
 
 
+def editable(row_id: Column, form: Column) -> Column:
+    """P8. Whether a row can be edited: it has an id and a form path that is not blank."""
+    return present(row_id, form)
+
+
+def file_of(path: Column) -> Column:
+    """The file name of a path or URL."""
+    return F.substring_index(path, "/", -1)
+
+
+def by_file_name(df: DataFrame, path: str, term: str) -> DataFrame:
+    """P10. Rows whose file name holds the term, in any case; a blank term keeps all."""
+    return df.filter(F.lower(file_of(F.col(path))).contains(term.strip().lower()))
+
+
 def flat_courses(course: DataFrame, bridge: DataFrame, branch: DataFrame, area: DataFrame) -> DataFrame:
     """J2, P9. Each course with its branches and areas, ``-`` and 0 where there is none.
 
@@ -69,6 +84,40 @@ def flat_courses(course: DataFrame, bridge: DataFrame, branch: DataFrame, area:
     return joined.select("course_id", shown("area"), shown("branch"), shown("course"), F.coalesce("grade", F.lit(0)).alias("grade"), F.coalesce("hours", F.lit(0)).alias("hours"))
 
 
+#: The order of the flat course list.
+FOUR_KEYS = ("area", "branch", "course", "grade")
+
+
+def four_key_sort(df: DataFrame, tie: str = "course_id", keys: Sequence[str] = FOUR_KEYS) -> DataFrame:
+    """O1. Rows by area, branch, course and grade, nulls first, then by ``tie``."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in (*keys, tie)])
+
+
+def with_places(df: DataFrame, tie: str = "course_id", keys: Sequence[str] = FOUR_KEYS) -> DataFrame:
+    """O1. Rows with ``place``, from 1, in the order of ``four_key_sort``.
+
+    Rows are numbered within sorted ranges, and each range adds the rows of those before: no task sees all rows.
+    """
+    order = [F.col(c).asc_nulls_first() for c in (*keys, tie)]
+    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    part = part.withColumn("__part", F.shiftright("__m", 33))
+    sizes = part.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    # One row per partition.
+    placed = part.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return placed.drop("__m", "__part", "__before")
+
+
+def distinct_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """O5. The distinct values of the columns together."""
+    return df.select(*columns).distinct()
+
+
+def with_defaults(df: DataFrame, defaults: Mapping[str, str | int | float | bool]) -> DataFrame:
+    """F19. Nulls of each column named replaced by its default."""
+    return df.na.fill(dict(defaults))
+
+
 def sorted_rows(df: DataFrame, column: str, descending: bool, tie: str) -> DataFrame:
     """O2. By one column, equal rows in the order of ``tie``."""
     return df.orderBy(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first(), tie)

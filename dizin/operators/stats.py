@@ -116,14 +116,19 @@ def province_progress(df: DataFrame) -> DataFrame:
     return every.withColumn("total", F.sum("new_branches").over(Window.orderBy("province_no").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def progress(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """W7. Rows of each group numbered in order (``i`` of ``n``), with the share done."""
+    n = df.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    return n.withColumn("done", F.round(F.col("i") / F.col("n"), 6))
+
+
 def milestones(df: DataFrame, group: str, order: Sequence[str], every: int) -> DataFrame:
-    """W6, W7. Rows of each group numbered in order, with their share done, and whether they are a quarter's end or each k-th."""
-    w = Window.partitionBy(group).orderBy(*order)
-    n = df.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    """W6. ``progress`` of the rows, and whether they are a quarter's end or each k-th."""
+    n = progress(df, group, order)
     quarter = F.lit(False)
     for q in (1, 2, 3, 4):
         quarter = quarter | (F.col("i") == F.ceil(F.col("n") * q / 4))
-    return n.withColumn("done", F.round(F.col("i") / F.col("n"), 6)).withColumn("milestone", quarter).withColumn("kth", F.col("i") % every == 0)
+    return n.withColumn("milestone", quarter).withColumn("kth", F.col("i") % every == 0)
 
 
 def renumbered(df: DataFrame, parent: str, seq: str) -> DataFrame:

@@ -94,7 +94,7 @@ def p07_with_code(t):
 
 @query("SELECT p_partkey, p_size % 2 = 0 AS editable FROM part")
 def p08_editable(t):
-    return t.part.select("p_partkey", B.present(F.col("p_partkey"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("  ")).alias("editable"))
+    return t.part.select("p_partkey", B.editable(F.col("p_partkey"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("  ")).alias("editable"))
 
 
 @query(f"{FLAT} SELECT course_id, area, branch, course, grade, hours, '-' AS branch_link FROM flat WHERE branch = '-' UNION ALL SELECT course_id, area, branch, course, grade, hours, 'http://files/' || replace(branch, ' ', '%20') FROM flat WHERE branch <> '-'")
@@ -105,8 +105,7 @@ def p09_browsing_rows(t):
 
 @query("SELECT page_id, string_split(url, '/')[-1] AS file FROM pages WHERE contains(lower(string_split(url, '/')[-1]), 'html')")
 def p10_by_file_name(t):
-    file = F.substring_index("url", "/", -1)
-    return t.pages.filter(F.lower(file).contains("html")).select("page_id", file.alias("file"))
+    return B.by_file_name(t.pages, "url", " HTML").select("page_id", B.file_of(F.col("url")).alias("file"))
 
 
 @query(f"{WITH} SELECT DISTINCT area_id, c.course_id, course, grade FROM course c JOIN bridge b ON c.course_id = b.course_id JOIN branch n ON b.branch_id = n.branch_id")
@@ -189,13 +188,7 @@ def x17_append_children(t):
 
 @query(f"{FLAT} SELECT row_number() OVER (ORDER BY area NULLS FIRST, branch NULLS FIRST, course NULLS FIRST, grade NULLS FIRST, course_id) AS place, course_id, branch FROM flat")
 def o01_four_key_sort(t):
-    # A place in the whole order: numbered within sorted partitions, plus the rows of those before.
-    order = ["area", "branch", "course", "grade", "course_id"]
-    ranged = flat(t).repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    part = ranged.withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)).withColumn("at", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return part.join(F.broadcast(before), "part").select((F.col("before") + F.col("at") + 1).alias("place"), "course_id", "branch")  # a row per partition
+    return B.with_places(flat(t)).select("place", "course_id", "branch")
 
 
 @query("SELECT p_partkey, p_retailprice, p_name FROM part")
@@ -215,7 +208,7 @@ def o04_sample(t):
 
 @query("SELECT DISTINCT p_type, p_brand FROM part")
 def o05_distinct(t):
-    return t.part.select("p_type", "p_brand").distinct()
+    return B.distinct_of(t.part, ["p_type", "p_brand"])
 
 
 @query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS x, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS y FROM part)

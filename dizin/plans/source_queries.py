@@ -227,3 +227,8 @@ def w05_province_progress(t):
 SELECT user_id, event_id, CAST(i AS INT) AS i, n, round(i / n, 6) AS done, i IN (ceil(n * 1 / 4), ceil(n * 2 / 4), ceil(n * 3 / 4), n) AS milestone, i % 5 = 0 AS kth FROM n""")
 def w06_milestones(t):
     return A.milestones(t.events.select("user_id", "event_id"), "user_id", ["event_id"], 5)
+
+
+@query("SELECT p_brand, p_partkey, CAST(row_number() OVER w AS INT) AS i, count(*) OVER (PARTITION BY p_brand) AS n, round(row_number() OVER w / count(*) OVER (PARTITION BY p_brand), 6) AS done FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
+def w07_progress(t):
+    return A.progress(t.part.select("p_brand", "p_partkey"), "p_brand", ["p_partkey"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dizin.functions import text as T
+from dizin.operators import browse as B
 from dizin.plans.registry import Tables, query
 
 #: Names with capitals, hyphens, small words and Turkish letters, one per part.
@@ -185,7 +186,7 @@ def f18_encoded_path(t):
 @query("SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, '') AS name, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 0) AS hours FROM part")
 def f19_null_defaults(t):
     held = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("hours"))
-    return held.na.fill({"name": "", "hours": 0})
+    return B.with_defaults(held, {"name": "", "hours": 0})
 
 
 @query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN (9 + p_size % 4) || '. Sınıf (2024)' WHEN 1 THEN (9 + p_size % 4) || '. Sınıf' ELSE p_type END AS label FROM part""")

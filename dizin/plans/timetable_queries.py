@@ -110,7 +110,7 @@ def x26_summary(t):
 
 @query("""SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, arg_max(value, event_id) AS progress, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'running' END AS state FROM events GROUP BY 1""")
 def t01_progress_rollup(t):
-    return S.progress_rollup(t.events, "user_id", "event_type", "event_id", "value").drop("last_kind")
+    return S.progress_rollup(t.events, "user_id", "event_type", "event_id", "value", done="purchase").drop("last_kind")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events FROM events GROUP BY ALL")

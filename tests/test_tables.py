@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from dizin.operators import browse as B
 from dizin.operators import match as M
 from dizin.operators import upsert as U
 from dizin.streaming import streams as S
@@ -96,20 +97,35 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     for part in (rows[:40], rows[40:]):
         spark.createDataFrame(part, "seq int, k int, v string").coalesce(1).write.mode("append").parquet(source)
-    out, state = tmp_path / "out", {}
-
-    def read():
-        return spark.read.parquet(state["at"]) if state else None
-
-    def write(df, number):
-        at = str(out / str(number))
-        df.write.mode("overwrite").parquet(at)
-        state["at"] = at
-
+    out = str(tmp_path / "out")
     stream = spark.readStream.schema("seq int, k int, v string").option("maxFilesPerTrigger", 1).parquet(source)
-    S.ingest(stream, "k", "seq", read, write, str(tmp_path / "cp")).awaitTermination()
-    want = S.latest(spark.createDataFrame(rows, "seq int, k int, v string"), "k", "seq")
-    assert sorted(map(tuple, read().collect())) == sorted(map(tuple, want.collect()))
+    S.ingest(stream, "k", out, str(tmp_path / "cp"), 4).awaitTermination()
+    first = {p: p.stat().st_mtime_ns for p in Path(out).rglob("*.parquet")}
+    spark.createDataFrame([(200, 3, "new"), (-1, 4, "late")], "seq int, k int, v string").coalesce(1).write.mode("append").parquet(source)
+    S.ingest(stream, "k", out, str(tmp_path / "cp"), 4).awaitTermination()
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items()) and first
+    want = S.latest(spark.createDataFrame([*rows, (200, 3, "new")], "seq int, k int, v string"), "k", "seq")
+    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq").collect())) == sorted(map(tuple, want.collect()))
+    assert [tuple(r) for r in S.ingested(spark, out, "k", "seq", 3, 4).collect()] == [(200, 3, "new")]
+    # From nothing again, as after a lost checkpoint: batches replace what they wrote.
+    S.ingest(stream, "k", out, str(tmp_path / "cp2"), 4).awaitTermination()
+    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sample(spark):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(500)] + [(None, "x")], "id int, name string")
+    one, two = ([r["id"] for r in B.sample(x, 60, "id").collect()] for x in (df, df.repartition(7)))
+    by_hash = df.withColumn("h", F.xxhash64(F.lit(42), "id")).collect()
+    assert one == two == [r["id"] for r in sorted(by_hash, key=lambda r: (r["h"], r["id"] or -1))[:60]] and len(set(one)) == 60
+    assert B.sample(df, 1000, "id").count() == 501 and B.sample(df, 0, "id").count() == 0 and one != [r["id"] for r in B.sample(df, 60, "id", 7).collect()]
+
+
+def test_places_follow_the_sort(spark):
+    rows = [(i, *[None if i % 11 == j else "abc"[(i * 7 + j) % 3] for j in range(3)], i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "course_id int, area string, branch string, course string, grade int").repartition(5)
+    placed = [r["course_id"] for r in B.with_places(df).orderBy("place").collect()]
+    assert placed == [r["course_id"] for r in B.four_key_sort(df).collect()] and B.distinct_of(df, ["grade"]).count() == 4
+    assert B.with_defaults(df, {"area": "-"}).filter("area = '-'").count() == df.filter("area is null").count()
 
 
 def test_streamed_rollup(spark, tmp_path):
