@@ -24,6 +24,8 @@ WINDOW = 10
 SEGMENT_WORDS = 1 << 21
 #: Test terms that are sent to every task at once (about 64 MB); a larger test set is indexed in several passes.
 TERMS_AT_ONCE = 500_000
+#: Phrases that are looked up together in a segment; more are divided, each part with the lists that it needs.
+ASKED = 100_000
 #: Free positions between documents, so that no phrase of up to this many words reaches from one into the next.
 GAP = 64
 SEGMENTS = "segment string, term binary, n long, docs binary, places binary"
@@ -72,10 +74,9 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
         mine = terms if passes == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == part)
         listed = spark.sparkContext.broadcast(sorted(bytes(r["term"]) for r in mine.toLocalIterator()))
         rows = held.mapInPandas(_indexer(listed), SEGMENTS)
-        if part:
-            rows = rows.filter(F.length("term") > 0)
+        rows = written(rows.filter(F.length("term") > 0) if part else rows, "index")
+        listed.destroy()
         out = rows if out is None else out.unionByName(rows)
-    out = written(out, "index")
     if passes > 1:
         forget(copy)
     return out
@@ -142,8 +143,16 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     ranked = written(ranked.select("window_id", "words", "order", "term"), "phrases")
     here = index.filter(F.length("term") > 0).select("segment", "term")
     asked = written(here.hint("merge").join(ranked, "term").select("segment", "window_id", "words", "order"), "asked")
-    with_any = asked.select("segment").distinct()
-    lists = index.filter(F.length("term") > 0).hint("merge").join(with_any, "segment", "left_semi")
+    most = asked.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // ASKED) if most else 1
+    lists = index.filter(F.length("term") > 0).select("segment", "term", "places")
+    if parts == 1:
+        lists = lists.hint("merge").join(asked.select("segment").distinct(), "segment", "left_semi").withColumn("part", F.lit(0))
+        asked = asked.withColumn("part", F.lit(0))
+    else:
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("window_id"), F.lit(parts)).cast("int"))
+        needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed")
+        lists = lists.hint("merge").join(needed, ["segment", "term"])
 
     def intersect(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         lists = {bytes(t): np.frombuffer(p, np.int64) for t, p in zip(rows["term"], rows["places"], strict=True)}
@@ -167,7 +176,7 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
                 out.append((key[0], window, starts.astype(np.int64).tobytes()))
         return pd.DataFrame(out, columns=["segment", "window_id", "places"])
 
-    return lists.groupBy("segment").cogroup(asked.groupBy("segment")).applyInPandas(intersect, "segment string, window_id string, places binary")
+    return lists.groupBy("segment", "part").cogroup(asked.groupBy("segment", "part")).applyInPandas(intersect, "segment string, window_id string, places binary")
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:

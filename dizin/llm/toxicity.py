@@ -24,8 +24,8 @@ from dizin.llm.common import crc_fold, with_judgement, written
 #: Words as letters and digits; a term has at least this many letters to stand misspelt, a stem to stand alone.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MISSPELT, STEM = 5, 4
-#: Training rows of each label (chosen by hash), and the most terms that the lexicon keeps.
-TRAIN_DOCS, LEXICON = 5_000, 2_000
+#: Training rows of each label, chosen by hash.
+TRAIN_DOCS = 5_000
 #: A term must stand in so many toxic training documents, and in this part of them, and be so much likelier there (log odds).
 SUPPORT, PART, ODDS = 3, 0.004, 3.0
 #: A stem is more than one word: none of its words may make up this part of its documents.
@@ -235,7 +235,7 @@ def train(rows: DataFrame) -> Model:
 
     About ``TRAIN_DOCS`` rows of each label are read, all if fewer, chosen by a hash of the id. Words
     and beginnings of words are counted by document; those much likelier in toxic ones make the
-    lexicon, the ``LEXICON`` strongest at most. The words that reach ``PART`` of the toxic documents
+    lexicon. The words that reach ``PART`` of the toxic documents
     are few enough to send to every task. Slope and bias are fitted on the same rows. Without rows of
     both labels nothing is toxic.
     """
@@ -253,7 +253,7 @@ def train(rows: DataFrame) -> Model:
     only = rows.sparkSession.sparkContext.broadcast(frozenset(bad))
     good = {(r["term"], r["stem"]): r["docs"] for r in _features(used.filter("toxic = 0"), only).collect()}
     odds = {k: math.log((v + 0.5) / (n.get(1, 0) + 1)) - math.log((good.get(k, 0) + 0.5) / (n.get(0, 0) + 1)) for k, v in bad.items()}
-    best = sorted((k for k in bad if odds[k] >= ODDS), key=lambda k: (-odds[k], -bad[k], k))[:LEXICON]
+    best = sorted((k for k in bad if odds[k] >= ODDS), key=lambda k: (-odds[k], -bad[k], k))
     single = {}
     for term, stem in best:
         if not stem:

@@ -12,7 +12,9 @@ from dizin.llm import decontaminate, licenses, simhash
 rng = random.Random(11)
 
 
-def test_index_in_several_passes(spark, monkeypatch):
+@pytest.mark.parametrize("asked", [decontaminate.ASKED, 2])
+def test_index_in_several_passes(spark, monkeypatch, asked):
+    monkeypatch.setattr(decontaminate, "ASKED", asked)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(14)]
     leak = [rng.choice(words) for _ in range(25)]
     texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]

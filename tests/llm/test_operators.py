@@ -170,7 +170,7 @@ def test_decontaminate(spark):
                     items_hit |= names
         want[i] = (len(w), len(hit), sorted(items_hit))
     assert len(got) == d.count()
-    assert all((r["n_words"], r["n_hit"], r["items"]) == want[r["doc_id"]] for r in got if 0 <= r["doc_id"] < 40)
+    assert all((r["n_words"], r["n_hit"], r["items"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None and r["doc_id"] < 40)
     left = {r["doc_id"] for r in decontaminate.decontaminate(d, items).collect()}
     assert left & set(want) == {i for i, x in want.items() if not x[1]}
 
