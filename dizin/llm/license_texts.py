@@ -130,6 +130,123 @@ SIGNATURES = (
     ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 6),
     ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 7),
     ("openssl", f"{_FORMS} ~1500~this product includes software developed by the openssl project for use in the openssl toolkit(?: ~1500~products derived from this software may not be called openssl)?", 10),
+    # More wording of the above
+    ("apache-2.0", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document", 6),
+    ("apache-2.0", "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor", 6),
+    ("apache-2.0", "unless you explicitly state otherwise any contribution intentionally submitted for inclusion in the work by you to the licensor shall be under the terms and conditions of this license", 6),
+    ("bsd-2-clause", "this software is provided by the copyright holders? and contributors as is and any express or implied warranties", 5),
+    ("bsd-3-clause", "this software is provided by the regents and contributors as is and any express or implied warranties", 6),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license", 6),
+    ("isc", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", 5),
+    ("boost-1.0", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software", 6),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", 6),
+    ("unlicense", "for more information please refer to https? unlicense org", 6),
+    ("cc0-1.0", "to the extent possible under law ~100~waived all copyright and related or neighboring rights to", 6),
+    ("wtfpl", "copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 6),
+    ("artistic-2.0", "you may distribute your modified version as source either gratis or for a distributor fee", 6),
+    ("artistic-1.0", "you may make and give away verbatim copies of the source form of the standard version of this package without restriction", 6),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", 6),
+    ("libpng-2.0", "the png reference library is supplied as is", 6),
+    ("libpng-2.0", "this code is released under the libpng license", 6),
+    ("mpl-2.0", "covered software means source code form to which the initial contributor has attached the notice in exhibit a", 6),
+    ("mpl-1.1", "larger work means a work which combines covered code or portions thereof with code not governed by the terms of this license", 6),
+    ("epl-1.0", "contribution means a in the case of the initial contributor the initial code and documentation distributed under this agreement", 6),
+    ("epl-2.0", "contribution means a in the case of the initial contributor the initial content distributed under this agreement", 6),
+    ("cddl-1.0", "you can obtain a copy of the license at ~60~opensource org licenses cddl1", 6),
+    ("gpl-2.0", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium", 6),
+    ("gpl-3.0", "you may convey verbatim copies of the program s source code as you receive it in any medium", 6),
+    ("gpl-3.0", "nothing in this license shall be construed as excluding or limiting any implied license or other defenses to infringement", 6),
+    ("lgpl-2.1", "you may copy and distribute verbatim copies of the library s complete source code as you receive it in any medium", 6),
+    ("lgpl-3.0", "a combined work is a work produced by combining or linking an application with the library", 6),
+    ("agpl-3.0", "remote network interaction use with the gnu general public license", 6),
+    ("gfdl-1.3", "a transparent copy of the document means a machine readable copy represented in a format whose specification is available to the general public", 6),
+    # Exceptions to the GNU licenses
+    ("classpath-exception-2.0", "linking this library statically or dynamically with other modules is making a combined work based on this library", 6),
+    ("gcc-exception-3.1", "gcc runtime library exception", 6),
+    ("bison-exception-2.2", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 6),
+    ("autoconf-exception-3.0", "as a special exception the free software foundation gives unlimited permission to copy distribute and modify the configure scripts", 6),
+    ("openssl-exception", "permission to link the code of portions of this program with the openssl library", 6),
+    ("font-exception-2.0", "if you create a document which uses this font and embed this font or unaltered portions of this font into the document", 6),
+    # Academic and Open Software, Apple, Blue Oak
+    ("afl-3.0", "licensed under the academic free license version 3 0", 6),
+    ("afl-3.0", "this academic free license the license applies to any original work of authorship", 6),
+    ("osl-3.0", "licensed under the open software license version 3 0", 6),
+    ("osl-3.0", "this open software license the license applies to any original work of authorship", 6),
+    ("apsl-2.0", "original code and or modifications of original code as defined in and that are subject to the apple public source license version 2 0", 6),
+    ("blueoak-1.0.0", "this license gives everyone as much permission to work with this software as possible while protecting contributors from liability", 6),
+    # CeCILL, common and IBM public, attribution
+    ("cecill-2.1", "governed by the cecill license under french law and abiding by the rules of distribution of free software", 6),
+    ("cecill-b", "governed by the cecill b license under french law and abiding by the rules of distribution of free software", 6),
+    ("cecill-c", "governed by the cecill c license under french law and abiding by the rules of distribution of free software", 6),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license", 6),
+    ("ipl-1.0", "the accompanying program is provided under the terms of this ibm public license", 6),
+    ("cpal-1.0", "the contents of this file are subject to the common public attribution license version 1 0", 6),
+    ("npl-1.1", "the contents of this file are subject to the netscape public license version 1 1", 6),
+    ("ecl-2.0", "licensed under the educational community license version 2 0", 6),
+    ("efl-2.0", "permission is hereby granted to use copy modify and or distribute this package provided that", 6),
+    # Historical permission, font and image libraries
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appears? in all copies", 6),
+    ("icu", "provided that the above copyright notice s and this permission notice appear in all copies of the software and that both the above copyright notice s and this permission notice appear in supporting documentation", 6),
+    ("ftl", "this license applies to all files distributed in the original freetype (?:archive|project)", 6),
+    ("ftl", "portions of this software are copyright ~40~the freetype project", 6),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", 6),
+    ("info-zip", "for the purposes of this copyright and license info zip is defined as the following set of individuals", 6),
+    ("bzip2-1.0.6", "this program bzip2 the associated library libbzip2 and all documentation are copyright", 6),
+    # Conditions of their own
+    ("json", "the software shall be used for good not evil", 7),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 6),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 6),
+    ("lppl-1.3c", "this work may be distributed and or modified under the conditions of the latex project public license", 6),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license ~300~microsoft public license", 7),
+    ("ms-pl", "microsoft public license ms pl", 6),
+    ("ms-rl", "microsoft reciprocal license ms rl", 6),
+    ("mulanpsl-2.0", "is licensed under mulan psl v2", 6),
+    ("mulanpsl-2.0", "you can use this software according to the terms and conditions of the mulan psl v2", 6),
+    ("php-3.01", "this product includes php software freely available from", 6),
+    ("php-3.01", "subject to version 3 01 of the php license", 6),
+    ("qpl-1.0", "may be distributed under the terms of the q public license", 6),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices and associated disclaimers", 6),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for", 6),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose provided that existing copyright notices are retained in all copies", 6),
+    ("upl-1.0", "the universal permissive license upl version 1 0", 6),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim", 6),
+    ("w3c", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms and conditions", 6),
+    ("zpl-2.1", "zope public license zpl version 2 1", 6),
+    ("python-2.0", "cnri open source license agreement", 6),
+    ("python-2.0", "beopen python open source license agreement version 1", 6),
+    ("unicode-dfs-2016", "unicode inc license agreement data files and software", 6),
+    # Source available, models
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", 6),
+    ("commons-clause", "the license does not grant to you the right to sell the software", 6),
+    ("commons-clause", "commons clause license condition v1 0", 6),
+    ("polyform-noncommercial-1.0.0", "polyform noncommercial license 1 0 0", 6),
+    ("polyform-small-business-1.0.0", "polyform small business license 1 0 0", 6),
+    ("bsl-1.1", "the change date ~80~the licensed work will be made available under the change license", 6),
+    ("openrail", "creativeml open rail m", 6),
+    ("openrail", "use based restrictions as referenced in paragraph 5 must be included as an enforceable provision", 6),
+    ("llama2", "llama 2 is licensed under the llama 2 community license", 6),
+    ("llama2", "llama 2 community license agreement", 5),
+    # Creative Commons texts
+    ("cc-by-4.0", "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license", 7),
+    ("cc-by-sa-4.0", "terms and conditions of this creative commons attribution sharealike 4 0 international public license", 7),
+    ("cc-by-nc-4.0", "terms and conditions of this creative commons attribution noncommercial 4 0 international public license", 7),
+    ("cc-by-nd-4.0", "terms and conditions of this creative commons attribution noderivatives 4 0 international public license", 7),
+    ("cc-by-nc-sa-4.0", "terms and conditions of this creative commons attribution noncommercial sharealike 4 0 international public license", 7),
+    ("cc-by-nc-nd-4.0", "terms and conditions of this creative commons attribution noncommercial noderivatives 4 0 international public license", 7),
+    # Data
+    ("cdla-permissive-2.0", "community data license agreement permissive version 2 0", 6),
+    ("cdla-sharing-1.0", "community data license agreement sharing version 1 0", 6),
+    ("pddl-1.0", "open data commons public domain dedication (?:and|&) licen[cs]e", 6),
+    ("pddl-1.0", "opendatacommons org licenses pddl", 6),
+    ("odc-by-1.0", "open data commons attribution license", 6),
+    ("odc-by-1.0", "opendatacommons org licenses by", 6),
+    ("ogl-uk-3.0", "contains public sector information licensed under the open government licence v3 0", 7),
+    ("ogl-uk-3.0", "open government licence v3 0", 6),
+    # Reserved
+    ("proprietary", "no part of this ~60~may be reproduced stored in a retrieval system or transmitted in any form or by any means", 6),
+    ("proprietary", "this (?:document|file|material) contains (?:confidential and proprietary|proprietary and confidential) information", 6),
+    ("proprietary", "you may not (?:copy modify|modify copy) distribute sell or lease any part of", 6),
+    ("proprietary", "this end user license agreement (?:eula )?is a legal agreement between you", 6),
     # Others
     ("eupl-1.2", "licensed under the eupl(?: version)?(?: v)? ?1 [12]", 6),
     ("eupl-1.2", "this european union public licence the eupl applies to the work", 6),
