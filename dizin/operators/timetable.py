@@ -88,7 +88,7 @@ def courses(cells: DataFrame) -> DataFrame:
     named = F.filter("row", lambda c: (F.length(c["text"]) >= 4) & ~no_course(c) & (place(c, F.col("course_col")) > 0))
     rows = rows.withColumn("name", nearest(named, lambda c: F.struct(place(c, F.col("course_col")).alias("place"), c["text"].alias("text")))["text"]).filter("name is not null")
     rows = rows.select(*key, "row_no", "name", "row", F.explode("grades").alias("g"))
-    timed = F.filter("row", lambda c: c["text"].rlike(r"^([1-9]|10)$") & (place(c, F.col("g.col")) > 0))
+    timed = F.filter("row", lambda c: c["text"].rlike(r"^0*([1-9]|10)$") & (place(c, F.col("g.col")) > 0))
     hours = nearest(timed, lambda c: F.struct(place(c, F.col("g.col")).alias("place"), c["text"].cast("int").alias("hours")))
     # Two columns of one grade: the nearest hours of both.
     best = rows.withColumn("best", hours).filter("best is not null").groupBy(*key, "row_no", "name", F.col("g.grade").alias("grade")).agg(F.min("best")["hours"].alias("hours"))
