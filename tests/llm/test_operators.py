@@ -72,6 +72,16 @@ def test_columns_of_others_stay(spark, run):
     assert set(d.columns) <= set(got.columns) and all(r["__text"] == r["row"] == r["key"] == 7 for r in got.collect()) and got.count() >= 3
 
 
+@pytest.mark.parametrize("run", [
+    secrets.digest, simhash.digest, lambda d: toxicity.digest(d, d.select("doc_id", F.lit(1).alias("toxic")).unionByName(d.select("doc_id", F.lit(0).alias("toxic")))), licenses.digest, ppm.digest, substrings.digest, mixing.digest,
+    lambda d: decontaminate.digest(d, d.limit(1).select(F.col("doc_id").alias("item_id"), "text")),
+])
+def test_repeated_rows_have_equal_results(spark, run):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([prose(400), "mit license password: abcdef", None, "", prose(20)])]
+    got = rows_of(run(spark.createDataFrame(rows * 3 + [(None, rows[0][1], "de", None, None)] * 2, DOCS).repartition(3)))
+    assert len(got) == 17 and sorted(got.count(x) for x in set(got)) == [2, 3, 3, 3, 3, 3]
+
+
 def test_empty_vectors(spark):
     assert topk.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
