@@ -12,8 +12,10 @@ import re._constants as sre
 import re._parser as parser
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 from pyspark.sql import DataFrame
 
 from dizin.llm import license_texts
@@ -137,32 +139,47 @@ def rule(label: str, form: str, priority: int, confidence: float) -> Rule:
     return Rule(label, tuple(keywords), re.compile(rf"(?<= )(?:{form})(?= )"), priority, confidence)
 
 
-def rules(names=NAMES, notices=NOTICES) -> list[Rule]:
+class Ordered(list):
+    """Rules in order, with an automaton that finds all their keywords in one pass over a text."""
+
+    def __init__(self, made: list[Rule]):
+        super().__init__(made)
+        self.keywords = ahocorasick.Automaton()
+        for word in {w for r in made for words in r.needs for w in words}:
+            self.keywords.add_word(word, word)
+        self.keywords.make_automaton()
+        #: Rules by the keywords that are asked first, and those without any.
+        self.by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(made):
+            for word in r.needs[0] if r.needs else ():
+                self.by_word.setdefault(word, []).append(i)
+        self.always = [i for i, r in enumerate(made) if not r.needs]
+
+    def asked(self, norm: str) -> list[Rule]:
+        """The rules whose keywords the text has, in order."""
+        present = {word for _, word in self.keywords.iter(norm)}
+        some = {i for word in present for i in self.by_word.get(word, ())}
+        return [self[i] for i in sorted({*self.always, *some}) if not any(map(present.isdisjoint, self[i].needs))]
+
+
+@lru_cache(maxsize=1)
+def rules(names=NAMES, notices=NOTICES) -> Ordered:
     """The signatures of license texts, then one rule per notice and name, by priority, then as listed."""
     made = [rule(label, license_texts.pattern(text), priority, license_texts.CONFIDENCE) for label, text, priority in license_texts.SIGNATURES]
     for kind, form, priority, confidence in notices:
         for label, name in names:
             made.append(rule(label, form.format(f"(?:{MENTIONS.get(label, name) if kind == 'mention' else name})"), priority, confidence))
-    return sorted(made, key=lambda r: -r.priority)
+    return Ordered(sorted(made, key=lambda r: -r.priority))
 
 
-def detect(norm: str, ordered: list[Rule], gated: bool = True) -> list[tuple[int, int, Rule]]:
+def detect(norm: str, ordered: Ordered, gated: bool = True) -> list[tuple[int, int, Rule]]:
     """Detections left after suppression, in the order of the rules. ``norm``: lower-case words between single spaces.
 
     Not ``gated``, all patterns run, with the same detections.
     """
     kept: list[tuple[int, int, Rule]] = []
-    present: dict[frozenset[str], bool] = {}
-
-    def holds(words: frozenset[str]) -> bool:
-        if words not in present:
-            present[words] = any(w in norm for w in words)
-        return present[words]
-
     starts, ends = [], []  # of what is kept, by start, and the farthest end up to each
-    for r in ordered:
-        if gated and not all(map(holds, r.needs)):
-            continue
+    for r in ordered.asked(norm) if gated else ordered:
         before = len(kept)
         for m in r.pattern.finditer(norm):
             at = bisect_right(starts, m.start())
@@ -177,7 +194,7 @@ def detect(norm: str, ordered: list[Rule], gated: bool = True) -> list[tuple[int
 COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_text(text: str | None, ordered: list[Rule]) -> tuple:
+def scan_text(text: str | None, ordered: Ordered) -> tuple:
     words = words_of(text)
     norm = b" " + b" ".join(words) + b" "
     places, base = [], set()
