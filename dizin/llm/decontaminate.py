@@ -53,7 +53,7 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", widt
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of ``docs`` for ``terms(term)``: rows ``(segment, term, n, docs, places)``, written.
 
-    A term's ``places`` are its positions in the segment, ascending (int64); a document's words follow
+    A term's ``places`` are its positions in the segment, ascending (int32); a document's words follow
     one another and documents stand ``GAP`` apart. The row of the empty term has the documents' ids
     (0 and a mark for null), first positions and numbers of words. No row moves between tasks. Texts are read whole; null has
     no words. Terms are sent to the tasks ``TERMS_AT_ONCE`` at a time, so their number is not limited.
@@ -97,7 +97,7 @@ def _indexer(listed):
                 term, place = term[order], place[order]
                 starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
                 ends = np.r_[starts[1:], len(term)]
-                rows += [(f"{task}-{closed}", terms[term[a]], int(b - a), None, place[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                rows += [(f"{task}-{closed}", terms[term[a]], int(b - a), None, place[a:b].astype(np.int32).tobytes()) for a, b in zip(starts, ends, strict=True)]
             return pd.DataFrame(rows, columns=["segment", "term", "n", "docs", "places"])
 
         for batch in batches:
@@ -146,16 +146,17 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     most = asked.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = -(-most // ASKED) if most else 1
     lists = index.filter(F.length("term") > 0).select("segment", "term", "places")
+    group = ["segment"]
     if parts == 1:
-        lists = lists.hint("merge").join(asked.select("segment").distinct(), "segment", "left_semi").withColumn("part", F.lit(0))
-        asked = asked.withColumn("part", F.lit(0))
+        lists = lists.hint("merge").join(asked.select("segment").distinct(), "segment", "left_semi")
     else:
+        group.append("part")
         asked = asked.withColumn("part", F.pmod(F.xxhash64("window_id"), F.lit(parts)).cast("int"))
         needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed")
         lists = lists.hint("merge").join(needed, ["segment", "term"])
 
     def intersect(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        lists = {bytes(t): np.frombuffer(p, np.int64) for t, p in zip(rows["term"], rows["places"], strict=True)}
+        lists = {bytes(t): np.frombuffer(p, np.int32) for t, p in zip(rows["term"], rows["places"], strict=True)}
         out = []
         for window, words, order in zip(asks["window_id"], asks["words"], asks["order"], strict=True):
             words = [bytes(w) for w in words]
@@ -176,7 +177,7 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
                 out.append((key[0], window, starts.astype(np.int64).tobytes()))
         return pd.DataFrame(out, columns=["segment", "window_id", "places"])
 
-    return lists.groupBy("segment", "part").cogroup(asked.groupBy("segment", "part")).applyInPandas(intersect, "segment string, window_id string, places binary")
+    return lists.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(intersect, "segment string, window_id string, places binary")
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
