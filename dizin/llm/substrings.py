@@ -228,6 +228,7 @@ def double(pieces: DataFrame, least: int = LEAST, gram: int = GRAM) -> list[Data
         forget(children)
         half //= 2
         if not half:
+            forget(classes)
             return found
         ranks = ranked(classes)
         rows = classes.hint("merge").join(ranks, ["rank", "piece"]).select(F.col("new_rank").alias("rank"), "one.*", "n", "at", "low", "high", "left", "right")
@@ -248,14 +249,19 @@ def repeated_ranges(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
     contexts = contexts.hint("merge").join(grams, "gram").select("gram", "c1", "c2", F.least("n", F.lit(2)).cast("int").alias("n"), "contexts", "one.*")
     contexts = written(contexts, "contexts")
     pieces = written(cut_pieces(keyed, contexts.filter("contexts > 1"), least, gram), "pieces")
+    each_found = double(pieces, least, gram)
+    forget(pieces)
     found = contexts.filter("n > 1").select(*FOUND)
-    for more in double(pieces, least, gram):
+    for more in each_found:
         found = found.unionByName(more)
     # All windows of an anchor hold it, so they cover one run of bytes, from the farthest on.
     found = written(found.groupBy("c1", "c2").agg(F.min("low").alias("least"), F.max("high").alias("most")), "found")
     covered = sampled.hint("merge").join(found, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + least).alias("end")).alias("r"))
     # A set: copies of a text bring the same ranges.
-    return written(covered.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), "ranges")
+    ranges = written(covered.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), "ranges")
+    for done in (sampled, contexts, found, *each_found):
+        forget(done)
+    return ranges
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -297,7 +303,7 @@ def digest(documents: DataFrame, least: int = LEAST) -> DataFrame:
             out = []
             for n, given in enumerate(batch.column("ranges").to_pylist()):
                 own, at, kept = raw[cuts[n] : cuts[n + 1]], 0, hashlib.sha256()
-                runs = united([(r["start"], r["end"]) for r in given])
+                runs = united([(r["start"], r["end"]) for r in given or ()])
                 for start, end in runs:
                     kept.update(own[at:start])
                     at = end
@@ -307,9 +313,7 @@ def digest(documents: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *made], names=[c.split()[0] for c in KEPT.split(", ")])
 
     joined = distinct_texts(keyed).hint("merge").join(ranges, ["k1", "k2"], "left")
-    zero = F.lit(0).cast("long")
-    whole = joined.filter("ranges is null").select("k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    told = written(joined.filter("ranges is not null").mapInArrow(run, KEPT).unionByName(whole), "told")
+    told = written(joined.mapInArrow(run, KEPT), "told")
     return keyed.select("doc_id", "k1", "k2").hint("merge").join(told, ["k1", "k2"]).drop("k1", "k2")
 
 
