@@ -133,7 +133,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = written(components(links(fps.select("fp", F.col("number").alias("node")))), "components")
     grouped = fps.hint("merge").join(found, F.col("number") == F.col("node"), "left")
     firsts = grouped.groupBy(F.coalesce("component", "number").alias("group")).agg(F.min("first").alias("first"))
-    firsts = written(firsts.select(F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "firsts")
-    kept = marked.join(firsts.hint("merge"), F.col("row") == F.col("first_row")).filter(F.col("id").eqNullSafe(F.col("first_id")))
-    kept = kept.dropDuplicates(["first_id", "first_row"])
-    return kept.select("doc.*").unionByName(docs.filter(~worded))
+    own = lambda c: F.xxhash64(c).alias("own")
+    firsts = written(firsts.select(own(F.col("first.id")), F.col("first.row").alias("row")), "firsts")
+    # Equal rows become one where they are read; then the documents move once, and are held against the firsts where they then lie.
+    one = marked.groupBy(own(F.col("id")), "row").agg(F.first("doc").alias("doc"))
+    return one.hint("merge").join(firsts, ["own", "row"]).select("doc.*").unionByName(docs.filter(~worded))
