@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from dizin.scratch import delete_path, forget, hinted, path_exists, scratch_path, written  # noqa: F401
+
 #: ASCII letters to lower case; everything but 0-9, a-z and bytes over 0x7F to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
 
-_OWN: dict[str, str] = {}
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case; none for null."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
@@ -31,68 +29,6 @@ def spaced_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return _OWN[app]
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the session ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as a table in the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation, and the sizes
-    of the files replace Spark's guesses in later joins. The folder goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Drop a table made by ``written`` that no later step reads."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
-
-
-#: Written tables of up to so many bytes on disk, and rows, may be broadcast; beyond, both sides are shuffled.
-BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 1_000_000
-
-
-def hinted(df: DataFrame) -> DataFrame:
-    """A table made by ``written``, with the join hint that its measured size allows."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    return df.hint("broadcast" if size <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else "merge")
-
-
 def text_key(text: Column) -> Column:
     """A name for a text's content: SHA-256 of its bytes; a null text counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -133,3 +69,17 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], text: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of up to ``rows`` rows and about ``size`` bytes of text; a longer text is in a piece of its own."""
+    for batch in batches:
+        lengths = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
+        start, total = 0, 0
+        for at, n in enumerate(lengths):
+            if at > start and (at - start >= rows or total + n > size):
+                yield batch.slice(start, at - start)
+                start, total = at, 0
+            total += n
+        if batch.num_rows > start:
+            yield batch.slice(start)

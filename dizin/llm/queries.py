@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import decontaminate, licenses, mixing, packing, ppm, secrets, simhash, substrings, topk, toxicity
+from dizin.llm import counts, decontaminate, licenses, mixing, packing, ppm, secrets, simhash, substrings, topk, toxicity
 from dizin.llm.common import table
 
 
@@ -46,11 +46,16 @@ def op10_ppm_language(spark, sf_dir):
     return ppm.digest(table(spark, sf_dir, "documents"))
 
 
+
+def op11_token_counts(spark, sf_dir):
+    return counts.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packed_ids, op2_secret_ledger, op3_simhash_components, op4_levenshtein_toxicity, op5_positional_index,
-        op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language,
+        op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language, op11_token_counts,
     )
 }
 
