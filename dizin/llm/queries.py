@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import counts, decontaminate, licenses, mixing, packing, ppm, secrets, simhash, substrings, topk, toxicity
+from dizin.llm import counts, decontaminate, licenses, mixing, packing, phrases, ppm, secrets, simhash, substrings, topk, toxicity
 from dizin.llm.common import table
 
 
@@ -51,11 +51,16 @@ def op11_token_counts(spark, sf_dir):
     return counts.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_mining(spark, sf_dir):
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packed_ids, op2_secret_ledger, op3_simhash_components, op4_levenshtein_toxicity, op5_positional_index,
         op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language, op11_token_counts,
+        op13_phrase_mining,
     )
 }
 
@@ -149,5 +154,23 @@ pairs AS (SELECT a.row_no AS query_no, a.vec_id AS query_id, b.vec_id, coalesce(
   FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.row_no <> b.row_no AND len(a.q) = len(b.q)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20"""
-
-SQL = {"op7_bit_sliced_topk": TOPK_SQL, "op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}
+#: The same by grouping all runs of words.
+PHRASES_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, d, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 30 AND k > 1),
+cuts AS (SELECT c.*, i, array_to_string(w[:i], ' ') AS p1, array_to_string(w[i + 1:], ' ') AS p2 FROM (SELECT *, unnest(range(1, k)) AS i FROM cand) c),
+scored AS (SELECT c.lang, c.k, c.phrase, a, i, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = c.i AND x.phrase = c.p1 JOIN f y ON y.lang = c.lang AND y.k = c.k - c.i AND y.phrase = c.p2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, i) = 1),
+inner_of AS (SELECT lang, j AS k, array_to_string(w[i:i + j - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM cand))),
+cover AS (SELECT lang, k, phrase, max(a) AS m FROM inner_of GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.k = b.k AND c.phrase = b.phrase WHERE c.m IS NULL OR CAST(100 AS HUGEINT) * c.m < CAST(80 AS HUGEINT) * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r.r AS r, n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
+
+SQL = {"op13_phrase_mining": PHRASES_SQL, "op7_bit_sliced_topk": TOPK_SQL, "op5_positional_index": DECONTAMINATE_SQL, "op2_secret_ledger": _secrets_sql(), "op8_pareto_mix": MIX_SQL}
