@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dizin.llm import counts, decontaminate, licenses, mixing, packing, phrases, ppm, secrets, simhash, substrings, topk, toxicity
+from dizin.llm import counts, decontaminate, licenses, mixing, packing, phrases, ppm, secrets, simhash, spelling, substrings, topk, toxicity
 from dizin.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op11_token_counts(spark, sf_dir):
     return counts.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_mining(spark, sf_dir):
     return phrases.digest(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packed_ids, op2_secret_ledger, op3_simhash_components, op4_levenshtein_toxicity, op5_positional_index,
-        op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language, op11_token_counts,
+        op6_prefix_doubling, op7_bit_sliced_topk, op8_pareto_mix, op9_license_rules, op10_ppm_language, op11_token_counts, op12_spelling_variants,
         op13_phrase_mining,
     )
 }
