@@ -32,27 +32,41 @@ def s01_links(t):
     return H.links(mixed_links(t), "n", "on")
 
 
-@query(f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href AS value, text AS label FROM each WHERE text NOT IN ('', 'Seçiniz')")
+@query("""SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS INT) AS pos, 'o' || o_orderkey AS value, trim(o_orderpriority) || ' & ' || o_orderstatus AS label FROM orders""")
 def s02_options(t):
-    return H.options(mixed_links(t), "html", ["page_id"], "a", "href")
+    """Lists of each customer's orders, with end tags, without, or in capitals."""
+    kind, key = F.col("o_custkey") % 3, F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    label = F.concat(F.trim("o_orderpriority"), F.lit(" &amp; "), "o_orderstatus")
+    option = F.when(kind == 0, F.concat(F.lit('<option value="'), key, F.lit('">'), label, F.lit("</option>"))).when(kind == 1, F.concat(F.lit("<option value="), key, F.lit(">"), label)).otherwise(F.concat(F.lit("<OPTION selected VALUE='"), key, F.lit("'> "), label))
+    lists = t.orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", option.alias("option"))))["option"], "\n").alias("options"))
+    html = F.concat(F.lit("<form><select id=x><option value=00>Seçiniz<optgroup label=a><option value=''>"), F.lit("yok</option>"), "options", F.lit("</select><p>sonra</form>"))
+    return H.options(lists.select("o_custkey", html.alias("html")), "html", ["o_custkey"])
 
 
 @query("""SELECT o_orderkey, CAST(0 AS INT) AS card, '/pdf/' || o_orderkey || '.pdf' AS url, o_orderpriority AS title, CAST(9 + o_orderkey % 4 AS INT) AS grade, strftime(o_orderdate, '%d.%m.%Y') || ' 00:00:00' AS date, 'Alan ' || o_orderstatus AS area,
   CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2030 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""")
 def s03_cards(t):
+    """Cards whose items stand in a division of their own, with end tags or without."""
+    item = F.when(F.col("o_orderkey") % 2 == 0, "</li>\n<li>").otherwise("<li>")
     items = F.concat(
-        F.lit("<ul><li>"), F.concat((9 + F.col("o_orderkey") % 4).cast("string"), F.lit(".Sınıf")), F.lit("</li><li> Alan "), "o_orderstatus", F.lit("</li>\n<li>Başka</li><li>"),
-        F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" 00:00:00</li></ul>"),
+        F.lit("<ul><li>"), F.concat((9 + F.col("o_orderkey") % 4).cast("string"), F.lit(".Sınıf")), item, F.lit(" Alan "), "o_orderstatus", item, F.lit("Başka"), item, F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" 00:00:00</ul>"),
+    )
+    html = F.concat(
+        F.lit("<p>x</p><div><DIV id=c class='card wide'><div><a class=\"k\" href='/pdf/"), F.col("o_orderkey").cast("string"), F.lit(".pdf'></div><div class=card-body><b>"), "o_orderpriority", F.lit("</b>"), items, F.lit("</div></DIV><li>dışarıda</div>")
     )
-    html = F.concat(F.lit("<p>x</p><DIV id=c class='card wide'><a class=\"k\" href='/pdf/"), F.col("o_orderkey").cast("string"), F.lit(".pdf'><b>"), "o_orderpriority", F.lit("</b></a>"), items, F.lit("</DIV>"))
     return H.cards(t.orders.select("o_orderkey", html.alias("html")), "html", ["o_orderkey"])
 
 
-@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, strftime(l_shipdate, '%d.%m.%Y')) AS INT) AS row, l_returnflag AS name, '/m/' || l_partkey || '.rar' AS link, strftime(l_shipdate, '%d.%m.%Y') AS date FROM lineitem""")
+@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, strftime(l_shipdate, '%d.%m.%Y')) AS INT) AS row, l_returnflag || CASE WHEN l_orderkey % 2 = 0 THEN ' iç hücre' ELSE '' END AS name, '/m/' || l_partkey || '.rar' AS link, strftime(l_shipdate, '%d.%m.%Y') AS date FROM lineitem""")
 def s04_grid(t):
-    row = F.concat(F.lit("<tr><td> "), "l_returnflag", F.lit("</td>\n<td><A HREF=/m/"), F.col("l_partkey").cast("string"), F.lit(".rar>indir</A></td><td>"), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit("</td></tr>"))
+    """Tables with end tags and a table in each first cell, or without end tags."""
+    even, date = F.col("l_orderkey") % 2 == 0, F.date_format("l_shipdate", "dd.MM.yyyy")
+    link = F.concat(F.lit("<A HREF=/m/"), F.col("l_partkey").cast("string"), F.lit(".rar>indir"))
+    closed = F.concat(F.lit("<tr><td> "), "l_returnflag", F.lit("<table><tr><td>iç<td>hücre</table></td>\n<td>"), link, F.lit("</A></td><td>"), date, F.lit("</td></tr>"))
+    bare = F.concat(F.lit("<tr><td> "), "l_returnflag", F.lit("\n<td>"), link, F.lit("<td>"), date)
+    row = F.when(even, closed).otherwise(bare)
     rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r"))))["r"], "\n").alias("rows"))
-    return H.grid(rows.select("l_orderkey", F.concat(F.lit("<table><tr><th>Ad</th><th>Dosya</th></tr>"), "rows", F.lit("</table>")).alias("html")), "html", ["l_orderkey"])
+    return H.grid(rows.select("l_orderkey", F.concat(F.lit("<table><tr><th>Ad<th>Dosya"), "rows", F.lit("</table>")).alias("html")), "html", ["l_orderkey"])
 
 
 @query("SELECT DISTINCT s_nationkey AS region, 'n' || s_nationkey AS area, CAST(s_suppkey AS VARCHAR) AS grade, s_name AS url FROM supplier")

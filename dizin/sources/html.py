@@ -1,69 +1,148 @@
-"""Records from HTML texts: links, options, cards and grids, by expressions over the text column.
+"""Records from HTML texts: links, options, cards and grids.
 
-Elements are found in any case, attributes in double, single or no quotes; comments, scripts and styles hold no elements;
-texts and values are returned with their entities decoded.
+Pages are read as they come: tags in any case, attributes in any quotes or none, elements that are never closed, that nest in one another or that
+are closed by what follows. Tags are found once, from left to right, by a pattern that can match in one way only, and a stack of open elements tells where each
+element ends, so a page costs time in proportion to its length. Comments, scripts and styles hold no elements and no text; texts and values have their entities decoded.
+The reading is a function on Arrow batches of the text column; what is made of the elements are column expressions.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import re
+from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dizin.functions import text as T
 
-#: The attributes of an element: quoted values may hold ``>``.
-ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)"""
-#: Names of entities that stand without a semicolon too.
-BARE = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg")
-
-
-def visible(html: Column) -> Column:
-    """HTML without comments, scripts and styles."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-
-
-def unescaped(text: Column) -> Column:
-    """Named and numbered entities replaced by their characters; unknown ones stay."""
-    known = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (f"{name};", chr(code))], *[F.lit(x) for name in BARE for x in (name, chr(name2codepoint[name]))])
-    unicode = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+#: Elements without content, and elements whose content is no markup.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW = frozenset(("script", "style", "textarea", "title"))
+#: Open elements that a new one closes, and elements that neither it nor an end tag reaches out of.
+CLOSED_BY = {
+    "a": ("a",), "li": ("li",), "option": ("option",), "optgroup": ("option", "optgroup"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
+    "thead": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tbody": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tfoot": ("td", "th", "tr", "thead", "tbody", "tfoot"),
+    "dt": ("dt", "dd"), "dd": ("dt", "dd"), "p": ("p",), "div": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",),
+}
+LIST, TABLE, CELL = ("ul", "ol"), ("table",), ("table", "td", "th")
+WITHIN = {"li": LIST + CELL, "option": ("select",), "optgroup": ("select",), **dict.fromkeys(("td", "th", "tr", "thead", "tbody", "tfoot"), TABLE), "ul": CELL, "ol": CELL, "table": (), "select": ()}
+#: Elements nest so deep at most; what is deeper counts as beside the last, so the texts of nested elements stay in proportion to the page.
+DEPTH = 128
+OPENS = re.compile("/?[a-zA-Z]")
+TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+
+
+def _tags(html: str):
+    """``(start, end, is_end, name, attributes)`` of each tag, with name ``!`` for what is no markup and no text, and no name for raw text. A tag that is never ended ends the page."""
+    at = 0
+    while (at := html.find("<", at)) >= 0:
+        end = at + 1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            end = end if end > 2 else len(html)
+            yield at, end, False, "!", ""
+        elif html[end : end + 1] in ("!", "?"):
+            end = html.find(">", at) + 1 or len(html)
+            yield at, end, False, "!", ""
+        elif m := TAG.match(html, end):
+            end, name = m.end(), m[2].lower()
+            yield at, end, bool(m[1]), name, m[3]
+            if name in RAW and not m[1]:
+                start, close = end, re.compile(f"</{name}[^>]*+>", re.I).search(html, end)
+                end = close.start() if close else len(html)
+                yield start, end, False, "!" if name in ("script", "style") else "", ""
+        elif OPENS.match(html, end):
+            yield at, len(html), False, "!", ""
+            return
+        at = end
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(double or single or bare))
+    return out
+
+
+def found(html: str, names: frozenset[str], outermost: bool) -> list[tuple[str, dict[str, str], str, str]]:
+    """``(name, attributes, inner, text)`` of the elements of some names, by where they begin; if ``outermost``, only those that are in no other of them."""
+    opened: list[tuple[str, int]] = []  # name, and number among the elements found or -1
+    out: list[list] = []  # name, attributes, and where content and pieces of text begin and end
+    pieces: list[str] = []
+
+    def close(down_to: int, at: int) -> None:
+        while len(opened) > down_to:
+            _, number = opened.pop()
+            if number >= 0:
+                out[number][3:] = at, out[number][4], len(pieces)
+
+    def open_ones(name: str, sought: tuple[str, ...]) -> list[int]:
+        """Places of the open elements sought, the inner ones first, as far as an element of this name reaches."""
+        inside = []
+        for i in range(len(opened) - 1, -1, -1):
+            if opened[i][0] in sought:
+                inside.append(i)
+            if opened[i][0] in WITHIN.get(name, CELL):
+                break
+        return inside
+
+    done = 0
+    for start, end, is_end, name, attributes in _tags(html):
+        pieces.append(unescape(html[done:start]))
+        done = end
+        if name in ("", "!"):
+            pieces.append("" if name else unescape(html[start:end]))
+            continue
+        pieces.append(" ")
+        ended = open_ones(name, (name,) if is_end else CLOSED_BY.get(name, ()))
+        if ended:
+            close(ended[0 if is_end else -1], start)
+        if is_end:
+            continue
+        wanted = name in names and not (outermost and any(n >= 0 for _, n in opened))
+        if wanted:
+            out.append([name, attributes, end, end, len(pieces), len(pieces)])
+        if name not in VOID:
+            close(DEPTH - 1, start)
+            opened.append((name, len(out) - 1 if wanted else -1))
+    pieces.append(unescape(html[done:]))
+    close(0, len(html))
+    return [(name, _attributes(attributes), html[a:b], "".join(pieces[i:j])) for name, attributes, a, b, i, j in out]
+
+
+ELEMENT = pa.struct([("name", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("inner", pa.string()), ("text", pa.string())])
+
+
+def elements(html: Column, *names: str, outermost: bool = False) -> Column:
+    """``array<struct<name, attributes, inner, text>>`` of the elements of these names, in the order in which they begin; null for a null page.
+
+    ``attributes`` is a map from names in small letters (of equal ones the first counts), ``inner`` the HTML between the tags, ``text`` its text with a space for each tag.
+    """
+    wanted = frozenset(names)
 
-    def decoded(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)", 1)
-        digits = F.rtrim(F.substr(name, F.lit(2)), F.lit(";"))
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).when(name.startswith("#"), digits).cast("long")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.when(code.isNotNull(), F.when(valid, unicode(code)).otherwise("�")).otherwise(F.try_element_at(known, name))
-        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 1)), F.concat(F.lit("&"), part))
+    @F.arrow_udf("array<struct<name:string,attributes:map<string,string>,inner:string,text:string>>")
+    def read(pages: pa.Array) -> pa.Array:
+        told = [None if x is None else found(x, wanted, outermost) for x in pages.to_pylist()]
+        return pa.array([x if x is None else [{"name": n, "attributes": list(a.items()), "inner": i, "text": t} for n, a, i, t in x] for x in told], pa.list_(ELEMENT))
 
-    parts = F.split(text, "&")
-    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))).otherwise(text)
+    return read(html)
 
 
-def plain(html: Column) -> Column:
-    """Text of a piece of HTML: tags away, entities decoded, spaces collapsed."""
-    return T.spaces(unescaped(F.regexp_replace(html, "(?s)<[^>]*>", " ")))
+def plain(element: Column) -> Column:
+    """The text of an element, spaces collapsed."""
+    return T.spaces(element["text"])
 
 
-def attribute(attributes: Column, name: str) -> Column:
+def attribute(element: Column, name: str) -> Column:
     """The value of an attribute; null without it."""
-    pattern = rf"""(?is)^(?:[^"']|"[^"]*"|'[^']*')*?(?<![^\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(attributes, pattern, i) for i in (1, 2, 3)])
-    return F.when(attributes.rlike(pattern), unescaped(value))
+    return F.try_element_at(element["attributes"], F.lit(name))
 
 
-def elements(html: Column, tag: str) -> Column:
-    """``array<struct<attributes, inner>>`` of the elements of a name, in order; they do not nest."""
-    pattern = rf"(?is)<{tag}(?![\w-]){ATTRIBUTES}>(.*?)</{tag}\s*>"
-    found = [F.regexp_extract_all(html, F.lit(pattern), F.lit(i)) for i in (1, 2)]
-    return F.zip_with(*found, lambda a, b: F.struct(a.alias("attributes"), b.alias("inner")))
-
-
-def first_link(html: Column) -> Column:
-    """The target of the first link that has one."""
-    targets = F.transform(elements(html, "a"), lambda x: attribute(x["attributes"], "href"))
-    return F.nullif(F.get(F.filter(targets, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
+def _first(each: Column, test) -> Column:
+    return F.get(F.filter(each, test), F.lit(0))
 
 
 def links(pages: DataFrame, suffix: str, tag: str) -> DataFrame:
@@ -71,10 +150,10 @@ def links(pages: DataFrame, suffix: str, tag: str) -> DataFrame:
 
     The year is the page's, so all its links share it.
     """
-    each = pages.select("page_id", "url", T.year_all(F.col("html")).alias("year"), F.posexplode(elements(visible(F.col("html")), "a")).alias("pos", "x"))
-    each = each.withColumn("href", F.trim(attribute(F.col("x.attributes"), "href")))
+    each = pages.select("page_id", "url", T.year_all(F.col("html")).alias("year"), F.posexplode(elements(F.col("html"), "a")).alias("pos", "x"))
+    each = each.withColumn("href", F.trim(attribute(F.col("x"), "href")))
     kept = each.filter(F.col("href").endswith(suffix) & F.col("href").contains(tag))
-    return kept.select("page_id", "pos", "href", plain(F.col("x.inner")).alias("text"), T.absolute_url(F.col("href"), F.col("url")).alias("absolute"), "year")
+    return kept.select("page_id", "pos", "href", plain(F.col("x")).alias("text"), T.absolute_url(F.col("href"), F.col("url")).alias("absolute"), "year")
 
 
 #: Option values and titles that stand for no choice.
@@ -83,31 +162,37 @@ NO_VALUE, NO_TITLE = ("", "00", "0"), ("Alan Seçiniz", "Seçiniz")
 
 def options(df: DataFrame, html: str, keep: list[str], tag: str = "option", value: str = "value") -> DataFrame:
     """S2. ``(keep, pos, value, label)`` of a list's choices; empty values and placeholder titles are left out."""
-    each = df.select(*keep, F.posexplode(elements(visible(F.col(html)), tag)).alias("pos", "x"))
-    out = each.select(*keep, "pos", F.trim(attribute(F.col("x.attributes"), value)).alias("value"), plain(F.col("x.inner")).alias("label"))
+    each = df.select(*keep, F.posexplode(elements(F.col(html), tag)).alias("pos", "x"))
+    out = each.select(*keep, "pos", F.trim(attribute(F.col("x"), value)).alias("value"), plain(F.col("x")).alias("label"))
     return out.filter(~F.col("value").isin(*NO_VALUE) & (F.col("label") != "") & ~F.col("label").isin(*NO_TITLE))
 
 
 def cards(df: DataFrame, html: str, keep: list[str], tag: str = "div", kind: str = "card") -> DataFrame:
-    """S3. One row per element of the class ``kind``: its link, bold title, and its list items told apart by content.
+    """S3. One row per element of the class ``kind``, however deep: its first link, first bold text, and its list items told apart by content.
 
-    An item with a dotted date is the date, one with ``Sınıf`` the grade, the first other one the area.
+    An item with a dotted date is the date, one with ``Sınıf`` the grade, the first other one the area. A card in a card is a card of its own, and part of the outer one.
     """
-    of_kind = lambda x: F.array_contains(F.split(attribute(x["attributes"], "class"), r"\s+"), kind)
-    each = df.select(*keep, F.posexplode(F.filter(elements(visible(F.col(html)), tag), of_kind)["inner"]).alias("card", "body"))
+    of_kind = lambda x: F.array_contains(F.split(attribute(x, "class"), r"\s+"), kind)
+    each = df.select(*keep, F.posexplode(F.filter(elements(F.col(html), tag), of_kind)).alias("card", "x")).select(*keep, "card", elements(F.col("x.inner"), "a", "b", "li").alias("parts"))
     is_date = lambda x: x.rlike(r"\d{2}\.\d{2}\.\d{4}")
     is_grade = lambda x: x.rlike("[Ss]ınıf")
-    pick = lambda test: F.get(F.filter("items", test), F.lit(0))
-    bold = F.get(F.filter(F.transform(elements(F.col("body"), "b"), lambda x: plain(x["inner"])), lambda x: x != ""), F.lit(0))
-    out = each.withColumn("items", F.transform(elements(F.col("body"), "li"), lambda x: plain(x["inner"]))).select(
-        *keep, "card", first_link(F.col("body")).alias("url"), F.coalesce(bold, F.lit("")).alias("title"),
+    items = F.transform(F.filter("parts", lambda x: x["name"] == "li"), plain)
+    pick = lambda test: _first(F.col("items"), test)
+    bold = _first(F.transform(F.filter("parts", lambda x: x["name"] == "b"), plain), lambda x: x != "")
+    out = each.withColumn("items", items).select(
+        *keep, "card", attribute(_first(F.col("parts"), lambda x: (x["name"] == "a") & (attribute(x, "href") != "")), "href").alias("url"), F.coalesce(bold, F.lit("")).alias("title"),
         T.grade(pick(is_grade)).alias("grade"), pick(is_date).alias("date"), pick(lambda x: ~is_date(x) & ~is_grade(x)).alias("area"),
     )
     return out.withColumn("year", T.year_single(F.regexp_extract("date", r"(\d{4})", 1)))
 
 
 def grid(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
-    """S4. Rows of a table below its header, of two cells or more: name, link of the second cell, date of the third."""
-    rows = df.select(*keep, F.posexplode(elements(visible(F.col(html)), "tr")).alias("row", "x")).filter("row > 0")
-    cells = rows.withColumn("cells", elements(F.col("x.inner"), "t[dh]")["inner"]).filter(F.size("cells") >= 2)
-    return cells.select(*keep, "row", plain(F.col("cells")[0]).alias("name"), first_link(F.col("cells")[1]).alias("link"), plain(F.get("cells", F.lit(2))).alias("date"))
+    """S4. Rows of a page's tables below the first row, of two cells or more: name, link of the second cell, date of the third.
+
+    A table in a cell belongs to that cell: it makes no rows and no cells of its own.
+    """
+    rows = df.select(*keep, F.posexplode(elements(F.col(html), "tr", outermost=True)).alias("row", "x")).filter("row > 0")
+    cells = rows.select(*keep, "row", elements(F.col("x.inner"), "td", "th", outermost=True).alias("cells")).filter(F.size("cells") >= 2)
+    link = elements(F.col("cells")[1]["inner"], "a")
+    out = cells.select(*keep, "row", plain(F.col("cells")[0]).alias("name"), link.alias("links"), plain(F.get("cells", F.lit(2))).alias("date"))
+    return out.select(*keep, "row", "name", attribute(_first(F.col("links"), lambda x: attribute(x, "href") != ""), "href").alias("link"), "date")
