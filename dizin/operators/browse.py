@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dizin.scratch import placed
+
 
 def search(df: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
     """P1. Rows that hold the trimmed term, in any case, in one of the columns; a blank term keeps all."""
@@ -96,16 +98,10 @@ def four_key_sort(df: DataFrame, tie: str = "course_id", keys: Sequence[str] = F
 def with_places(df: DataFrame, tie: str = "course_id", keys: Sequence[str] = FOUR_KEYS) -> DataFrame:
     """O1. Rows with ``place``, from 1, in the order of ``four_key_sort``.
 
-    Rows are numbered within sorted ranges, and each range adds the rows of those before: no task sees all rows.
+    Rows are dealt to ranges and sorted within them, written once, and each range adds the rows of those before: no task sees all rows.
     """
     order = [F.col(c).asc_nulls_first() for c in (*keys, tie)]
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = part.withColumn("__part", F.shiftright("__m", 33))
-    sizes = part.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    # One row per partition.
-    placed = part.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    return placed.drop("__m", "__part", "__before")
+    return placed(df.repartitionByRange(*order).sortWithinPartitions(*order), "place")
 
 
 def distinct_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:

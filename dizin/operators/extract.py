@@ -1,13 +1,20 @@
 """Course forms: sections, unit tables, topics and outcomes out of whole texts.
 
 Positions are found in a folded copy of the text that has the same length, and cut from the text
-itself. Everything is an expression over the text of one row, so texts never leave their task.
+itself. All is made of the text of one row, so texts never leave their task: by expressions, and, where many titles or
+numbers are sought in one text, by functions on Arrow batches that go through the text once.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from dizin.functions import text as T
 
@@ -24,8 +31,8 @@ FIELDS = (
 #: Headings of the unit table, and what ends it.
 TABLE_HEADS = ("KAZANIM SAYISI VE SÜRE TABLOSU", "DERSİN KAZANIM TABLOSU", "TABLOSU", "TABLOS U", "TABLO SU", "TABL OSU", "TAB LOSU", "TA BLOSU")
 TABLE_ENDS, TABLE_LEAST = ("TOPLAM", "ÖĞRENME BİRİMİ"), 50
-#: Header rows of the unit table.
-TABLE_HEADERS = (r"(?s)ÖĞRENME.*?\(\s*%\s*\)", r"(?s)KAZANIM.*?ORAN\s*\(\s*%\s*\)", r"(?s)OGRENME.*?\(\s*%\s*\)")
+#: Header rows of the unit table, folded.
+TABLE_HEADERS = (r"(?s)OGRENME.*?\(\s*%\s*\)", r"(?s)KAZANIM.*?ORAN\s*\(\s*%\s*\)")
 NUMBER = r"\d+(?:[,.]\d+)?"
 #: Shapes of a table row by priority, and the of each that hold count, hours, second part of hours, percentage.
 SHAPES = (
@@ -102,14 +109,23 @@ def table_bounds(text: Column) -> Column:
     return let(folded(text), body)
 
 
+def _without(text: Column, low: Column, pattern: str) -> Column:
+    """The text without what the pattern matches in its folded copy."""
+    kept, gone = F.split(low, pattern), F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    sizes = F.zip_with(kept, gone, lambda k, g: F.struct(F.length(k).alias("k"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+    step = lambda s, x: F.struct((s["at"] + x["k"] + x["g"]).alias("at"), F.concat(s["out"], F.substr(text, s["at"], x["k"])).alias("out"))
+    return F.aggregate(sizes, start, step, lambda s: s["out"])
+
+
 def headless(table: Column) -> Column:
-    """X3. A table without its header: the first header pattern that shortens it counts."""
+    """X3. A table without its header, written in any case: the first header pattern that shortens it counts."""
 
-    def shorter(body: Column) -> Column:
-        tried = F.array(*[F.trim(F.regexp_replace(body, p, "")) for p in TABLE_HEADERS])
-        return F.coalesce(F.get(F.filter(tried, lambda x: F.length(x) < F.length(body)), F.lit(0)), body)
+    def shorter(x: Column) -> Column:
+        tried = F.array(*[F.trim(_without(x["body"], x["low"], p)) for p in TABLE_HEADERS])
+        return F.coalesce(F.get(F.filter(tried, lambda t: F.length(t) < F.length(x["body"])), F.lit(0)), x["body"])
 
-    return let(table, shorter)
+    return let(F.struct(table.alias("body"), folded(table).alias("low")), shorter)
 
 
 def table_section(text: Column) -> Column:
@@ -170,18 +186,28 @@ def unit_area(text: Column) -> Column:
     return let(folded(text), area)
 
 
-def _places(low: Column, key: Column) -> Column:
-    parts = F.split(low, F.concat(F.lit(r"(?=\Q"), key, F.lit(r"\E)")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-    # All parts but the first begin at an occurrence.
-    here = lambda s: (s["at"] > 1) | low.startswith(key)
-    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(here(s), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
-    return F.when(F.length(key) > 0, F.aggregate(parts, start, step, lambda s: s["out"]))
+def _found(text: str, keys: set[str]) -> dict[str, list[int]]:
+    """Where each key begins in the text (from 0), overlapping ones too; the text is read once for all keys."""
+    places: dict[str, list[int]] = {k: [] for k in keys}
+    if any(keys):
+        machine = ahocorasick.Automaton()
+        for k in filter(None, keys):
+            machine.add_word(k, k)
+        machine.make_automaton()
+        for end, k in machine.iter(text):
+            places[k].append(end - len(k) + 1)
+    return places
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _places(low: pa.Array, key: pa.Array) -> pa.Array:
+    both = zip(low.to_pylist(), key.to_pylist(), strict=True)
+    return pa.array([[p + 1 for p in _found(x, {k})[k]] if x is not None and k else None for x, k in both], pa.list_(pa.int32()))
 
 
 def occurrences(text: Column, title: Column) -> Column:
-    """X9. Positions (from 1) of all occurrences of the title, overlapping ones too; both folded."""
-    return let(F.struct(folded(text).alias("low"), folded(title).alias("key")), lambda x: _places(x["low"], x["key"]))
+    """X9. Positions (from 1) of all occurrences of the title, overlapping ones too; both folded. Null for a null text and an empty title."""
+    return _places(folded(text), folded(title))
 
 
 def numbers_present(text: Column, n: Column) -> Column:
@@ -192,22 +218,53 @@ def numbers_present(text: Column, n: Column) -> Column:
 
 #: What is known of a title of a form.
 MATCH = ("seq", "title", "n", "matches", "valid", "first_valid")
+FOUND = pa.struct([("matches", pa.int32()), ("valid", pa.int32()), ("first_valid", pa.int32())])
 
 
-def matched(text: Column, titles: Column) -> Column:
-    """X11. ``titles``, an array of ``struct<seq, title, n>``, with how often each occurs in the text, how often with its numbers after it, and the first such place.
+def _numbers(text: str, digits: int) -> dict[str, list[int]]:
+    """Where each number of up to so many digits stands before a dot or a space, also as the end of a longer one."""
+    out: dict[str, list[int]] = {}
+    for m in re.finditer(r"[0-9]+(?=[. ])", text):
+        for size in range(min(digits, m.end() - m.start()), 0, -1):
+            out.setdefault(text[m.end() - size : m.end()], []).append(m.end() - size)
+    return out
 
-    The text is folded once for all titles of its row and is not copied.
-    """
 
-    def of(low: Column, x: Column) -> Column:
-        def told(places: Column) -> Column:
-            valid = F.filter(places, lambda p: numbers_present(F.substr(text, p, F.lit(VALID_WITHIN)), x["n"]))
-            return let(valid, lambda v: F.struct(*[x[c].alias(c) for c in MATCH[:3]], F.size(places).alias("matches"), F.size(v).alias("valid"), F.get(v, F.lit(0)).alias("first_valid")))
+def judged(low: str, titles: list[tuple[str | None, int | None]]) -> list[tuple[int, int, int | None]]:
+    """Per title (folded, with its count of numbers): how often it occurs, how often with all its numbers within ``VALID_WITHIN`` characters, and the first such place, from 1."""
+    places = _found(low, {t for t, _ in titles if t})
+    numbers = _numbers(low, max([len(str(n)) for _, n in titles if n and n > 0], default=0))
+
+    def valid(at: int, n: int) -> bool:
+        for i in map(str, range(1, n + 1)):
+            here = numbers.get(i, ())
+            next_ = bisect_left(here, at)
+            if next_ == len(here) or here[next_] + len(i) >= at + VALID_WITHIN:
+                return False
+        return True
+
+    out = []
+    for title, n in titles:
+        all_ = places.get(title, []) if title else []
+        good = [p for p in all_ if n is not None and valid(p, n)]
+        out.append((len(all_), len(good), good[0] + 1 if good else None))
+    return out
 
-        return let(_places(low, folded(x["title"])), told)
 
-    return let(folded(text), lambda low: F.transform(titles, lambda x: of(low, x)))
+@F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in FOUND.names])))
+def _judged(low: pa.Array, titles: pa.Array) -> pa.Array:
+    both = zip(low.to_pylist(), titles.to_pylist(), strict=True)
+    told = [None if x is None or ts is None else [dict(zip(FOUND.names, j)) for j in judged(x, [(t["key"], t["n"]) for t in ts])] for x, ts in both]
+    return pa.array(told, pa.list_(FOUND))
+
+
+def matched(text: Column, titles: Column) -> Column:
+    """X11. ``titles``, an array of ``struct<seq, title, n>``, with how often each occurs in the text, how often with its numbers after it, and the first such place.
+
+    The text is folded once and read once for all titles of its row and all numbers.
+    """
+    keys = F.transform(titles, lambda x: F.struct(folded(x["title"]).alias("key"), x["n"].cast("int").alias("n")))
+    return F.zip_with(titles, _judged(folded(text), keys), lambda x, y: F.struct(*[x[c].alias(c) for c in MATCH[:3]], *[y[c].alias(c) for c in MATCH[3:]]))
 
 
 def with_areas(text: Column, found: Column) -> Column:
@@ -237,22 +294,46 @@ def work_areas(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFr
     return df.select(*keep, F.explode(areas).alias("x")).select(*keep, "x.*").filter("work_area is not null")
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _number_places(text: pa.Array) -> pa.Array:
+    """Where (from 1) numbers stand that white space or nothing precedes and a dot or a space follows."""
+    return pa.array([None if x is None else [m.start() + 1 for m in re.finditer(r"(?<![^ \t\r\n])[0-9]+(?=[. ])", x)] for x in text.to_pylist()], pa.list_(pa.int32()))
+
+
+#: What follows the number of a topic, by priority.
+NUMBER_ENDS = (". ", " ", ".")
+
+
+def _items(area: Column) -> Column:
+    """``array<struct<at, no, end0, end1, end2>>`` of the numbers of a text, and after which ends each numbers an item (F25)."""
+
+    def item(p: Column) -> Column:
+        before, after = F.substr(area, F.greatest(p - 1, F.lit(1)), F.when(p > 1, 1).otherwise(0)), F.substr(area, p, F.lit(VALID_WITHIN))
+        number = F.regexp_extract(after, "^[0-9]+", 0)
+        numbers = lambda end: after.startswith(F.concat(number, F.lit(end))) & T.is_item_number(before, F.substr(after, F.length(number) + len(end) + 1))
+        return F.struct(p.alias("at"), number.alias("no"), *[numbers(end).alias(f"end{i}") for i, end in enumerate(NUMBER_ENDS)])
+
+    return F.transform(_number_places(area), item)
+
+
 def topics(area: Column, n: Column, checked: bool = False) -> Column:
     """X13. ``array<struct<no, topic>>``: what follows each number from 1 to n, each sought behind the one before.
 
-    ``checked``: only where the number numbers an item (F25), so centuries, years and amounts in the text end no topic.
+    ``checked``: only where the number numbers an item (F25), so centuries, years and amounts in the text end no topic. All such
+    numbers are found in one pass over the text; each k takes the first of its own behind the one before.
     """
+    if checked:
+        return let(_items(area), lambda items: _segments(area, n, lambda k, start: _first_items(items, k, start)))
+    return _segments(area, n, lambda k, start: tuple(find(F.concat(k.cast("string"), F.lit(end)), area, start) for end in NUMBER_ENDS))
+
+
+def _first_items(items: Column, k: Column, start: Column) -> tuple[Column, ...]:
+    own = lambda i: F.filter(items, lambda x: (x["no"] == k.cast("string")) & (x["at"] >= start) & x[f"end{i}"])
+    return tuple(F.get(own(i), F.lit(0))["at"] for i in range(len(NUMBER_ENDS)))
 
-    def marks(k: Column, start: Column) -> tuple[Column, Column, Column]:
-        if not checked:
-            return tuple(find(F.concat(k.cast("string"), F.lit(end)), area, start) for end in (". ", " ", "."))
-        return tuple(item(F.concat(k.cast("string"), F.lit(end)), start) for end in (". ", " ", "."))
 
-    def item(mark: Column, start: Column) -> Column:
-        """The first place of the mark from ``start`` on that numbers an item."""
-        size = F.length(mark)
-        number = lambda p: T.is_item_number(F.substr(area, F.lit(1), p - 1), F.substr(area, p + size, F.lit(VALID_WITHIN)))
-        return F.get(F.filter(_places(area, mark), lambda p: (p >= start) & number(p)), F.lit(0))
+def _segments(area: Column, n: Column, marks) -> Column:
+    """The topics between the marks that ``marks(k, start)`` gives: the first places from ``start`` on of the number k before each of the ends."""
 
     def step(s: Column, k: Column) -> Column:
         def row(m: Column) -> Column:

@@ -72,20 +72,32 @@ def partial_update(df: DataFrame, changes: DataFrame, key: str, allowed: Sequenc
     return out.select(*df.columns)
 
 
-def bulk_update(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """M6. The column set from ``values(key, new)`` where it has the key."""
-    return df.join(values.select(key, "new"), key, "left").withColumn(column, F.coalesce("new", column)).select(*df.columns)
+def one_per_key(values: DataFrame, key: str | Sequence[str], value: str = "new", order: str | None = None, first: bool = False) -> DataFrame:
+    """``values`` with one row per key: its last value in ``order``, or its first; nulls do not count. Without an order the greatest, so reruns agree."""
+    keys = [key] if isinstance(key, str) else list(key)
+    at = F.struct(F.col(order), F.col(value)) if order else F.col(value)
+    pick = F.min_by if first else F.max_by
+    return values.filter(F.col(value).isNotNull()).groupBy(*keys).agg(pick(value, at).alias(value))
 
 
-def fill_if_empty(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """M7. Only null or zero values are set."""
+def bulk_update(df: DataFrame, values: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """M6. The column set from ``values(key, new)`` where it has the key; of a repeated key the last value in ``order`` counts."""
+    new = one_per_key(values, key, order=order)
+    return df.join(new, key, "left").withColumn(column, F.coalesce("new", column)).select(*df.columns)
+
+
+def fill_if_empty(df: DataFrame, values: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """M7. Only null or zero values are set; of a repeated key the first value in ``order`` that is not zero counts, since it leaves nothing to fill."""
     empty = F.coalesce(F.col(column), F.lit(0)) == 0
-    return df.join(values.select(key, "new"), key, "left").withColumn(column, F.when(empty, F.coalesce("new", column)).otherwise(F.col(column))).select(*df.columns)
+    new = one_per_key(values.filter("new <> 0"), key, order=order, first=order is not None)
+    some = values.filter("new = 0").select(key, F.lit(0).alias("zero")).distinct()
+    filled = F.coalesce("new", "zero", column).cast(df.schema[column].dataType)
+    return df.join(new, key, "left").join(some, key, "left").withColumn(column, F.when(empty, filled).otherwise(F.col(column))).select(*df.columns)
 
 
 def raise_only(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """M7. Values only grow."""
-    return df.join(values.select(key, "new"), key, "left").withColumn(column, F.greatest(column, "new")).select(*df.columns)
+    """M7. Values only grow; of a repeated key the greatest counts."""
+    return df.join(one_per_key(values, key), key, "left").withColumn(column, F.greatest(column, "new")).select(*df.columns)
 
 
 def replace_children(children: DataFrame, parents: DataFrame, new: DataFrame, parent: str, name: str, order: str) -> DataFrame:
@@ -151,17 +163,24 @@ def cascade_delete(tables: Sequence[tuple[DataFrame, str, str | None]], gone: Da
     return out
 
 
-def merge_grade(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """M13. ``stored(key, urls: map)`` with ``new(key, grade, url)`` put in, replacing the grade's URL."""
-    maps = new.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("grade", "url"))).alias("more"))
+def merge_grade(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """M13. ``stored(key, urls: map)`` with ``new(key, grade, url)`` put in, replacing the grade's URL; of a repeated grade the last URL in ``order`` counts.
+
+    Rows without a grade or URL change nothing; a key without a map gets one.
+    """
+    each = one_per_key(new.filter("grade is not null"), [key, "grade"], "url", order)
+    maps = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("grade", "url"))).alias("more"))
     out = stored.join(maps, key, "left")
     kept = F.map_filter("urls", lambda k, _: ~F.array_contains(F.map_keys("more"), k))
-    return out.withColumn("urls", F.when(F.col("more").isNull(), F.col("urls")).otherwise(F.map_concat(kept, "more"))).drop("more")
+    merged = F.when(F.col("urls").isNull(), F.col("more")).otherwise(F.map_concat(kept, "more"))
+    return out.withColumn("urls", F.when(F.col("more").isNull(), F.col("urls")).otherwise(merged)).drop("more")
 
 
-def overwrite_matches(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """M14. The column overwritten from ``values(key, new)``, one per key, with ``hit``, whether there was one."""
-    out = df.join(values.select(key, "new", F.lit(True).alias("hit")), key, "left")
+def overwrite_matches(df: DataFrame, values: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """M14. The column overwritten from ``values(key, new)`` with ``hit``, whether there was one; of a repeated key the last value in ``order`` counts, null too."""
+    at = F.struct(F.col(order), F.col("new")) if order else F.struct("new")
+    new = values.groupBy(key).agg(F.max_by(F.struct("new"), at).alias("x")).select(key, "x.new", F.lit(True).alias("hit"))
+    out = df.join(new, key, "left")
     return out.withColumn(column, F.when(F.col("hit"), F.col("new")).otherwise(F.col(column))).withColumn("hit", F.coalesce("hit", F.lit(False))).drop("new")
 
 
@@ -177,7 +196,7 @@ def missing_parents(child: DataFrame, parent: DataFrame, child_key: str, parent_
 
 
 def lowest_grade(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """W3. Courses and their links after an ordered feed ``(seq, name, grade, hours, link)``.
+    """W3. Courses and their links after an ordered feed ``(seq, name, grade, hours, link)``; ``seq`` is of any type that has an order.
 
     Blank names and missing grades are rejected. The row of the lowest grade that comes first
     survives; its hours are the most from then on, and links from before are lost with the rows that
@@ -191,10 +210,16 @@ def lowest_grade(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return courses, since.select("name", "link").filter("link is not null").distinct()
 
 
-def catalogue_courses(nested: DataFrame) -> DataFrame:
-    """M16. ``(seq, name, grade, hours, link)`` from ``(area, grades: map<string, array<struct<title, url>>>)``, ready for ``lowest_grade``."""
-    by_grade = nested.select("area", F.explode("grades").alias("grade", "records")).select("area", T.grade(F.col("grade")).alias("grade"), F.explode("records").alias("r"))
-    return by_grade.select(surrogate("area", "grade", "r.title").alias("seq"), T.title_case_tr(T.without_commas(F.col("r.title"))).alias("name"), "grade", F.lit(0).alias("hours"), F.col("area").alias("link"))
+def catalogue_courses(nested: DataFrame, order: str = "area") -> DataFrame:
+    """M16. ``(seq, name, grade, hours, link)`` from ``(area, grades: map<string, array<struct<title, url>>>)``, ready for ``lowest_grade``.
+
+    ``seq`` is the place in the feed, a struct: the row's ``order``, the grade's place in the map and the record's in its list. A record's own ``grade``,
+    where it has one, counts before that of its list.
+    """
+    lists = nested.select("area", F.col(order).alias("row_no"), F.posexplode(F.map_entries("grades")).alias("grade_no", "g"))
+    each = lists.select("area", "row_no", "grade_no", F.col("g.key").alias("list_grade"), F.posexplode("g.value").alias("record_no", "r"))
+    own = F.coalesce(T.grade(F.col("r.grade")), T.grade(F.col("list_grade"))) if "grade" in each.schema["r"].dataType.names else T.grade(F.col("list_grade"))
+    return each.select(F.struct("row_no", "grade_no", "record_no").alias("seq"), T.title_case_tr(T.without_commas(F.col("r.title"))).alias("name"), own.alias("grade"), F.lit(0).alias("hours"), F.col("area").alias("link"))
 
 
 def touched(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], now: Column) -> DataFrame:

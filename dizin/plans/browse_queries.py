@@ -186,9 +186,9 @@ def x17_append_children(t):
     return H.appended(held, t.orders.select(F.col("o_orderkey").alias("parent_id"), F.lit(1).alias("pos"), F.col("o_orderpriority").alias("name")))
 
 
-@query(f"{FLAT} SELECT row_number() OVER (ORDER BY area NULLS FIRST, branch NULLS FIRST, course NULLS FIRST, grade NULLS FIRST, course_id) AS place, course_id, branch FROM flat")
+@query(f"{FLAT} SELECT row_number() OVER (ORDER BY area NULLS FIRST, branch NULLS FIRST, course NULLS FIRST, grade NULLS FIRST, course_id) AS place, * FROM flat")
 def o01_four_key_sort(t):
-    return B.with_places(flat(t)).select("place", "course_id", "branch")
+    return B.with_places(flat(t))
 
 
 @query("SELECT p_partkey, p_retailprice, p_name FROM part")

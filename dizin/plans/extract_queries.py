@@ -50,14 +50,16 @@ def x02_table_section(t):
     return forms(t).select("k", F.length(X.table_section(F.col("text"))).cast("long").alias("size"))
 
 
-@query("""SELECT DISTINCT l_orderkey AS k, 'KAZANIM SAYISI DERS SAATİ ORAN' AS words, true AS gone FROM lineitem""")
+@query(f"""WITH {UNITS_SQL}, r AS (SELECT k, string_agg(title || ' ' || n || CASE k % 4 WHEN 0 THEN ' ' || h || ' ' || p WHEN 1 THEN ' ' || h || '/' || (h * 2) || ' ' || p WHEN 2 THEN ' ' || h ELSE '' END, ' ' ORDER BY seq) AS rest FROM v GROUP BY 1)
+SELECT k, rest, CAST(CASE k % 3 WHEN 0 THEN len('ÖĞRENME BİRİMİ KAZANIM SAYISI DERS SAATİ ORAN (%)') WHEN 1 THEN len('Öğrenme Birimi Kazanım Sayısı Ders Saati Oran ( % )') ELSE len('Kazanım Sayısı Ders Saati Oran(%)') END + 1 AS INT) AS taken FROM r""")
 def x03_headers(t):
-    """Headers alone: what the header removal takes away from each form's table."""
-    tables = forms(t).select("k", X.table_bounds(F.col("text")).alias("table"))
-    left = tables.withColumn("left", X.headless(F.col("table")))
-    taken = F.substr("table", F.lit(1), F.length("table") - F.length("left"))
-    header = F.regexp_extract(taken, r"(KAZANIM SAYISI DERS SAATİ ORAN) \(%\)\s*$", 1)
-    return left.select("k", header.alias("words"), (F.concat(taken, F.col("left")) == F.col("table")).alias("gone"))
+    """The tables without their headers, which are written in capitals, in small letters, or without their first words."""
+    header = F.lit("ÖĞRENME BİRİMİ KAZANIM SAYISI DERS SAATİ ORAN (%)")
+    written = F.when(F.col("k") % 3 == 0, header).when(F.col("k") % 3 == 1, F.lit("Öğrenme Birimi Kazanım Sayısı Ders Saati Oran ( % )")).otherwise(F.lit("Kazanım Sayısı Ders Saati Oran(%)"))
+    other = F.replace("text", header, written)
+    tables = forms(t).select("k", X.table_bounds(other).alias("table"))
+    left = tables.select("k", "table", X.headless(F.col("table")).alias("rest"))
+    return left.select("k", "rest", (F.length("table") - F.length("rest")).alias("taken"))
 
 
 @query(f"""WITH {UNITS_SQL} SELECT k, seq, title, n AS count, CASE k % 4 WHEN 1 THEN h || '/' || (h * 2) WHEN 3 THEN '-' ELSE CAST(h AS VARCHAR) END AS duration, CASE WHEN k % 4 < 2 THEN CAST(p AS VARCHAR) ELSE '-' END AS percentage FROM v""")

@@ -113,6 +113,14 @@ def t01_progress_rollup(t):
     return S.progress_rollup(t.events, "user_id", "event_type", "event_id", "value", done="purchase").drop("last_kind")
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run, ts, event_id AS seq, event_type AS kind, value, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), max(ts) OVER ()) AS following FROM events),
+m AS (SELECT *, CASE kind WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE CASE WHEN epoch_us(following) - epoch_us(ts) > 21600 * CAST(1000000 AS BIGINT) THEN 'timeout' END END AS ends FROM e),
+f AS (SELECT run, min({'ts': ts, 'seq': seq, 'ends': ends}) AS e FROM m WHERE ends IS NOT NULL GROUP BY 1)
+SELECT m.run, any_value(f.e.ends) AS state, count(*) AS events, arg_max(value, {'ts': m.ts, 'seq': m.seq}) AS progress, strftime(any_value(f.e.ts), '%Y-%m-%d %H:%M:%S') AS ended FROM m JOIN f ON m.run = f.run WHERE {'a': m.ts, 'b': m.seq} <= {'a': f.e.ts, 'b': f.e.seq} GROUP BY 1""")
+def t01_ended_runs(t):
+    return S.ended_runs(t.events, "user_id", "ts", "event_id", "event_type", "value", done="purchase", silent=6 * 3600).withColumn("ended", F.date_format("ended", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def t01_windowed_counts(t):
     return S.windowed_counts(t.events, "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))

@@ -57,22 +57,24 @@ def m05_partial_update(t):
     return U.partial_update(t.part, changes, "p_partkey", ["p_name", "p_size"]).select("p_partkey", "p_name", "p_size", "p_brand")
 
 
-NEW = "(SELECT l_partkey AS p_partkey, CAST(max(l_quantity) AS INT) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"
+#: The values of a key come several times; the last by order and line counts.
+NEW = "(SELECT l_partkey AS p_partkey, arg_max(CAST(l_quantity AS INT), {'o': l_orderkey, 'l': l_linenumber, 'q': CAST(l_quantity AS INT)}) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"
+FIRST = "(SELECT l_partkey AS p_partkey, arg_min(CAST(l_quantity AS INT), {'o': l_orderkey, 'l': l_linenumber, 'q': CAST(l_quantity AS INT)}) AS first, max(CAST(l_quantity AS INT)) AS most FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"
 
 
 def new_values(t):
-    return t.lineitem.filter("l_suppkey % 2 = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").cast("int").alias("new"))
+    return t.lineitem.filter("l_suppkey % 2 = 0").select(F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_quantity").cast("int").alias("new"))
 
 
 @query(f"SELECT p_partkey, coalesce(v, p_size) AS p_size FROM part LEFT JOIN {NEW} USING (p_partkey)")
 def m06_bulk_update(t):
-    return U.bulk_update(t.part.select("p_partkey", "p_size"), new_values(t), "p_partkey", "p_size")
+    return U.bulk_update(t.part.select("p_partkey", "p_size"), new_values(t), "p_partkey", "p_size", "at")
 
 
-@query(f"SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN coalesce(v, 0) ELSE p_size % 4 END AS INT) AS filled, greatest(p_size, v) AS raised FROM part LEFT JOIN {NEW} USING (p_partkey)")
+@query(f"SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN coalesce(first, 0) ELSE p_size % 4 END AS INT) AS filled, greatest(p_size, most) AS raised FROM part LEFT JOIN {FIRST} USING (p_partkey)")
 def m07_fill_and_raise(t):
     rows = t.part.select("p_partkey", (F.col("p_size") % 4).cast("int").alias("filled"), F.col("p_size").alias("raised"))
-    return U.raise_only(U.fill_if_empty(rows, new_values(t), "p_partkey", "filled"), new_values(t), "p_partkey", "raised")
+    return U.raise_only(U.fill_if_empty(rows, new_values(t), "p_partkey", "filled", "at"), new_values(t), "p_partkey", "raised")
 
 
 @query("""WITH p AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
@@ -127,17 +129,19 @@ def m12_cascade_delete(t):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN '10=b,9=n' WHEN 1 THEN '10=b,11=n,9=a' ELSE '10=b,9=a' END AS urls FROM supplier""")
+@query("""WITH n AS (SELECT o_custkey AS id, CAST(9 + o_orderkey % 3 AS VARCHAR) AS g, arg_max('n' || o_orderkey, o_orderkey) AS u FROM orders GROUP BY ALL),
+b AS (SELECT c_custkey AS id, '9' AS g, 'a' AS u FROM customer UNION ALL SELECT c_custkey, '12', 'b' FROM customer), every AS (SELECT * FROM n UNION ALL SELECT b.* FROM b ANTI JOIN n ON b.id = n.id AND b.g = n.g)
+SELECT c_custkey AS id, string_agg(g || '=' || u, ',' ORDER BY g) AS urls FROM customer JOIN every ON id = c_custkey GROUP BY 1""")
 def m13_merge_grade(t):
-    stored = t.supplier.select(F.col("s_suppkey").alias("id"), F.create_map(F.lit("9"), F.lit("a"), F.lit("10"), F.lit("b")).alias("urls"))
-    new = t.supplier.filter("s_suppkey % 3 < 2").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "9").otherwise("11").alias("grade"), F.lit("n").alias("url"))
+    stored = t.customer.select(F.col("c_custkey").alias("id"), F.create_map(F.lit("9"), F.lit("a"), F.lit("12"), F.lit("b")).alias("urls"))
+    new = t.orders.select(F.col("o_custkey").alias("id"), (9 + F.col("o_orderkey") % 3).cast("string").alias("grade"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderkey").alias("at"))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("urls")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return U.merge_grade(stored, new, "id").select("id", text.alias("urls"))
+    return U.merge_grade(stored, new, "id", "at").select("id", text.alias("urls"))
 
 
 @query(f"SELECT p_partkey, coalesce(v, p_size) AS p_size, v IS NOT NULL AS hit FROM part LEFT JOIN {NEW} USING (p_partkey)")
 def m14_overwrite_matches(t):
-    return U.overwrite_matches(t.part.select("p_partkey", "p_size"), new_values(t), "p_partkey", "p_size")
+    return U.overwrite_matches(t.part.select("p_partkey", "p_size"), new_values(t), "p_partkey", "p_size", "at")
 
 
 @query("""SELECT 'unique' AS kind, CAST(p_size AS VARCHAR) || p_name AS value, count(*) AS n FROM part GROUP BY p_size, p_name HAVING count(*) > 1
@@ -167,12 +171,18 @@ def w03_lowest_grade(t):
     return courses.join(each, "name").select("name", "grade", "hours", "seq", "links")
 
 
-@query("""WITH e AS (SELECT s_nationkey, CAST(9 + s_suppkey % 4 AS INT) AS grade, s_name FROM supplier) SELECT s_name AS name, min(grade) AS grade, count(*) AS n FROM e GROUP BY 1""")
+@query("""WITH f AS (SELECT {'a': o_custkey, 'g': o_orderkey % 4, 'k': o_orderkey} AS seq, 'Ders ' || (o_orderkey % 1000) AS name, 9 + o_orderkey % 4 AS grade, o_custkey AS link FROM orders),
+a AS (SELECT name, min(grade) AS g FROM f GROUP BY 1), b AS (SELECT f.name, g, min(seq) AS t FROM f JOIN a ON f.name = a.name AND f.grade = g GROUP BY ALL)
+SELECT b.name, CAST(g AS INT) AS grade, t.a AS area, CAST(0 AS INT) AS hours, string_agg(DISTINCT link, ',' ORDER BY link) AS links FROM b JOIN f ON f.name = b.name AND f.seq >= t GROUP BY ALL""")
 def m16_catalogue_courses(t):
-    rec = F.struct(F.concat("s_name", F.lit(",")).alias("title"), F.lit("u").alias("url"))
-    lists = t.supplier.groupBy(F.col("s_nationkey").cast("string").alias("area"), F.concat((9 + F.col("s_suppkey") % 4).cast("string"), F.lit(". Sınıf")).alias("g")).agg(F.collect_list(rec).alias("rs"))
-    nested = lists.groupBy("area").agg(F.map_from_entries(F.collect_list(F.struct("g", "rs"))).alias("grades"))
-    return U.catalogue_courses(nested).groupBy("name").agg(F.min("grade").alias("grade"), F.count("*").alias("n"))
+    """Each customer's orders as lists by grade, in the order of their keys; the first row of a course's lowest grade, and links from there on."""
+    grade = F.concat((9 + F.col("o_orderkey") % 4).cast("string"), F.lit(". Sınıf"))
+    record = F.struct("o_orderkey", F.concat(F.lit("DERS "), (F.col("o_orderkey") % 1000).cast("string"), F.lit(",")).alias("title"), F.lit("u").alias("url"))
+    lists = t.orders.groupBy("o_custkey", (F.col("o_orderkey") % 4).alias("no"), grade.alias("g")).agg(F.array_sort(F.collect_list(record)).alias("rs"))
+    nested = lists.groupBy("o_custkey", F.col("o_custkey").cast("string").alias("area")).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("no", "g", "rs"))), lambda x: F.struct(x["g"], x["rs"]))).alias("grades"))
+    courses, links = U.lowest_grade(U.catalogue_courses(nested, "o_custkey"))
+    each = links.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.transform(F.collect_set("link"), lambda x: x.cast("long"))), lambda x: x.cast("string")), ",").alias("links"))
+    return courses.join(each, "name").select("name", "grade", F.col("seq.row_no").alias("area"), "hours", "links")
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 OR p_partkey % 5 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS VARCHAR) AS updated_at FROM part")

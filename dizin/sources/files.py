@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,18 @@ def object_list(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
 
 def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
     """S7. ``(path, name, relative_path, length)`` of files below a folder, without reading them; ``~$`` files are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", folder)  # a folder is a name, not a pattern
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(plain).select("path", "length")
     return listed(found, folder, extensions)
 
 
 def listed(paths: DataFrame, folder: str, extensions: tuple[str, ...]) -> DataFrame:
-    """S7 over a table that has a ``path``."""
+    """S7 over a table that has a ``path``; the relative path is what follows the first occurrence of the folder, whatever characters that has."""
     name = F.substring_index("path", "/", -1)
-    ending = F.lower(name).rlike(r"\.(" + "|".join(extensions) + ")$")
-    inside = F.regexp_replace("path", "^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
+    ending = F.lower(name).rlike(r"\.(" + "|".join(rf"\Q{e.lower()}\E" for e in extensions) + ")$")
+    below = F.lit(folder.rstrip("/") + "/")
+    at = F.call_function("locate", below, F.col("path"))
+    inside = F.when(at > 0, F.substr("path", at + F.length(below))).otherwise(F.col("path"))
     return paths.filter(ending & ~name.startswith("~$")).withColumn("name", name).withColumn("relative_path", inside)
 
 

@@ -1,5 +1,8 @@
 """Course forms, cards and timetables on the documented fixtures."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from dizin.operators import extract as X
@@ -105,3 +108,58 @@ def test_archives_and_listing(spark, tmp_path):
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
     kinds = {r["path"].rsplit("/", 1)[-1]: (r["kind"], r["m"]) for r in content.withColumn("kind", S.archive_kind(F.col("content"))).withColumn("m", S.kind_mismatch(F.col("path"), F.col("kind"))).collect()}
     assert kinds["a.rar"] == ("RAR", False) and kinds["c.rar"] == ("7Z", True) and kinds["e.txt"][0].startswith("UNKNOWN")
+
+
+def test_header_in_any_case(spark):
+    body = "Fatura 3 18 22 Vergi 2 9 11"
+    heads = ["ÖĞRENME BİRİMİ KAZANIM SAYISI DERS SAATİ ORAN (%)", "Öğrenme Birimi Kazanım Sayısı Ders Saati Oran (%)", "öğrenme birimi kazanım sayısı oran ( % )", "Kazanım Sayısı Oran(%)", "OGRENME BIRIMI SURE ( % )"]
+    df = spark.createDataFrame([(i, f"{h} {body}") for i, h in enumerate(heads)] + [(9, body), (10, None)], "k int, t string")
+    assert {r["k"]: r["x"] for r in df.select("k", X.headless(F.col("t")).alias("x")).collect()} == {**{i: body for i in range(5)}, 9: body, 10: None}
+
+
+def plain_judged(low, titles):
+    out = []
+    for t, n in titles:
+        places = [i for i in range(len(low) - len(t) + 1) if low.startswith(t, i)] if t else []
+        good = [p for p in places if all(f"{i}." in low[p : p + X.VALID_WITHIN] or f"{i} " in low[p : p + X.VALID_WITHIN] for i in range(1, n + 1))]
+        out.append((len(places), len(good), good[0] + 1 if good else None))
+    return out
+
+
+def test_titles_are_judged_as_by_plain_search(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(X, "VALID_WITHIN", 40)
+    for _ in range(300):
+        low = "".join(rng.choice(["A", "AB", "BA", " ", "1", "2. ", "3 ", "11.", "10 ", "\n"]) for _ in range(rng.randint(0, 80)))
+        titles = [("".join(rng.choice("AB ") for _ in range(rng.randint(0, 4))), rng.randint(0, 4)) for _ in range(5)]
+        assert X.judged(low, titles) == plain_judged(low, titles), (low, titles)
+
+
+def test_many_titles_in_a_long_text(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcçdeğı") for _ in range(5)) for _ in range(200)]
+    titles = [" ".join(rng.choice(words) for _ in range(2)) for _ in range(50)]
+    text = " ".join(rng.choice(words) if rng.random() < 0.9 else rng.choice([*titles, "1. ", "2. "]) for _ in range(160_000))
+    began = time.process_time()
+    told = X.judged(text, [(t, 2) for t in titles])
+    assert len(text) > 900_000 and time.process_time() - began < 4 and sum(n for n, _, _ in told) > 10_000
+    at = 0
+    for _ in range(told[0][0]):
+        at = text.index(titles[0], at) + 1
+    assert text.find(titles[0], at) < 0
+    got = spark.createDataFrame([("aXaXa\\E", "axa"), ("abc", ""), (None, "a"), ("q\\E.", "\\E.")], "t string, k string").select(X.occurrences(F.col("t"), F.col("k"))).collect()
+    assert [r[0] for r in got] == [[1, 3], None, None, [2]]
+
+
+def test_checked_topics_pass_over_other_numbers(spark):
+    text = "1. Giriş 19. Yüzyıl ve 2. yüzyıl 2. Ağlar (3. x) x3. Y 3. Son 2. Tekrar"
+    one = spark.createDataFrame([(1, text, 4), (2, "", 1), (3, None, 2)], "k int, t string, n int")
+    got = {r["k"]: r["x"] and [x["topic"] for x in r["x"]] for r in one.select("k", X.topics(F.col("t"), F.col("n"), True).alias("x")).collect()}
+    assert got[1] == ["Giriş 19. Yüzyıl ve 2. yüzyıl", "Ağlar (3. x) x3. Y", "Son 2. Tekrar", X.NOT_FOUND] and got[2] == [X.NOT_FOUND]
+
+
+def test_listing_of_a_folder_named_like_a_pattern(spark, tmp_path):
+    folder = tmp_path / "a+(b) [c].d"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "sub" / "x.RAR").write_bytes(b"Rar!")
+    assert [r["relative_path"] for r in S.listing(spark, str(folder), ("rar",)).collect()] == ["sub/x.RAR"]

@@ -3,14 +3,18 @@
 import random
 import subprocess
 import sys
+from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dizin.operators import browse as B
 from dizin.operators import match as M
+from dizin.operators import stats as A
 from dizin.operators import upsert as U
 from dizin.streaming import streams as S
+from dizin.tables import KeyedTable
 
 
 def fold(feed):
@@ -105,11 +109,93 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     S.ingest(stream, "k", out, str(tmp_path / "cp"), 4).awaitTermination()
     assert all(p.stat().st_mtime_ns == t for p, t in first.items()) and first
     want = S.latest(spark.createDataFrame([*rows, (200, 3, "new")], "seq int, k int, v string"), "k", "seq")
-    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq", buckets=4).collect())) == sorted(map(tuple, want.collect()))
     assert [tuple(r) for r in S.ingested(spark, out, "k", "seq", 3, 4).collect()] == [(200, 3, "new")]
-    # From nothing again, as after a lost checkpoint: batches replace what they wrote.
-    S.ingest(stream, "k", out, str(tmp_path / "cp2"), 4).awaitTermination()
-    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq").collect())) == sorted(map(tuple, want.collect()))
+    # The checkpoint is lost, and the source has forgotten its beginning and comes in other batches: nothing that was taken is lost.
+    kept = sorted(Path(source).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    kept[0].unlink()
+    spark.createDataFrame([(300, 5, "newest")], "seq int, k int, v string").coalesce(1).write.mode("append").parquet(source)
+    again = spark.readStream.schema("seq int, k int, v string").option("maxFilesPerTrigger", 2).parquet(source)
+    S.ingest(again, "k", out, str(tmp_path / "cp2"), 4).awaitTermination()
+    want = S.latest(spark.createDataFrame([*rows, (200, 3, "new"), (300, 5, "newest")], "seq int, k int, v string"), "k", "seq")
+    assert sorted(map(tuple, S.ingested(spark, out, "k", "seq", buckets=4).collect())) == sorted(map(tuple, want.collect()))
+    # A batch that is replayed after its commit is not taken twice, and compaction leaves one part for each bucket and the same rows.
+    held = KeyedTable(spark, out, "k", 4)
+    source_id, last = next(iter(held.manifest()["sources"].items()))
+    version = held.manifest()["version"]
+    assert held.append(spark.createDataFrame([(999, 1, "replayed")], "seq int, k int, v string"), source_id, last) == version
+    before = held.read().count()
+    buckets = held.compact("seq")
+    assert buckets and all(sum(b in bs for bs in held.manifest()["parts"].values()) == 1 for b in buckets)
+    assert held.read().count() == 7 < before and sorted(map(tuple, held.read(seq="seq").collect())) == sorted(map(tuple, want.collect()))
+    assert held.vacuum() and held.versions() == [held.manifest()["version"]] and held.compact("seq") == []
+    S.ingest(again, "k", out, str(tmp_path / "cp2"), 4).awaitTermination()
+    assert sorted(map(tuple, held.read(seq="seq").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_update_rewrites_its_buckets_only(spark, tmp_path):
+    held = KeyedTable(spark, str(tmp_path / "t"), "id", 16)
+    held.append(spark.range(1000).select(F.col("id").cast("int").alias("id"), F.lit(0).alias("hours")))
+    change = spark.createDataFrame([(7, 3)], "id int, new int")
+    apply = lambda rows, new: U.bulk_update(rows, new, "id", "hours")
+    before = held.manifest()
+    assert len(held.update(change, apply)) == 1
+    after = held.manifest()
+    old = next(iter(before["parts"]))
+    assert len(after["parts"]) == 2 and len(after["parts"][old]) == 15
+    rows = sorted(map(tuple, held.read().collect()))
+    assert [r for r in rows if r[1]] == [(7, 3)] and len(rows) == 1000
+    held.update(change, apply)
+    assert sorted(map(tuple, held.read().collect())) == rows and [tuple(r) for r in held.read(7).collect()] == [(7, 3)]
+    # Another writer changes the same bucket meanwhile: the update is begun anew from what that left.
+    once = []
+
+    def raced(rows, new):
+        if not once:
+            once.append(held.update(spark.createDataFrame([(7, 50)], "id int, new int"), apply))
+        return U.raise_only(rows, new, "id", "hours")
+
+    held.update(spark.createDataFrame([(7, 40)], "id int, new int"), raced)
+    assert [tuple(r) for r in held.read(7).collect()] == [(7, 50)]
+    assert held.update(change.filter("id < 0"), apply) == [] and held.update(spark.createDataFrame([(None, 1)], "id int, new int"), apply) == []
+
+
+RUNS = "run string, ts timestamp, seq long, kind string, progress double"
+
+
+def test_runs_of_a_stream_end_as_those_of_a_batch(spark, tmp_path):
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    rows = []
+    for run in range(40):
+        at = start + timedelta(minutes=rng.randint(0, 60))
+        for seq in range(rng.randint(1, 14)):
+            rows.append((f"r{run}", at, run * 100 + seq, rng.choice(["info"] * 6 + ["done", "error"]), rng.choice([None, seq / 10])))
+            at += timedelta(seconds=rng.choice([0, 1, 60, 300, 1500, 1800, 1801, 2500]))
+    # A last event far on moves the watermark past all others.
+    last = max(r[1] for r in rows) + timedelta(days=1)
+    source = tmp_path / "in"
+    late = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rng.randint(0, 500)))  # out of order within the ten minutes that are waited for
+    for part in (late[:100], late[100:200], late[200:], [("z", last, 0, "info", None)], [("z", last + timedelta(seconds=1), 1, "info", None)]):
+        spark.createDataFrame(part, RUNS).coalesce(1).write.mode("append").parquet(str(source))
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = session.readStream.schema(RUNS).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = S.run_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    columns = ["run", "state", "events", "progress", "ended"]
+    got = sorted(map(tuple, session.read.parquet(str(tmp_path / "out")).select(columns).collect()))
+    want = sorted(map(tuple, S.ended_runs(spark.createDataFrame(rows, RUNS), now=F.lit(last)).select(columns).collect()))
+    assert got == want and {r[1] for r in want} == {"done", "error", "timeout"} and len(want) == 40
+    # The same by hand.
+    plain = {}
+    for run, ts, _, kind, progress in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        held = plain.setdefault(run, [None, 0, None, None])
+        if held[0] is None and held[3] is not None and ts - held[3] > timedelta(seconds=1800):
+            held[0] = "timeout"
+        if held[0] is None:
+            held[1:] = [held[1] + 1, progress, ts]
+            held[0] = kind if kind in ("done", "error") else None
+    assert want == sorted((run, state or "timeout", n, p, ts) for run, (state, n, p, ts) in plain.items())
 
 
 def test_sample(spark):
@@ -142,3 +228,43 @@ def test_library_stands_alone():
     code = "import sys; sys.modules['dizin.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op') for k in e.queries())"
     root = Path(__file__).resolve().parents[1]
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_places_have_no_gaps_over_a_million_wide_rows(spark):
+    df = spark.range(1_000_000).select(
+        F.col("id").alias("course_id"), *[F.concat(F.lit(c), (F.hash("id", F.lit(i)) % 50).cast("string"), F.lit("x" * 30)).alias(c) for i, c in enumerate(("area", "branch", "course"))],
+        (F.col("id") % 4).cast("int").alias("grade"), *[F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias(f"wide{i}") for i in range(2)],
+    )
+    got = B.with_places(df)
+    told = got.agg(F.count("*"), F.min("place"), F.max("place"), F.count_distinct("place")).first()
+    assert tuple(told) == (1_000_000, 1, 1_000_000, 1_000_000)
+    order = Window.orderBy(*[F.col(c).asc_nulls_first() for c in (*B.FOUR_KEYS, "course_id")])
+    want = df.select("course_id", *B.FOUR_KEYS).select("course_id", F.row_number().over(order).alias("want"))
+    assert got.select("course_id", "place").join(want, "course_id").filter("place <> want").count() == 0
+
+
+def test_repeated_keys_in_updates(spark):
+    stored = spark.createDataFrame([(1, 5), (2, 0), (3, None), (4, 0)], "id int, hours int")
+    values = spark.createDataFrame([(1, 7, 1), (1, 6, 2), (1, None, 3), (2, 0, 1), (2, 4, 2), (2, 3, 3), (3, 0, 1), (9, 9, 9), (None, 1, 1)], "id int, new int, at int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(U.bulk_update(stored, values, "id", "hours", "at")) == [(1, 6), (2, 3), (3, 0), (4, 0)]
+    assert rows(U.fill_if_empty(stored, values, "id", "hours", "at")) == [(1, 5), (2, 4), (3, 0), (4, 0)]
+    assert rows(U.raise_only(stored, values, "id", "hours")) == [(1, 7), (2, 4), (3, 0), (4, 0)]
+    assert rows(U.overwrite_matches(stored, values, "id", "hours", "at").fillna(-1)) == [(1, -1, True), (2, 3, True), (3, 0, True), (4, 0, False)]
+    maps = spark.createDataFrame([(1, {"9": "a"}), (2, None), (3, {"9": "x"})], "id int, urls map<string,string>")
+    new = spark.createDataFrame([(1, "9", "b", 1), (1, "9", "c", 2), (1, "10", "d", 1), (2, "9", "e", 1), (1, None, "z", 1), (1, "9", None, 3)], "id int, grade string, url string, at int")
+    assert {r["id"]: r["urls"] for r in U.merge_grade(maps, new, "id", "at").collect()} == {1: {"9": "c", "10": "d"}, 2: {"9": "e"}, 3: {"9": "x"}}
+
+
+def test_catalogue_keeps_the_order_of_the_feed(spark):
+    rows = [(2, "B", [("9. Sınıf", [("y", "u"), ("x", "u")])]), (1, "A", [("10. Sınıf", [("x,", "u"), ("y", "u")]), ("9. Sınıf", [("X", "u")])])]
+    df = spark.createDataFrame(rows, "no int, area string, grades array<struct<g:string,rs:array<struct<title:string,url:string>>>>").withColumn("grades", F.map_from_entries("grades"))
+    got = U.catalogue_courses(df, "no").orderBy("seq").collect()
+    assert [(tuple(r["seq"]), r["name"], r["grade"], r["link"]) for r in got] == [((1, 0, 0), "X", 10, "A"), ((1, 0, 1), "Y", 10, "A"), ((1, 1, 0), "X", 9, "A"), ((2, 0, 0), "Y", 9, "B"), ((2, 0, 1), "X", 9, "B")]
+    courses, links = U.lowest_grade(U.catalogue_courses(df, "no"))
+    assert {r["name"]: (r["grade"], tuple(r["seq"])) for r in courses.collect()} == {"X": (9, (1, 1, 0)), "Y": (9, (2, 0, 0))}
+    assert sorted(map(tuple, links.collect())) == [("X", "A"), ("X", "B"), ("Y", "B")]
+
+
+def test_counts_of_missing_tables(spark):
+    assert A.table_counts({"a": None, "b": None}).first().asDict() == {"a_count": 0, "b_count": 0}
