@@ -40,6 +40,40 @@ def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return rows.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"m.{c}").alias(c) for c in columns])
 
 
+def _by_gram(names: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Rows once for each distinct gram of their ``name``."""
+    return names.filter("name <> ''").withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("name"), n) for n in sizes])))))
+
+
+def _by_rarest(names: DataFrame, often: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, best, gram)``: names with the gram of theirs that the fewest of the others hold; a name of fewer letters than a gram has is its own."""
+    short = names.filter((F.length("name") < GRAM) & (F.col("name") != "")).select(*keys, "best", F.col("name").alias("gram"))
+    grams = _by_gram(names, [GRAM]).hint("merge").join(often, "gram", "left")
+    rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    return short.unionByName(grams.groupBy(*keys).agg(F.min("best").alias("best"), rarest).select(*keys, "best", "gram"))
+
+
+def first_contained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(name, kind, best)``: for each name of ``left(name)`` and each kind, the least ``best`` of ``right(name, kind, best)`` whose name holds it or is held by it.
+
+    A short name may be held by all others: of the names that hold a gram only the least is kept, gram by gram, and a name of up to ``GRAM`` letters is looked up
+    there. So there are no pairs of a short name with all that hold it. Empty names hold nothing.
+    """
+    names = left.select("name").distinct()
+    right = right.groupBy("name", "kind").agg(F.min("best").alias("best"))
+    least = F.min("best").alias("best")
+    left_grams = _by_gram(names, range(1, GRAM + 1))
+    count = lambda grams: grams.filter(F.length("gram") == GRAM).groupBy("gram").agg(F.count("*").alias("n"))
+    filed = _by_rarest(right, count(left_grams), ["name", "kind"]).withColumnRenamed("name", "held")
+    inside = left_grams.hint("merge").join(filed, "gram").filter(F.col("name").contains(F.col("held"))).groupBy("name", "kind").agg(least)
+    by_gram = _by_gram(right, range(1, GRAM + 1)).groupBy("gram", "kind").agg(least)
+    short = names.filter(F.length("name").between(1, GRAM)).select("name", F.col("name").alias("gram")).hint("merge").join(by_gram, "gram").select("name", "kind", "best")
+    right_grams = _by_gram(right, [GRAM])
+    own = _by_rarest(names.filter(F.length("name") > GRAM).withColumn("best", F.lit(0)), count(right_grams), ["name"]).select("name", "gram")
+    around = right_grams.withColumnRenamed("name", "holder").hint("merge").join(own, "gram").filter(F.col("holder").contains(F.col("name"))).groupBy("name", "kind").agg(least)
+    return inside.unionByName(short).unionByName(around).groupBy("name", "kind").agg(least)
+
+
 def exact(left: DataFrame, right: DataFrame) -> DataFrame:
     """J5. ``left(name)`` with the id of the equal name (in title case) of ``right(name, id)``; the last id of equals."""
     keyed = right.groupBy(T.title_case_tr(F.col("name")).alias("key")).agg(F.max("id").alias("id"))
@@ -53,14 +87,15 @@ def containment(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def class_containment(left: DataFrame, right: DataFrame) -> DataFrame:
     """J7. ``(name, protocol, id, tier)``: equal (0), else containment in the same protocol class (1), else in any (2); first by name."""
-    names = lambda d: d.select(F.lower("name").alias("name"))
-    one = holding_pairs(names(left), names(right)).select(F.col("holder").alias("l"), F.col("held").alias("r"))
-    two = holding_pairs(names(right), names(left)).select(F.col("held").alias("l"), F.col("holder").alias("r"))
-    pairs = one.unionByName(two).distinct()
-    r = right.select(F.col("name").alias("right_name"), "id", F.col("protocol").alias("right_protocol"), F.lower("name").alias("r"))
-    met = left.select("name", "protocol", F.lower("name").alias("l")).distinct().hint("merge").join(pairs, "l").hint("merge").join(r, "r")
-    tier = F.when(F.col("l") == F.col("r"), 0).when(F.col("protocol") == F.col("right_protocol"), 1).otherwise(2)
-    return _first(met.withColumn("tier", tier), ["name", "protocol"], ["tier", "right_name", "id"], ["tier", "id"])
+    best = F.struct(F.col("name").alias("right_name"), "id")
+    r = right.select(F.lower("name").alias("name"), F.col("protocol").alias("kind"), best.alias("best"))
+    l = left.select("name", "protocol", F.lower("name").alias("l")).distinct()  # noqa: E741
+    equal = r.groupBy(F.col("name").alias("l")).agg(F.min("best").alias("best"))
+    same = l.hint("merge").join(equal, "l").select("name", "protocol", F.lit(0).alias("tier"), "best")
+    found = first_contained(l.select(F.col("l").alias("name")), r).withColumnRenamed("name", "l")
+    held = l.hint("merge").join(found, "l").select("name", "protocol", F.when(F.col("protocol") == F.col("kind"), 1).otherwise(2).alias("tier"), "best")
+    met = same.unionByName(held).select("name", "protocol", "tier", "best.*")
+    return _first(met, ["name", "protocol"], ["tier", "right_name", "id"], ["tier", "id"])
 
 
 def _words(c: Column) -> Column:
@@ -110,15 +145,15 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Names are in small letters and trimmed. A pair has the score of the first of these that holds.
     """
-    names = lambda d: d.select(F.trim(F.lower("name")).alias("name"))
-    held = holding_pairs(names(left), names(right)).select(F.col("holder").alias("l"), F.col("held").alias("r")).unionByName(
-        holding_pairs(names(right), names(left)).select(F.col("held").alias("l"), F.col("holder").alias("r"))
-    )
-    whole = held.distinct().withColumn("score", F.when(F.col("l") == F.col("r"), 100.0).otherwise(90.0))
+    names = lambda d: d.select(F.trim(F.lower("name")).alias("name")).filter("name <> ''").distinct()
+    l, r = names(left), names(right)  # noqa: E741
+    same = l.hint("merge").join(r, "name").select(F.col("name").alias("l"), F.col("name").alias("r"), F.lit(100.0).alias("score"))
+    # Where a name is equal to one, what holds it counts less.
+    held = first_contained(l, r.select("name", F.lit(0).alias("kind"), F.struct("name").alias("best"))).select(F.col("name").alias("l"), F.col("best.name").alias("r"), F.lit(90.0).alias("score")).filter("l <> r")
     # 200 c / (n + m) > 70 with m >= c needs c > 7 n / 13.
     least = lambda n: F.least(n, F.floor(n * 7 / 13).cast("int") + 1)
-    dice = shared_words(names(left), names(right), least, least).withColumn("score", 200.0 * F.col("common") / (F.col("n_l") + F.col("n_r"))).filter("score > 70 and not contains(l, r) and not contains(r, l)").select("l", "r", "score")
-    best = whole.unionByName(dice).groupBy("l", "r").agg(F.max("score").alias("score")).withColumn("worse", -F.col("score"))
+    dice = shared_words(l, r, least, least).withColumn("score", 200.0 * F.col("common") / (F.col("n_l") + F.col("n_r"))).filter("score > 70 and not contains(l, r) and not contains(r, l)").select("l", "r", "score")
+    best = same.unionByName(held).unionByName(dice).withColumn("worse", -F.col("score"))
     return _first(best, ["l"], ["worse", "r"], ["score", "r"]).select(F.col("l").alias("name"), F.col("r").alias("match"), "score")
 
 
@@ -189,9 +224,10 @@ def fill_by_pattern(units: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def bucket_fallback(names: DataFrame, buckets: DataFrame) -> DataFrame:
     """J16. ``names(name)`` with a bucket of ``buckets(bucket, pos)``: the equal one, else the first by position that holds it or is held."""
-    up = lambda d, c: d.select(F.upper(c).alias("name"))
-    one = holding_pairs(up(names, "name"), up(buckets, "bucket")).select(F.col("holder").alias("n"), F.col("held").alias("b"))
-    two = holding_pairs(up(buckets, "bucket"), up(names, "name")).select(F.col("held").alias("n"), F.col("holder").alias("b"))
-    met = names.select("name", F.upper("name").alias("n")).distinct().hint("merge").join(one.unionByName(two).distinct(), "n").hint("merge").join(buckets.withColumn("b", F.upper("bucket")), "b")
-    ranked = met.withColumn("tier", F.when(F.col("name") == F.col("bucket"), 0).otherwise(1))
-    return names.distinct().hint("merge").join(_first(ranked, ["name"], ["tier", "pos", "bucket"], ["bucket"]), "name", "left")
+    best = F.struct("pos", "bucket").alias("best")
+    own = names.select("name").distinct()
+    same = own.hint("merge").join(buckets.groupBy("bucket").agg(F.min(best).alias("best")), own["name"] == F.col("bucket")).select("name", F.lit(0).alias("tier"), "best")
+    found = first_contained(own.select(F.upper("name").alias("name")), buckets.select(F.upper("bucket").alias("name"), F.lit(0).alias("kind"), best)).select(F.col("name").alias("n"), "best")
+    held = own.withColumn("n", F.upper("name")).hint("merge").join(found, "n").select("name", F.lit(1).alias("tier"), "best")
+    met = same.unionByName(held).select("name", "tier", "best.*")
+    return names.distinct().hint("merge").join(_first(met, ["name"], ["tier", "pos", "bucket"], ["bucket"]), "name", "left")

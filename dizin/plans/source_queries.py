@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dizin.functions import text as T
 from dizin.operators import stats as A
 from dizin.plans.registry import query
+from dizin.scratch import scratch_path
 from dizin.sources import files as S
 from dizin.sources import html as H
 
@@ -119,6 +120,18 @@ def s12_json_rows(t):
     return S.json_rows(t.orders, "o_custkey", ["o_orderkey", "o_orderstatus"], ["o_orderkey"])
 
 
+@query("""SELECT o_orderstatus, '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}' AS json, true AS in_order FROM orders""")
+def s12_json_groups(t):
+    """Orders written as a folder of JSON lines for each status, read back, with whether each line comes after those of earlier files."""
+    path = scratch_path(t.spark, "json-groups")
+    S.write_json_groups(t.orders, path, "o_orderstatus", ["o_orderkey", "o_orderpriority"], ["o_orderkey"])
+    lines = S.json_groups(t.spark, path, "o_orderstatus").withColumn("key", F.get_json_object("json", "$.o_orderkey").cast("long"))
+    files = lines.groupBy("o_orderstatus", "file").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    before = F.lag("most").over(Window.partitionBy("o_orderstatus").orderBy("file"))
+    told = files.select("o_orderstatus", "file", F.coalesce(before < F.col("least"), F.lit(True)).alias("in_order"))
+    return lines.hint("merge").join(told, ["o_orderstatus", "file"]).select("o_orderstatus", "json", "in_order")
+
+
 @query("SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT s_suppkey + 1500, s_name FROM supplier WHERE s_suppkey + 1500 NOT IN (SELECT p_partkey FROM part)")
 def s13_seeds(t):
     held = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
