@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,6 +72,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def most_frequent(df: DataFrame, times: str, columns: list[str], head: int) -> list:
+    """Rows (their ``columns``) of the highest ``times``, ``head`` of them at most: all from some frequency on, so what is collected is bounded by ``head``.
+
+    How frequent they must be is told by the numbers of rows at each level of frequency, sixteen to each doubling.
+    """
+    levelled = df.withColumn("__level", F.floor(F.log2(times) * 16))
+    least, total = None, 0
+    for level, n in levelled.groupBy("__level").agg(F.count("*")).orderBy(F.desc("__level")).collect():  # a thousand rows at most
+        total += n
+        if total > head:
+            break
+        least = level
+    return [] if least is None else levelled.filter(F.col("__level") >= least).select(*columns).collect()
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs that run within hand at most about ``size`` bytes at once to a Python function: for rows that are large, so few of them are in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], text: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of up to ``rows`` rows and about ``size`` bytes of text; a longer text is in a piece of its own."""
     for batch in batches:

@@ -1,14 +1,16 @@
 """Token counts of whole texts without token ids: each distinct pre-token is tokenised once.
 
 A text is cut wherever no piece of the vocabulary holds the two characters that meet there: no merge can join what lies
-on both sides, so the pieces of the parts (pre-tokens) are those of the text. Texts are counted in batches, so a pre-token that all documents
-hold is one row for each batch and not for each document, and no key has more rows than there are batches.
+on both sides, so the pieces of the parts (pre-tokens) are those of the text. The most frequent pre-tokens, a fixed number, are summed where the texts
+lie. The others are joined, by batches of texts: one that several documents hold is one row for each batch, and no key has more rows than there are batches.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -21,15 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from dizin.llm.common import batches_of, forget, written
+from dizin.llm.common import batches_of, most_frequent, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Tokens beyond which a document is over the limit.
 LIMIT = 4096
 #: Rows and bytes of text of a batch; a longer text is a batch of its own.
 ROWS, BYTES = 4096, 8 << 20
-#: Pre-tokens that are tokenised at once.
-AT_ONCE = 4096
+#: Pre-tokens that are tokenised at once; distinct ones that a task counts before it hands them on.
+AT_ONCE, HELD = 4096, 1 << 17
+#: Pre-tokens whose sizes every task is given, and characters of the longest: 16 MB at most.
+HEAD, SHORT = 1 << 18, 16
 SPACE = "▁"
 #: A text that a model must keep as it is.
 PROBE = "ﬁ  ½ é "
@@ -74,78 +78,102 @@ class Cuts:
         return [len(ids) - self.guarded for ids in self.library.encode([self.guard + p for p in parts], num_threads=1)]
 
 
-def frequencies(docs: DataFrame, text: str, keep: list[str], model: str = MODEL) -> DataFrame:
-    """``(batch, rows, piece, members, times)``: for each batch of texts one row with its rows and their bytes, and one for each of its distinct pre-tokens,
-    with the rows that hold it (places in the batch, four bytes each) and how often (four bytes each)."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
-    row = StructType([held.schema["row"], StructField("n_bytes", LongType())])
-    schema = StructType().add("batch", LongType()).add("rows", ArrayType(row)).add("piece", StringType()).add("members", BinaryType()).add("times", BinaryType())
-    arrow = to_arrow_schema(schema)
+@lru_cache(maxsize=1)
+def cuts_of(model: str) -> Cuts:
+    """The cuts of a model, made once for each Python worker and not for each task."""
+    return Cuts(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, first = Cuts(model), TaskContext.get().partitionId() << 32
-        for number, part in enumerate(batches_of(batches, "text", ROWS, BYTES)):
-            texts, found = part.column("text"), {}
-            for place, one in enumerate(texts):
-                for piece, n in Counter(cuts.parts(one.as_py() or "")).items():
-                    found.setdefault(piece, ([], []))
-                    found[piece][0].append(place)
-                    found[piece][1].append(n)
-            size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
-            rows = pa.StructArray.from_arrays([part.column("row"), size], fields=list(arrow.field("rows").type.value_type))
-            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            none = lambda t: pa.nulls(1, t)
-            yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), lists.cast(arrow.field("rows").type), none(pa.string()), none(pa.binary()), none(pa.binary())], schema=arrow)
-            made = [[np.array(x, np.uint32).tobytes() for x in column] for column in zip(*found.values())] or [[], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + number] * len(found), pa.int64()), pa.nulls(len(found), arrow.field("rows").type), pa.array(found, pa.string()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], schema=arrow,
-            )
 
-    return held.mapInArrow(run, schema)
+def dictionary(docs: DataFrame, text: str, model: str = MODEL) -> DataFrame:
+    """``(piece, times, n)``: how often each distinct pre-token stands in the texts, and how many tokens it has; it is tokenised once."""
+    pieces, sized = "piece string, times long", "piece string, times long, n long"
+    arrow = to_arrow_schema(StructType.fromDDL(sized))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, times = cuts_of(model), Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], names=["piece", "times"])
+        for batch in batches:
+            for one in batch.column(0):
+                times.update(cuts.parts(one.as_py() or ""))
+                if len(times) >= HELD:
+                    yield told()
+                    times.clear()
+        yield told()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = cuts_of(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cuts.sizes(part.column(0).to_pylist()), pa.int64())], schema=arrow)
 
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(seen, pieces).groupBy("piece").agg(F.sum("times").alias("times")).mapInArrow(count, sized)
 
-def dictionary(pieces: DataFrame, model: str = MODEL) -> DataFrame:
-    """``(piece, n)``: how many tokens each distinct pre-token of ``pieces(piece)`` has."""
-    schema = "piece string, n long"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+def common(sizes: DataFrame, head: int = HEAD) -> dict[str, int]:
+    """The tokens of the most frequent pre-tokens of a dictionary: ``head`` of them at most, of up to ``SHORT`` characters each, so their size is bounded."""
+    return dict(most_frequent(sizes.filter(F.length("piece") <= SHORT), "times", ["piece", "n"], head))
+
+
+def frequencies(docs: DataFrame, text: str, keep: list[str], known: dict[str, int], model: str = MODEL) -> DataFrame:
+    """``(batch, rows, piece, members)``: for each batch of texts one row with its rows, their bytes and their tokens in the ``known`` pre-tokens, and
+    one for each of its other pre-tokens, with the place in the batch of the row that holds it (two bytes) once for each time."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
+    row = StructType([held.schema["row"], StructField("n_bytes", LongType()), StructField("n_known", LongType())])
+    schema = StructType().add("batch", LongType()).add("rows", ArrayType(row)).add("piece", StringType()).add("members", BinaryType())
+    arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.column(0).slice(at, AT_ONCE)
-                yield pa.RecordBatch.from_arrays([part, pa.array(cuts.sizes(part.to_pylist()), pa.int64())], schema=arrow)
+        cuts, first, size_of = cuts_of(model), TaskContext.get().partitionId() << 32, shared.value.get
+        for number, part in enumerate(batches_of(batches, "text", ROWS, BYTES)):
+            texts, found, sums = part.column("text"), {}, []
+            for place, one in enumerate(texts):
+                parts = cuts.parts(one.as_py() or "")
+                sizes = list(map(size_of, parts, repeat(0)))
+                sums.append(sum(sizes))
+                if 0 in sizes:
+                    for piece, n in zip(parts, sizes):
+                        if not n:
+                            found.setdefault(piece, []).append(place)
+            n_bytes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
+            rows = pa.StructArray.from_arrays([part.column("row"), n_bytes, pa.array(sums, pa.int64())], fields=list(arrow.field("rows").type.value_type))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(arrow.field("rows").type)
+            batch = first + number
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), lists, pa.nulls(1, pa.string()), pa.nulls(1, pa.binary())], schema=arrow)
+            members = pa.array([np.array(x, np.uint16).tobytes() for x in found.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(found), pa.int64()), pa.nulls(len(found), arrow.field("rows").type), pa.array(found, pa.string()), members], schema=arrow)
 
-    return pieces.select("piece").distinct().mapInArrow(run, schema)
+    return held.mapInArrow(run, schema)
 
 
-def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
+def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = MODEL, head: int = HEAD) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``n_bytes`` and ``n_tokens`` of each whole text; columns of these names are replaced.
 
     Each row is counted for itself, repeated rows too; a null text is empty and has no tokens. Very long texts are batches of their own. Texts have the tokens
-    that the library gives them whole, without begin, end or other special tokens.
+    that the library gives them whole, without begin, end or other special tokens. The sizes of the ``head`` most frequent pre-tokens go to each
+    task, which adds them up where the texts lie; the others are joined, however many there are.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens")]
-    table = written(frequencies(docs, text, kept, model), "frequencies")
-    sizes = dictionary(table.filter("piece is not null"), model)
-    counted = table.filter("piece is not null").drop("rows").hint("merge").join(sizes, "piece").select("batch", F.lit(None).cast(table.schema["rows"].dataType).alias("rows"), "members", "times", "n")
-    heads = table.filter("piece is null").select("batch", "rows", "members", "times", F.lit(None).cast("long").alias("n"))
-    row = table.schema["rows"].dataType.elementType
-    schema = StructType([*row.fields, StructField("n_tokens", LongType())])
+    sizes = written(dictionary(docs, text, model), "dictionary")
+    table = written(frequencies(docs, text, kept, common(sizes, head), model), "frequencies")
+    others = table.filter("piece is not null").select("batch", "piece", "members").hint("merge").join(sizes.select("piece", "n"), "piece")
+    heads = table.filter("piece is null").select("batch", "rows", "members", F.lit(None).cast("long").alias("n"))
+    kind = table.schema["rows"].dataType
+    schema = StructType([kind.elementType.fields[0], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
     arrow = to_arrow_schema(schema)
 
     def summed(group: pa.Table) -> pa.Table:
         is_head = pc.is_valid(group.column("rows"))
         rows = group.filter(is_head).column("rows").combine_chunks().flatten()
         parts = group.filter(pc.invert(is_head))
-        one = lambda c: np.frombuffer(b"".join(parts.column(c).to_pylist()), np.uint32)
-        n = np.repeat(parts.column("n").to_numpy(), pc.divide(pc.binary_length(parts.column("members")), 4).to_numpy())
-        total = np.zeros(len(rows), np.int64)
-        np.add.at(total, one("members"), one("times") * n)
+        members = parts.column("members").to_pylist()
+        n = np.repeat(parts.column("n").to_numpy(), [len(x) // 2 for x in members])
+        total = rows.field(2).to_numpy().copy()
+        np.add.at(total, np.frombuffer(b"".join(members), np.uint16), n)
         return pa.Table.from_arrays([rows.field(0), rows.field(1), pa.array(total)], schema=arrow)
 
-    out = counted.unionByName(heads).groupBy("batch").applyInArrow(summed, schema)
-    return out.select("row.*", "n_bytes", "n_tokens")
+    both = others.select("batch", F.lit(None).cast(kind).alias("rows"), "members", "n").unionByName(heads)
+    return both.groupBy("batch").applyInArrow(summed, schema).select("row.*", "n_bytes", "n_tokens")
 
 
 def digest(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
