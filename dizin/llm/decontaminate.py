@@ -10,6 +10,7 @@ first. What is left is exact: all terms stand at consecutive positions.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,9 +129,12 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     """Matches ``(segment, window_id, places)`` of ``phrases(window_id, words)`` in the index.
 
     With ``slop`` 0, ``places`` are the first positions of exact occurrences. With more, they are the
-    places of the phrase's rarest term around which each of its other terms stands within ``slop``
-    words (proximity, in any order). Terms must be indexed.
+    places of the phrase's rarest term within ``slop`` words of which all its terms stand in one document, in any order,
+    each as often as in the phrase: no word of the text serves for two (proximity). ``slop`` is ``GAP`` at most, since farther off
+    the next document begins. Terms must be indexed.
     """
+    if not 0 <= slop <= GAP:
+        raise ValueError(f"words within {slop} of another may be in the next document; {GAP} is the most")
     stats = index.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("total"))
     used = phrases.select("window_id", "words", F.posexplode("words").alias("at", "term"))
     used = used.hint("merge").join(written(stats, "stats"), "term", "left")
@@ -162,15 +166,17 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
             words = [bytes(w) for w in words]
             if any(w not in lists for w in words):
                 continue
-            starts = lists[words[order[0]]] - (0 if slop else order[0])
-            for at in order[1:]:
-                if not len(starts):
-                    break
-                places = lists[words[at]]
-                if slop:
-                    first = np.searchsorted(places, starts - slop)
-                    starts = starts[(first < len(places)) & (places[np.minimum(first, len(places) - 1)] <= starts + slop)]
-                else:
+            starts = lists[words[order[0]]]
+            if slop:
+                for word, times in Counter(words).items():
+                    first, last = (np.searchsorted(lists[word], starts + by, side) for by, side in ((-slop, "left"), (slop, "right")))
+                    starts = starts[last - first >= times]
+            else:
+                starts = starts - order[0]
+                for at in order[1:]:
+                    if not len(starts):
+                        break
+                    places = lists[words[at]]
                     found = np.searchsorted(places, starts + at)
                     starts = starts[places[np.minimum(found, len(places) - 1)] == starts + at]
             if len(starts):

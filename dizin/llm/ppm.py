@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dizin.llm.common import crc_fold, with_judgement, written
+from dizin.llm.common import crc_fold, forget, with_judgement, written
 
 ORDER = 3
 #: Documents per language that training reads, whole, chosen by hash; statistics of more are of little use.
@@ -24,6 +24,8 @@ TRAIN_DOCS = 1500
 UNKNOWN = "und"
 #: Bits a byte of the uniform code: a language whose code of a text, of at least so many bytes, is no shorter is not the text's.
 UNIFORM, TOLD = 8.0, 32
+#: Languages whose costs share a table, and whose counts the driver holds at once.
+TOGETHER = 8
 #: Bytes that are coded in one step.
 STEP = 1 << 20
 
@@ -94,8 +96,8 @@ def key(n: int, gram: np.ndarray) -> np.ndarray:
     return (np.int64(n + 1) << 40) | gram.astype(np.int64)
 
 
-class Model:
-    """Costs in bits of every known 4-gram, and escapes of every known context, for all languages."""
+class Tables:
+    """Costs in bits of every known 4-gram, and escapes of every known context, for a few languages."""
 
     def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         self.langs, self.order = sorted(counts["lang"].unique()), order
@@ -147,6 +149,25 @@ class Model:
             total += self._coded(self.order, part).sum(axis=0, dtype=np.float64)
         return total
 
+
+class Model:
+    """The languages of a table of counts. Their costs are kept for ``TOGETHER`` languages at a time: a 4-gram has a cost in each of these, and none in the languages of other tables."""
+
+    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
+        langs = sorted(counts["lang"].unique())
+        groups = [langs[i : i + TOGETHER] for i in range(0, len(langs), TOGETHER)]
+        self.tables = [Tables(counts[counts["lang"].isin(group)], order) for group in groups]
+        self.langs = langs
+
+    def add(self, other: Model) -> None:
+        """Takes in the languages of another model, which all come after its own by name."""
+        self.tables += other.tables
+        self.langs += other.langs
+
+    def lengths(self, body: np.ndarray) -> np.ndarray:
+        """Code length in bits of the bytes under each language."""
+        return np.concatenate([t.lengths(body) for t in self.tables])
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
@@ -154,7 +175,6 @@ class Model:
         best = int(bits.argmin())
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
-
     def knows(self, text: str | None) -> bool:
         """Whether some language codes the text in fewer bits than the uniform code does. Texts without a letter have no language.
 
@@ -186,8 +206,16 @@ def train(rows: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
     if not fewer:
         return Model(pd.DataFrame({"lang": [], "n": np.array([], int), "gram": np.array([], int), "seen": np.array([], int)}))
     limit = F.create_map(*[x for k, v in fewer.items() for x in (F.lit(k), F.lit(v))])
-    counts = count_grams(rows.filter(chance < limit[F.col("lang")]))
-    return Model(counts.toPandas())
+    counts = written(count_grams(rows.filter(chance < limit[F.col("lang")])), "counts")
+    langs, model = sorted(fewer), None
+    for at in range(0, len(langs), TOGETHER):
+        part = Model(counts.filter(F.col("lang").isin(langs[at : at + TOGETHER])).toPandas())
+        if model is None:
+            model = part
+        else:
+            model.add(part)
+    forget(counts)
+    return model
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

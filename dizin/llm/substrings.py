@@ -21,6 +21,7 @@ BLAKE2b name the windows of an anchor.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,18 @@ from pyspark.sql import functions as F
 
 from dizin.llm.common import forget, written
 
-#: Bytes of a repeated string, and of an anchor's own string. Their difference and one, the offsets of an anchor, is a power of two.
-LEAST, GRAM = 400, 145
+#: Bytes of a repeated string.
+LEAST = 400
+
+
+def gram_of(least: int) -> int:
+    """Bytes of an anchor's own string: ``least`` less the offsets of an anchor and one. Doubling halves these, so they are a power of two, about two thirds of ``least``."""
+    if least < 4:
+        raise ValueError("strings of fewer than 4 bytes have no offsets to double")
+    return least - (1 << int(math.log2(0.65 * least))) + 1
+
+
+GRAM = gram_of(LEAST)
 #: Bytes that are hashed in one step: a task's working arrays are some ten times as large.
 STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -122,7 +133,7 @@ def sample(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(STEP + 2 * least)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -243,6 +254,9 @@ def repeated_ranges(keyed: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
 
     The keys name texts; a text in several rows is repeated. Ranges may overlap.
     """
+    offsets = least - gram + 1
+    if gram < 1 or offsets < 2 or offsets & (offsets - 1):
+        raise ValueError(f"{offsets} offsets of an anchor are no power of two")
     sampled = written(sample(keyed, least, gram), "anchors")
     contexts = sampled.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "low", "high")).alias("one"))
     grams = contexts.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("contexts")).filter(F.col("all") > 1)
@@ -292,7 +306,7 @@ def digest(documents: DataFrame, least: int = LEAST) -> DataFrame:
     whatever their ids, and have the same result; null and repeated ids are returned as they are. An empty table gives none.
     """
     keyed = with_key(documents, "text", F.col("doc_id").cast("long").alias("doc_id"))
-    ranges = repeated_ranges(keyed, least)
+    ranges = repeated_ranges(keyed, least, gram_of(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
