@@ -153,10 +153,10 @@ FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id
 #: The same by scoring all rows for each query.
 TOPK_SQL = """
 WITH q AS (SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (SELECT a.row_no AS query_no, a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS score
   FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.row_no <> b.row_no AND len(a.q) = len(b.q)),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20"""
 #: The same by grouping all runs of words.
 PHRASES_SQL = r"""

@@ -23,18 +23,20 @@ SCALE, K = 64, 20
 #: Vectors of a block, and the most queries that are sent to a block together: a block moves once for so many.
 BLOCK, PACK = 1 << 16, 1 << 13
 BLOCKS = "block_part int, block_dims int, ids binary, rows binary, least string, widths binary, slices binary"
+#: What stands for the id of a row without one.
+NO_ID = (1 << 63) - 1
 PACKS = "pack_part int, dims int, ids binary, rows binary, vectors binary"
 
 
 def sound(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(vec_id, x, row)``, written: the vectors that take part, and a number that tells rows apart.
 
-    Vectors that are null or have a null or non-finite component, and rows without an id, take no part.
+    Vectors that are null or have a null or non-finite component take no part. A row without an id does, as a candidate: it comes after all ids (``NO_ID``), and its number is negative.
     """
     finite = F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    held = vectors.filter(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).filter(finite)
-    held = held.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
-    return written(held.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    held = vectors.filter(F.col(embedding).isNotNull()).filter(finite)
+    held = held.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("n"))
+    return written(held.select(F.coalesce("id", F.lit(NO_ID)).alias("vec_id"), "x", F.when(F.col("id").isNull(), -1 - F.col("n")).otherwise(F.col("n")).alias("row")), "vectors")
 
 
 def quantised(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -57,7 +59,7 @@ def _matrices(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.n
     held: dict[int, list] = {}
 
     def take(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, rows, xs = zip(*sorted(held.pop(dims), key=lambda v: v[:2]), strict=True)
+        ids, rows, xs = zip(*sorted(held.pop(dims), key=lambda v: (v[0], v[1] < 0, v[1])), strict=True)
         return np.array(ids, np.int64), np.array(rows, np.int64), np.array(xs, np.float64).reshape(len(ids), dims)
 
     for batch in batches:
@@ -164,8 +166,8 @@ class Block:
             weight += 1
         return out, base
 
-    def best(self, query: list[int], own: tuple[int, int], k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best rows but the one with the id and number ``own``, ties to smaller ids."""
+    def best(self, query: list[int], own: tuple[int, int], k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids, numbers and scores of the k best rows but the one with the id and number ``own``, ties to smaller ids."""
         sums, base = self.scores(query)
         good, even = np.zeros(self.words, np.uint64), self.all.copy()
         for at in range(np.searchsorted(self.ids, own[0]), np.searchsorted(self.ids, own[0], "right")):
@@ -188,7 +190,7 @@ class Block:
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
         for weight, bitmap in enumerate(sums):
             score += ((bitmap[word] >> bit) & np.uint64(1)).astype(object) << weight
-        return self.ids[rows], score.tolist()
+        return self.ids[rows], self.numbers[rows], score.tolist()
 
     def rows(self, bitmap: np.ndarray) -> np.ndarray:
         words = np.flatnonzero(bitmap)
@@ -202,7 +204,7 @@ _LONG = 1 << 63
 
 
 def search(index: DataFrame, packs: DataFrame, k: int = K) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k highest scores of each query, ties to the smaller id.
+    """``(query_id, rank, vec_id, score)``: the k highest scores of each query, ties to the smaller id, rows without an id last of them.
 
     The query's own row is no candidate; another row with its id is. Only vectors of the query's length are candidates.
     With fewer than k, all are returned. Each query row has its own list, so a repeated query has its list as often. Ranks
@@ -212,7 +214,7 @@ def search(index: DataFrame, packs: DataFrame, k: int = K) -> DataFrame:
     parts = [df.agg(F.max(c)).first()[0] or 0 for df, c in ((index, "block_part"), (packs, "pack_part"))]
     spread = index.withColumn("pack_part", F.explode(F.sequence(F.lit(0), F.lit(parts[1]))))
     pairs = packs.withColumn("block_part", F.explode(F.sequence(F.lit(0), F.lit(parts[0]))))
-    names = ["query_row", "query_id", "vec_id", "score", "exact"]
+    names = ["query_row", "query_id", "no_id", "vec_id", "score", "exact"]
 
     def run(key, blocks: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -222,14 +224,14 @@ def search(index: DataFrame, packs: DataFrame, k: int = K) -> DataFrame:
                 ids, rows = (np.frombuffer(x, np.int64).tolist() for x in (p.ids, p.rows))
                 queries = quantised(np.frombuffer(p.vectors, np.float64).reshape(len(ids), p.dims)).tolist()
                 for own, row, query in zip(ids, rows, queries, strict=True):
-                    vec, score = held.best(query, (own, row), k)
-                    out += [(row, own, v, max(-_LONG, min(_LONG - 1, x)), sortable(x)) for v, x in zip(vec.tolist(), score, strict=True)]
+                    vec, number, score = held.best(query, (own, row), k)
+                    out += [(row, own, n < 0, v, max(-_LONG, min(_LONG - 1, x)), sortable(x)) for v, n, x in zip(vec.tolist(), number.tolist(), score, strict=True)]
         return pd.DataFrame(out, columns=names)
 
     met = spread.groupBy("block_part", "pack_part").cogroup(pairs.groupBy("block_part", "pack_part"))
-    met = met.applyInPandas(run, "query_row long, query_id long, vec_id long, score long, exact binary")
-    order = Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = met.applyInPandas(run, "query_row long, query_id long, no_id boolean, vec_id long, score long, exact binary")
+    order = Window.partitionBy("query_row").orderBy(F.desc("exact"), "no_id", "vec_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def digest(embeddings: DataFrame, every: int = 20) -> DataFrame:
@@ -239,6 +241,6 @@ def digest(embeddings: DataFrame, every: int = 20) -> DataFrame:
     """
     vectors = sound(embeddings)
     index = build_index(vectors)
-    queries = vectors.filter(F.col("vec_id") % every == 0)
+    queries = vectors.filter((F.col("row") >= 0) & (F.col("vec_id") % every == 0))
     tasks = 4 * embeddings.sparkSession.sparkContext.defaultParallelism
     return search(index, pack_queries(queries, min(PACK, max(256, queries.count() * index.count() // tasks))))
