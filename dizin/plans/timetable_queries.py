@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from dizin.operators import timetable as X
 from dizin.plans.registry import query
+from dizin.scratch import scratch_path
 from dizin.streaming import streams as S
+from dizin.tables import KeyedTable
 
 
 def lines(t):
@@ -121,6 +123,25 @@ def t01_ended_runs(t):
     return S.ended_runs(t.events, "user_id", "ts", "event_id", "event_type", "value", done="purchase", silent=6 * 3600).withColumn("ended", F.date_format("ended", "yyyy-MM-dd HH:mm:ss"))
 
 
+#: The watermark of the whole stream, in milliseconds: ten minutes before its last event.
+WATERMARK = "(SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run, ts, event_id AS seq, event_type AS kind, value, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), {WATERMARK} * 1000) AS following FROM events WHERE epoch_us(ts) <= {WATERMARK} * 1000),
+m AS (SELECT *, CASE kind WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE CASE WHEN following - epoch_us(ts) > 21600 * CAST(1000000 AS BIGINT) THEN 'timeout' END END AS ends FROM e),
+f AS (SELECT run, min({{'ts': ts, 'seq': seq, 'ends': ends}}) AS e FROM m WHERE ends IS NOT NULL GROUP BY 1)
+SELECT m.run, any_value(f.e.ends) AS state, count(*) AS events, arg_max(value, {{'ts': m.ts, 'seq': m.seq}}) AS progress, strftime(any_value(f.e.ts), '%Y-%m-%d %H:%M:%S') AS ended FROM m JOIN f ON m.run = f.run WHERE {{'a': m.ts, 'b': m.seq}} <= {{'a': f.e.ts, 'b': f.e.seq}} GROUP BY 1""")
+def t01_run_stream(t):
+    """The events as a stream, each run told when it ends; events behind the watermark of the whole count."""
+    session = t.spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = scratch_path(t.spark, "runs")
+    stream = session.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]")
+    runs = S.run_stream(stream, "user_id", "ts", "event_id", "event_type", "value", done="purchase", silent=6 * 3600)
+    runs.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(S.ENDED).parquet(f"{path}/out").withColumn("ended", F.date_format("ended", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def t01_windowed_counts(t):
     return S.windowed_counts(t.events, "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
@@ -129,3 +150,14 @@ def t01_windowed_counts(t):
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def t02_latest(t):
     return S.latest(t.events.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def t02_ingest(t):
+    """The events as a stream of changes into a keyed table, read as the last of each key after compaction."""
+    path, columns = scratch_path(t.spark, "ingested"), ["user_id", "event_id", "event_type", "value"]
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]").select(*columns)
+    S.ingest(stream, "user_id", f"{path}/table", f"{path}/checkpoint", 16).awaitTermination()
+    held = KeyedTable(t.spark, f"{path}/table", "user_id", 16)
+    held.compact("event_id", 1)
+    return held.read(seq="event_id")

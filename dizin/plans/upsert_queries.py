@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from dizin.operators import upsert as U
 from dizin.plans.registry import query
+from dizin.scratch import scratch_path
+from dizin.tables import KeyedTable
 
 
 @query("SELECT DISTINCT p_brand AS name, p_type AS kind, p_partkey_min IS NOT NULL AS old FROM (SELECT p_brand, p_type, min(CASE WHEN p_size < 10 THEN p_partkey END) AS p_partkey_min FROM part GROUP BY ALL)")
@@ -71,6 +73,19 @@ def m06_bulk_update(t):
     return U.bulk_update(t.part.select("p_partkey", "p_size"), new_values(t), "p_partkey", "p_size", "at")
 
 
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN coalesce(v, p_size) ELSE p_size END AS p_size, true AS others_stay FROM part LEFT JOIN {NEW} USING (p_partkey)")
+def m06_table_update(t):
+    """The same update of some parts in a keyed table, twice: only the buckets of their keys are rewritten, all others lie where they were."""
+    held = KeyedTable(t.spark, scratch_path(t.spark, "parts"), "p_partkey", 64)
+    held.append(t.part.select("p_partkey", "p_size"))
+    first, live = next(iter(held.manifest()["parts"].items()))
+    changes = new_values(t).filter("p_partkey % 50 = 0")
+    for _ in range(2):
+        touched = held.update(changes, lambda rows, new: U.bulk_update(rows, new, "p_partkey", "p_size", "at"))
+    stayed = held.manifest()["parts"].get(first, [])
+    return held.read().withColumn("others_stay", F.lit(stayed == [b for b in live if b not in touched]))
+
+
 @query(f"SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN coalesce(first, 0) ELSE p_size % 4 END AS INT) AS filled, greatest(p_size, most) AS raised FROM part LEFT JOIN {FIRST} USING (p_partkey)")
 def m07_fill_and_raise(t):
     rows = t.part.select("p_partkey", (F.col("p_size") % 4).cast("int").alias("filled"), F.col("p_size").alias("raised"))

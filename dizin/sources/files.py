@@ -82,20 +82,22 @@ def json_rows(df: DataFrame, group: str, columns: list[str], order: list[str]) -
     return df.groupBy(group).agg(F.to_json(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in columns]))).alias("json"))
 
 
-def write_json_groups(df: DataFrame, path: str, group: str, columns: list[str], order: list[str]) -> None:
-    """S12. JSON files in UTF-8, a folder ``group=value`` for each group with a line for each of its rows, in order.
+def write_json_groups(df: DataFrame, path: str, groups: str | list[str], columns: list[str], order: list[str]) -> None:
+    """S12, A3. JSON files in UTF-8, a folder ``group=value`` for each group (in one another for several ``groups``) with a line for each of its rows, in order.
 
     Rows are dealt to ranges of group and order, sorted, and written as they come: no group is ever one row or in memory, and a group that holds most rows is shared by
     many tasks. Its lines are in order within a file, and files are in order by name.
     """
-    keys = [F.col(c) for c in dict.fromkeys([group, *order])]
-    lines = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(group, F.to_json(F.struct(*columns)).alias("value"))
-    lines.write.partitionBy(group).mode("overwrite").text(path)
+    groups = [groups] if isinstance(groups, str) else list(groups)
+    keys = [F.col(c) for c in dict.fromkeys([*groups, *order])]
+    lines = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*groups, F.to_json(F.struct(*columns)).alias("value"))
+    lines.write.partitionBy(*groups).mode("overwrite").text(path)
 
 
-def json_groups(spark: SparkSession, path: str, group: str) -> DataFrame:
-    """S12. ``(group, file, json)`` of what ``write_json_groups`` wrote; a group's rows in order are its lines by file."""
-    return spark.read.text(path).select(group, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("json"))
+def json_groups(spark: SparkSession, path: str, groups: str | list[str]) -> DataFrame:
+    """S12, A3. ``(groups, file, json)`` of what ``write_json_groups`` wrote; a group's rows in order are its lines by file."""
+    groups = [groups] if isinstance(groups, str) else list(groups)
+    return spark.read.text(path).select(*groups, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("json"))
 
 
 def with_seeds(df: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
