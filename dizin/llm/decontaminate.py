@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from dizin.llm.common import forget, words_of, written
 
 WINDOW = 10
+#: Words around the rarest of a window within which the query seeks all others in any order.
+NEAR = 15
 #: Words after which a segment is closed. Bounds a task's memory; a longer document is a segment of its own.
 SEGMENT_WORDS = 1 << 21
 #: Test terms that are sent to every task at once (about 64 MB); a larger test set is indexed in several passes.
@@ -133,8 +135,14 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     each as often as in the phrase: no word of the text serves for two (proximity). ``slop`` is ``GAP`` at most, since farther off
     the next document begins. Terms must be indexed.
     """
-    if not 0 <= slop <= GAP:
-        raise ValueError(f"words within {slop} of another may be in the next document; {GAP} is the most")
+    return _lookup(index, phrases, (slop,)).drop("slop")
+
+
+def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> DataFrame:
+    """``lookup`` with several slops at once: ``(segment, window_id, places, slop)``."""
+    for slop in slops:
+        if not 0 <= slop <= GAP:
+            raise ValueError(f"words within {slop} of another may be in the next document; {GAP} is the most")
     stats = index.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("total"))
     used = phrases.select("window_id", "words", F.posexplode("words").alias("at", "term"))
     used = used.hint("merge").join(written(stats, "stats"), "term", "left")
@@ -166,51 +174,53 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
             words = [bytes(w) for w in words]
             if any(w not in lists for w in words):
                 continue
-            starts = lists[words[order[0]]]
-            if slop:
-                for word, times in Counter(words).items():
-                    first, last = (np.searchsorted(lists[word], starts + by, side) for by, side in ((-slop, "left"), (slop, "right")))
-                    starts = starts[last - first >= times]
-            else:
-                starts = starts - order[0]
-                for at in order[1:]:
-                    if not len(starts):
-                        break
-                    places = lists[words[at]]
-                    found = np.searchsorted(places, starts + at)
-                    starts = starts[places[np.minimum(found, len(places) - 1)] == starts + at]
-            if len(starts):
-                out.append((key[0], window, starts.astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["segment", "window_id", "places"])
-
-    return lists.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(intersect, "segment string, window_id string, places binary")
-
-
-def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items)`` per row of ``docs``: words inside any occurrence of a test window.
-
-    ``items`` are the distinct ids (as strings, sorted) of items with an occurring window. Null texts
-    and texts without words have zeros; null ids stay null, and repeated rows are judged each. No items, no hits.
+            for slop in slops:
+                starts = lists[words[order[0]]]
+                if slop:
+                    for word, times in Counter(words).items():
+                        first, last = (np.searchsorted(lists[word], starts + by, side) for by, side in ((-slop, "left"), (slop, "right")))
+                        starts = starts[last - first >= times]
+                else:
+                    starts = starts - order[0]
+                    for at in order[1:]:
+                        if not len(starts):
+                            break
+                        places = lists[words[at]]
+                        found = np.searchsorted(places, starts + at)
+                        starts = starts[places[np.minimum(found, len(places) - 1)] == starts + at]
+                if len(starts):
+                    out.append((key[0], window, starts.astype(np.int64).tobytes(), slop))
+        return pd.DataFrame(out, columns=["segment", "window_id", "places", "slop"])
+
+    return lists.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(intersect, "segment string, window_id string, places binary, slop int")
+
+
+def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, near: int = 0) -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, n_near)`` per row of ``docs``: words inside any occurrence of a test window.
+
+    ``items`` are the distinct ids (as strings, sorted) of items with an occurring window. With ``near``, ``n_near`` is the number of items of which some window's
+    words all stand within so many words of its rarest one, in any order (``lookup``); else zero. Null texts and texts without words have zeros; null ids stay null, and repeated rows are judged each. No items, no hits.
     """
     if width > GAP:
         raise ValueError(f"a window has {GAP} words at most")
     found = written(windows(items, item_id, item_text, width), "windows")
     index = build_index(docs, written(found.select(F.explode("words").alias("term")).distinct(), "terms"), doc_id, text)
     phrases = found.select("window_id", "words").distinct()
-    matched = lookup(index, phrases)
+    matched = _lookup(index, phrases, (0, near) if near else (0,))
     of = found.groupBy("window_id").agg(F.first(F.size("words")).alias("width"), F.collect_set("item_id").alias("items"))
     matched = written(matched, "matched").hint("merge").join(written(of, "of"), "window_id")
     listed = index.filter(F.length("term") == 0).select("segment", "docs")
 
     def cover(key, docs: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
         ids, nulls, firsts, sizes = np.frombuffer(b"".join(docs["docs"][:1]), np.int64).reshape(4, -1)
-        n_hit, items = np.zeros(len(ids), np.int64), [set() for _ in ids]
+        n_hit, items, around = np.zeros(len(ids), np.int64), [set() for _ in ids], [set() for _ in ids]
         starts, ends = [], []
-        for width, names, places in zip(matches["width"], matches["items"], matches["places"], strict=True):
+        for width, names, places, slop in zip(matches["width"], matches["items"], matches["places"], matches["slop"], strict=True):
             at = np.frombuffer(places, np.int64)
-            starts.append(at), ends.append(at + int(width))
+            if not slop:
+                starts.append(at), ends.append(at + int(width))
             for doc in np.unique(np.searchsorted(firsts, at, "right") - 1):
-                items[doc].update(names)
+                (around if slop else items)[doc].update(names)
         if starts:
             start, end = np.concatenate(starts), np.concatenate(ends)
             order = np.argsort(start, kind="stable")
@@ -219,21 +229,21 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
             np.add.at(n_hit, np.searchsorted(firsts, start, "right") - 1, np.maximum(covered, 0))
         ids = pd.array(ids, dtype="Int64")
         ids[nulls == 1] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "n_words": sizes, "n_hit": n_hit, "items": [sorted(x) for x in items]})
+        return pd.DataFrame({"doc_id": ids, "n_words": sizes, "n_hit": n_hit, "items": [sorted(x) for x in items], "n_near": [len(x) for x in around]})
 
-    return listed.groupBy("segment").cogroup(matched.groupBy("segment")).applyInPandas(cover, "doc_id long, n_words long, n_hit long, items array<string>")
+    return listed.groupBy("segment").cogroup(matched.groupBy("segment")).applyInPandas(cover, "doc_id long, n_words long, n_hit long, items array<string>, n_near long")
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of documents, repeated ones each: the words that windows of ``benchmark`` cover, and the hash of the items' ids.
+    """Per row of documents, repeated ones each: the words that windows of ``benchmark`` cover, the hash of the items' ids, and the number of items with a window nearby.
 
     Null and wordless texts have zeros; null ids stay null. An item with a null id counts as one whose windows cover words, but is not
     listed. An empty benchmark covers nothing.
     """
-    found = hits(documents, benchmark)
+    found = hits(documents, benchmark, near=NEAR)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 

@@ -145,10 +145,18 @@ grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM
   (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM win))),
 met AS (SELECT doc_id, item_id, i, g.n FROM grams g JOIN win USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
-named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM met GROUP BY doc_id)
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM met GROUP BY doc_id),
+rows AS (SELECT row_number() OVER () AS d, doc_id, w FROM docs),
+places AS (SELECT d, p, w[p] AS term FROM (SELECT d, w, unnest(range(1, len(w) + 1)) AS p FROM rows)),
+totals AS (SELECT term, count(*) AS total FROM places GROUP BY 1),
+terms AS (SELECT n, win, ww, pos, ww[pos] AS term FROM (SELECT *, unnest(range(1, len(ww) + 1)) AS pos FROM (SELECT DISTINCT n, win, string_split(win, ' ') AS ww FROM win))),
+rarest AS (SELECT t.n, win, any_value(ww) AS ww, arg_min(t.term, {'t': coalesce(total, 0), 'a': pos}) AS term, min(coalesce(total, 0)) AS least FROM terms t LEFT JOIN totals USING (term) GROUP BY t.n, win),
+around AS (SELECT p.d, r.n, r.win, r.ww, x.w[greatest(1, p - 15):p + 15] AS ws FROM rarest r JOIN places p ON p.term = r.term JOIN rows x ON x.d = p.d WHERE least > 0),
+close_by AS (SELECT DISTINCT d, n, win FROM around WHERE len(list_filter(list_distinct(ww), lambda t: len(list_filter(ws, lambda x: x = t)) < len(list_filter(ww, lambda x: x = t)))) = 0),
+near AS (SELECT c.d, count(DISTINCT item_id) AS n_near FROM close_by c JOIN win USING (n, win) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM rows d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN near e ON d.d = e.d"""
 
 #: The same by scoring all rows for each query.
 TOPK_SQL = """
