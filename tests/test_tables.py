@@ -14,6 +14,7 @@ from dizin.operators import match as M
 from dizin.operators import stats as A
 from dizin.operators import upsert as U
 from dizin.streaming import streams as S
+from dizin.sources.files import json_groups, write_json_groups
 from dizin.tables import KeyedTable
 
 
@@ -268,3 +269,53 @@ def test_catalogue_keeps_the_order_of_the_feed(spark):
 
 def test_counts_of_missing_tables(spark):
     assert A.table_counts({"a": None, "b": None}).first().asDict() == {"a_count": 0, "b_count": 0}
+
+
+def test_first_of_those_that_contain_or_are_contained(spark):
+    rng = random.Random(9)
+    name = lambda n: "".join(rng.choice("abçİ ") for _ in range(rng.randint(0, n)))
+    left = [(name(7), rng.random() < 0.5) for _ in range(80)] + [("a", True), ("", False)]
+    right = [(name(7), i, rng.random() < 0.5) for i in range(90)] + [("A", 900, False), ("b", 901, True)]
+    l, r = spark.createDataFrame(left, "name string, protocol boolean"), spark.createDataFrame(right, "name string, id int, protocol boolean")  # noqa: E741
+    low = {x: y for x, y in spark.createDataFrame([(x,) for x in {n for n, *_ in left + right}], "n string").select("n", F.lower("n")).collect()}
+
+    def best(n, protocol):
+        met = []
+        for m, i, p in right:
+            a, b = low[n], low[m]
+            if a == b:
+                met.append((0, m, i))
+            elif a and b and (a in b or b in a):
+                met.append((1 if p == protocol else 2, m, i))
+        return [(n, protocol, min(met)[2], min(met)[0])] if met else []
+
+    # Names compare by their bytes, as Spark's do; these letters keep that order.
+    want = sorted({x for n, p in left for x in best(n, p)})
+    assert sorted(map(tuple, M.class_containment(l, r).select("name", "protocol", "id", "tier").collect())) == want
+    buckets = spark.createDataFrame([(n, i) for n, i, _ in right], "bucket string, pos int")
+    up = {x: y for x, y in spark.createDataFrame([(x,) for x in low], "n string").select("n", F.upper("n")).collect()}
+
+    def bucket(n):
+        met = [(0 if n == m else 1, i, m) for m, i, _ in right if n == m or (n and m and (up[n] in up[m] or up[m] in up[n]))]
+        return min(met)[2] if met else None
+
+    assert sorted(map(tuple, M.bucket_fallback(l.select("name"), buckets).select("name", "bucket").collect())) == sorted({(n, bucket(n)) for n, _ in left})
+
+
+def test_short_names_among_many(spark):
+    rng = random.Random(10)
+    letters = [chr(0x4E00 + i) for i in range(100)]
+    long = sorted({"".join(rng.choice(letters) for _ in range(8)) for _ in range(100_000)})
+    right = spark.createDataFrame([(n, i) for i, n in enumerate(long)], "name string, id int")
+    got = {r["name"]: r["id"] for r in M.containment(spark.createDataFrame([(x,) for x in letters], "name string"), right).collect()}
+    assert got == {x: next(i for i, n in enumerate(long) if x in n) for x in letters}
+
+
+def test_groups_are_written_without_a_row_of_their_size(spark, tmp_path):
+    df = spark.range(300_000).select(F.when(F.col("id") % 10 < 9, "ğ").otherwise("x y").alias("area"), (F.col("id") % 2).alias("grade"), F.col("id").alias("n"), F.lit("ş").alias("t"))
+    out = str(tmp_path / "json")
+    write_json_groups(df.repartition(5), out, ["area", "grade"], ["n", "t"], ["n"])
+    got = json_groups(spark, out, ["area", "grade"])
+    assert got.agg(F.max(F.length("json"))).first()[0] < 40 and got.count() == 300_000
+    lines = [x for p in sorted((tmp_path / "json" / "area=ğ" / "grade=1").glob("*.txt")) for x in p.read_text("utf-8").split("\n") if x]
+    assert lines == [f'{{"n":{i},"t":"ş"}}' for i in range(1, 300_000, 2) if i % 10 < 9]
