@@ -135,17 +135,18 @@ def lookup(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     each as often as in the phrase: no word of the text serves for two (proximity). ``slop`` is ``GAP`` at most, since farther off
     the next document begins. Terms must be indexed.
     """
-    return _lookup(index, phrases, (slop,)).drop("slop")
+    return _lookup(index, phrases, (slop,))[0].drop("slop")
 
 
-def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> DataFrame:
-    """``lookup`` with several slops at once: ``(segment, window_id, places, slop)``."""
+def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    """``lookup`` with several slops at once: ``(segment, window_id, places, slop)``, and the written tables that it reads."""
     for slop in slops:
         if not 0 <= slop <= GAP:
             raise ValueError(f"words within {slop} of another may be in the next document; {GAP} is the most")
     stats = index.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("total"))
     used = phrases.select("window_id", "words", F.posexplode("words").alias("at", "term"))
-    used = used.hint("merge").join(written(stats, "stats"), "term", "left")
+    stats = written(stats, "stats")
+    used = used.hint("merge").join(stats, "term", "left")
     ranked = used.groupBy("window_id").agg(
         F.first("words").alias("words"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "at"))).alias("rarest"),
@@ -154,7 +155,9 @@ def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> Dat
     ranked = ranked.filter(F.col("rarest")[0]["total"] > 0).withColumn("order", F.col("rarest")["at"]).withColumn("term", F.expr("words[order[0]]"))
     ranked = written(ranked.select("window_id", "words", "order", "term"), "phrases")
     here = index.filter(F.length("term") > 0).select("segment", "term")
+    scratch = [stats, ranked]
     asked = written(here.hint("merge").join(ranked, "term").select("segment", "window_id", "words", "order"), "asked")
+    scratch.append(asked)
     most = asked.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = -(-most // ASKED) if most else 1
     lists = index.filter(F.length("term") > 0).select("segment", "term", "places")
@@ -165,6 +168,7 @@ def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> Dat
         group.append("part")
         asked = asked.withColumn("part", F.pmod(F.xxhash64("window_id"), F.lit(parts)).cast("int"))
         needed = written(asked.select("segment", "part", F.explode("words").alias("term")).distinct(), "needed")
+        scratch.append(needed)
         lists = lists.hint("merge").join(needed, ["segment", "term"])
 
     def intersect(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +196,7 @@ def _lookup(index: DataFrame, phrases: DataFrame, slops: tuple[int, ...]) -> Dat
                     out.append((key[0], window, starts.astype(np.int64).tobytes(), slop))
         return pd.DataFrame(out, columns=["segment", "window_id", "places", "slop"])
 
-    return lists.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(intersect, "segment string, window_id string, places binary, slop int")
+    return lists.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(intersect, "segment string, window_id string, places binary, slop int"), scratch
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, near: int = 0) -> DataFrame:
@@ -204,11 +208,14 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     if width > GAP:
         raise ValueError(f"a window has {GAP} words at most")
     found = written(windows(items, item_id, item_text, width), "windows")
-    index = build_index(docs, written(found.select(F.explode("words").alias("term")).distinct(), "terms"), doc_id, text)
+    terms = written(found.select(F.explode("words").alias("term")).distinct(), "terms")
+    index = build_index(docs, terms, doc_id, text)
     phrases = found.select("window_id", "words").distinct()
-    matched = _lookup(index, phrases, (0, near) if near else (0,))
+    matched, scratch = _lookup(index, phrases, (0, near) if near else (0,))
     of = found.groupBy("window_id").agg(F.first(F.size("words")).alias("width"), F.collect_set("item_id").alias("items"))
     matched = written(matched, "matched").hint("merge").join(written(of, "of"), "window_id")
+    for done in (*scratch, terms, found):
+        forget(done)
     listed = index.filter(F.length("term") == 0).select("segment", "docs")
 
     def cover(key, docs: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
