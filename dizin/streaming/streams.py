@@ -44,7 +44,6 @@ def ended_runs(events: DataFrame, run: str = "run", ts: str = "ts", seq: str = "
     """
     each = _events(events, run, ts, seq, kind, progress)
     order = Window.partitionBy("run").orderBy("ts", "seq")
-    now = F.coalesce(now, F.lit(None)) if now is not None else None
     if now is None:
         each = each.join(F.broadcast(each.agg(F.max("ts").alias("now"))))  # one row
     else:
