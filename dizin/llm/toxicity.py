@@ -338,7 +338,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document a score from its text alone. Rows of fold 0 of 5 are never learnt from."""
+    """Per document a score from its text alone. Rows of fold 0 of 5 are never learnt from.
+
+    Each row is scored for itself, repeated ones and those without an id too (these are in the fold of the empty text); null and empty texts as texts without a hit. Of several labels of an
+    id the larger counts; null labels, and labels of no document, do not. A score of exactly 0.5 is predicted as toxic. No documents, no rows; no labels, nothing is toxic.
+    """
     fold = crc_fold(F.col("doc_id"), 5) == 0
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.filter(~fold).select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id")
