@@ -1,20 +1,22 @@
 """Course forms: sections, unit tables, topics and outcomes out of whole texts.
 
 Positions are found in a folded copy of the text that has the same length, and cut from the text
-itself. All is made of the text of one row, so texts never leave their task: by expressions, and, where many titles or
-numbers are sought in one text, by functions on Arrow batches that go through the text once.
+itself. All is made of the text of one row, so texts never leave their task: functions on Arrow batches fold
+each text once and take time in proportion to it; what is made of their results are column expressions.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from dizin.functions import text as T
 
@@ -31,24 +33,25 @@ FIELDS = (
 #: Headings of the unit table, and what ends it.
 TABLE_HEADS = ("KAZANIM SAYISI VE SÜRE TABLOSU", "DERSİN KAZANIM TABLOSU", "TABLOSU", "TABLOS U", "TABLO SU", "TABL OSU", "TAB LOSU", "TA BLOSU")
 TABLE_ENDS, TABLE_LEAST = ("TOPLAM", "ÖĞRENME BİRİMİ"), 50
-#: Header rows of the unit table, folded.
-TABLE_HEADERS = (r"(?s)OGRENME.*?\(\s*%\s*\)", r"(?s)KAZANIM.*?ORAN\s*\(\s*%\s*\)")
+#: How header rows of the unit table begin and end, folded.
+TABLE_HEADERS = (("OGRENME", re.compile(r"\(\s*%\s*\)", re.A)), ("KAZANIM", re.compile(r"ORAN\s*\(\s*%\s*\)", re.A)))
 NUMBER = r"\d+(?:[,.]\d+)?"
-#: Shapes of a table row by priority, and the of each that hold count, hours, second part of hours, percentage.
-SHAPES = (
-    (rf"([^0-9]+?)\s+(\d+)\s+(\d+)\s*/\s*(\d+)\s+({NUMBER})", 2, 3, 4, 5),
-    (rf"([^0-9]+?)\s+(\d+)\s+(\d+)\s+({NUMBER})", 2, 3, 0, 4),
-    (r"([^0-9]+?)\s+(\d+)\s+(\d+)(?=\s|$)", 2, 3, 0, 0),
-    (r"([^0-9]+?)\s+(\d+)\s+(\d+[,.]\d+)\s*%?", 2, 0, 0, 3),
-    (r"([^0-9]+?)\s+(\d+)(?=\s|$)", 2, 0, 0, 0),
-)
+#: Shapes of a table row by priority, and the groups of each that hold count, hours, second part of hours, percentage. A title has no digits.
+TITLE = r"([^0-9]{2,}+)(?<=\s)"
+SHAPES = tuple((re.compile(TITLE + pattern, re.A), *groups) for pattern, *groups in (
+    (rf"(\d+)\s+(\d+)\s*/\s*(\d+)\s+({NUMBER})", 2, 3, 4, 5),
+    (rf"(\d+)\s+(\d+)\s+({NUMBER})", 2, 3, 0, 4),
+    (r"(\d+)\s+(\d+)(?=\s|$)", 2, 3, 0, 0),
+    (r"(\d+)\s+(\d+[,.]\d+)\s*%?", 2, 0, 0, 3),
+    (r"(\d+)(?=\s|$)", 2, 0, 0, 0),
+))
 #: Headings of the unit area, and words that stop it.
 AREA_HEADS = ("ÖĞRENME BİRİMİ", "KONULAR", "ÖĞRENME BİRİMİ KAZANIMLARI", "KAZANIM AÇIKLAMLARI", "AÇIKLAMALARI")
 AREA_STOPS = ("UYGULAMA", "FAALİYET", "TEMRİN", "DERSİN", "DERSĠN")
 #: Characters in which a title's numbers must stand, and how the fallback looks around a 1.
 VALID_WITHIN, BACK, TITLE_LEAST, AHEAD = 4000, 100, 10, 500
 #: What ends a topic area: a long line of capitals, a numbered heading, or a stop word.
-AREA_BREAKS = r"\n[A-ZÜĞIŞÖÇ][A-ZÜĞIŞÖÇ\s]{10,}|\n\d+\.\s*[A-ZÜĞIŞÖÇ]|DERSİN|DERSĠN|UYGULAMA|FAALİYET|TEMRİN"
+AREA_BREAKS = re.compile(r"\n[A-ZÜĞIŞÖÇ][A-ZÜĞIŞÖÇ\s]{10,}|\n\d+\.\s*[A-ZÜĞIŞÖÇ]|DERSİN|DERSĠN|UYGULAMA|FAALİYET|TEMRİN", re.A)
 NOT_FOUND = "[Konu bulunamadı]"
 
 
@@ -65,98 +68,172 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def find(key: str | Column, where: Column, start: Column | int = 1) -> Column:
-    """Position of the first occurrence from ``start`` on (from 1); null if there is none."""
-    key = F.lit(_fold_literal(key)) if isinstance(key, str) else key
-    return F.nullif(F.call_function("locate", key, where, F.lit(start) if isinstance(start, int) else start), F.lit(0))
+def cut(text: Column, start: Column, end: Column | None) -> Column:
+    """Characters from start up to before end; to the end of the text if end is null."""
+    return F.substr(text, start, F.coalesce(end, F.length(text) + 1) - start)
 
 
-def first_of(keys, where: Column, start: Column | int = 1) -> Column:
-    """The earliest position of any of the keys."""
-    places = [find(k, where, start) for k in keys]
-    return F.least(*places) if len(places) > 1 else places[0]
+_FOLDS = tuple(zip(T.ASCII_FROM + "ß", T.ASCII_TO + "S", strict=True))
+_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def cut(text: Column, start: Column, end: Column | None) -> Column:
-    """Characters from start up to before end; to the end of the text if end is null."""
-    return F.substr(text, start, F.coalesce(end, F.length(text) + 1) - start)
+def low_of(text: str) -> str:
+    """What ``folded`` gives for one text."""
+    for a, b in _FOLDS:
+        text = text.replace(a, b)
+    return text.upper().replace("Ġ", "I")
+
+
+def _spaces(text: str) -> str:
+    return _WHITE.sub(" ", text).strip(" ")
+
 
+def each(use, kind: str = "string", held: pa.DataType = pa.string()):  # noqa: B008
+    """A function of a text and another column, or of a text alone, on Arrow batches: ``use`` of the values of each row, null where the text is null."""
 
-def _section(text: Column, low: Column, starts, ends) -> Column:
-    between = let(F.coalesce(*[find(k, low) + len(k) for k in starts]), lambda b: cut(text, b, first_of(ends, low, b)))
-    return T.spaces(F.regexp_replace(between, r"^[:\s]+", ""))
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else use(x) for x in texts.to_pylist()], held)
+
+    def of_both(texts: pa.Array, others: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else use(x, y) for x, y in zip(texts.to_pylist(), others.to_pylist(), strict=True)], held)
+
+    return lambda text, *other: F.arrow_udf(of_both if other else of_text, kind)(text, *other)
+
+
+def _first_of(keys, low: str, start: int = 0) -> int:
+    """The earliest position (from 0) of any of the keys, folded; -1 if there is none."""
+    return min((p for p in [low.find(k, start) for k in keys] if p >= 0), default=-1)
+
+
+def _section(text: str, low: str, starts, ends) -> str | None:
+    for k in starts:
+        if (at := low.find(k)) >= 0:
+            at += len(k)
+            end = _first_of(ends, low, at)
+            return _spaces(text[at : end if end >= 0 else None].lstrip(": \t\n\v\f\r"))
+    return None
+
+
+def _folded_all(keys) -> tuple[str, ...]:
+    return tuple(map(_fold_literal, keys))
 
 
 def section(text: Column, starts, ends) -> Column:
     """X1. What stands between the longest starting heading that occurs and the next ending one; null without a start."""
-    return let(folded(text), lambda low: _section(text, low, starts, ends))
+    starts, ends = _folded_all(starts), _folded_all(ends)
+    return each(lambda x: _section(x, low_of(x), starts, ends))(text)
+
+
+FIELD_KEYS = tuple((name, _folded_all(starts), _folded_all(ends)) for name, starts, ends in FIELDS)
+FIELD_TYPE = [(name, pa.string()) for name, *_ in FIELDS]
+
+
+def _sections(text: str, low: str) -> dict[str, str | None]:
+    return {name: _section(text, low, starts, ends) for name, starts, ends in FIELD_KEYS}
+
+
+_sections_of = each(lambda x: _sections(x, low_of(x)), f"struct<{','.join(f'{name}:string' for name, _ in FIELD_TYPE)}>", pa.struct(FIELD_TYPE))
 
 
 def sections(df: DataFrame, text: str = "text") -> DataFrame:
     """X1. ``df`` with a column per field of ``FIELDS``; the text is folded once for all."""
-    fields = let(folded(F.col(text)), lambda low: F.struct(*[_section(F.col(text), low, starts, ends).alias(name) for name, starts, ends in FIELDS]))
     kept = [c for c in df.columns if c not in {name for name, *_ in FIELDS}]
-    return df.select(*kept, fields.alias("fields of the form")).select(*kept, "`fields of the form`.*")
+    return df.select(*kept, _sections_of(F.col(text)).alias("fields of the form")).select(*kept, "`fields of the form`.*")
+
+
+_TABLE_HEADS, _TABLE_ENDS = _folded_all(TABLE_HEADS), _folded_all(TABLE_ENDS)
+
+
+def _bounds(text: str, low: str) -> str | None:
+    at = _first_of(_TABLE_HEADS, low)
+    if at < 0:
+        return None
+    at += next(len(h) for h in _TABLE_HEADS if low.startswith(h, at))
+    end = _first_of(_TABLE_ENDS, low, at + TABLE_LEAST)
+    return text[at : end if end >= 0 else None].strip(" ")
+
+
+_bounds_of = each(lambda x: _bounds(x, low_of(x)))
 
 
 def table_bounds(text: Column) -> Column:
     """X2. The unit table of a form with its header; null without a table."""
+    return _bounds_of(text)
 
-    def body(low: Column) -> Column:
-        after = lambda start: F.coalesce(*[F.when(find(h, low) == start, start + len(h)) for h in TABLE_HEADS])
-        return let(let(first_of(TABLE_HEADS, low), after), lambda at: F.trim(cut(text, at, first_of(TABLE_ENDS, low, at + TABLE_LEAST))))
 
-    return let(folded(text), body)
+def _headless(body: str, low: str) -> str:
+    for begin, close in TABLE_HEADERS:
+        kept, at = [], 0
+        while (start := low.find(begin, at)) >= 0 and (end := close.search(low, start + len(begin))):
+            kept.append(body[at:start])
+            at = end.end()
+        out = ("".join(kept) + body[at:]).strip(" ")
+        if len(out) < len(body):
+            return out
+    return body
 
 
-def _without(text: Column, low: Column, pattern: str) -> Column:
-    """The text without what the pattern matches in its folded copy."""
-    kept, gone = F.split(low, pattern), F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    sizes = F.zip_with(kept, gone, lambda k, g: F.struct(F.length(k).alias("k"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
-    step = lambda s, x: F.struct((s["at"] + x["k"] + x["g"]).alias("at"), F.concat(s["out"], F.substr(text, s["at"], x["k"])).alias("out"))
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+_headless_of = each(lambda x: _headless(x, low_of(x)))
 
 
 def headless(table: Column) -> Column:
-    """X3. A table without its header, written in any case: the first header pattern that shortens it counts."""
+    """X3. A table without its header, written in any case: the first kind of header whose loss shortens it counts."""
+    return _headless_of(table)
 
-    def shorter(x: Column) -> Column:
-        tried = F.array(*[F.trim(_without(x["body"], x["low"], p)) for p in TABLE_HEADERS])
-        return F.coalesce(F.get(F.filter(tried, lambda t: F.length(t) < F.length(x["body"])), F.lit(0)), x["body"])
 
-    return let(F.struct(table.alias("body"), folded(table).alias("low")), shorter)
+def _table(text: str, low: str) -> str | None:
+    body = _bounds(text, low)
+    return None if body is None else _headless(body, low_of(body))
+
+
+_table_of = each(lambda x: _table(x, low_of(x)))
 
 
 def table_section(text: Column) -> Column:
     """X2, X3. The unit table of a form without its header; null without a table."""
-    return headless(table_bounds(text))
+    return _table_of(text)
 
 
-def table_rows(table: Column) -> Column:
-    """X4, X5. Rows ``struct<title, count, duration, percentage>`` of the first shape that matches anywhere."""
+ROW_TYPE = pa.struct([("title", pa.string()), ("count", pa.int32()), ("duration", pa.string()), ("percentage", pa.string())])
+_NO_DIGITS, _DIGITS = re.compile(r"[^0-9]*+"), re.compile(r"[0-9]*+")
 
-    def rows(shape) -> Column:
-        pattern, count, hours, second, part = shape
 
-        def row(m: Column) -> Column:
-            group = lambda i: F.regexp_extract(m, pattern, i)
-            duration = F.lit("-") if not hours else F.concat(group(hours), F.lit("/"), group(second)) if second else group(hours)
-            return F.struct(
-                T.spaces(group(1)).alias("title"), group(count).cast("int").alias("count"), duration.alias("duration"), (group(part) if part else F.lit("-")).alias("percentage")
-            )
+def _matches(pattern: re.Pattern, table: str) -> Iterator[re.Match]:
+    """All matches of a shape, left to right. A title begins where the match before or a number ends: no later place between two numbers can match if that one does not, so none is tried twice."""
+    at = _DIGITS.match(table).end()
+    while at < len(table):
+        if m := pattern.match(table, at):
+            yield m
+            at = _DIGITS.match(table, m.end()).end()
+        else:
+            at = _DIGITS.match(table, _NO_DIGITS.match(table, at).end()).end()
+
 
-        return F.transform(F.regexp_extract_all(table, F.lit(pattern), 0), row)
+def _row(m: re.Match, count: int, hours: int, second: int, part: int) -> dict:
+    duration = "-" if not hours else f"{m[hours]}/{m[second]}" if second else m[hours]
+    n = m[count].lstrip("0") or "0"
+    return {"title": _spaces(m[1]), "count": int(n) if len(n) < 11 and int(n) < 1 << 31 else None, "duration": duration, "percentage": m[part] if part else "-"}
 
-    found = F.array(*[rows(s) for s in SHAPES])
-    chosen = F.get(F.filter(found, lambda x: F.size(x) > 0), F.lit(0))
-    return F.filter(chosen, lambda r: folded(r["title"]) != "TOPLAM")
+
+def _rows(table: str) -> list[dict] | None:
+    for pattern, *groups in SHAPES:
+        if rows := [_row(m, *groups) for m in _matches(pattern, table)]:
+            return [r for r in rows if low_of(r["title"]) != "TOPLAM"]
+    return None
+
+
+_rows_of = each(_rows, "array<struct<title:string,count:int,duration:string,percentage:string>>", pa.list_(ROW_TYPE))
+
+
+def table_rows(table: Column) -> Column:
+    """X4, X5. Rows ``struct<title, count, duration, percentage>`` of the first shape that matches anywhere; null if none does. A count beyond an int is null."""
+    return _rows_of(table)
 
 
 def units(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """X2-X5. ``(keep, seq, title, count, duration, percentage)``, one row per unit of each form's table."""
-    each = df.select(*keep, table_section(F.col(text)).alias("table")).select(*keep, F.posexplode(table_rows(F.col("table"))).alias("pos", "u"))
-    return each.select(*keep, (F.col("pos") + 1).alias("seq"), "u.*")
+    out = df.select(*keep, F.posexplode(table_rows(table_section(F.col(text)))).alias("pos", "u"))
+    return out.select(*keep, (F.col("pos") + 1).alias("seq"), "u.*")
 
 
 def joined_lines(lines: DataFrame, keep: list[str], number: str, line: str) -> DataFrame:
@@ -176,20 +253,41 @@ def typed_row(line: Column) -> Column:
     return F.when(title.isNotNull() & ~bad, F.struct(title.alias("title"), F.slice(parts, F.lit(2), F.size(parts)).alias("values")))
 
 
+_AREA_HEADS, _AREA_STOPS = _folded_all(AREA_HEADS), _folded_all(AREA_STOPS)
+
+
+def _area(text: str, low: str) -> str:
+    total = low.find("TOPLAM")
+    if total < 0:
+        return text
+    total += len("TOPLAM")
+    at = _first_of(_AREA_HEADS, low, total)
+    at = at if at >= 0 else total
+    end = _first_of(_AREA_STOPS, low, at)
+    return text[at : end if end >= 0 else None]
+
+
+_area_of = each(lambda x: _area(x, low_of(x)))
+
+
 def unit_area(text: Column) -> Column:
     """X8. Where the units are described: after the first total, from a heading to a stop word; all without a total."""
+    return _area_of(text)
 
-    def area(low: Column) -> Column:
-        start = lambda after: F.coalesce(first_of(AREA_HEADS, low, after), after)
-        return let(let(find("TOPLAM", low) + len("TOPLAM"), start), lambda at: F.when(at.isNull(), text).otherwise(cut(text, at, first_of(AREA_STOPS, low, at))))
 
-    return let(folded(text), area)
+#: So many keys are sought one by one; more by an automaton, which takes longer to make than a short text to read.
+FEW = 12
 
 
 def _found(text: str, keys: set[str]) -> dict[str, list[int]]:
-    """Where each key begins in the text (from 0), overlapping ones too; the text is read once for all keys."""
+    """Where each key begins in the text (from 0), overlapping ones too; the text is read once for many keys."""
     places: dict[str, list[int]] = {k: [] for k in keys}
-    if any(keys):
+    if len(keys) <= FEW:
+        for k in filter(None, keys):
+            at = -1
+            while (at := text.find(k, at + 1)) >= 0:
+                places[k].append(at)
+    elif any(keys):
         machine = ahocorasick.Automaton()
         for k in filter(None, keys):
             machine.add_word(k, k)
@@ -218,13 +316,18 @@ def numbers_present(text: Column, n: Column) -> Column:
 
 #: What is known of a title of a form.
 MATCH = ("seq", "title", "n", "matches", "valid", "first_valid")
-FOUND = pa.struct([("matches", pa.int32()), ("valid", pa.int32()), ("first_valid", pa.int32())])
+FOUND = MATCH[3:]
+FOUND_TYPE = [(c, pa.int32()) for c in FOUND]
+AREA = (*FOUND, "work_area")
+AREA_TYPE = [*FOUND_TYPE, ("work_area", pa.string())]
+TOPIC_TYPE = pa.struct([("no", pa.int32()), ("topic", pa.string())])
+NO_TITLE = dict.fromkeys(MATCH[:3])
 
 
 def _numbers(text: str, digits: int) -> dict[str, list[int]]:
     """Where each number of up to so many digits stands before a dot or a space, also as the end of a longer one."""
     out: dict[str, list[int]] = {}
-    for m in re.finditer(r"[0-9]+(?=[. ])", text):
+    for m in re.finditer(r"(?<![0-9])[0-9]++(?=[. ])", text):
         for size in range(min(digits, m.end() - m.start()), 0, -1):
             out.setdefault(text[m.end() - size : m.end()], []).append(m.end() - size)
     return out
@@ -251,11 +354,17 @@ def judged(low: str, titles: list[tuple[str | None, int | None]]) -> list[tuple[
     return out
 
 
-@F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in FOUND.names])))
-def _judged(low: pa.Array, titles: pa.Array) -> pa.Array:
-    both = zip(low.to_pylist(), titles.to_pylist(), strict=True)
-    told = [None if x is None or ts is None else [dict(zip(FOUND.names, j)) for j in judged(x, [(t["key"], t["n"]) for t in ts])] for x, ts in both]
-    return pa.array(told, pa.list_(FOUND))
+_key_of = lru_cache(4096)(low_of)
+
+
+def _told(text: str, titles: list[dict] | None) -> list[dict] | None:
+    if titles is None:
+        return None
+    keys = [(None if t is None or t["title"] is None else _key_of(t["title"]), t and t["n"]) for t in titles]
+    return [dict(zip(FOUND, j, strict=True)) for j in judged(low_of(text), keys)]
+
+
+_told_of = each(_told, "array<struct<matches:int,valid:int,first_valid:int>>", pa.list_(pa.struct(FOUND_TYPE)))
 
 
 def matched(text: Column, titles: Column) -> Column:
@@ -263,24 +372,37 @@ def matched(text: Column, titles: Column) -> Column:
 
     The text is folded once and read once for all titles of its row and all numbers.
     """
-    keys = F.transform(titles, lambda x: F.struct(folded(x["title"]).alias("key"), x["n"].cast("int").alias("n")))
-    return F.zip_with(titles, _judged(folded(text), keys), lambda x, y: F.struct(*[x[c].alias(c) for c in MATCH[:3]], *[y[c].alias(c) for c in MATCH[3:]]))
+    return F.zip_with(titles, _told_of(text, titles), lambda x, y: F.struct(*[x[c].alias(c) for c in MATCH[:3]], *[y[c].alias(c) for c in MATCH[3:]]))
+
+
+def _with_areas(text: str, found: list[dict]) -> list[dict]:
+    """``found`` with the ``work_area`` of each accepted title."""
+    order = lambda x: (x["first_valid"], x["seq"] is not None, x["seq"])
+    accepted = sorted(order(x) for x in found if x["first_valid"] is not None)
+
+    def area(x: dict) -> str | None:
+        if x["first_valid"] is None:
+            return None
+        next_ = bisect_right(accepted, order(x))
+        rest = text[x["first_valid"] - 1 + len(x["title"]) : accepted[next_][0] - 1 if next_ < len(accepted) else None]
+        return rest[: m.start()] if (m := AREA_BREAKS.search(rest)) else rest
+
+    return [{**x, "work_area": area(x)} for x in found]
+
+
+def _read(text: str, titles: list[dict] | None) -> list[dict] | None:
+    return None if titles is None else _with_areas(text, [{**(t or NO_TITLE), **x} for t, x in zip(titles, _told(text, titles), strict=True)])
 
 
-def with_areas(text: Column, found: Column) -> Column:
+_areas_of = each(lambda text, titles: None if titles is None else [{c: x[c] for c in AREA} for x in _read(text, titles)], "array<struct<matches:int,valid:int,first_valid:int,work_area:string>>", pa.list_(pa.struct(AREA_TYPE)))
+
+
+def with_areas(text: Column, titles: Column) -> Column:
     """X12. What ``matched`` gives, with the ``work_area`` of each accepted title; null for others.
 
     An area goes from the title's end to the next accepted title of the text, or to a numbered or stop heading.
     """
-    order = lambda x: F.struct(x["first_valid"].alias("at"), x["seq"].alias("seq"))
-    accepted = F.array_sort(F.transform(F.filter(found, lambda x: x["first_valid"].isNotNull()), order))
-
-    def area(x: Column, all_of: Column) -> Column:
-        until = F.get(F.filter(all_of, lambda y: y > order(x)), F.lit(0))["at"]
-        rest = cut(text, x["first_valid"] + F.length(x["title"]), until)
-        return F.struct(*[x[c].alias(c) for c in MATCH], F.when(x["first_valid"].isNotNull(), F.get(F.split(rest, AREA_BREAKS, 2), F.lit(0))).alias("work_area"))
-
-    return let(accepted, lambda all_of: F.transform(found, lambda x: area(x, all_of)))
+    return F.zip_with(titles, _areas_of(text, titles), lambda x, y: F.struct(*[x[c].alias(c) for c in MATCH[:3]], *[y[c].alias(c) for c in AREA]))
 
 
 def header_matches(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
@@ -290,10 +412,19 @@ def header_matches(df: DataFrame, keep: list[str], text: str, titles: str) -> Da
 
 def work_areas(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
     """X12. One row per accepted title of each form: ``(keep, *MATCH, work_area)``."""
-    areas = let(matched(F.col(text), F.col(titles)), lambda found: with_areas(F.col(text), found))
+    areas = with_areas(F.col(text), F.col(titles))
     return df.select(*keep, F.explode(areas).alias("x")).select(*keep, "x.*").filter("work_area is not null")
 
 
+_area_topics_of = each(lambda text, titles: None if titles is None else [None if x["work_area"] is None else _topics(x["work_area"], x["n"]) for x in _read(text, titles)], "array<array<struct<no:int,topic:string>>>", pa.list_(pa.list_(TOPIC_TYPE)))
+
+
+def area_topics(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
+    """X12, X13. ``(keep, seq, no, topic)``: the topics in the work area of each accepted title of a form, whose text is read once for all."""
+    read = F.zip_with(titles, _area_topics_of(F.col(text), F.col(titles)), lambda x, y: F.struct(x["seq"].alias("seq"), y.alias("topics")))
+    return df.select(*keep, F.explode(read).alias("x")).select(*keep, "x.seq", F.explode("x.topics").alias("y")).select(*keep, "seq", "y.*")
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def _number_places(text: pa.Array) -> pa.Array:
     """Where (from 1) numbers stand that white space or nothing precedes and a dot or a space follows."""
@@ -316,6 +447,28 @@ def _items(area: Column) -> Column:
     return F.transform(_number_places(area), item)
 
 
+def _topics(area: str, n: int | None) -> list[dict] | None:
+    """What ``topics`` gives for one text, without asking what a number numbers."""
+    if n is None or n < 1:
+        return None
+    marks = lambda k, start: [area.find(f"{k}{end}", start) for end in NUMBER_ENDS]
+    out, at = [], 0
+    for k in range(1, n + 1):
+        places = marks(k, at)
+        here = next((p for p in places if p >= 0), -1)
+        if here < 0:
+            out.append({"no": k, "topic": NOT_FOUND})
+            continue
+        until = min((p for p in marks(k + 1, here + 1) if p >= 0), default=None) if k < n else None
+        out.append({"no": k, "topic": _spaces(_NUMBERED.sub("", area[here:until].strip(" ")))})
+        at = here + len(str(k)) + (2 if places[0] >= 0 else 1)
+    return out
+
+
+_NUMBERED = re.compile(r"\A[0-9]+\.? ")
+_topics_of = each(_topics, "array<struct<no:int,topic:string>>", pa.list_(TOPIC_TYPE))
+
+
 def topics(area: Column, n: Column, checked: bool = False) -> Column:
     """X13. ``array<struct<no, topic>>``: what follows each number from 1 to n, each sought behind the one before.
 
@@ -324,7 +477,7 @@ def topics(area: Column, n: Column, checked: bool = False) -> Column:
     """
     if checked:
         return let(_items(area), lambda items: _segments(area, n, lambda k, start: _first_items(items, k, start)))
-    return _segments(area, n, lambda k, start: tuple(find(F.concat(k.cast("string"), F.lit(end)), area, start) for end in NUMBER_ENDS))
+    return _topics_of(F.coalesce(area, F.lit("")), n)
 
 
 def _first_items(items: Column, k: Column, start: Column) -> tuple[Column, ...]:
@@ -403,24 +556,38 @@ def numbered_items(text: Column) -> Column:
     return F.transform(F.aggregate(lines, F.array().cast("array<string>"), step), lambda x: F.trim(x))
 
 
+def _block(x: dict) -> str:
+    if x["title"] is None or x["n"] is None:
+        return ""
+    if x["first_valid"] is None:
+        return f"{x['title']} ({x['n']}) -> eşleşme yok\n"
+    lines = [f"{y['no']}. {y['topic']}" for y in _topics(x["work_area"], x["n"]) or ()]
+    return f"{x['title']} ({x['n']}) -> {x['valid']} eşleşme\n" + "\n".join(lines)
+
+
+_report_of = each(lambda text, titles: None if titles is None else "\n".join(_block(x) for x in _read(text, titles)))
+
+
 def report(df: DataFrame, keep: list[str], text: str, titles: str) -> DataFrame:
     """X18. ``(keep, report)``, one text per form: a line per title with its matches, then its topics; titles without a valid match say so."""
+    sorted_ = F.array_sort(F.transform(titles, lambda x: F.struct(*[x[c].alias(c) for c in MATCH[:3]])))
+    return df.select(*keep, _report_of(F.col(text), sorted_).alias("report"))
+
+
+def _job(text: str) -> dict:
+    low = low_of(text)
+    table = _table(text, low)
+    return {**_sections(text, low), "n_units": len(_rows(table) or ()) if table is not None else 0}
 
-    def block(x: Column) -> Column:
-        told = F.when(x["first_valid"].isNull(), F.lit("eşleşme yok")).otherwise(F.concat(x["valid"].cast("string"), F.lit(" eşleşme")))
-        head = F.concat(x["title"], F.lit(" ("), x["n"].cast("string"), F.lit(") -> "), told)
-        lines = F.transform(F.coalesce(topics(x["work_area"], x["n"]), F.array().cast("array<struct<no:int,topic:string>>")), lambda y: F.concat(y["no"].cast("string"), F.lit(". "), y["topic"]))
-        return F.concat_ws("\n", head, F.array_join(F.when(x["first_valid"].isNotNull(), lines).otherwise(F.array().cast("array<string>")), "\n"))
 
-    areas = let(matched(F.col(text), F.col(titles)), lambda found: with_areas(F.col(text), F.array_sort(found)))
-    return df.select(*keep, F.array_join(F.transform(areas, block), "\n").alias("report"))
+_job_of = each(_job, f"struct<{','.join(f'{name}:string' for name, _ in FIELD_TYPE)},n_units:int>", pa.struct([*FIELD_TYPE, ("n_units", pa.int32())]))
 
 
 def form_job(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """X19. Per form: its fields, the number of its units, and whether it could be read."""
-    read = sections(df, text).withColumn("n_units", F.coalesce(F.size(table_rows(table_section(F.col(text)))), F.lit(0)))
+    """X19. Per form: its fields, the number of its units, and whether it could be read; its text is folded once for all."""
+    read = df.select(key, _job_of(F.coalesce(text, F.lit(""))).alias("x")).select(key, "x.*")
     status = F.when(F.col("name").isNull(), "error: no name").when(F.col("n_units") == 0, "error: no table").otherwise("success")
-    return read.select(key, *[name for name, *_ in FIELDS], "n_units", status.alias("status"))
+    return read.withColumn("status", status)
 
 
 def form_names(forms: DataFrame, path: str, fields: list[str]) -> DataFrame:
