@@ -74,7 +74,6 @@ def cut(text: Column, start: Column, end: Column | None) -> Column:
 
 
 _FOLDS = tuple(zip(T.ASCII_FROM + "ß", T.ASCII_TO + "S", strict=True))
-_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def low_of(text: str) -> str:
@@ -84,10 +83,6 @@ def low_of(text: str) -> str:
     return text.upper().replace("Ġ", "I")
 
 
-def _spaces(text: str) -> str:
-    return _WHITE.sub(" ", text).strip(" ")
-
-
 def each(use, kind: str = "string", held: pa.DataType = pa.string()):  # noqa: B008
     """A function of a text and another column, or of a text alone, on Arrow batches: ``use`` of the values of each row, null where the text is null."""
 
@@ -110,7 +105,7 @@ def _section(text: str, low: str, starts, ends) -> str | None:
         if (at := low.find(k)) >= 0:
             at += len(k)
             end = _first_of(ends, low, at)
-            return _spaces(text[at : end if end >= 0 else None].lstrip(": \t\n\v\f\r"))
+            return T.spaces_of(text[at : end if end >= 0 else None].lstrip(": \t\n\v\f\r"))
     return None
 
 
@@ -212,7 +207,7 @@ def _matches(pattern: re.Pattern, table: str) -> Iterator[re.Match]:
 def _row(m: re.Match, count: int, hours: int, second: int, part: int) -> dict:
     duration = "-" if not hours else f"{m[hours]}/{m[second]}" if second else m[hours]
     n = m[count].lstrip("0") or "0"
-    return {"title": _spaces(m[1]), "count": int(n) if len(n) < 11 and int(n) < 1 << 31 else None, "duration": duration, "percentage": m[part] if part else "-"}
+    return {"title": T.spaces_of(m[1]), "count": int(n) if len(n) < 11 and int(n) < 1 << 31 else None, "duration": duration, "percentage": m[part] if part else "-"}
 
 
 def _rows(table: str) -> list[dict] | None:
@@ -460,7 +455,7 @@ def _topics(area: str, n: int | None) -> list[dict] | None:
             out.append({"no": k, "topic": NOT_FOUND})
             continue
         until = min((p for p in marks(k + 1, here + 1) if p >= 0), default=None) if k < n else None
-        out.append({"no": k, "topic": _spaces(_NUMBERED.sub("", area[here:until].strip(" ")))})
+        out.append({"no": k, "topic": T.spaces_of(_NUMBERED.sub("", area[here:until].strip(" ")))})
         at = here + len(str(k)) + (2 if places[0] >= 0 else 1)
     return out
 
