@@ -58,34 +58,50 @@ def ended_runs(events: DataFrame, run: str = "run", ts: str = "ts", seq: str = "
     return kept.groupBy("run").agg(F.first("end.ends").alias("state"), F.count("*").alias("events"), F.max_by("progress", F.struct("ts", "seq")).alias("progress"), F.first("end.ts").alias("ended"))
 
 
+def _ms(us: int) -> int:
+    """The first whole millisecond that is not before ``us``."""
+    return -(-us // 1000)
+
+
 class _Runs(StatefulProcessor):
-    """Events of a run wait until the watermark has passed them, and are then judged in order; a timer ends a silent run."""
+    """Events of a run wait until the watermark has passed them, and are then judged in order; a timer ends a silent run.
+
+    Each call of the state is a message to the executor, so what arrives together is one entry, and a run has one timer that counts: the earliest event that waits, or the end of its silence.
+    """
 
     def __init__(self, done: str, error: str, silent: int):
         self.done, self.error, self.silent = done, error, silent * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, us long, seq long, kind string, progress double")
-        self.held = handle.getValueState("held", "events long, progress double, us long, ended boolean")
+        self.waiting = handle.getListState("waiting", "us array<long>, seq array<long>, kind array<string>, progress array<double>")
+        self.held = handle.getValueState("held", "events long, progress double, us long, ended boolean, due long")
+
+    def _held(self) -> tuple:
+        return self.held.get() or (0, None, None, False, None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not (self.held.exists() and self.held.get()[3]):
+        *told, ended, due = self._held()
+        if not ended:
+            first = due
             for part in rows:
-                us = part["ts"].astype("datetime64[us]").astype("int64")
-                for u, seq, kind, progress in zip(us, part["seq"], part["kind"], part["progress"]):
-                    self.waiting.appendValue((-(-int(u) // 1000), int(u), int(seq), kind, None if pd.isna(progress) else float(progress)))
-                    self.handle.registerTimer(-(-int(u) // 1000))
-        yield pd.DataFrame()
+                us = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+                self.waiting.appendValue((us, part["seq"].tolist(), part["kind"].tolist(), [None if pd.isna(x) else x for x in part["progress"].tolist()]))
+                first = min(_ms(min(us)), _ms(min(us)) if first is None else first)
+            if first != due:
+                self.handle.registerTimer(first)
+                self.held.update((*told, ended, first))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events, progress, last, ended = self.held.get() if self.held.exists() else (0, None, None, False)
-        state = None
-        if not ended:
-            at = timerValues.getCurrentWatermarkInMs()
-            every = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (x[1], x[2])) if self.waiting.exists() else []
-            ready = [x for x in every if x[0] <= at]
-            for _, us, _, kind, new in ready:
+        events, progress, last, ended, due = self._held()
+        at = timerValues.getCurrentWatermarkInMs()
+        # A timer that an earlier one has overtaken has nothing to do.
+        if not ended and due <= at:
+            every = sorted((x for part in self.waiting.get() for x in zip(*part, strict=True)), key=lambda x: (x[0], x[1]))
+            ready = [x for x in every if _ms(x[0]) <= at]
+            state = None
+            for us, _, kind, new in ready:
                 if last is not None and us - last > self.silent * 1000:
                     state = "timeout"
                     break
@@ -95,19 +111,18 @@ class _Runs(StatefulProcessor):
                     break
             if state is None and last is not None and at * 1000 - last > self.silent * 1000:
                 state = "timeout"
-            if state is None:
+            left = every[len(ready) :] if state is None else []
+            if left and ready:
+                self.waiting.put([tuple(map(list, zip(*left, strict=True)))])
+            elif every and not left:
                 self.waiting.clear()
-                if len(every) > len(ready):
-                    self.waiting.put(every[len(ready) :])
-                if last is not None:
-                    self.handle.registerTimer(last // 1000 + self.silent + 1)
-            else:
-                self.waiting.clear()
-            self.held.update((events, progress, last, state is not None))
-        if state is not None:
-            yield pd.DataFrame({"run": [key[0]], "state": [state], "events": [events], "progress": [progress], "ended": [pd.Timestamp(last, unit="us")]})
-        else:
-            yield pd.DataFrame()
+            due = None
+            if state is None:
+                due = min([_ms(x[0]) for x in left[:1]] + ([last // 1000 + self.silent + 1] if last is not None else []))
+                self.handle.registerTimer(due)
+            self.held.update((events, progress, last, state is not None, due))
+            if state is not None:
+                yield pd.DataFrame({"run": [key[0]], "state": [state], "events": [events], "progress": [progress], "ended": [pd.Timestamp(last, unit="us")]})
 
     def close(self) -> None:
         pass
