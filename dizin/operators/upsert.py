@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dizin.functions import text as T
+from dizin.scratch import tasks_of
 
 
 def surrogate(*key: str) -> Column:
@@ -101,9 +102,15 @@ def raise_only(df: DataFrame, values: DataFrame, key: str, column: str) -> DataF
 
 
 def replace_children(children: DataFrame, parents: DataFrame, new: DataFrame, parent: str, name: str, order: str) -> DataFrame:
-    """M8. All children of the ``parents`` written anew from ``new``, numbered from 1; blank names are skipped."""
-    kept = children.join(parents.select(parent).distinct(), parent, "left_anti")
-    rows = new.join(parents.select(parent).distinct(), parent, "left_semi").filter(F.trim(name) != "")
+    """M8. All children of the ``parents`` written anew from ``new``, numbered from 1; blank names are skipped.
+
+    All are dealt by parent over tasks in proportion to their files, and joined by sorting.
+    """
+    tasks = tasks_of(children, parents, new)
+    # Marks, not a semi or anti join, which would be moved before the dealing and take one more.
+    gone = parents.select(parent).repartition(tasks, parent).distinct().withColumn("replaced", F.lit(True)).hint("merge")
+    kept = children.repartition(tasks, parent).join(gone, parent, "left").filter("replaced is null")
+    rows = new.filter(F.trim(name) != "").repartition(tasks, parent).join(gone, parent)
     seq = F.row_number().over(Window.partitionBy(parent).orderBy(order)).alias("seq")
     return kept.select(parent, name, "seq").unionByName(rows.select(parent, name, seq))
 
