@@ -232,7 +232,7 @@ def units(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def joined_lines(lines: DataFrame, keep: list[str], number: str, line: str) -> DataFrame:
-    """X6. Lines that end without a number put before the next that ends with one."""
+    """X6. Lines that end without a number put before the next that ends with one. Lines that are dealt by ``keep`` already stay in their tasks."""
     ends = F.trim(line).rlike(r"\d+\s*%?$")
     run = Window.partitionBy(*keep).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     grouped = lines.withColumn("row", F.coalesce(F.sum(ends.cast("int")).over(run), F.lit(0)))
