@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dizin.functions import text as T
+from dizin.scratch import tasks_of
 
 #: Heading of a timetable, and how many lines above it hold its labels.
 HEADING, AREA_LINES, BRANCH_LINES = "HAFTALIK DERS ÇİZELGESİ", 10, 15
@@ -99,10 +100,11 @@ def with_branches(rows: DataFrame, branches: DataFrame) -> DataFrame:
     """X23, X24. ``rows(doc, table_no, course, grade, hours)`` under their table's branch, each once per branch, by name.
 
     Tables without a branch go to the first branch that the document has, or to ``Genel`` if it has none.
-    ``branches(doc, table_no, branch)``; its rows meet on their document once, and are joined by sorting.
+    ``branches(doc, table_no, branch)``; its rows meet on their document once, dealt over tasks in proportion to their files, and are joined by sorting.
     """
-    named = branches.filter("branch is not null").groupBy("doc").agg(F.min_by("branch", "table_no").alias("first_branch"), F.collect_set(F.struct("table_no", "branch")).alias("named"))
-    joined = rows.hint("merge").join(named, "doc", "left")
+    tasks = tasks_of(rows, branches)
+    named = branches.filter("branch is not null").repartition(tasks, "doc").groupBy("doc").agg(F.min_by("branch", "table_no").alias("first_branch"), F.collect_set(F.struct("table_no", "branch")).alias("named"))
+    joined = rows.repartition(tasks, "doc").hint("merge").join(named, "doc", "left")
     own = F.transform(F.filter("named", lambda x: x["table_no"] == F.col("table_no")), lambda x: x["branch"])
     targets = F.when(F.size(own) > 0, own).otherwise(F.array(F.coalesce("first_branch", F.lit(GENERAL))))
     return distinct_courses(joined.select("doc", F.explode(targets).alias("branch"), "course", "grade", "hours"))
