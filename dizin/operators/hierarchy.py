@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dizin.scratch import tasks_of
+
 
 def courses_of_areas(course: DataFrame, bridge: DataFrame, branch: DataFrame) -> DataFrame:
     """J1. Distinct ``(area_id, course_id, course, grade)`` over the bridge."""
@@ -65,13 +67,17 @@ def linked_groups(parents: DataFrame, links: DataFrame, items: DataFrame) -> Dat
 
     ``parents(parent_id, parent_seq)``, ``links(parent_id, item_id)``, ``items(item_id)``; gives
     ``(section, parent_id, item_id)`` with section 1 for linked and 2 for unlinked items and parents.
+    Joins are by sorting, over tasks in proportion to the files; links are reduced to one an item and task before they are dealt by item.
     """
-    first = links.join(parents, "parent_id").groupBy("item_id").agg(F.min_by("parent_id", F.struct("parent_seq", "parent_id")).alias("parent_id"))
-    first = items.join(first, "item_id").select(F.lit(1).alias("section"), "parent_id", "item_id")
-    used = first.select("parent_id").distinct()
-    alone = parents.join(used, "parent_id", "left_anti").select(F.lit(2).alias("section"), "parent_id", F.lit(None).cast("long").alias("item_id"))
-    free = items.join(first.select("item_id"), "item_id", "left_anti").select(F.lit(2).alias("section"), F.lit(None).cast("long").alias("parent_id"), "item_id")
-    return first.unionByName(alone).unionByName(free)
+    tasks = tasks_of(parents, links, items)
+    linked = links.repartition(tasks, "parent_id").hint("merge").join(parents.select("parent_id", "parent_seq").repartition(tasks, "parent_id").distinct(), "parent_id")
+    first = linked.groupBy("item_id").agg(F.min_by("parent_id", F.struct("parent_seq", "parent_id")).alias("parent_id"))
+    # An item without a link has no parent here.
+    each = items.repartition(tasks, "item_id").hint("merge").join(first.repartition(tasks, "item_id"), "item_id", "left").select(F.when(F.col("parent_id").isNull(), 2).otherwise(1).alias("section"), "parent_id", "item_id")
+    # A mark, not an anti join, which would be moved before the dealing and take one more.
+    used = each.filter("parent_id is not null").select("parent_id").repartition(tasks, "parent_id").distinct().withColumn("used", F.lit(True)).hint("merge")
+    alone = parents.repartition(tasks, "parent_id").join(used, "parent_id", "left").filter("used is null").select(F.lit(2).alias("section"), "parent_id", F.lit(None).cast("long").alias("item_id"))
+    return each.unionByName(alone)
 
 
 def default_tree(units: DataFrame) -> DataFrame:
