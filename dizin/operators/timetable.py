@@ -56,11 +56,20 @@ def courses(cells: DataFrame) -> DataFrame:
     """
     key = ["doc", "table_no"]
     text = T.clean_cell(F.col("text"))
-    # Of the body only cells with a text, and of the first column, are asked.
-    held = cells.select(*key, F.col("row_no").cast("int").alias("row"), F.col("col_no").cast("int").alias("col"), text.alias("text")).withColumn("up", _upper(F.col("text")))
-    tables = held.groupBy(*key).agg((F.max("row") + 1).alias("n_rows"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("row", "col", "text", "up")))).alias("cells")).filter("n_rows >= 5")
-    head, body = F.filter("cells", lambda c: c["row"] < 3), F.filter("cells", lambda c: c["row"] >= 3)
-    tables = tables.select(*key, head.alias("head"), body.alias("body"))
+    # What the rules ask of a cell is told before cells meet; of the body only cells that they ask for are kept.
+    held = cells.select(*key, F.col("row_no").cast("int").alias("row"), F.col("col_no").cast("int").alias("col"), text.alias("text")).withColumn("up", F.upper(F.replace("text", F.lit("i"), F.lit("İ"))))
+    up = F.col("up")
+    is_start, is_stop = up.contains("MESLEK") & up.contains("DERS"), up.contains("TOPLAM") | up.contains("SEÇMELİ")
+    no_course = up.contains("TOPLAM") | (up.contains("REHBERLİK") & up.contains("YÖNLENDİRME"))
+    mark = F.when(F.col("col") == 0, F.when(is_start, "start").when(is_stop, "stop"))
+    name = F.when((F.length("text") >= 4) & ~no_course, F.col("text"))
+    hours = F.when(F.col("text").rlike(r"^0*([1-9]|10)$"), F.col("text").cast("int"))
+    held = held.select(*key, "row", "col", "text", "up", mark.alias("mark"), name.alias("name"), hours.alias("hours"))
+    in_head, in_body = (F.col("row") < 3) & (F.col("text") != ""), (F.col("row") >= 3) & F.coalesce("mark", "name", F.col("hours").cast("string")).isNotNull()
+    tables = held.groupBy(*key).agg(
+        (F.max("row") + 1).alias("n_rows"), F.sort_array(F.collect_list(F.when(in_head, F.struct("row", "col", "text", "up")))).alias("head"),
+        F.collect_list(F.when(in_body, F.struct("row", "col", "mark", "name", "hours"))).alias("body"),
+    ).filter("n_rows >= 5").select(*key, "head", "body")
 
     with_title = lambda title: F.filter("head", lambda c: c["up"] == title)
     course_col = F.coalesce(F.try_element_at(with_title("DERSLER"), F.lit(-1))["col"], F.get(with_title("DERS"), F.lit(0))["col"])
@@ -71,29 +80,25 @@ def courses(cells: DataFrame) -> DataFrame:
     graded = F.transform(numbered, lambda c: F.struct(c["col"].alias("col"), c["row"].alias("row"), number(c).cast("int").alias("grade")))
     # Of a column the lowest row counts.
     grades = F.filter("graded", lambda g: ~F.exists("graded", lambda o: (o["col"] == g["col"]) & (o["row"] > g["row"])))
-    first = F.filter("body", lambda c: c["col"] == 0)
-    is_start = lambda c: c["up"].contains("MESLEK") & c["up"].contains("DERS")
-    is_stop = lambda c: (c["up"].contains("TOPLAM") | c["up"].contains("SEÇMELİ")) & ~is_start(c)
-    starts = F.transform(F.filter(first, is_start), lambda c: c["row"])
-    stop = F.get(F.filter(first, lambda c: is_stop(c) & (c["row"] > F.col("begin"))), F.lit(0))["row"]
-    tables = tables.withColumns({"course_col": course_col, "classes": classes, "starts": starts}).filter("course_col is not null and size(starts) > 0")
-    tables = tables.withColumn("graded", graded).withColumns({"grades": grades, "begin": F.col("starts")[0]}).withColumn("stop", stop)
-    inside = F.filter("body", lambda c: (c["row"] > F.col("begin")) & (F.col("stop").isNull() | (c["row"] < F.col("stop"))) & ~F.array_contains("starts", c["row"]))
+    marked = lambda kind: F.transform(F.filter("body", lambda c: c["mark"] == kind), lambda c: c["row"])
+    stop = F.array_min(F.filter(marked("stop"), lambda r: r > F.col("begin")))
+    tables = tables.withColumns({"course_col": course_col, "classes": classes, "starts": marked("start")}).filter("course_col is not null and size(starts) > 0")
+    tables = tables.withColumn("graded", graded).withColumns({"grades": grades, "begin": F.array_min("starts")}).withColumn("stop", stop)
     # The rows of a table stay where it is.
-    each = tables.select(*key, "course_col", "grades", F.explode(inside).alias("c"))
-    rows = each.groupBy(*key, F.col("c.row").alias("row_no")).agg(F.first("course_col").alias("course_col"), F.first("grades").alias("grades"), F.collect_list("c").alias("row"))
-
-    place = lambda c, wanted: F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), c["col"] - wanted)
-    no_course = lambda c: c["up"].contains("TOPLAM") | (c["up"].contains("REHBERLİK") & c["up"].contains("YÖNLENDİRME"))
-    nearest = lambda found, value: F.array_min(F.transform(found, value))
-    named = F.filter("row", lambda c: (F.length(c["text"]) >= 4) & ~no_course(c) & (place(c, F.col("course_col")) > 0))
-    rows = rows.withColumn("name", nearest(named, lambda c: F.struct(place(c, F.col("course_col")).alias("place"), c["text"].alias("text")))["text"]).filter("name is not null")
-    rows = rows.select(*key, "row_no", "name", "row", F.explode("grades").alias("g"))
-    timed = F.filter("row", lambda c: c["text"].rlike(r"^0*([1-9]|10)$") & (place(c, F.col("g.col")) > 0))
-    hours = nearest(timed, lambda c: F.struct(place(c, F.col("g.col")).alias("place"), c["text"].cast("int").alias("hours")))
+    each = tables.select(*key, "course_col", "grades", "begin", "stop", "starts", F.explode("body").alias("c"))
+    each = each.filter((F.col("c.row") > F.col("begin")) & (F.col("stop").isNull() | (F.col("c.row") < F.col("stop"))) & ~F.array_contains("starts", F.col("c.row")))
+
+    place = lambda col, wanted: F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), col - wanted)
+    at = place(F.col("c.col"), F.col("course_col"))
+    named = F.min(F.when(F.col("c.name").isNotNull() & (at > 0), F.struct(at.alias("place"), F.col("c.name").alias("name"))))["name"]
+    timed = F.collect_list(F.when(F.col("c.hours").isNotNull(), F.struct("c.col", "c.hours")))
+    rows = each.groupBy(*key, F.col("c.row").alias("row_no")).agg(named.alias("name"), timed.alias("timed"), F.first("grades").alias("grades")).filter("name is not null")
+    course = T.title_case_tr(T.spaces(T.without_footnotes(F.col("name")))).alias("course")
+    rows = rows.select(*key, "row_no", course, "timed", "grades", F.explode(F.array_distinct(F.transform("grades", lambda g: g["grade"]))).alias("grade"))
     # Two columns of one grade: the nearest hours of both.
-    best = rows.withColumn("best", hours).filter("best is not null").groupBy(*key, "row_no", "name", F.col("g.grade").alias("grade")).agg(F.min("best")["hours"].alias("hours"))
-    return best.select(*key, "row_no", T.title_case_tr(T.spaces(T.without_footnotes(F.col("name")))).alias("course"), "grade", "hours")
+    near = lambda g: F.transform(F.filter("timed", lambda c: place(c["col"], g["col"]) > 0), lambda c: F.struct(place(c["col"], g["col"]).alias("place"), c["hours"].alias("hours")))
+    best = F.array_min(F.flatten(F.transform(F.filter("grades", lambda g: g["grade"] == F.col("grade")), near)))
+    return rows.withColumn("best", best).filter("best is not null").select(*key, "row_no", "course", "grade", F.col("best.hours").alias("hours"))
 
 
 def with_branches(rows: DataFrame, branches: DataFrame) -> DataFrame:

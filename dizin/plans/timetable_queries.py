@@ -41,20 +41,18 @@ def cells(t):
     """One table per supplier: three header rows, a section row, a row per line (up to its parts), a total."""
     rows = t.lineitem.select("l_suppkey", "l_partkey", (1 + F.col("l_linenumber") % 9).cast("int").alias("h")).groupBy("l_suppkey", "l_partkey").agg(F.max("h").alias("h"))
     order = Window.partitionBy("l_suppkey").orderBy("l_partkey")
-    rows = rows.withColumn("row_no", F.row_number().over(order) + 3)
+    rows = rows.withColumn("row_no", F.row_number().over(order) + 3).withColumn("end", F.when(F.lead("l_partkey").over(order).isNull(), F.col("row_no") + 1))
     name = F.concat(F.lit("DERS "), F.translate(F.col("l_partkey").cast("string"), "0123456789", "BCFGHJKLMN"), F.when(F.col("l_partkey") % 2 == 0, " (*)").otherwise(""))
     cell = lambda row, col, text: F.struct(F.lit(row).cast("int").alias("row_no") if isinstance(row, int) else row.cast("int").alias("row_no"), F.lit(col).alias("col_no"), text.alias("text"))
     # Hours of grade 9 stand in their own column or the next; of grade 10 in their own, for each third part.
     own = F.when(F.col("l_partkey") % 4 != 0, F.col("h").cast("string"))
     shifted = F.when(F.col("l_partkey") % 4 == 0, F.col("h").cast("string"))
-    body = rows.select(
-        F.col("l_suppkey").alias("doc"), F.explode(F.array(cell(F.col("row_no"), 1, name), cell(F.col("row_no"), 4, own), cell(F.col("row_no"), 5, shifted), cell(F.col("row_no"), 9, F.when(F.col("l_partkey") % 3 == 0, "7")))).alias("c")
-    )
     fixed = [(0, 0, "KATEGORİ"), (0, 1, "ORTAK DERSLER"), (1, 1, "DERSLER"), (0, 4, "9. SINIF"), (0, 9, "10."), (1, 9, "SINIF"), (2, 1, ""), (3, 0, "MESLEK DERSLERİ")]
-    heads = rows.select(F.col("l_suppkey").alias("doc")).distinct().select("doc", F.explode(F.array(*[cell(r, c, F.lit(x)) for r, c, x in fixed])).alias("c"))
-    last = rows.groupBy(F.col("l_suppkey").alias("doc")).agg((F.max("row_no") + 1).alias("end"))
-    end = last.select("doc", F.explode(F.array(cell(F.col("end"), 0, F.lit("TOPLAM")), cell(F.col("end") + 1, 1, F.lit("DIŞARIDA")), cell(F.col("end") + 1, 4, F.lit("3")))).alias("c"))
-    return body.unionByName(heads).unionByName(end).select("doc", F.lit(0).alias("table_no"), "c.*")
+    body = F.array(cell(F.col("row_no"), 1, name), cell(F.col("row_no"), 4, own), cell(F.col("row_no"), 5, shifted), cell(F.col("row_no"), 9, F.when(F.col("l_partkey") % 3 == 0, "7")))
+    # With the first line come the headers, with the last the total and a line below it.
+    heads = F.when(F.col("row_no") == 4, F.array(*[cell(r, c, F.lit(x)) for r, c, x in fixed])).otherwise(F.array())
+    end = F.when(F.col("end").isNotNull(), F.array(cell(F.col("end"), 0, F.lit("TOPLAM")), cell(F.col("end") + 1, 1, F.lit("DIŞARIDA")), cell(F.col("end") + 1, 4, F.lit("3")))).otherwise(F.array())
+    return rows.select(F.col("l_suppkey").alias("doc"), F.explode(F.concat(body, heads, end)).alias("c")).select("doc", F.lit(0).alias("table_no"), "c.*")
 
 
 COURSES = """p AS (SELECT l_suppkey AS doc, l_partkey, CAST(max(1 + l_linenumber % 9) AS INT) AS h FROM lineitem GROUP BY ALL), r AS (SELECT doc, l_partkey, h, CAST(3 + row_number() OVER (PARTITION BY doc ORDER BY l_partkey) AS INT) AS row_no,
