@@ -203,7 +203,7 @@ def f21_file_type(t):
 
 @query("SELECT doc_id, CAST(floor(n_chars * 1000 / 1048576) AS BIGINT) AS mb, round(doc_id / n_chars, 9) AS part FROM documents")
 def f22_megabytes_progress(t):
-    return t.documents.select("doc_id", T.megabytes(F.col("n_chars") * 1000).alias("mb"), F.round(T.progress(F.col("doc_id"), F.col("n_chars")), 9).alias("part"))
+    return t.documents.select("doc_id", T.megabytes(F.col("n_chars") * 1000).alias("mb"), T.rounded(T.progress(F.col("doc_id"), F.col("n_chars")), 9).alias("part"))
 
 
 @query(f"""WITH x AS (SELECT *, CASE p_size % 3 WHEN 0 THEN p_name || 'MTAL9.SınıfÇerçeve' WHEN 1 THEN p_name || 'Çerçeve Öğretim Programı2024-41' ELSE 'Çerçeve Öğretim Programı2024-41' END AS text FROM {LINKS_SQL}),
